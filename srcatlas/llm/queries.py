@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, pii, sharding
+from . import langid, media, packing, pii, sharding, substrings
 from .common import materialise, table
 
 
@@ -26,6 +26,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents")).drop("tile_npy")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op6_media_columns": op6_media_columns,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_personal_data": op9_personal_data,
 }
