@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -31,18 +33,37 @@ from .common import small_batches, text_or_empty
 SIZE = 2048
 END = 0
 BUCKET_DOCS = 4096
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words, and parts of words, whose ids a worker remembers in each of two generations.
+REMEMBERED = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+class Generations:
+    """A bounded table that forgets what the last two generations did not use."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The unknown keys; known ones are kept for another generation."""
+        if len(self.young) + len(keys) > self.most:
+            self.old, self.young = self.young, {}
+        absent = keys.difference(self.young)
+        for key in absent & self.old.keys():
+            self.young[key] = self.old[key]
+            absent.discard(key)
+        return list(absent)
+
+
 class WordTokenizer:
     """Ids of whole texts, built from the ids of their words.
 
-    The tokenizer never joins anything across ASCII white space, so a text's
-    ids are those of its words in order; the corpus repeats most words, and a
-    bounded table remembers them.
+    The tokenizer never joins anything across ASCII white space, nor letters
+    with the punctuation after them, and it lowers the case.  So a text's ids
+    are those of its words in order, and a word's are those of its letters and
+    of its punctuation; the corpus repeats most of them, and bounded tables
+    remember them.
     """
 
     def __init__(self, path: str):
@@ -50,20 +71,52 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.words, self.parts = Generations(REMEMBERED), Generations(REMEMBERED)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.split() for t in texts]
-        missing = set().union(*words).difference(self.known) if words else set()
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = set().union(*words)
-        if missing:
-            new = list(missing)
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        split = [t.split() for t in texts]
+        new = self.words.missing(set().union(*split))
+        halves = [halve(w.decode("utf-8")) for w in new]
+        self._learn(self.parts.missing({p for h in halves for p in h}))
+        parts, words = self.parts.young, self.words.young
+        words.update((w, parts[a] + parts[b]) for w, (a, b) in zip(new, halves, strict=True))
+        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+
+    def _learn(self, unknown: list[str]) -> None:
+        """Letters in lower case, and runs of punctuation, are single pieces for the BPE model itself."""
+        model, known = self.tokenizer.model.tokenize, self.parts.young
+        rest = []
+        for part in unknown:
+            if part.isascii():
+                if (part.isalpha() and part.islower()) or not part.rstrip(_TAIL):
+                    known[part] = array("I", [t.id for t in model(part)]).tobytes()
+                    continue
+            elif part.isalpha() and part.lower() == part and is_normalized("NFC", part) and "\u03a3" not in part:
+                known[part] = array("I", [t.id for t in model(part.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+                continue
+            rest.append(part)
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        known.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, found, strict=True))
+
+
+def _shown() -> dict[int, int]:
+    """Byte-level BPE shows printable bytes as themselves and the others as code points from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_SHOWN = _shown()
+_TAIL = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
+
+
+def halve(word: str) -> tuple[str, str]:
+    """Lower-case letters and the punctuation after them; any other word stays whole."""
+    letters = word.rstrip(_TAIL)
+    # a capital sigma lowers differently at the end of a word
+    if letters.isalpha() and "\u03a3" not in letters:
+        return letters.lower(), word[len(letters) :]
+    return word, ""
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
