@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, neardup, packing, pii, sharding, substrings
+from . import decontamination, langid, media, neardup, packing, pii, sharding, substrings
 from .common import materialise, table
 
 
@@ -43,6 +43,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.decide(found, pii.fit(found)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_near_duplicates": op4_near_duplicates,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_personal_data": op9_personal_data,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
