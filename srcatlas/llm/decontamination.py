@@ -9,9 +9,11 @@ locality-sensitive hash for edit distance.  Several walks with several samples
 each are repeated until edited copies of the items, drawn at the threshold on
 the driver, are found at ``RECALL``.
 
-Windows start at every word and are as long as an item.  Words in no item
-share one symbol; a window with more of those than the longest item of its
-length group may differ by cannot match and is skipped, which loses nothing.
+Windows start at every word.  Items of similar length (``GROUP``) share
+windows as long as the shortest of them.  Words in no item share one symbol;
+a window with more of those than a match may have is skipped, and so is a
+match of hashes whose item has too many words that the stretch lacks.  Both
+lose nothing, as each such word costs an edit.
 Candidates are verified exactly: the item's edit distance, in words, to the
 best stretch of the document around the window must be at most
 ``floor((1 - SIMILARITY) * words of the item)``.
@@ -46,7 +48,9 @@ SAMPLED = 3
 HASHES = 6
 MOST_WALKS = 6
 #: Longest to shortest item of a length group.
-GROUP = 1.5
+GROUP = 1.25
+#: Windows hashed at once.
+WINDOWS = 50_000
 #: Edited copies drawn to measure the recall.
 DRAWN = 400
 SCHEMA = "doc_id long, item_id long, word int, words int, distance int"
@@ -58,35 +62,69 @@ def allowed(words: int, similarity: float = SIMILARITY) -> int:
 
 @dataclass
 class Group:
-    """Items of similar length, and their hash tables."""
+    """Items of similar length; their windows are as long as the shortest."""
 
     items: np.ndarray  # rows of ``Index.items``
-    lengths: np.ndarray
     least: int
-    most: int
-    spare: int  # unknown words that a window of ``least`` words may have
+    reach: int  # words that any match has at least
+    spare: int  # unknown words that any match has at most
 
 
 class Walk:
-    """One CGK walk; symbol 0 is any word in no item, -1 the padding after a window."""
+    """One CGK walk over windows of ``length`` words, its samples and hash tables.
 
-    def __init__(self, seed: int, symbols: int, steps: int):
+    Symbol 0 is any word in no item, -1 the padding after a window.
+    """
+
+    def __init__(self, seed: int, symbols: int, length: int):
         rng = np.random.default_rng(seed)
+        self.length = length
+        steps = int(1.6 * length) + 1
         self.moves = rng.integers(0, 256, (symbols + 1, (steps + 7) // 8), np.uint8)  # a bit per symbol and step
-
-    def trace(self, words: np.ndarray, start: np.ndarray, length: int, steps: int, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols written at the steps ``keep``, and the positions they were read at."""
-        at = np.zeros(start.size, np.int64)
-        wanted = {int(k): i for i, k in enumerate(keep)}
-        out = np.empty((keep.size, start.size), np.int32)
-        place = np.empty((keep.size, start.size), np.int32)
-        for step in range(int(keep.max()) + 1 if keep.size else 0):
-            inside = np.minimum(at, length)
-            symbol = words[start + inside]
-            if step in wanted:
-                out[wanted[step]], place[wanted[step]] = symbol, inside
+        samples = [np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)) for _ in range(HASHES)]
+        self.keep = np.unique(np.concatenate(samples))
+        self.rows = [np.searchsorted(self.keep, s) for s in samples]
+        self.tables: list[tuple[np.ndarray, np.ndarray, list[list[int]]]] = []
+
+    def keys(self, grid: np.ndarray) -> list[np.ndarray]:
+        """One key per sample for every row of ``grid`` (windows x length symbols)."""
+        padded = np.concatenate((grid, np.full((grid.shape[0], 1), -1, np.int32)), axis=1).ravel()
+        begin = np.arange(grid.shape[0]) * (self.length + 1)
+        at = np.zeros(grid.shape[0], np.int64)
+        kept = []
+        for step in range(int(self.keep[-1]) + 1):
+            symbol = padded[begin + at]
+            if step == self.keep[len(kept)]:
+                kept.append(symbol.astype(np.int64).view(np.uint64))
             at += (self.moves[symbol, step >> 3] >> np.uint8(step & 7)) & 1
-        return out, place
+            np.minimum(at, self.length, out=at)
+        keys = []
+        for r in self.rows:
+            h = np.zeros(grid.shape[0], np.uint64)
+            for k in r:
+                h = h * np.uint64(0x9E3779B97F4A7C15) + kept[k]
+            keys.append(mix(h))
+        return keys
+
+    def learn(self, items: dict[int, np.ndarray]) -> None:
+        grid = np.stack([w[: self.length] for w in items.values()])
+        for key in self.keys(grid):
+            table: dict[int, list[int]] = {}
+            for item, k in zip(items, key.tolist(), strict=True):
+                table.setdefault(k, []).append(item)
+            keys = np.array(sorted(table), np.uint64)
+            bits = np.zeros(1 << 16, bool)
+            bits[(keys >> np.uint64(48)).astype(np.int64)] = True
+            self.tables.append((keys, bits, [table[k] for k in sorted(table)]))
+
+    def lookup(self, grid: np.ndarray):
+        """(window, items with its key) of every match."""
+        for key, (keys, bits, items) in zip(self.keys(grid), self.tables, strict=True):
+            maybe = np.flatnonzero(bits[(key >> np.uint64(48)).astype(np.int64)])
+            if maybe.size:
+                k = np.minimum(np.searchsorted(keys, key[maybe]), keys.size - 1)
+                hit = keys[k] == key[maybe]
+                yield from zip(maybe[hit].tolist(), [items[j] for j in k[hit].tolist()], strict=True)
 
 
 class Index:
@@ -98,6 +136,7 @@ class Index:
         self.ids = [i for i, _ in pairs]
         self.vocabulary = np.unique(np.concatenate([w for _, w in pairs] or [np.empty(0, np.uint64)]))
         self.items = [(np.searchsorted(self.vocabulary, w) + 1).astype(np.int32) for _, w in pairs]
+        self.sets = [frozenset(w.tolist()) for w in self.items]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         self.groups = self._groups()
@@ -110,81 +149,40 @@ class Index:
             least = int(sizes[order[at]])
             stop = at + int(np.searchsorted(sizes[order[at:]], max(least, int(least * GROUP)), "right"))
             rows = order[at:stop]
-            most = int(sizes[rows].max())
-            groups.append(Group(rows, np.unique(sizes[rows]), least, most, allowed(most, self.similarity)))
+            groups.append(Group(rows, least, least - allowed(least, self.similarity), allowed(int(sizes[rows].max()), self.similarity)))
             at = stop
         return groups
 
-    def _plan(self, group: Group, recall: float) -> list[tuple[Walk, np.ndarray, list[np.ndarray], list[dict]]]:
-        """Walks, their samples and hash tables, as many as the recall asks for."""
+    def _plan(self, group: Group, recall: float) -> list[Walk]:
+        """As many walks as the recall asks for, measured on edited items."""
         rng = np.random.default_rng(group.least)
-        drawn = self._edited(group, rng)
-        found = np.zeros(len(drawn), bool)
+        drawn = [self._edited(group, rng) for _ in range(DRAWN)]
+        grids = [np.stack([words[s : s + group.least] for s in range(5)]) for _, words in drawn]
+        found = np.zeros(DRAWN, bool)
         plan = []
-        for walk_at in range(MOST_WALKS):
-            steps = 2 * group.most
-            walk = Walk(1000 * group.least + walk_at, self.vocabulary.size, steps)
-            samples = [np.sort(rng.choice(min(steps, int(1.6 * group.least) + 1), min(SAMPLED, group.least), replace=False)) for _ in range(HASHES)]
-            keep = np.unique(np.concatenate(samples))
-            tables: list[dict] = []
-            rows = [np.searchsorted(keep, s) for s in samples]
-            for _ in samples:
-                tables.append({})
-            for item in group.items.tolist():
-                words = self.items[item]
-                for key, table in zip(self._keys(walk, words, np.zeros(1, np.int64), words.size, steps, keep, rows), tables, strict=True):
-                    table.setdefault(int(key[0]), []).append(item)
-            plan.append((walk, keep, rows, [self._packed(t) for t in tables]))
-            for i, (item, words, start) in enumerate(drawn):
-                if not found[i]:
-                    size = self.items[item].size
-                    starts = np.arange(max(0, start - 2), start + 3)
-                    keys = self._keys(walk, words, starts, size, steps, keep, rows)
-                    found[i] = any(item in t.get(int(k), ()) for key, t in zip(keys, tables, strict=True) for k in key)
+        for turn in range(MOST_WALKS):
+            walk = Walk(1000 * group.least + turn, self.vocabulary.size, group.least)
+            walk.learn({i: self.items[i] for i in group.items.tolist()})
+            plan.append(walk)
+            for i, (item, _) in enumerate(drawn):
+                found[i] = found[i] or any(item in items for _, items in walk.lookup(grids[i]))
             if found.mean() >= recall or group.spare == 0:
                 break
         return plan
 
-    def _edited(self, group: Group, rng) -> list[tuple[int, np.ndarray, int]]:
-        """Items with as many random edits as are allowed, between unknown words."""
-        out = []
-        for _ in range(DRAWN):
-            item = int(rng.choice(group.items))
-            words = self.items[item].tolist()
-            for _ in range(allowed(len(words), self.similarity)):
-                at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
-                if kind == 0:
-                    words[at] = 0
-                elif kind == 1:
-                    words.insert(at, 0)
-                elif len(words) > 1:
-                    del words[at]
-            pad = [0] * (2 * group.most)
-            out.append((item, np.array([0, 0, *words, *pad], np.int32), 2))
-        return out
-
-    @staticmethod
-    def _packed(table: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = np.array(sorted(table), np.uint64)
-        bits = np.zeros(1 << 16, bool)
-        bits[(keys >> np.uint64(48)).astype(np.int64)] = True
-        return keys, bits, [table[k] for k in sorted(table)]
-
-    @staticmethod
-    def _hash(out: np.ndarray, place: np.ndarray, length: int, rows: list[np.ndarray]) -> list[np.ndarray]:
-        keys = []
-        for r in rows:
-            h = np.full(out.shape[1], length, np.uint64)
-            for k in r:
-                symbol = np.where(place[k] >= length, np.int32(-1), out[k])
-                h = h * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.int64).view(np.uint64)
-            keys.append(mix(h))
-        return keys
-
-    def _keys(self, walk, words, start, length, steps, keep, rows):
-        padded = np.concatenate((words, np.zeros(2 * length + 2, np.int32)))
-        out, place = walk.trace(padded, start, length, steps, keep)
-        return self._hash(out, place, length, rows)
+    def _edited(self, group: Group, rng) -> tuple[int, np.ndarray]:
+        """An item with as many random edits as are allowed, between unknown words."""
+        item = int(rng.choice(group.items))
+        words = self.items[item].tolist()
+        for _ in range(allowed(len(words), self.similarity)):
+            at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+            if kind == 0:
+                words[at] = 0
+            elif kind == 1:
+                words.insert(at, 0)
+            elif len(words) > 1:
+                del words[at]
+        return item, np.array([0, 0, *words, *[0] * (group.least + 4)], np.int32)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """0 for words in no item, else the word's number."""
@@ -197,38 +195,31 @@ class Index:
         return out
 
     def candidates(self, symbols: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, window start) of every hash match in a batch."""
+        """(text, item, window start) of the hash matches in a batch that may be within the threshold."""
         found: set[tuple[int, int, int]] = set()
         n = symbols.size
-        unknown = np.concatenate(([0], np.cumsum(symbols == 0)))
+        unknown = np.concatenate(([0], np.cumsum(symbols == 0))).astype(np.int32)
         ends = np.repeat(first[1:], np.diff(first))
         for group, plan in zip(self.groups, self.plans, strict=True):
-            # a window may be shorter than its item by the allowed deletions
-            reach = max(1, group.least - group.spare)
-            start = np.flatnonzero(symbols[: max(0, n - reach + 1)] > 0) if group.spare == 0 else np.arange(max(0, n - reach + 1))
-            start = start[ends[start] - start >= reach]
-            start = start[unknown[start + reach] - unknown[start] <= group.spare]
-            if not start.size:
-                continue
-            width = group.most + 1
-            for low in range(0, start.size, 50_000):
-                part = start[low : low + 50_000]
-                # each window on its own, words after the text's end are unknown
-                at = part[:, None] + np.arange(width)
-                inside = at < ends[part][:, None]
-                grid = np.where(inside, symbols[np.minimum(at, n - 1)], 0).ravel()
-                begin = np.arange(part.size) * width
-                for walk, keep, rows, tables in plan:
-                    out, place = walk.trace(grid, begin, group.most, 2 * group.most, keep)
-                    for length in group.lengths.tolist():
-                        for key, (keys, bits, items) in zip(self._hash(out, place, length, rows), tables, strict=True):
-                            maybe = np.flatnonzero(bits[(key >> np.uint64(48)).astype(np.int64)])
-                            if not maybe.size:
-                                continue
-                            k = np.minimum(np.searchsorted(keys, key[maybe]), keys.size - 1)
-                            for w, j in zip(maybe[keys[k] == key[maybe]].tolist(), k[keys[k] == key[maybe]].tolist(), strict=True):
-                                text = int(np.searchsorted(first, part[w], "right")) - 1
-                                found.update((text, item, int(part[w])) for item in items[j])
+            few = unknown[group.reach :] - unknown[: n + 1 - group.reach] <= group.spare if n >= group.reach else np.empty(0, bool)
+            # a match may as well begin at a known word: dropping an unknown first word costs no more
+            start = np.flatnonzero(few[:n] & (symbols[: few.size] > 0))
+            start = start[ends[start] - start >= group.reach]
+            for low in range(0, start.size, WINDOWS):
+                part = start[low : low + WINDOWS]
+                # words after the text's end are unknown
+                at = part[:, None] + np.arange(group.least)
+                grid = np.where(at < ends[part][:, None], symbols[np.minimum(at, n - 1)], 0).astype(np.int32)
+                for walk in plan:
+                    for w, items in walk.lookup(grid):
+                        here = int(part[w])
+                        text = int(np.searchsorted(first, here, "right")) - 1
+                        for item in items:
+                            size = self.items[item].size
+                            slack = allowed(size, self.similarity)
+                            stop = here + size - slack
+                            if stop <= first[text + 1] and unknown[stop] - unknown[here] <= slack:
+                                found.add((text, item, here))
         return found
 
     def matches(self, symbols: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -238,12 +229,16 @@ class Index:
         for text, item, start in sorted(self.candidates(symbols, first)):
             words = self.items[item]
             slack = allowed(words.size, self.similarity)
-            if (text, item, start // (slack + 1)) in seen:
+            block = start // (slack + 1) * (slack + 1)
+            if (text, item, block) in seen:
                 continue  # the stretch around a neighbouring window held this one
-            seen.add((text, item, start // (slack + 1)))
-            # the stretch holds every match that begins within a slack of any window it stands for
-            low = max(int(first[text]), start // (slack + 1) * (slack + 1) - slack)
-            high = min(int(first[text + 1]), start // (slack + 1) * (slack + 1) + words.size + 3 * slack + 1)
+            seen.add((text, item, block))
+            # the stretch holds every match that begins within a slack of any window of its block
+            low = max(int(first[text]), block - slack)
+            high = min(int(first[text + 1]), block + words.size + 3 * slack + 1)
+            # every distinct word that is missing costs an edit
+            if len(self.sets[item].difference(symbols[low:high].tolist())) > slack:
+                continue
             distance, begin, end = nearest(words, symbols[low:high], slack)
             if distance <= slack:
                 here = (distance, low - int(first[text]) + begin, end - begin)
