@@ -22,8 +22,10 @@ rows; null languages do not train.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,5 +172,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows, with all their columns, whose text has a language with at least this score."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
+
+    @F.pandas_udf("double")
+    def certainty(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = Model(*shared.value)
+        for texts in batches:
+            yield texts.map(lambda t: held.predict(t)[1])
+
+    return docs.where(certainty("text") >= least)
+
+
 def held_out(column: Column, divisor: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(fold(column, divisor) == remainder, F.lit(False))
