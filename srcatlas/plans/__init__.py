@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL."""
 
-from . import code
+from . import analysis, code
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "code"]
+__all__ = ["ORACLE", "QUERIES", "analysis", "code"]
