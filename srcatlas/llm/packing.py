@@ -17,6 +17,7 @@ word; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from array import array
@@ -107,6 +108,12 @@ def _shown() -> dict[int, int]:
 
 
 _SHOWN = _shown()
+@functools.cache
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker, which goes on using its tables from task to task."""
+    return WordTokenizer(path)
+
+
 _TAIL = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
 
 
@@ -125,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: boo
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = shared_tokenizer(tokenizer_path)
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() for t in batch.column(1).cast(pa.large_binary())]
             out = []
