@@ -141,9 +141,17 @@ class Model:
 
 def training_rows(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> DataFrame:
     """At most ``per_language`` documents of each language, those with the smallest hashes."""
-    picked = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = picked.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("doc_id", F.lit(5)).alias("turn"))
-    # up to 1000 rows Spark keeps each task's smallest before the shuffle
+    known = docs.where(usable & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if len(counts) > 64:
+        raise ValueError("a filter slot has bits for 64 languages")
+    if not counts:
+        return known.select("lang", "text")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    # three times as many as are needed pass; the ranking sees only those, however long the table
+    most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, 3 * (per_language << 30) // n + 1))])
+    picked = known.where((turn < F.element_at(most, F.col("lang"))) & F.col("text").isNotNull())
+    picked = picked.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), turn.alias("turn"))
     ranked = picked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text")))
     return ranked.where(F.col("at") <= per_language).select("lang", "text")
 
@@ -173,7 +181,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows, with all their columns, whose text has a language with at least this score."""
+    """The rows, with all their columns, whose text has a language with at least this score.
+
+    Without a trained language nothing can be told apart and all rows stay.
+    """
+    if not model.languages:
+        return docs
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
 
