@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import normalize, parent
 from ..schema import IMPORT_EXTENSIONS
+from ..storage import shared_dir
 
 
 def hotpaths(edges: DataFrame, most: int = 10) -> DataFrame:
@@ -64,17 +65,15 @@ def reach(edges: DataFrame, most: int = 16) -> DataFrame:
     """(node, reached, depth): the shortest distance from every node, at most ``most`` steps.
 
     Each round extends only what the last one found and drops what is known,
-    so cycles end; lineage is cut by checkpoints every few rounds.
+    so cycles end.  A round's rows are checkpointed, so none is computed twice.
     """
-    steps = edges.select("src", "dst").distinct()
-    known = steps.select(F.col("src").alias("node"), F.col("dst").alias("reached"), F.lit(1).cast("long").alias("depth"))
-    fresh = known
+    shared_dir(edges.sparkSession)
+    steps = edges.select("src", "dst").distinct().checkpoint()
+    fresh = steps.select(F.col("src").alias("node"), F.col("dst").alias("reached"), F.lit(1).cast("long").alias("depth"))
+    known = fresh
     for depth in range(2, most + 1):
         found = fresh.join(steps, fresh["reached"] == steps["src"]).select("node", F.col("dst").alias("reached")).distinct()
-        fresh = found.join(known, ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
-        if depth % 4 == 0:
-            fresh = fresh.checkpoint()
-            known = known.checkpoint()
+        fresh = found.join(known, ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth).cast("long")).checkpoint()
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)

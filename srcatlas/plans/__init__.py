@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL."""
 
-from . import analysis, code
+from . import analysis, code, state
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analysis", "code"]
+__all__ = ["ORACLE", "QUERIES", "analysis", "code", "state"]
