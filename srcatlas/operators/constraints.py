@@ -87,7 +87,7 @@ def guardrails(lines: DataFrame) -> DataFrame:
         part = lambda i, p=pattern, g=groups: blank_to_null(F.regexp_extract("text", p, i)) if i <= g else F.lit(None).cast("string")
         found.append(F.when(F.col("text").rlike(pattern), F.struct(F.lit(kind).alias("kind"), part(1).alias("one"), part(2).alias("two"), part(3).alias("three"))))
     rows = hits.select("path", "line_no", F.explode(F.array_compact(F.array(*found))).alias("g")).select("path", "line_no", "g.*")
-    items = F.when(F.col("kind").isin(*LISTS), F.transform(F.split("one", ","), F.trim)).otherwise(F.array("one"))
+    items = F.when(F.col("kind").isin(*LISTS), F.transform(F.split("one", ","), lambda v: F.trim(v))).otherwise(F.array("one"))
     return rows.select("path", "line_no", "kind", F.explode(items).alias("one"), "two", "three")
 
 
