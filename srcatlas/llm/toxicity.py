@@ -1,10 +1,13 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A text's terms are its words (letters and digits, lower case) and the first
-five bytes of longer words, so that inflected forms share a term.  Of the
+five to eight bytes of longer words, so that inflected forms share terms.  Of the
 labelled examples at most ``POSITIVE`` toxic and ``NEGATIVE`` others are used,
 those with the smallest hashes; from their term counts the ``TERMS`` terms
-whose presence goes most clearly with the label become the vocabulary.
+whose presence goes most clearly with the label, and which are at least
+``LIFT`` times as frequent in toxic examples, become the vocabulary.  A common
+word that follows a label by chance would join nearly every text to nearly
+every example.
 Inverse document frequencies of those terms come from all documents.
 
 The examples' unit vectors form an inverted index.  Examples are ordered by
@@ -41,10 +44,12 @@ TERMS = 512
 #: Chi-squared and documents that a vocabulary term needs.
 EVIDENCE = 20.0
 LEAST = 4
+#: How much more frequent a vocabulary term is in toxic examples than in others.
+LIFT = 4.0
 NEIGHBOURS = 15
 SHARPNESS = 0.05
 BLOCK = 32
-PREFIX = 5
+PREFIXES = (5, 6, 7, 8)
 THRESHOLD = 0.7
 PRIOR = 1.0
 SCHEMA = "doc_id long, score double, neighbours array<long>, similarities array<float>"
@@ -53,9 +58,12 @@ SCHEMA = "doc_id long, score double, neighbours array<long>, similarities array<
 def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Term hashes of a batch and the word that each stands in."""
     whole = words.hashes()
-    long = np.flatnonzero(words.end - words.begin > PREFIX)
-    cut = span_hashes(words.raw, words.begin[long], words.begin[long] + PREFIX) ^ np.uint64(0x5BD1E995)
-    return np.concatenate((whole, cut)), np.concatenate((np.arange(whole.size), long))
+    hashes, places, size = [whole], [np.arange(whole.size)], words.end - words.begin
+    for n in PREFIXES:
+        long = np.flatnonzero(size > n)
+        hashes.append(span_hashes(words.raw, words.begin[long], words.begin[long] + n) ^ np.uint64(0x5BD1E995))
+        places.append(long)
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 class Lookup:
@@ -216,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
         # chi-squared of the 2 x 2 table of label and presence
         cross = F.col("a") * (no - (F.col("n") - F.col("a"))) - (F.col("n") - F.col("a")) * (yes - F.col("a"))
         chi = cross * cross * total / (yes * no * F.col("n") * (total - F.col("n") + 0.5))
-        seen = seen.withColumn("chi", chi).where(F.col("chi") >= EVIDENCE).orderBy(F.desc("chi"), "term").limit(TERMS)
+        lifted = F.col("a") * no >= LIFT * yes * (F.col("n") - F.col("a"))
+        seen = seen.withColumn("chi", chi).where(lifted & (F.col("chi") >= EVIDENCE)).orderBy(F.desc("chi"), "term").limit(TERMS)
         vocabulary = np.sort(np.array([r["term"] for r in seen.collect()], np.int64).view(np.uint64))
     else:
         vocabulary = np.empty(0, np.uint64)
