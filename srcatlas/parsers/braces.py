@@ -53,6 +53,12 @@ _JAVA_MEMBERS = (
 _KEYWORDS = frozenset(
     "if for while switch return catch function new throw typeof else do try await yield super this fn let match loop go defer select case var const type func import package class interface enum struct impl trait mod use pub static public private protected final void assert synchronized in of delete instanceof export default".split()
 )
+#: Of these, words that are names like any other in TypeScript, JavaScript and Java.
+_NAMES_ELSEWHERE = frozenset("go func fn loop match select defer type use mod trait impl struct pub".split())
+
+
+def keywords(language: str) -> frozenset[str]:
+    return _KEYWORDS if language in ("rust", "go") else _KEYWORDS - _NAMES_ELSEWHERE
 
 
 def blank(content: str) -> str:
@@ -137,6 +143,7 @@ def extract(content: str, language: str) -> list[dict]:
     code = blank(content)
     depths = _depths(code)
     line_of = _lines(code)
+    reserved = keywords(language)
     script = language in ("typescript", "javascript")
     listed = {n.strip().split(" ")[0] for m in re.findall(r"\bexport\s*\{([^}]*)\}", code) for n in m.split(",")} if script else set()
     found: list[tuple[int, int, dict]] = []
@@ -145,7 +152,7 @@ def extract(content: str, language: str) -> list[dict]:
     def add(kind: str, match: re.Match, parent: str | None, low: int = 0) -> None:
         at = low + match.start("n")
         name = " ".join(match["n"].split())
-        if at in taken or name in _KEYWORDS:
+        if at in taken or name in reserved:
             return
         taken.add(at)
         lead = match[0][: len(match[0]) - len(match[0].lstrip())]
@@ -246,7 +253,7 @@ def _calls(code: str, language: str, found: list, line_of) -> list[dict]:
     declared = {at for at, _, _ in owners}
     for m in re.finditer(rf"(?:(?P<r>[\w$.\])]+)(?:\.|::|\?\.))?(?P<n>{_WORD})\s*(?:::<[^>]*>)?\(", code):
         name, at = m["n"], m.start("n")
-        if name in _KEYWORDS or at in declared or re.search(r"\b(?:function|fn|func|new)\s*\*?\s*$", code[max(0, at - 12) : at]):
+        if name in keywords(language) or at in declared or re.search(r"\b(?:function|fn|func|new)\s*\*?\s*$", code[max(0, at - 12) : at]):
             continue
         inside = [o for o in owners if o[0] < at <= o[1]]
         caller = inside[-1][2] if inside else TOPS.get(language, "<module>")
