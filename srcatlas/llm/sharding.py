@@ -30,10 +30,9 @@ BUCKET_ROWS = 4096
 SEED = 20240607
 
 
-def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
-    """The shard whose hash with ``key`` is largest."""
-    best = F.greatest(*[F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("h"), F.lit(s).alias("s")) for s in range(shards)])
-    return best["s"]
+def best(key: Column, shards: int, seed: int = SEED) -> Column:
+    """The largest of a key's hashes with all shards, and its shard: struct<h, s>."""
+    return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("h"), F.lit(s).alias("s")) for s in range(shards)]))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -47,10 +46,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows:
         F.crc32(raw).alias("text_crc32"),
     )
     # the hashes of the first ``shards`` shards decide; the new shard wins only with a larger one
-    rows = rows.withColumn(
-        "best",
-        F.greatest(*[F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("h"), F.lit(s).alias("s")) for s in range(shards)]),
-    )
+    rows = rows.withColumn("best", best(key, shards, seed))
     rows = rows.select(
         "doc_id",
         "size",
@@ -87,7 +83,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     placed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
-        rendezvous(F.col("doc_id"), shards, seed).alias("shard"),
+        best(F.col("doc_id"), shards, seed)["s"].alias("shard"),
         F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", crc), F.lit(buckets)).cast("int").alias("bucket"),
         F.xxhash64(F.lit(seed + 2), "doc_id", crc).alias("turn"),
     )
