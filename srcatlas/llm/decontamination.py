@@ -255,7 +255,7 @@ def nearest(item: np.ndarray, words: np.ndarray, most: int) -> tuple[int, int, i
     size = item.size
     column = np.arange(size + 1)
     origin = np.zeros(size + 1, np.int64)
-    best = (most + 1, 0, 0)
+    best = (min(size, most + 1), 0, 0)  # the empty stretch
     ramp = np.arange(size + 1)
     for j, word in enumerate(words.tolist(), 1):
         swap = column[:-1] + (item != word)
