@@ -50,15 +50,16 @@ _JAVA_MEMBERS = (
     ("method", rf"(?m)^[ \t]*{_MOD}(?:<[^>]*>\s*)?(?:[\w.$<>,?\[\] ]+?\s+)?(?P<n>{_WORD})\s*\([^;{{}}]*\)\s*(?:throws\s+[\w., ]+)?\s*[{{;]"),
     ("field", rf"(?m)^[ \t]*{_MOD}[\w.$<>,?\[\]]+(?:\s*\[\])?\s+(?P<n>{_WORD})\s*(?:=[^;]*)?;"),
 )
-_KEYWORDS = frozenset(
-    "if for while switch return catch function new throw typeof else do try await yield super this fn let match loop go defer select case var const type func import package class interface enum struct impl trait mod use pub static public private protected final void assert synchronized in of delete instanceof export default".split()
-)
-#: Of these, words that are names like any other in TypeScript, JavaScript and Java.
-_NAMES_ELSEWHERE = frozenset("go func fn loop match select defer type use mod trait impl struct pub".split())
+#: Words before a parenthesis that call nothing, in every language and in each.
+_CONTROL = frozenset("if for while switch return else in case do".split())
+_RESERVED = {
+    "typescript": "function catch typeof await yield throw super new import with", "javascript": "function catch typeof await yield throw super new import with",
+    "rust": "fn match loop impl where as move", "go": "func go defer select range", "java": "catch try throw super this new synchronized assert",
+}
 
 
 def keywords(language: str) -> frozenset[str]:
-    return _KEYWORDS if language in ("rust", "go") else _KEYWORDS - _NAMES_ELSEWHERE
+    return _CONTROL | set(_RESERVED[language].split())
 
 
 def blank(content: str) -> str:
@@ -152,7 +153,7 @@ def extract(content: str, language: str) -> list[dict]:
     def add(kind: str, match: re.Match, parent: str | None, low: int = 0) -> None:
         at = low + match.start("n")
         name = " ".join(match["n"].split())
-        if at in taken or name in reserved:
+        if at in taken or (parent and name in reserved):
             return
         taken.add(at)
         lead = match[0][: len(match[0]) - len(match[0].lstrip())]
