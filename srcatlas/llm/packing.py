@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
+from .wordhash import Words, raw_words
 
 SIZE = 2048
 END = 0
 BUCKET_DOCS = 4096
-#: Words, and parts of words, whose ids a worker remembers in each of two generations.
-REMEMBERED = 500_000
+#: Slots of a worker's word table, the ids it points to, and parts of words remembered in each of two generations.
+SLOTS = 1 << 21
+POOL = 1 << 24
+PARTS = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -63,8 +66,9 @@ class WordTokenizer:
     The tokenizer never joins anything across ASCII white space, nor letters
     with the punctuation after them, and it lowers the case.  So a text's ids
     are those of its words in order, and a word's are those of its letters and
-    of its punctuation; the corpus repeats most of them, and bounded tables
-    remember them.
+    of its punctuation.  Words are looked up by 64-bit hashes in an array of
+    ``SLOTS`` (each has two places) that points into a pool of ids; when the
+    pool is full both start anew.
     """
 
     def __init__(self, path: str):
@@ -72,17 +76,59 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = Generations(REMEMBERED), Generations(REMEMBERED)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        new = self.words.missing(set().union(*split))
+        self.parts = Generations(PARTS)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.at = np.zeros(SLOTS, np.int32)
+        self.size = np.zeros(SLOTS, np.int32)
+        self.pool = np.zeros(POOL, np.uint32)
+        self.used = 0
+
+    def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a batch, and where each text's begin."""
+        hashes = np.maximum(words.hashes(), np.uint64(1))  # 0 marks a free slot
+        if self.used > POOL // 2:
+            self._clear()
+        places = [(hashes & np.uint64(SLOTS - 1)).astype(np.int32), ((hashes >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int32)]
+        place = np.where(self.keys[places[0]] == hashes, places[0], places[1])
+        at, size = self.at[place], self.size[place]
+        missed = np.flatnonzero(self.keys[place] != hashes)
+        if missed.size:
+            new, where, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            where = missed[where]
+            start, length = self._add([words.raw[b:e].tobytes() for b, e in zip(words.begin[where].tolist(), words.end[where].tolist(), strict=True)])
+            at[missed], size[missed] = start[back], length[back]
+            self._store(new, start, length, places[0][where], places[1][where])
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.pool[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if ends.size else 0)]
+        return ids, np.concatenate(([0], ends))[words.first]
+
+    def _store(self, new: np.ndarray, start: np.ndarray, length: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """Points a free first slot at each new word, else its second one, whatever that held."""
+        free = self.keys[one] == 0
+        self.keys[one[free]] = new[free]
+        won = self.keys[one] == new
+        self.at[one[won]], self.size[one[won]] = start[won], length[won]
+        self.keys[two[~won]] = new[~won]
+        won = ~won & (self.keys[two] == new)
+        self.at[two[won]], self.size[two[won]] = start[won], length[won]
+
+    def _add(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts words' ids into the pool."""
         halves = [halve(w.decode("utf-8")) for w in new]
         self._learn(self.parts.missing({p for h in halves for p in h}))
-        parts, words = self.parts.young, self.words.young
-        words.update((w, parts[a] + parts[b]) for w, (a, b) in zip(new, halves, strict=True))
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+        parts = self.parts.young
+        made = [parts[a] + parts[b] for a, b in halves]
+        length = np.array([len(m) // 4 for m in made], np.int32)
+        ids = np.frombuffer(b"".join(made), "<u4")
+        if self.used + ids.size > self.pool.size:
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(POOL, ids.size), np.uint32)))
+        self.pool[self.used : self.used + ids.size] = ids
+        start = (self.used + np.cumsum(length) - length).astype(np.int32)
+        self.used += ids.size
+        return start, length
 
     def _learn(self, unknown: list[str]) -> None:
         """Letters in lower case, and runs of punctuation, are single pieces for the BPE model itself."""
@@ -134,12 +180,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: boo
     def run(batches):
         tokenizer = shared_tokenizer(tokenizer_path)
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(1).cast(pa.large_binary())]
+            ids, first = tokenizer.encode(raw_words(batch.column(1)))
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(texts), strict=True):
-                ids += end
-                for at in range(0, len(ids), 4 * size):
-                    cut = ids[at : at + 4 * size]
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                text = ids[first[i] : first[i + 1]].astype("<u4").tobytes() + end
+                for at in range(0, len(text), 4 * size):
+                    cut = text[at : at + 4 * size]
                     out.append((doc, at // (4 * size), at // 4, len(cut) // 4, zlib.crc32(cut), cut if keep_ids else None))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

@@ -2,16 +2,23 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from srcatlas.llm import packing
+from srcatlas.llm.wordhash import raw_words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoded(tokenizer, texts):
+    ids, first = tokenizer.encode(raw_words(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
 @pytest.fixture(scope="module")
 def reference():
     return Tokenizer.from_file(PATH)
@@ -33,16 +40,24 @@ def test_two_pieces_replace_the_smallest():
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_ids_are_the_tokenizers(text):
-    ids = packing.shared_tokenizer(PATH).encode([text.encode("utf-8", "replace")])[0]
-    expected = packing.shared_tokenizer(PATH).tokenizer
     clean = text.encode("utf-8", "replace").decode()
-    assert np.frombuffer(ids, "<u4").tolist() == expected.encode(clean, add_special_tokens=False).ids
+    tokenizer = packing.shared_tokenizer(PATH)
+    assert encoded(tokenizer, [clean]) == [tokenizer.tokenizer.encode(clean, add_special_tokens=False).ids]
 
 
 def test_hard_words(reference):
     texts = ["it's <|endoftext|> THE'LL 'S", "ΑΣ. ΣΑΣ ς", "İstanbul ǅ á é", "a.b,c 123abc ££  x", "日本語 한국어", ""]
-    got = packing.WordTokenizer(PATH).encode([t.encode() for t in texts])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(packing.WordTokenizer(PATH), texts) == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_crowded_table_forgets_nothing_it_needs(reference, monkeypatch):
+    monkeypatch.setattr(packing, "SLOTS", 16)
+    monkeypatch.setattr(packing, "POOL", 64)
+    monkeypatch.setattr(packing, "PARTS", 20)
+    tokenizer = packing.WordTokenizer(PATH)
+    for turn in range(6):
+        texts = [" ".join(f"word{(i * 7 + turn * k) % 60}, x{i}" for i in range(40)) for k in range(5)]
+        assert encoded(tokenizer, texts) == [reference.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_pieces_and_places(docs, reference):
