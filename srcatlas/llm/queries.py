@@ -74,4 +74,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+#: Words between ASCII white space, windows of 50, and the smallest id that holds each.
+_REPEATS = r"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+p as (select doc_id, words, unnest(range(1, len(words) + 1)) as pos from w),
+s as (select doc_id, pos, words[pos] as word, case when pos + 49 <= len(words) then array_to_string(words[pos : pos + 49], ' ') end as win from p),
+o as (select win, min(doc_id) as owner from s where win is not null group by win),
+f as (select s.doc_id, s.pos, s.word, coalesce(o.owner < s.doc_id, false) as hit from s left join o on o.win = s.win),
+c as (select doc_id, pos, word, bool_or(hit) over (partition by doc_id order by pos rows between 49 preceding and current row) as gone from f),
+k as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by pos) filter (where not gone) as kept from c group by doc_id)
+select w.doc_id, coalesce(k.n_words, 0) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from w left join k using (doc_id)"""
+
+#: All pairs that share a shingle, their weighted Jaccard similarity, and the smallest id reachable by links.
+_CLASSES = r"""with recursive t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+g as (select doc_id, case when len(words) between 1 and 4 then [array_to_string(words, ' ')] when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i : array_to_string(words[i : i + 4], ' ')) else [] end as grams from t),
+s as (select doc_id, gram, 1 + ln(count(*)) as tf from (select doc_id, unnest(grams) as gram from g) group by doc_id, gram),
+n as (select count(*) as n from documents),
+d as (select gram, 1 + log10(1 + n.n / greatest(count(*), 0.1 * n.n)) as idf, count(*) as df from s, n group by gram, n.n),
+v as (select s.doc_id, s.gram, s.tf * d.idf as w, d.df from s join d using (gram)),
+total as (select doc_id, sum(w) as w from v group by doc_id),
+pairs as (select x.doc_id as a, y.doc_id as b, sum(least(x.w, y.w)) as shared from v x join v y on x.gram = y.gram and x.doc_id < y.doc_id where x.df > 1 group by x.doc_id, y.doc_id),
+links as (select a, b from pairs join total ta on ta.doc_id = a join total tb on tb.doc_id = b where shared / (ta.w + tb.w - shared) >= 0.8
+union select (select min(doc_id) from g where len(grams) = 0), doc_id from g where len(grams) = 0),
+edges as (select a, b from links union select b, a from links),
+reach as (select doc_id as node, doc_id as root from documents union select e.b, r.root from reach r join edges e on e.a = r.node where r.root < e.b),
+class as (select node, min(root) as class_id from reach group by node),
+reps as (select md5(coalesce(text, '')) as m, min(doc_id) as representative from documents group by all)
+select d.doc_id, c.class_id, r.representative, d.doc_id = c.class_id as kept from documents d join class c on c.node = d.doc_id join reps r on r.m = md5(coalesce(d.text, ''))"""
+
+ORACLE: dict[str, str] = {"op4_near_duplicates": _CLASSES, "op7_substring_dedup": _REPEATS}
