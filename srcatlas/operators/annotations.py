@@ -161,3 +161,34 @@ def existing(text_lines: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         "path", "line_no", F.regexp_extract("text", pattern, 1).alias("kind"), unquote(F.trim(F.regexp_extract("text", pattern, 2))).alias("value")
     )
     return found.where(F.col("kind").isin(*kinds))
+
+
+def doc_ranges(text_lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """Where the block comment right above a symbol begins and ends.
+
+    ``starts``: path, name, line_start.  Only blank lines, decorators and
+    comment lines may stand between the comment and the symbol.  Lines carry
+    their last comment opening, closing and code line, so one window by path
+    answers for all symbols.
+    """
+    text = F.trim("text")
+    plain = (text == "") | text.startswith("//") | text.startswith("@") | text.startswith("*") | text.startswith("/**")
+    closing = text.endswith("*/")
+    up_to = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda test: F.max(F.when(test, F.col("line_no"))).over(up_to)
+    marked = text_lines.select(
+        "path", "line_no", last(text.startswith("/**")).alias("doc_start"), last(closing).alias("doc_end"), last(~plain & ~closing).alias("code")
+    )
+    rows = starts.join(marked, (starts["path"] == marked["path"]) & (starts["line_start"] == marked["line_no"])).select(starts["path"], "name", "line_start", "doc_start", "doc_end", "code")
+    held = (F.col("doc_start") <= F.col("doc_end")) & (F.coalesce("code", F.lit(0)) < F.col("doc_end"))
+    return rows.where(held).select("path", "name", "line_start", "doc_start", "doc_end")
+
+
+def migrated(files: DataFrame) -> DataFrame:
+    """path, the text before and after legacy annotations got their directives, for changed files."""
+    numbered = lines(files)
+    changed = legacy(numbered).select("path", "line_no", "rewritten")
+    touched = numbered.join(changed.select("path").distinct(), "path", "left_semi").join(changed, ["path", "line_no"], "left")
+    whole = touched.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("rewritten", "text").alias("t")))).alias("l"))
+    after = whole.select("path", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("after"))
+    return files.join(after, "path").select("path", F.col("content").alias("before"), "after")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights of safety, efficiency, accuracy and base by preset.
@@ -162,3 +162,35 @@ def render_list(items: Column, header: str, footer: str, separator: str, empty:
     """A list section's text from its rendered items."""
     body = F.concat(F.lit(header), F.array_join(items, separator), F.lit(footer))
     return F.when(F.size(items) > 0, body).otherwise(F.lit(empty))
+
+
+def dynamic_rows(items: DataFrame, sections: DataFrame) -> DataFrame:
+    """The items that listing sections show.
+
+    ``items``: source, key, level, expired, fields (map); ``sections``: id,
+    source, levels, expired, max_items.  A null filter keeps all; the first
+    ``max_items`` by key stay.
+    """
+    joined = items.join(F.broadcast(sections), "source")
+    kept = joined.where(
+        (F.col("levels").isNull() | F.array_contains("levels", F.col("level"))) & (F.col("wanted_expired").isNull() | (F.col("expired") == F.col("wanted_expired")))
+    )
+    ranked = kept.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("key")))
+    return ranked.where(F.col("at") <= F.coalesce("max_items", F.lit(10))).select("id", F.col("at").cast("long").alias("at"), "key", "level", "fields")
+
+
+def filled(template: Column, values: Column) -> Column:
+    """A template with ``{{name}}`` replaced from a map; unknown names become nothing."""
+    done = F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("{{"), e["key"], F.lit("}}")), F.coalesce(e["value"], F.lit(""))))
+    return F.regexp_replace(done, r"\{\{[^}]*\}\}", "")
+
+
+def render_sections(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """Each section's text from its rows: header, items joined by the separator, footer, or the text for none.
+
+    ``sections``: id, header, item, separator, footer, empty.
+    """
+    listed = rows.join(F.broadcast(sections.select("id", "item")), "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", filled(F.col("item"), F.col("fields")).alias("t")))).alias("l"))
+    joined = sections.join(listed, "id", "left")
+    body = F.concat("header", F.expr("array_join(transform(l, x -> x.t), separator)"), "footer")
+    return joined.select("id", F.when(F.coalesce(F.size("l"), F.lit(0)) > 0, body).otherwise(F.col("empty")).alias("text"))

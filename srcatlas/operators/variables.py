@@ -183,3 +183,14 @@ def chain(table: dict[str, list[str]], root: str, by_path: bool = True) -> tuple
         return False
 
     return order, walk(root, (root,))
+
+
+def chains(variables: DataFrame, depth: int = 16) -> DataFrame:
+    """Every variable with the names it reaches, nearest first, their number and whether it is on a cycle."""
+    from .graph import reach
+
+    found = reach(edges(variables), depth)
+    held = found.groupBy(F.col("node").alias("name")).agg(
+        F.array_sort(F.collect_list(F.struct("depth", "reached"))).alias("r"), F.count("*").alias("reached"), F.max("depth").alias("depth"), F.bool_or(F.col("node") == F.col("reached")).alias("has_cycle")
+    )
+    return held.select("name", F.transform("r", lambda x: x["reached"]).alias("chain"), "reached", "depth", "has_cycle")

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its SQL."""
 
-from . import analysis, code, state, texts
+from . import analysis, answers, code, state, texts
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analysis", "code", "state", "texts"]
+__all__ = ["ORACLE", "QUERIES", "analysis", "answers", "code", "state", "texts"]
