@@ -86,7 +86,7 @@ _ITEMS = """select case p_partkey % 3 when 0 then 'files' when 1 then 'hacks' el
 @query("r07_r08_rendered_sections", f"""with i as ({_ITEMS}), f as (select 's1' as id, *, row_number() over (order by key) as r from i where source = 'files' and level in ('frozen', 'restricted')
 union all select 's2', *, row_number() over (order by key) from i where source = 'hacks' and not expired),
 k as (select * from f where r <= case id when 's1' then 4 else 10 end)
-select id, case id when 's1' then 'Protected:' || chr(10) else 'Hacks: ' end || array_to_string(list('- ' || key || ' ' || case id when 's1' then level else name end order by r), case id when 's1' then chr(10) else '; ' end) as text from k group by id
+select id, case id when 's1' then 'Protected:' || chr(10) else 'Hacks: ' end || case id when 's1' then string_agg('- ' || key || ' ' || level, chr(10) order by r) else string_agg('- ' || key || ' ' || name, '; ' order by r) end as text from k group by id
 union all select 's3', 'none'""")
 def r07(spark, sf_dir):
     items = derived(spark, sf_dir, _ITEMS).withColumn("fields", F.create_map(F.lit("key"), "key", F.lit("level"), "level", F.lit("name"), "name"))
