@@ -13,6 +13,8 @@ from ..storage import shared_dir
 #: Rows in one Arrow batch.  Documents average a few KB, so a batch stays at a
 #: few MB and a Python worker never holds more than one of them.
 ARROW_ROWS = 512
+#: Bytes after which a batch ends early, so that long texts come a few at a time.
+ARROW_BYTES = 8 << 20
 
 _written: list[str] = []
 
@@ -25,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows handed to Python at once; long texts make rows large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
