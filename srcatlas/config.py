@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import asdict, dataclass, field
 
-from .schema import COVERAGE_GATE, EXCLUDE, INCLUDE, LOW_CONFIDENCE, MAX_ANNOTATIONS, MAX_FILE_BYTES, MAX_FILES, REVIEW_BELOW
+from .schema import COVERAGE_GATE, EXCLUDE, INCLUDE, LOW_CONFIDENCE, MAX_ANNOTATIONS, MAX_FILE_BYTES, MAX_FILES, PRECEDENCES, REVIEW_BELOW
 
 
 @dataclass
@@ -16,7 +16,7 @@ class Config:
     include: list[str] = field(default_factory=lambda: list(INCLUDE))
     exclude: list[str] = field(default_factory=lambda: list(EXCLUDE))
     bridge: bool = True
-    precedence: str = "acp-first"
+    precedence: str = PRECEDENCES[0]
     docstring_style: str = "auto"
     review_below: float = REVIEW_BELOW
     low_confidence: float = LOW_CONFIDENCE

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import PRECEDENCES
+
 # What tells documentation formats apart.
 NUMPY = r"(?m)^\s*(Parameters|Returns|Raises|Yields|Examples?|Notes?|Attributes?)\s*\n\s*-{3,}"
 SPHINX = r":(param|returns?|raises?|type|rtype)\s+"
@@ -41,7 +43,7 @@ def documented(content: Column, language: Column) -> Column:
     )
 
 
-def merge_summaries(pairs: DataFrame, precedence: str = "acp-first") -> DataFrame:
+def merge_summaries(pairs: DataFrame, precedence: str = PRECEDENCES[0]) -> DataFrame:
     """key, summary, directive, source from (key, native, noted, directive).
 
     Only one side: converted or explicit.  Both: the native summary leads
@@ -50,9 +52,9 @@ def merge_summaries(pairs: DataFrame, precedence: str = "acp-first") -> DataFram
     native, noted = F.col("native"), F.col("noted")
     has_notes = noted.isNotNull() | F.col("directive").isNotNull()
     both = {
-        "acp-first": F.coalesce(native, noted),
-        "native-first": native,
-        "merge": F.when(native.isNotNull() & noted.isNotNull() & (native != noted), F.concat_ws(" ", native, noted)).otherwise(F.coalesce(native, noted)),
+        PRECEDENCES[0]: F.coalesce(native, noted),
+        PRECEDENCES[1]: native,
+        PRECEDENCES[2]: F.when(native.isNotNull() & noted.isNotNull() & (native != noted), F.concat_ws(" ", native, noted)).otherwise(F.coalesce(native, noted)),
     }[precedence]
     return pairs.select(
         "key",
@@ -62,7 +64,7 @@ def merge_summaries(pairs: DataFrame, precedence: str = "acp-first") -> DataFram
     )
 
 
-def merge_entries(native: DataFrame, noted: DataFrame, precedence: str = "acp-first") -> DataFrame:
+def merge_entries(native: DataFrame, noted: DataFrame, precedence: str = PRECEDENCES[0]) -> DataFrame:
     """Parameters (or exceptions) of both sides by (key, name): native order first, then the others.
 
     ``native``: key, ord, name, type, text; ``noted``: key, ord, name,
@@ -70,7 +72,7 @@ def merge_entries(native: DataFrame, noted: DataFrame, precedence: str = "acp-fi
     what only annotations name.
     """
     first = noted.groupBy("key", "name").agg(F.min_by(F.struct("ord", "directive"), "ord").alias("n"))
-    joined = native.withColumn("have", F.lit(True)).join(first, ["key", "name"], "left" if precedence == "native-first" else "full")
+    joined = native.withColumn("have", F.lit(True)).join(first, ["key", "name"], "left" if precedence == PRECEDENCES[1] else "full")
     made = joined.select(
         "key",
         "name",

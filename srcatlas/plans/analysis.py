@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.conditions import confidence
 from ..operators import constraints, conventions, history, lookups, suggestions
-from ..schema import LOCK_LEVELS
+from ..schema import LOCK_LEVELS, MARKER
 from .derived import BLAME, COMMITS, PROVENANCE, RANGES, derived
 from .registry import query
 
@@ -217,8 +217,8 @@ def a17(spark, sf_dir):
     return suggestions.total_coverage(derived(spark, sf_dir, _COUNTS)).withColumn("passed", F.col("coverage") >= 80.0)
 
 
-@query("a12_rendered", f"""with s as ({_SUGGESTED}) select target, ord, '@' || 'acp:' || kind || ' ' || case when kind = 'summary' then '"' || value || '"' else value end as text, array_to_string(list_filter([
-'@' || 'acp:source ' || source, case when confidence < 1 then '@' || 'acp:source-confidence ' || printf('%.2f', confidence) end, '@' || 'acp:source-reviewed false'], lambda x : x is not null), '|') as about from s""")
+@query("a12_rendered", f"""with s as ({_SUGGESTED}) select target, ord, '{MARKER}' || kind || ' ' || case when kind = 'summary' then '"' || value || '"' else value end as text, array_to_string(list_filter([
+'{MARKER}source ' || source, case when confidence < 1 then '{MARKER}source-confidence ' || printf('%.2f', confidence) end, '{MARKER}source-reviewed false'], lambda x : x is not null), '|') as about from s""")
 def a12(spark, sf_dir):
     rows = derived(spark, sf_dir, _SUGGESTED)
     lines = suggestions.with_source_lines(F.col("kind"), F.col("value"), F.col("source"), F.col("confidence"), F.lit(None).cast("string"))

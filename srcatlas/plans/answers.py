@@ -8,10 +8,9 @@ from ..operators import annotations as notes
 from ..operators import attempts, contexts, files, graph, primer, stats, validation, variables
 from ..schema import DIRECTIVES, LOCK_DIRECTIVES, MARKER
 from .code import _BASE, _LEVEL, _LOCKS, _RESOLVED, _T, _case, _files, _notes, _resolved
-from .derived import CALL_EDGES, derived
+from .derived import CALL_EDGES, VARIABLES, derived
 from .registry import query
 from .state import _REFS, _variables
-from .derived import VARIABLES
 
 
 @query("g16_modify_context", _RESOLVED + f""", {_LOCKS}, c as (select path, {_LEVEL} as level from locks where lock is not null or hinted), i as (select imported as path, list_sort(list(distinct importer)) as importers from resolved group by imported),

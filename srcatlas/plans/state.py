@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import docs
-from ..operators import attempts, bridge, graph, primer, validation, variables
+from ..operators import attempts, bridge, graph, primer, stats, validation, variables
+from ..operators import files as code_files
+from ..schema import PRECEDENCES
 from .code import _BASE, _T, _files, _notes
 from .derived import VARIABLES, derived
 from .registry import query
-from ..operators import files as code_files
 
 _REFS = """select id, name, type, value, description, list_filter([case when id < 60 then 'V' || (id * 2 + 1) end, case when id < 60 then 'V' || (id * 2 + 2) end, case when id = 100 then 'V0' end], lambda x : x is not null) as refs from v"""
 
@@ -145,12 +146,12 @@ _PAIRS = """select cast(o_orderkey as varchar(40)) as key, case when o_orderkey
 @query("b02_b05_merged_summaries", f"""with p as ({_PAIRS}) select key, case when native is null then noted when noted is null and directive is null then native when noted is not null and noted <> native then native || ' ' || noted else native end as summary,
 directive, case when native is null then 'explicit' when noted is null and directive is null then 'converted' else 'merged' end as source from p""")
 def b05(spark, sf_dir):
-    return bridge.merge_summaries(derived(spark, sf_dir, _PAIRS), "merge")
+    return bridge.merge_summaries(derived(spark, sf_dir, _PAIRS), PRECEDENCES[2])
 
 
-@query("b03_acp_first", f"""with p as ({_PAIRS}) select key, coalesce(native, noted) as summary, directive, case when native is null then 'explicit' when noted is null and directive is null then 'converted' else 'merged' end as source from p""")
+@query("b03_annotated_first", f"""with p as ({_PAIRS}) select key, coalesce(native, noted) as summary, directive, case when native is null then 'explicit' when noted is null and directive is null then 'converted' else 'merged' end as source from p""")
 def b03(spark, sf_dir):
-    return bridge.merge_summaries(derived(spark, sf_dir, _PAIRS), "acp-first")
+    return bridge.merge_summaries(derived(spark, sf_dir, _PAIRS), PRECEDENCES[0])
 
 
 _NATIVE = "select distinct concat('k', cast(l_orderkey % 900 as varchar(40))) as key, cast(l_linenumber as bigint) as ord, concat('p', cast(l_linenumber as varchar(40))) as name, 'string' as type, concat('t', cast(l_linenumber as varchar(40))) as text from lineitem where l_linenumber < 5"
@@ -167,7 +168,7 @@ def b06(spark, sf_dir):
 @query("b04_native_first_parameters", f"""with n as ({_NATIVE}), a as ({_NOTED}) select n.key, n.name, n.type, n.text, a.directive, case when a.key is null then 'converted' else 'merged' end as source from n left join a on n.key = a.key and n.name = a.name""")
 def b04(spark, sf_dir):
     native = derived(spark, sf_dir, _NATIVE)
-    return bridge.merge_entries(native, spark.sql(_NOTED), "native-first").drop("place")
+    return bridge.merge_entries(native, spark.sql(_NOTED), PRECEDENCES[1]).drop("place")
 
 
 _BRIDGED = f"""select {_LANGUAGE} as detected_format, cast(o_orderkey % 3 as bigint) as explicit_count, cast(o_orderkey % 5 as bigint) as converted_count, cast(o_orderkey % 2 as bigint) as merged_count from orders"""
@@ -176,8 +177,6 @@ _BRIDGED = f"""select {_LANGUAGE} as detected_format, cast(o_orderkey % 3 as big
 @query("b11_bridge_stats", f"""with b as ({_BRIDGED}) select coalesce(detected_format, 'all') as format, cast(sum(explicit_count) as bigint) as explicit, cast(sum(converted_count) as bigint) as converted, cast(sum(merged_count) as bigint) as merged,
 cast(sum(converted_count + merged_count) as bigint) as documented from b group by grouping sets ((detected_format), ())""")
 def b11(spark, sf_dir):
-    from ..operators import stats
-
     return stats.bridge_stats(derived(spark, sf_dir, _BRIDGED))
 
 

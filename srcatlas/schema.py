@@ -6,6 +6,9 @@ from __future__ import annotations
 MARKER = "@acp:"
 CACHE_NAMES = ("acp.cache.json", "acp.vars.json")
 
+# Whose word counts when documentation and annotations differ; the first is the default.
+PRECEDENCES = ("acp-first", "native-first", "merge")
+
 # Enumerations, spelled as they are stored.
 LANGUAGES = (
     "typescript", "javascript", "python", "rust", "go", "java", "c-sharp", "cpp", "c", "ruby", "php", "swift", "kotlin",
