@@ -178,7 +178,7 @@ def split_owners(strings: DataFrame, window: int) -> DataFrame:
     return placed.select("p1", "p2", F.col("o.owner").alias("owners"))
 
 
-def packed_strings(docs: DataFrame, surviving: DataFrame, window: int) -> DataFrame:
+def packed_strings(held: DataFrame, window: int) -> DataFrame:
     """The surviving super-k-mers of each text, as packed strings with a 128-bit key."""
 
     def go(batches):
@@ -197,8 +197,7 @@ def packed_strings(docs: DataFrame, surviving: DataFrame, window: int) -> DataFr
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "k1", "k2", "start", "low", "p1", "p2", "packed"]
             )
 
-    joined = docs.join(surviving, same(docs, surviving)).select(docs["doc_id"], docs["k1"], docs["k2"], docs["text"], surviving["found"])
-    return joined.mapInArrow(go, f"{_KEYS}, start int, low long, p1 long, p2 long, packed binary")
+    return held.mapInArrow(go, f"{_KEYS}, start int, low long, p1 long, p2 long, packed binary")
 
 
 def same(left: DataFrame, right: DataFrame) -> Column:
@@ -219,7 +218,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: i
     )
     shared = kmers.groupBy("low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("low")
     surviving = kmers.join(shared, "low").groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("start", "n", "low")).alias("found"))
-    occurrences = materialise(packed_strings(texts, surviving, window), "packed")
+    # texts travel once; those with surviving super-k-mers are kept for the cut
+    joined = texts.join(surviving, same(texts, surviving)).select(texts["doc_id"], texts["k1"], texts["k2"], texts["text"], surviving["found"])
+    held = materialise(joined, "held")
+    occurrences = materialise(packed_strings(held, window), "packed")
 
     # equal strings are combined in every task before they travel
     strings = occurrences.groupBy("low", "p1", "p2", "packed").agg(F.min("doc_id").alias("doc_id"))
@@ -234,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: i
         F.expr("filter(transform(owners, (o, i) -> if(o < doc_id, start + i, -1)), x -> x >= 0)").alias("at"),
     ).where(F.size("at") > 0)
     marks = lost.groupBy("doc_id", "k1", "k2").agg(F.flatten(F.collect_list("at")).alias("at"))
-    marked = _cut(texts, marks, window)
+    marked = _cut(held.drop("found"), marks, window)
 
     first = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"))
     base = seen.select("doc_id", "k1", "k2", "n_words", "sha").join(first, ["k1", "k2"])
