@@ -8,7 +8,7 @@ from ..functions import docs
 from ..operators import attempts, bridge, graph, primer, stats, validation, variables
 from ..operators import files as code_files
 from ..schema import PRECEDENCES
-from .code import _BASE, _T, _files, _notes
+from .code import _BASE, _T, _notes
 from .derived import VARIABLES, derived
 from .registry import query
 

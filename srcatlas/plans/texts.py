@@ -9,7 +9,7 @@ from ..operators import annotations as notes
 from ..operators import constraints, files, rewrite
 from ..schema import MARKER
 from ..sources import documents
-from .code import _BASE, _files, _notes
+from .code import _BASE, _notes
 from .derived import derived
 from .registry import query
 
