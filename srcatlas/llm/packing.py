@@ -36,9 +36,9 @@ SIZE = 2048
 END = 0
 BUCKET_DOCS = 4096
 #: Slots of a worker's word table, the ids it points to, and parts of words remembered in each of two generations.
-SLOTS = 1 << 21
-POOL = 1 << 23
-PARTS = 150_000
+SLOTS = 1 << 20
+POOL = 3 << 21
+PARTS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
