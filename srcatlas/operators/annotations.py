@@ -47,11 +47,15 @@ def default_directive(name: Column, value: Column) -> Column:
     )
 
 
+def _opened(strict: bool) -> Column:
+    """A line without the closing of a block comment, which strict reading leaves in place."""
+    return F.col("text") if strict else F.when(F.col("text").contains("*/"), F.regexp_replace("text", r"\s*\*/\s*$", "")).otherwise(F.col("text"))
+
+
 def raw_annotations(text_lines: DataFrame, strict: bool = False) -> DataFrame:
     """path, line_no, name, value, directive as written on the line itself."""
     pattern = STRICT_PATTERN if strict else PATTERN
-    text = F.col("text") if strict else F.regexp_replace("text", r"\s*\*/\s*$", "")
-    hits = text_lines.withColumn("text", text).where(F.col("text").contains(MARKER))
+    hits = text_lines.where(F.col("text").contains(MARKER)).withColumn("text", _opened(strict))
     part = lambda i: blank_to_null(F.regexp_extract("text", pattern, i))
     return hits.select("path", "line_no", part(1).alias("name"), part(2).alias("value"), part(3).alias("directive")).where(F.col("name").isNotNull())
 
@@ -64,8 +68,9 @@ def annotations(text_lines: DataFrame, strict: bool = False) -> DataFrame:
     of continuations after it one partition.
     """
     pattern = STRICT_PATTERN if strict else PATTERN
-    text = F.col("text") if strict else F.regexp_replace("text", r"\s*\*/\s*$", "")
-    marked = text_lines.withColumn("text", text).select(
+    # most lines are neither and go before any other pattern is tried
+    wanted = text_lines.where(F.col("text").contains(MARKER) | (F.col("text").rlike("^[/#*]") & F.col("text").rlike(CONTINUATION)))
+    marked = wanted.withColumn("text", _opened(strict)).select(
         "path", "line_no", "text", (F.col("text").contains(MARKER) & F.col("text").rlike(pattern)).alias("is_note"), F.col("text").rlike(CONTINUATION).alias("is_more")
     )
     marked = marked.where("is_note or is_more")

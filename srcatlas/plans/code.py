@@ -9,12 +9,12 @@ from ..functions import paths
 from ..operators import annotations as notes
 from ..operators import files, graph, stats
 from ..schema import DIRECTIVES, EXTENSIONS, IMPORT_EXTENSIONS, LOCK_DIRECTIVES, LOCK_LEVELS, MARKER, ORIGINS
-from .derived import CALL_EDGES, CODE_FILES, PROVENANCE, derived
+from .derived import CALL_EDGES, CODE_FILES, PROVENANCE, derived, sources
 from .registry import query
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, CODE_FILES)
+    return sources(spark, sf_dir, CODE_FILES)
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:

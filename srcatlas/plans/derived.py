@@ -89,6 +89,19 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Small rows over all cores, where a table has fewer splits than those; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     register(spark, sf_dir)
     return spark.sql(sql)
+
+
+def sources(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Source texts made of orders, which are spread before the texts are made and parsed."""
+    register(spark, sf_dir)
+    spread(spark.table("orders")).createOrReplaceTempView("orders")
+    return spark.sql(sql)

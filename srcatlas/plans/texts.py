@@ -10,7 +10,7 @@ from ..operators import constraints, files, rewrite
 from ..schema import MARKER
 from ..sources import documents
 from .code import _BASE, _notes
-from .derived import derived
+from .derived import derived, sources
 from .registry import query
 
 _S = "cast(o_orderkey as varchar(40))"
@@ -27,30 +27,30 @@ _TS = f"""select concat('m', {_S}, '.ts') as path, 'typescript' as language, con
 @query("x04_python_symbols", f"""with s as ({_PY}) select path, 'C' || o_orderkey as qualified_name, 'class' as kind, 2::bigint as line_start, 4::bigint as line_end, 'public' as visibility, null as doc from s
 union all select path, 'C' || o_orderkey || '.run', 'method', 3, 4, 'public', null from s union all select path, '_f' || o_orderkey, 'function', 5, 7, 'protected', 'Adds ' || o_orderstatus || '.' from s""")
 def x04(spark, sf_dir):
-    return parsers.symbols(parsers.parse(derived(spark, sf_dir, _PY))).select("path", "qualified_name", "kind", "line_start", "line_end", "visibility", "doc")
+    return parsers.symbols(parsers.parse(sources(spark, sf_dir, _PY))).select("path", "qualified_name", "kind", "line_start", "line_end", "visibility", "doc")
 
 
 @query("x04_python_calls", f"""with s as ({_PY}) select path, 'run' as caller, 'helper' || (o_orderkey % 7) as callee, null as receiver, 4::bigint as line_no from s union all select path, '_f' || o_orderkey, 'join', 'os.path', 7 from s""")
 def x04_calls(spark, sf_dir):
-    return parsers.calls(parsers.parse(derived(spark, sf_dir, _PY)))
+    return parsers.calls(parsers.parse(sources(spark, sf_dir, _PY)))
 
 
 @query("x01_typescript_symbols", f"""with s as ({_TS}) select path, 'K' || o_orderkey as qualified_name, 'class' as kind, 2::bigint as line_start, 6::bigint as line_end, 'public' as visibility from s
 union all select path, 'K' || o_orderkey || '.go', 'method', 3, 5, 'private' from s union all select path, 'top' || o_orderkey, 'function', 7, 9, 'public' from s""")
 def x01(spark, sf_dir):
-    return parsers.symbols(parsers.parse(derived(spark, sf_dir, _TS))).select("path", "qualified_name", "kind", "line_start", "line_end", "visibility")
+    return parsers.symbols(parsers.parse(sources(spark, sf_dir, _TS))).select("path", "qualified_name", "kind", "line_start", "line_end", "visibility")
 
 
 @query("x01_typescript_imports", f"with s as ({_TS}) select path, './m' || (o_orderkey % 9) as source, 'a,c' as names, 1::bigint as line_no from s")
 def x01_imports(spark, sf_dir):
-    return parsers.imports(parsers.parse(derived(spark, sf_dir, _TS))).withColumn("names", F.array_join("names", ","))
+    return parsers.imports(parsers.parse(sources(spark, sf_dir, _TS))).withColumn("names", F.array_join("names", ","))
 
 
 @query("x07_x08_applied_symbols", _BASE + f""", py as ({_PY}) select 'src/x/' || path as path, '_f' || o_orderkey as name, 'function' as type, coalesce('Adds ' || o_orderstatus || '.', '') as summary from py
 union all select 'src/x/' || path, 'C' || o_orderkey, 'class', null from py union all select 'src/x/' || path, 'run', 'method', null from py
 union all select path, symbol, case opener when 'class' then 'class' else 'function' end, max_by(trim(value, '"'), line_no) filter (where name = 'summary' and line_no > opener_line) from scoped where symbol is not null group by path, symbol, opener, opener_line""")
 def x08(spark, sf_dir):
-    parsed = files.ast_symbols(parsers.symbols(parsers.parse(derived(spark, sf_dir, _PY))).withColumn("path", F.concat(F.lit("src/x/"), "path")))
+    parsed = files.ast_symbols(parsers.symbols(parsers.parse(sources(spark, sf_dir, _PY))).withColumn("path", F.concat(F.lit("src/x/"), "path")))
     noted = files.fold_symbols(_notes(spark, sf_dir))
     return files.apply_ast(noted, parsed).select("path", "name", "type", "summary")
 
@@ -62,12 +62,12 @@ case when o_orderkey % 2 = 0 then '// {MARKER}ai-readonly reason:core' else 'x =
 @query("p14_guardrails", f"""with g as ({_GUARDED}) select path, 1::bigint as line_no, 'requires' as kind, 'a' || o_orderkey as one, null as two from g union all select path, 1, 'requires', 'b', null from g
 union all select path, 2, 'forbids', 'eval', null from g union all select path, 3, 'style', 's' || (o_orderkey % 3), 'http://u' from g union all select path, 4, 'ai-readonly', 'core', null from g where o_orderkey % 2 = 0""")
 def p14(spark, sf_dir):
-    return constraints.guardrails(notes.lines(derived(spark, sf_dir, _GUARDED))).drop("three")
+    return constraints.guardrails(notes.lines(sources(spark, sf_dir, _GUARDED))).drop("three")
 
 
 @query("f19_enforcement", f"""with g as ({_GUARDED}) select path, 'forbids' as kind, 'eval' as rule, 'violation' as what, 'error' as severity from g where o_orderkey % 5 = 0 union all select path, 'ai-readonly', 'core', 'violation', 'error' from g where o_orderkey % 2 = 0""")
 def f19(spark, sf_dir):
-    guarded = derived(spark, sf_dir, _GUARDED)
+    guarded = sources(spark, sf_dir, _GUARDED)
     rules = constraints.guardrails(notes.lines(guarded))
     changes = guarded.select("path", F.when(F.col("o_orderkey") % 5 == 0, "y = eval(x)").otherwise("y = x").alias("content"))
     return constraints.enforce(changes, rules.select("path", "kind", "one"))
@@ -75,7 +75,7 @@ def f19(spark, sf_dir):
 
 @query("a16_rewritten_files", f"""with s as ({_PY}) select path, replace(replace(content, 'class C', '# {MARKER}lock normal' || chr(10) || 'class C'), 'def _f', '# {MARKER}summary "s"' || chr(10) || 'def _f') as content from s""")
 def a16(spark, sf_dir):
-    sources = derived(spark, sf_dir, _PY)
+    sources = sources(spark, sf_dir, _PY)
     none = F.lit(None).cast("long")
     one = sources.select("path", F.lit("C").alias("target"), F.lit(2).cast("long").alias("line"), F.lit(f"{MARKER}lock normal").alias("text"))
     two = sources.select("path", F.lit("f").alias("target"), F.lit(5).cast("long").alias("line"), F.lit(f'{MARKER}summary "s"').alias("text"))
