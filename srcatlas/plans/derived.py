@@ -83,10 +83,16 @@ VARIABLES = """select concat('V', cast(p_partkey as varchar(40))) as name, p_nam
 p_type as description, p_partkey as id from part"""
 
 
+_read: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views for the driver's tables."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    """Temporary views for the driver's tables, whose schemas are read once for each session and folder."""
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), sf_dir)
+    if key not in _read:
+        _read[key] = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
+    for name, rows in _read[key].items():
+        rows.createOrReplaceTempView(name)
 
 
 def spread(rows: DataFrame) -> DataFrame:
