@@ -30,25 +30,29 @@ def last_callee(edges: DataFrame) -> DataFrame:
     return edges.groupBy("caller").agg(F.max_by("callee", F.struct("path", "line_no", "callee")).alias("callee"))
 
 
-def candidates(importer: Column, spec: Column) -> Column:
-    """What an import may mean, first meaning first; empty for packages."""
+def target(importer: Column, spec: Column) -> Column:
+    """The normal path that an import names, or null for packages."""
     folder = parent(importer)
     joined = F.when(spec.startswith(".") & (folder != ""), F.concat_ws("/", folder, spec)).otherwise(spec)
-    path = normalize(joined)
+    return F.when(spec.startswith(".") | spec.startswith("/"), normalize(joined))
+
+
+def meanings(path: Column) -> Column:
+    """What a file may be imported as, with the rank of that meaning: itself, without its extension, as a folder's index."""
     ends = ["", *IMPORT_EXTENSIONS, *[f"/index{e}" for e in IMPORT_EXTENSIONS]]
-    return F.when(spec.startswith(".") | spec.startswith("/"), F.array(*[F.concat(path, F.lit(e)) for e in ends])).otherwise(F.array().cast("array<string>"))
+    made = [F.when(path.endswith(e), F.struct(F.expr("left(k, length(k) - {})".format(len(e))).alias("key"), F.lit(rank).alias("rank"))) for rank, e in enumerate(ends)]
+    return F.array_compact(F.array(*made))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """importer, spec, imported: the first candidate that is a file.
+    """importer, spec, imported: the first file that an import may mean.
 
-    ``imports``: importer, spec; ``files``: path.  Every candidate is an equi
-    join key; Spark broadcasts the file list only while it is small.
+    ``imports``: importer, spec; ``files``: path.  A file has at most three
+    meanings and an import one target, so one equi join finds them all.
     """
-    distinct = imports.select("importer", "spec").distinct()
-    spread = distinct.select("importer", "spec", F.posexplode(candidates(F.col("importer"), F.col("spec"))).alias("rank", "key"))
-    known = files.select("path", normalize(F.col("path")).alias("key")).distinct()
-    return spread.join(known, "key").groupBy("importer", "spec").agg(F.min_by("path", F.struct("rank", "path")).alias("imported"))
+    wanted = imports.select("importer", "spec").distinct().withColumn("key", target(F.col("importer"), F.col("spec"))).where(F.col("key").isNotNull())
+    known = files.select("path", normalize(F.col("path")).alias("k")).distinct().select("path", F.explode(meanings(F.col("k"))).alias("m")).select("path", "m.key", "m.rank")
+    return wanted.join(known, "key").groupBy("importer", "spec").agg(F.min_by("path", F.struct("rank", "path")).alias("imported"))
 
 
 def imported_by(resolved: DataFrame) -> DataFrame:
