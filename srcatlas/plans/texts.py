@@ -75,12 +75,12 @@ def f19(spark, sf_dir):
 
 @query("a16_rewritten_files", f"""with s as ({_PY}) select path, replace(replace(content, 'class C', '# {MARKER}lock normal' || chr(10) || 'class C'), 'def _f', '# {MARKER}summary "s"' || chr(10) || 'def _f') as content from s""")
 def a16(spark, sf_dir):
-    sources = sources(spark, sf_dir, _PY)
+    code = sources(spark, sf_dir, _PY)
     none = F.lit(None).cast("long")
-    one = sources.select("path", F.lit("C").alias("target"), F.lit(2).cast("long").alias("line"), F.lit(f"{MARKER}lock normal").alias("text"))
-    two = sources.select("path", F.lit("f").alias("target"), F.lit(5).cast("long").alias("line"), F.lit(f'{MARKER}summary "s"').alias("text"))
+    one = code.select("path", F.lit("C").alias("target"), F.lit(2).cast("long").alias("line"), F.lit(f"{MARKER}lock normal").alias("text"))
+    two = code.select("path", F.lit("f").alias("target"), F.lit(5).cast("long").alias("line"), F.lit(f'{MARKER}summary "s"').alias("text"))
     wanted = one.unionByName(two).select("*", F.lit(False).alias("is_file"), none.alias("doc_start"), none.alias("doc_end"), F.lit(0).alias("ord"))
-    made = rewrite.preview(sources.select("path", "language", "content"), rewrite.plan(wanted))
+    made = rewrite.preview(code.select("path", "language", "content"), rewrite.plan(wanted))
     return made.select("path", F.concat("content", F.lit("\n")).alias("content"))
 
 
