@@ -16,10 +16,14 @@ blocks name candidates and a second pass counts them over all documents.
 2010) make the bands.  Exact copies are one representative.  Texts that share
 a band are linked when their weighted Jaccard similarity, computed exactly
 from the texts, is at least ``SIMILARITY``; classes are the components of the
-links.  Instead of all pairs of a band's bucket, a first round pairs the
-members with the one of most company (the text others were copied from shares
-most bands); then members outside a bucket's largest component meet pivots of
-the other components, drawn anew every round.
+links.  A first round pairs the members of a band's bucket with the one of most
+company (the text others were copied from shares most bands); then members
+outside a bucket's largest component meet pivots of the other components, drawn
+anew every round.  That joins most of a large group at the cost of a few pairs
+for each member.  A last step then verifies every pair of different components
+that shares a band, so no pair of a bucket goes untested but those whose class
+is already one: small buckets pair by pair, larger ones in blocks of at most
+about ``CHUNK`` by ``CHUNK`` members, each pair in the first band it shares.
 
 Cases: null and empty texts are equal to each other and form one class; texts
 of fewer words than a shingle are one shingle; a null id forms its own class
@@ -46,8 +50,10 @@ FLOOR = 0.1
 BANDS = 16
 ROWS = 3
 ROUNDS = 3
-#: Members of a bucket that compare all pairs across components.
+#: Members of a bucket that go to the last step pair by pair, not in blocks.
 FEW = 8
+#: Members on each side of a block of the last step.
+CHUNK = 512
 #: Documents of a block that names frequent shingles.
 BLOCK = 2000
 #: Frequent shingles counted in one pass.
@@ -229,7 +235,7 @@ def similarity(left, right, weights: Weights) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough, and their similarity."""
+    """The pairs (a, b) with their similarity, null where it is below the threshold."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
 
     def go(batches):
@@ -244,14 +250,14 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
                 if i in pivots:
                     last = (a, pivots[i])
                 s = similarity(last[1], ones[i], shared.value)
-                out.append((a, b, s))
+                out.append((a, b, s if s >= threshold else None))
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["a", "b", "s"])
 
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(go, "a long, b long, s double").where(F.col("s") >= threshold)
+    return both.mapInArrow(go, "a long, b long, s double")
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
@@ -266,9 +272,7 @@ def stray_pairs(members: DataFrame, turn: int) -> DataFrame:
 
     ``members``: band, node, part.  The pivots are three members of the
     largest component and one of the others, drawn anew each turn, so a bucket
-    gives at most four pairs for each stray, however many it holds.  In the
-    first turn buckets of at most ``FEW`` members compare all pairs across
-    components, which is as bounded.
+    gives at most four pairs for each stray, however many it holds.
     """
     sizes = members.groupBy("band", "part").agg(
         F.count("*").alias("n"), *[F.max(F.struct(F.xxhash64("node", F.lit(7 * turn + k)).alias("h"), "node"))["node"].alias(f"p{k}") for k in range(3)]
@@ -280,14 +284,81 @@ def stray_pairs(members: DataFrame, turn: int) -> DataFrame:
     drawn = strays.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "part")).alias("d"))
     among = strays.join(drawn, "band").where("part != d.part").select("node", F.col("d.node").alias("p"))
     pairs = with_main.unionByName(among)
-    if turn == 1:
-        small = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).where((F.col("n") <= FEW) & (F.col("parts") > 2))
-        few = members.join(small.select("band"), "band").select("band", "node", "part")
-        others = few.select("band", F.col("node").alias("p"), F.col("part").alias("p_part"))
-        pairs = pairs.unionByName(few.join(others, "band").where("p < node and p_part != part").select("node", "p"))
     return _ordered(pairs)
 
 
+def few_pairs(members: DataFrame, few: int = FEW) -> DataFrame:
+    """All pairs of different components in buckets of at most ``few`` members."""
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    held = members.join(sizes.where((F.col("n") <= few) & (F.col("low") < F.col("high"))).select("band"), "band").select("band", "node", "part")
+    others = held.select("band", F.col("node").alias("p"), F.col("part").alias("p_part"))
+    return _ordered(held.join(others, "band").where("p < node and p_part != part").select("node", "p"))
+
+
+def block_links(members: DataFrame, banded: DataFrame, texts: DataFrame, weights: Weights, threshold: float, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
+    """The links among all pairs of different components in buckets of more than ``few`` members.
+
+    ``members``: band, node, part; ``banded``: node, bands.  A bucket's members
+    outside its largest component (strays) meet all its members.  Both are
+    dealt into chunks, and each block of a chunk of strays and a chunk of
+    members is one group of bounded size.  A pair that shares several bands is
+    verified in the first.
+    """
+    sizes = members.groupBy("band", "part").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    buckets = buckets.where((F.col("parts") > 1) & (F.col("n") > few))
+    count = lambda n: F.ceil(n / chunk).cast("int")
+    buckets = buckets.select("band", F.col("main.part").alias("main"), count(F.col("n") - F.col("main.n")).alias("us"), count(F.col("n")).alias("vs"))
+    held = members.join(buckets, "band").withColumn("stray", F.col("part") != F.col("main"))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = held.select("band", "node", "part", "stray", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("u"), dealt("vs", 3).alias("v"))
+    strays = held.where("stray").select("band", "node", "part", "stray", F.lit(True).alias("left"), dealt("us", 5).alias("u"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("v"))
+    rows = every.unionByName(strays).join(banded, "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def go(block: pa.Table) -> pa.Table:
+        left = block.column("left").to_numpy()
+        found = _block(block.filter(pa.array(left)), block.filter(pa.array(~left)), shared.value, threshold) if left.any() and not left.all() else []
+        columns = list(zip(*found, strict=True)) or [()] * 2
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], ["a", "b"])
+
+    rows = rows.select("band", "u", "v", "left", "stray", "node", "part", "bands", "text")
+    return rows.groupBy("band", "u", "v").applyInArrow(go, "a long, b long")
+
+
+def _block(one: pa.Table, two: pa.Table, weights: Weights, threshold: float) -> list[tuple[int, int]]:
+    """The linked pairs of a stray of ``one`` and a member of ``two`` whose first shared band is the block's."""
+    sets = [Shingles(t.column("text").combine_chunks()).sets for t in (one, two)]
+    bands = [np.array(t.column("bands").to_pylist(), np.int64) for t in (one, two)]
+    node, part = ([t.column(c).to_numpy() for t in (one, two)] for c in ("node", "part"))
+    stray = two.column("stray").to_numpy()
+    band = one.column("band")[0].as_py()
+    place = int(np.flatnonzero(bands[0][0] == band)[0])
+    sizes = np.array([s.size for s, _ in sets[1]])
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    # the members' shingles as numbers; a stray's weights are spread over them
+    known, at = np.unique(np.concatenate([s for s, _ in sets[1]]), return_inverse=True)
+    weight = np.concatenate([weights.of(s, n) for s, n in sets[1]])
+    total = np.add.reduceat(weight, begin)
+    spread = np.zeros(known.size)
+    links = []
+    for i, (shingles, counts) in enumerate(sets[0]):
+        wanted = (part[1] != part[0][i]) & (~stray | (node[0][i] < node[1]))
+        wanted &= (bands[1] == bands[0][i]).argmax(axis=1) == place
+        if not wanted.any():
+            continue
+        own = weights.of(shingles, counts)
+        where = np.minimum(np.searchsorted(known, shingles), known.size - 1)
+        hit = known[where] == shingles
+        spread[where[hit]] = own[hit]
+        common = np.add.reduceat(np.minimum(spread[at], weight), begin)
+        spread[where[hit]] = 0
+        near = common / (own.sum() + total - common) >= threshold - 1e-9
+        # the last digits as in all other rounds
+        links += [(int(node[0][i]), int(node[1][j])) for j in np.flatnonzero(wanted & near) if similarity((shingles, counts), sets[1][j], weights) >= threshold]
+    return links
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
 
@@ -316,18 +387,30 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     wanted = texts.join(named, (texts["k1"] == named["k1"]) & (texts["k2"] == named["k2"]) & (texts["doc_id"] == named["node"]))
     wanted = materialise(wanted.select(texts["doc_id"], texts["text"]).dropDuplicates(["doc_id"]), "candidates")
 
-    parts = None  # (node, component) of linked nodes
-    for turn in range(rounds):
+    def placed():
         if parts is None:
-            pairs = first_pairs(members)
-        else:
-            placed = members.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
-            pairs = stray_pairs(placed, turn)
-        links = materialise(verified(pairs, wanted, weights, threshold), "links").select("a", "b")
+            return members.select("band", "node", F.col("node").alias("part"))
+        return members.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
+
+    parts = tried = None  # (node, component) of linked nodes; all pairs verified so far
+    for turn in range(rounds):
+        pairs = first_pairs(members) if turn == 0 else stray_pairs(placed(), turn)
+        tests = materialise(verified(pairs, wanted, weights, threshold), "links")
+        tried = tests if tried is None else tried.unionByName(tests)
+        links = tests.where("s is not null").select("a", "b")
         if links.isEmpty():
             break
         parts = materialise(_joined(parts, links), "parts")
 
+    # whatever the rounds left: all pairs of a bucket that are not in one component
+    rest = materialise(placed(), "placed")
+    few = few_pairs(rest)
+    few = few if tried is None else few.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    links = verified(few, wanted, weights, threshold).where("s is not null").select("a", "b")
+    links = materialise(links.unionByName(block_links(rest, nodes.select("node", "bands"), wanted, weights, threshold)), "links")
+    if not links.isEmpty():
+        parts = materialise(_joined(parts, links), "parts")
+
     joined = signed.select("doc_id", "k1", "k2").join(groups.select("k1", "k2", "node"), ["k1", "k2"])
     if parts is not None:
         joined = joined.join(parts, "node", "left")

@@ -65,6 +65,21 @@ def test_against_all_pairs(docs):
     assert sorted(i for i, r in out.items() if r["kept"]) == sorted({r["class_id"] for r in out.values()})
 
 
+def test_pairs_among_pages_of_one_template(docs):
+    """Buckets of many components: every pair must meet, not only those with a pivot."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template = fresh(200)
+    rows = []
+    for _ in range(150):
+        own = fresh(15)
+        rows += [(len(rows) + k, " ".join([*template, *own, *fresh(10)])) for k in (1, 2)]
+    expected = brute(rows)
+    assert len(set(expected.values())) == 150
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(rows)).collect()}
+    assert found == expected
+
+
 def test_deduplicate_keeps_columns_and_one_row_a_class(docs):
     rows = corpus()
     frame = docs([*rows, rows[0], (None, None), (None, "alone here are words")])
