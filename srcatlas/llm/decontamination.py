@@ -7,7 +7,10 @@ random function of (step, word) says so.  Windows within a small edit distance
 then differ in few places, so sampling the embedding's places is a
 locality-sensitive hash for edit distance.  Several walks with several samples
 each are repeated until edited copies of the items, drawn at the threshold on
-the driver, are found at ``RECALL``.
+the driver, are found at ``RECALL``.  Groups that ``MOST_WALKS`` walks leave
+below it (long items, mostly) use an exact filter instead: cut into one piece
+more than the edits allowed, an item has a piece that no edit touched, so every
+match holds a piece unchanged.
 
 Windows start at every word.  Items of similar length (``GROUP``) share
 windows as long as the shortest of them.  Words in no item share one symbol;
@@ -127,6 +130,46 @@ class Walk:
                 yield from zip(maybe[hit].tolist(), [items[j] for j in k[hit].tolist()], strict=True)
 
 
+class Pieces:
+    """The exact filter: a match within k edits holds one of its item's k + 1 pieces unchanged."""
+
+    def __init__(self, items: dict[int, np.ndarray], similarity: float):
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for item, words in items.items():
+            cuts = np.linspace(0, words.size, allowed(words.size, similarity) + 2).astype(int)
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                key = int(self.keys(words[low:high], high - low)[0])
+                found.setdefault(high - low, {}).setdefault(key, []).append((item, low))
+        self.tables = []
+        for length, table in sorted(found.items()):
+            keys = np.array(sorted(table), np.uint64)
+            bits = np.zeros(1 << 20, bool)
+            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
+            self.tables.append((length, keys, bits, [table[k] for k in sorted(table)]))
+
+    @staticmethod
+    def keys(symbols: np.ndarray, length: int) -> np.ndarray:
+        """One key for every run of ``length`` symbols."""
+        n = symbols.size - length + 1
+        h = np.zeros(n, np.uint64)
+        for j in range(length):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + symbols[j : j + n].astype(np.uint64)
+        return mix(h)
+
+    def lookup(self, symbols: np.ndarray, unknown: np.ndarray, ends: np.ndarray):
+        """(position, [(item, the piece's place in it)]) of every piece."""
+        for length, keys, bits, items in self.tables:
+            n = symbols.size - length + 1
+            if n < 1:
+                continue
+            key = self.keys(symbols, length)
+            maybe = np.flatnonzero(bits[(key >> np.uint64(44)).astype(np.int64)])
+            maybe = maybe[(unknown[maybe + length] == unknown[maybe]) & (ends[maybe] - maybe >= length)]
+            k = np.minimum(np.searchsorted(keys, key[maybe]), keys.size - 1)
+            hit = keys[k] == key[maybe]
+            yield from zip(maybe[hit].tolist(), [items[j] for j in k[hit].tolist()], strict=True)
+
+
 class Index:
     """The items of one block with their walks and hash tables."""
 
@@ -153,8 +196,8 @@ class Index:
             at = stop
         return groups
 
-    def _plan(self, group: Group, recall: float) -> list[Walk]:
-        """As many walks as the recall asks for, measured on edited items."""
+    def _plan(self, group: Group, recall: float) -> list[Walk] | Pieces:
+        """As many walks as the recall asks for, measured on edited items, or else the exact filter."""
         rng = np.random.default_rng(group.least)
         drawn = [self._edited(group, rng) for _ in range(DRAWN)]
         grids = [np.stack([words[s : s + group.least] for s in range(5)]) for _, words in drawn]
@@ -167,8 +210,8 @@ class Index:
             for i, (item, _) in enumerate(drawn):
                 found[i] = found[i] or any(item in items for _, items in walk.lookup(grids[i]))
             if found.mean() >= recall or group.spare == 0:
-                break
-        return plan
+                return plan
+        return Pieces({i: self.items[i] for i in group.items.tolist()}, self.similarity)
 
     def _edited(self, group: Group, rng) -> tuple[int, np.ndarray]:
         """An item with as many random edits as are allowed, between unknown words."""
@@ -201,6 +244,12 @@ class Index:
         unknown = np.concatenate(([0], np.cumsum(symbols == 0))).astype(np.int32)
         ends = np.repeat(first[1:], np.diff(first))
         for group, plan in zip(self.groups, self.plans, strict=True):
+            if isinstance(plan, Pieces):
+                for here, pieces in plan.lookup(symbols, unknown, ends):
+                    text = int(np.searchsorted(first, here, "right")) - 1
+                    # a match begins within the allowed edits of where its piece puts it
+                    found.update((text, item, max(int(first[text]), here - place)) for item, place in pieces)
+                continue
             few = unknown[group.reach :] - unknown[: n + 1 - group.reach] <= group.spare if n >= group.reach else np.empty(0, bool)
             # a match may as well begin at a known word: dropping an unknown first word costs no more
             start = np.flatnonzero(few[:n] & (symbols[: few.size] > 0))

@@ -81,6 +81,35 @@ def test_recall_and_exactness(spark, docs, case):
         assert best_distance(words[r["item_id"]], texts[r["doc_id"]][r["word"] : r["word"] + r["words"]]) == r["distance"]
 
 
+def copies_found(lengths, copies, seed):
+    """For each length, the share of copies edited at the threshold, between unknown words, that an index finds."""
+    rng = np.random.default_rng(seed)
+    hashes = rng.integers(1, 1 << 63, 3000).astype(np.uint64)
+    share = 1 / np.arange(1, 3001)
+    items = [hashes[rng.choice(3000, n, p=share / share.sum())] for n in lengths for _ in range(40)]
+    index = d.Index(list(range(len(items))), items)
+    found = {}
+    for k, n in enumerate(lengths):
+        texts, planted = [], []
+        for _ in range(copies):
+            item = 40 * k + int(rng.integers(0, 40))
+            words = items[item].tolist()
+            for _ in range(d.allowed(n)):
+                at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+                words[at : at + (kind != 1)] = [1] * (kind < 2)
+            texts.append(np.array([1] * 6 + words + [1] * 30, np.uint64))
+            planted.append(item)
+        first = np.concatenate(([0], np.cumsum([t.size for t in texts])))
+        out = {(t, i) for t, i, *_ in index.matches(index.symbols(np.concatenate(texts)), first)}
+        found[n] = np.mean([(t, i) in out for t, i in enumerate(planted)])
+    return found
+
+
+def test_long_items_reach_the_recall():
+    found = copies_found([100, 200, 400], 60, 3)
+    assert min(found.values()) >= d.RECALL, found
+
+
 def test_clean_keeps_the_rest(spark, docs, case):
     items, rows, _ = case
     frame = docs(rows)
