@@ -7,7 +7,8 @@ random function of (step, word) says so.  Windows within a small edit distance
 then differ in few places, so sampling the embedding's places is a
 locality-sensitive hash for edit distance.  Several walks with several samples
 each are repeated until edited copies of the items, drawn at the threshold on
-the driver, are found at ``RECALL``.  Groups that ``MOST_WALKS`` walks leave
+the driver and searched as documents are, are found at ``RECALL`` and two
+standard errors more.  Groups that ``MOST_WALKS`` walks leave
 below it (long items, mostly) use an exact filter instead: cut into one piece
 more than the edits allowed, an item has a piece that no edit touched, so every
 match holds a piece unchanged.
@@ -55,7 +56,7 @@ GROUP = 1.25
 #: Windows hashed at once.
 WINDOWS = 50_000
 #: Edited copies drawn to measure the recall.
-DRAWN = 400
+DRAWN = 2000
 SCHEMA = "doc_id long, item_id long, word int, words int, distance int"
 
 
@@ -200,16 +201,19 @@ class Index:
         """As many walks as the recall asks for, measured on edited items, or else the exact filter."""
         rng = np.random.default_rng(group.least)
         drawn = [self._edited(group, rng) for _ in range(DRAWN)]
-        grids = [np.stack([words[s : s + group.least] for s in range(5)]) for _, words in drawn]
+        symbols = np.concatenate([words for _, words in drawn])
+        first = np.concatenate(([0], np.cumsum([words.size for _, words in drawn])))
+        # stopping at the first walk that reaches it favours lucky draws
+        enough = recall + 2 * math.sqrt(recall * (1 - recall) / DRAWN)
         found = np.zeros(DRAWN, bool)
         plan = []
         for turn in range(MOST_WALKS):
             walk = Walk(1000 * group.least + turn, self.vocabulary.size, group.least)
             walk.learn({i: self.items[i] for i in group.items.tolist()})
             plan.append(walk)
-            for i, (item, _) in enumerate(drawn):
-                found[i] = found[i] or any(item in items for _, items in walk.lookup(grids[i]))
-            if found.mean() >= recall or group.spare == 0:
+            for text, item, _ in self.candidates(symbols, first, [(group, [walk])]):
+                found[text] = found[text] or item == drawn[text][0]
+            if found.mean() >= enough or group.spare == 0:
                 return plan
         return Pieces({i: self.items[i] for i in group.items.tolist()}, self.similarity)
 
@@ -237,13 +241,13 @@ class Index:
             out[maybe[hit]] = at[hit] + 1
         return out
 
-    def candidates(self, symbols: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
+    def candidates(self, symbols: np.ndarray, first: np.ndarray, plans: list | None = None) -> set[tuple[int, int, int]]:
         """(text, item, window start) of the hash matches in a batch that may be within the threshold."""
         found: set[tuple[int, int, int]] = set()
         n = symbols.size
         unknown = np.concatenate(([0], np.cumsum(symbols == 0))).astype(np.int32)
         ends = np.repeat(first[1:], np.diff(first))
-        for group, plan in zip(self.groups, self.plans, strict=True):
+        for group, plan in plans or zip(self.groups, self.plans, strict=True):
             if isinstance(plan, Pieces):
                 for here, pieces in plan.lookup(symbols, unknown, ends):
                     text = int(np.searchsorted(first, here, "right")) - 1

@@ -110,6 +110,11 @@ def test_long_items_reach_the_recall():
     assert min(found.values()) >= d.RECALL, found
 
 
+def test_short_items_reach_the_recall_between_unknown_words():
+    found = copies_found([15, 19, 24, 30, 38], 2000, 7)
+    assert min(found.values()) >= d.RECALL, found
+
+
 def test_clean_keeps_the_rest(spark, docs, case):
     items, rows, _ = case
     frame = docs(rows)
