@@ -12,10 +12,10 @@ The forest is grown on the driver from labelled findings (at most
 a default set of them from published token formats and the usual false alarms;
 any table (before, value, after, path, secret) replaces it.
 
-Cases: a null text has no findings, a null path is an empty one; tokens longer
-than ``LONGEST`` characters are cut there; repeated rows give repeated
+Cases: a null text has no findings, a null path is an empty one; repeated rows give repeated
 findings; without labelled findings of both kinds every candidate stays with
-their share as its score; an empty table gives no rows; texts are scanned
+their share as its score; a value is taken whole, an assigned one up to the
+next white space or quote, whatever it holds; an empty table gives no rows; texts are scanned
 whole; only doc_id, text and the path column are read.
 """
 
@@ -30,15 +30,14 @@ TREES = 12
 DEPTH = 6
 LEAF = 5
 KEEP = 0.5
-LONGEST = 4096
 SEED = 11
 
 _CUE = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
 #: What may be a secret, leftmost first and without overlaps.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    rf"|(?<![A-Za-z0-9_-])(?i:{_CUE})s?[\"']?[ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}}[\"']?[^\s\"']{{6,200}}"
-    rf"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,{LONGEST}}}[0-9])(?=[0-9+/_-]{{0,{LONGEST}}}[A-Za-z])[A-Za-z0-9+/_-]{{16,{LONGEST}}}={{0,2}}"
+    rf"|(?<![A-Za-z0-9_-])(?i:{_CUE})s?[\"']?[ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}}[\"']?[^\s\"']{{6,}}+"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 _ASSIGNED = rf"^(?i:{_CUE})s?[\"']?[ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}}[\"']?"
 

@@ -33,6 +33,16 @@ def test_candidates_are_those_of_a_plain_search(docs):
     assert got == expected
 
 
+def test_long_values_are_taken_whole(docs):
+    rng = random.Random(9)
+    mixed = lambda n: "".join(rng.choice("abcdefghXYZ0123456789") for _ in range(n))
+    shared = mixed(210)
+    values = [f"eyJ{mixed(700)}", shared + "a1", shared + "b2", mixed(5000), mixed(100_000), "x" * 5000 + "7" + mixed(40)]
+    rows = [(i, f"see token={v} end") for i, v in enumerate(values)] + [(10 + i, f"see {v} end") for i, v in enumerate(values)]
+    got = {r["doc_id"]: (r["start"], r["value"]) for r in secrets.candidates(docs(rows)).collect()}
+    assert got == {**{i: (10, v) for i, v in enumerate(values)}, **{10 + i: (4, v) for i, v in enumerate(values)}}
+
+
 def test_forest_in_sql_is_the_forest(spark):
     known = secrets.features(secrets.labelled_findings(spark, 400))
     rows = known.select("x", "secret").collect()
