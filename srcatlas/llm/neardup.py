@@ -56,6 +56,8 @@ FEW = 8
 CHUNK = 512
 #: Documents of a block that names frequent shingles.
 BLOCK = 2000
+#: Documents for each partition, on average, below which partitions are merged to name them.
+SMALL = 200
 #: Frequent shingles counted in one pass.
 PASS = 1_000_000
 #: Weight classes per factor of two; samples use the class, verification the weight.
@@ -106,7 +108,7 @@ def frequent(texts: DataFrame, documents: int, floor: float = FLOOR) -> Weights:
     def name(batches):
         def heavy(sets):
             keys, n = np.unique(np.concatenate([s for s, _ in sets]), return_counts=True)
-            return keys[n >= max(2, floor * len(sets))].view(np.int64)
+            return keys[n >= floor * len(sets)].view(np.int64)
 
         sets = []
         for batch in batches:
@@ -117,8 +119,10 @@ def frequent(texts: DataFrame, documents: int, floor: float = FLOOR) -> Weights:
         if sets:
             yield pa.RecordBatch.from_arrays([pa.array(heavy(sets))], ["s"])
 
-    least = max(2.0, floor * documents)
-    named = materialise(texts.select("text").mapInArrow(name, "s long").groupBy("s").count(), "frequent")
+    least = floor * documents
+    # a block of few texts names most of their shingles, so small partitions are merged
+    merged = texts.select("text").coalesce(max(1, documents // SMALL))
+    named = materialise(merged.mapInArrow(name, "s long").groupBy("s").count(), "frequent")
     passes = -(-named.count() // PASS)
     keys, df = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for k in range(passes):

@@ -65,6 +65,17 @@ def test_against_all_pairs(docs):
     assert sorted(i for i, r in out.items() if r["kept"]) == sorted({r["class_id"] for r in out.values()})
 
 
+def test_frequencies_do_not_depend_on_partitions(spark, monkeypatch):
+    """A shingle in one text of every small block is frequent, and so is any in a table below ten rows."""
+    monkeypatch.setattr(neardup, "SMALL", 1, raising=False)
+    texts = [" ".join([*(["a", "b", "c", "d", "e"] if i % 5 == 0 else []), *(f"w{i}x{k}" for k in range(8))]) for i in range(100)]
+    spread = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in texts], 20), "text string")
+    weights = neardup.frequent(spread, 100)
+    assert weights.idf.tolist() == [1 + math.log10(1 + 100 / 20)]
+    small = neardup.frequent(spark.createDataFrame([("one two three",), ("four five six",)], "text string"), 2)
+    assert small.idf.tolist() == [1 + math.log10(1 + 2 / 1)] * 2
+
+
 def test_pairs_among_pages_of_one_template(docs):
     """Buckets of many components: every pair must meet, not only those with a pivot."""
     rng = random.Random(8)
