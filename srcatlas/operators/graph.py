@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,25 +67,29 @@ def key_files(reverse: DataFrame, most: int = 10) -> DataFrame:
     return reverse.select("path", F.size("imported_by").cast("long").alias("importers")).orderBy(F.desc("importers"), "path").limit(most)
 
 
-def reach(edges: DataFrame, most: int = 16) -> DataFrame:
-    """(node, reached, depth): the shortest distance from every node, at most ``most`` steps.
+def reach(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, reached, depth): the shortest distance from every node, at most ``most`` steps if given.
 
     Each round extends only what the last one found and drops what is known,
-    so cycles end.  A round's rows are checkpointed, so none is computed twice.
+    so cycles end and the rounds stop when nothing is new.  A round's rows are checkpointed, so none is computed twice.
     """
     shared_dir(edges.sparkSession)
     steps = edges.select("src", "dst").distinct().checkpoint()
     fresh = steps.select(F.col("src").alias("node"), F.col("dst").alias("reached"), F.lit(1).cast("long").alias("depth"))
     known = fresh
-    for depth in range(2, most + 1):
+    for depth in count(2):
+        if most is not None and depth > most:
+            break
         found = fresh.join(steps, fresh["reached"] == steps["src"]).select("node", F.col("dst").alias("reached")).distinct()
         fresh = found.join(known, ["node", "reached"], "left_anti").withColumn("depth", F.lit(depth).cast("long")).checkpoint()
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)
+        if depth % 16 == 0:
+            known = known.checkpoint()  # the union of long chains stays short
     return known
 
 
-def cycles(edges: DataFrame, most: int = 16) -> DataFrame:
+def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
     """Nodes that reach themselves, with the length of their shortest cycle."""
     return reach(edges, most).where("node = reached").select("node", F.col("depth").alias("length"))

@@ -50,6 +50,6 @@ def unknown_dependencies(sections: DataFrame) -> DataFrame:
     return asked.join(sections.select(F.col("id").alias("dependency")), "dependency", "left_anti").select("id", "dependency")
 
 
-def dependency_cycles(sections: DataFrame, most: int = 16) -> DataFrame:
+def dependency_cycles(sections: DataFrame, most: int | None = None) -> DataFrame:
     """Sections that depend on themselves through others."""
     return cycles(sections.select(F.col("id").alias("src"), F.explode("depends").alias("dst")), most)

@@ -185,7 +185,7 @@ def chain(table: dict[str, list[str]], root: str, by_path: bool = True) -> tuple
     return order, walk(root, (root,))
 
 
-def chains(variables: DataFrame, depth: int = 16) -> DataFrame:
+def chains(variables: DataFrame, depth: int | None = None) -> DataFrame:
     """Every variable with the names it reaches, nearest first, their number and whether it is on a cycle."""
     from .graph import reach
 

@@ -91,6 +91,8 @@ def test_chains():
 
 def test_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")], "src string, dst string")
+    long = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 20}") for i in range(20)], "src string, dst string")
+    assert {r["length"] for r in graph.cycles(long).collect()} == {20}
     assert {(r["node"], r["length"]) for r in graph.cycles(edges).collect()} == {("a", 3), ("b", 3), ("c", 3), ("e", 1)}
 
 
