@@ -1,18 +1,20 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-A text's terms are its words (letters and digits, lower case) and the first
-five to eight bytes of longer words, so that inflected forms share terms.  Of the
-labelled examples at most ``POSITIVE`` toxic and ``NEGATIVE`` others are used,
-those with the smallest hashes; from their term counts the ``TERMS`` terms
-whose presence goes most clearly with the label, and which are at least
-``LIFT`` times as frequent in toxic examples, become the vocabulary.  A common
-word that follows a label by chance would join nearly every text to nearly
-every example.
-Inverse document frequencies of those terms come from all documents.
-
-The examples' unit vectors form an inverted index.  Examples are ordered by
-their strongest term and cut into blocks; every term keeps, per block, its
-postings and their largest weight.  A query bounds each block by the sum of
+A text's terms are its words (letters and digits, lower case).  Of the labelled
+examples at most ``POSITIVE`` toxic and ``NEGATIVE`` others are used, those with
+the smallest hashes.  All their terms are the vocabulary; terms in no example
+cannot bring a text nearer to one and are left out.  A term weighs
+
+    (1 + ln count) * (ln((1 + N) / (1 + df)) + 1) * (FLOOR + chi / (chi + EVIDENCE))
+
+with the frequency df over all N documents, and chi the term's chi-squared with
+the label if it is more frequent in toxic examples, else 0.  Without the last
+factor the many ordinary words of a text, all rarer than the telling ones,
+decide which examples are near; with it no term is dropped.
+
+The examples' unit vectors form an inverted index.  Examples are ordered so
+that similar ones share a block; every term keeps, per block, its postings and
+their largest weight.  A query bounds each block by the sum of
 its weights times those maxima, opens blocks in the order of their bounds and
 stops when the next bound cannot beat the k-th best score, so the k nearest
 examples are exact.  Neighbours vote with weight 1 / (1 + SHARPNESS - cosine);
@@ -22,48 +24,50 @@ Cases: a null text is an empty one; a text without vocabulary terms has no
 neighbours and gets the calibrated rate of such examples; without any labelled
 example every score is 0.5, and with one class that class's smoothed rate;
 null labels are ignored, an id labelled twice counts as toxic if either says
-so; ties among neighbours go to the earlier example; repeated rows give equal
-rows; an empty table gives no rows; every text is scored whole.
+so; of several texts under one labelled id one is the example; ties among
+neighbours go to the earlier example; repeated rows give equal rows; an empty
+table gives no rows; every text is scored whole, however long: a query touches
+each posting at most once; only doc_id and text of the documents and doc_id and
+toxic of the labels are read, so further columns of any name do not matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, text_or_empty
-from .wordhash import Words, plain_words, span_hashes
+from .wordhash import Words, plain_words
 
 POSITIVE = 2000
 NEGATIVE = 4000
-TERMS = 512
-#: Chi-squared and documents that a vocabulary term needs.
-EVIDENCE = 20.0
-LEAST = 4
-#: How much more frequent a vocabulary term is in toxic examples than in others.
-LIFT = 4.0
+#: Share of its weight that a term without any link to the label keeps, and the chi-squared that gives half of the rest.
+FLOOR = 0.1
+EVIDENCE = 100.0
 NEIGHBOURS = 15
 SHARPNESS = 0.05
-BLOCK = 32
-PREFIXES = (5, 6, 7, 8)
+BLOCK = 64
+#: Rounds that settle the two halves of the examples when blocks are formed.
+HALVINGS = 3
+#: Blocks opened at first; every further round opens twice as many.
+OPEN = 16
+#: Scores of equal texts that a task remembers.
+KNOWN = 20_000
 THRESHOLD = 0.7
 PRIOR = 1.0
 SCHEMA = "doc_id long, score double, neighbours array<long>, similarities array<float>"
 
 
-def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Term hashes of a batch and the word that each stands in."""
-    whole = words.hashes()
-    hashes, places, size = [whole], [np.arange(whole.size)], words.end - words.begin
-    for n in PREFIXES:
-        long = np.flatnonzero(size > n)
-        hashes.append(span_hashes(words.raw, words.begin[long], words.begin[long] + n) ^ np.uint64(0x5BD1E995))
-        places.append(long)
-    return np.concatenate(hashes), np.concatenate(places)
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [begin, begin + size), one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if ends.size else 0) + np.repeat(begin - (ends - size), size)
 
 
 class Lookup:
@@ -71,69 +75,120 @@ class Lookup:
 
     def __init__(self, vocabulary: np.ndarray):
         self.vocabulary = vocabulary  # sorted
-        self.bits = np.zeros(1 << 16, bool)
-        self.bits[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(vocabulary >> np.uint64(42)).astype(np.int64)] = True
 
     def counts(self, words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text: its vocabulary terms, ascending, and how often each occurs."""
         texts = words.first.size - 1
-        hashes, word = terms(words)
-        maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(48)).astype(np.int64)])
+        hashes = words.hashes()
+        maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(42)).astype(np.int64)])
         if not self.vocabulary.size or not maybe.size:
             return [(np.empty(0, np.int64), np.empty(0, np.int64))] * texts
         at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), self.vocabulary.size - 1)
         hit = self.vocabulary[at] == hashes[maybe]
-        text = np.searchsorted(words.first, word[maybe[hit]], "right") - 1
+        text = np.searchsorted(words.first, maybe[hit], "right") - 1
         keys, n = np.unique(text * self.vocabulary.size + at[hit], return_counts=True)
         owner, term = np.divmod(keys, self.vocabulary.size)
         cut = np.searchsorted(owner, np.arange(texts + 1))
         return [(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def arranged(term: np.ndarray, weight: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+    """Examples in an order that puts similar ones into one block.
+
+    Halves the examples, again and again, along the difference of the two
+    halves' centroids, beginning with an example and the one least like it.
+    """
+    first = np.cumsum(count) - count
+
+    def split(rows: np.ndarray) -> list[np.ndarray]:
+        if rows.size <= BLOCK:
+            return [rows]
+        held = spans(first[rows], count[rows])
+        t, w, owner = term[held], weight[held], np.repeat(np.arange(rows.size), count[rows])
+
+        def like(chosen: np.ndarray) -> np.ndarray:
+            mine = chosen[owner]
+            centre = np.bincount(t[mine], w[mine], size)
+            return np.bincount(owner, w * centre[t], rows.size)
+
+        half = BLOCK * (-(-rows.size // BLOCK) // 2)
+        side = np.arange(rows.size)
+        one = like(side == 0)
+        lean = one - like(side == int(one.argmin()))
+        for _ in range(HALVINGS):
+            near = np.argsort(-lean, kind="stable")[:half]
+            side = np.zeros(rows.size, bool)
+            side[near] = True
+            lean = like(side) - like(~side)
+        return [*split(rows[side]), *split(rows[~side])]
+
+    return np.concatenate(split(np.arange(count.size))).astype(np.int64)
+
+
 class BlockMaxIndex:
-    """Exact top-k cosine over unit vectors, with block-max pruning."""
+    """Exact top-k cosine over unit vectors, with block-max pruning.
+
+    Postings lie by term and place; an entry is the run of a term's postings in
+    one block, with their largest weight.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int):
-        strongest = [int(t[w.argmax()]) if t.size else size for t, w in vectors]
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (strongest[i], i)), np.int64)
         self.blocks = -(-len(vectors) // BLOCK)
-        self.maxima = np.zeros((size, self.blocks), np.float64)
-        postings: list[dict[int, tuple[list, list]]] = [{} for _ in range(size)]
-        for place, i in enumerate(self.order.tolist()):
-            block = place // BLOCK
-            for t, w in zip(*(x.tolist() for x in vectors[i]), strict=True):
-                self.maxima[t, block] = max(self.maxima[t, block], w)
-                ids, weights = postings[t].setdefault(block, ([], []))
-                ids.append(place % BLOCK)
-                weights.append(w)
-        self.postings = [{b: (np.array(i), np.array(w)) for b, (i, w) in p.items()} for p in postings]
+        count = np.array([t.size for t, _ in vectors], np.int64)
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
+        weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
+        self.order = arranged(term, weight, count, size)
+        place = np.empty(len(vectors), np.int64)
+        place[self.order] = np.arange(len(vectors))
+        at = np.repeat(place, count)
+        by = np.lexsort((at, term))
+        term, self.place, self.weight = term[by], at[by].astype(np.int32), weight[by]
+        block = self.place // BLOCK
+        fresh = np.ones(term.size, bool)
+        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        begin = np.flatnonzero(fresh)
+        self.cut = np.append(begin, term.size)
+        self.block = block[begin].astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, begin) if begin.size else np.empty(0)
+        self.first = np.searchsorted(term[begin], np.arange(size + 1))
         self.opened = 0
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, as (cosine, example)."""
         if not term.size or not self.blocks:
             return []
-        bound = weight @ self.maxima[term]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1][0]):
-                break
-            self.opened += 1
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                entry = self.postings[t].get(block)
-                if entry:
-                    score[entry[0]] += w * entry[1]
-            found = [(float(score[j]), int(self.order[block * BLOCK + j])) for j in np.flatnonzero(score).tolist()]
-            best = sorted([*best, *(f for f in found if f[1] != without)], key=lambda f: (-f[0], f[1]))[:k]
-        return best
+        n = self.first[term + 1] - self.first[term]
+        entries, w = spans(self.first[term], n), np.repeat(weight, n)
+        block = self.block[entries]
+        bound = np.bincount(block, w * self.top[entries], self.blocks)
+        ranked = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
+        score, example = np.empty(0), np.empty(0, np.int64)
+        at, step = 0, OPEN
+        # sums in another order may differ in their last digits
+        while at < ranked.size and not (score.size == k and bound[ranked[at]] < score[-1] - 1e-9):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[ranked[at : at + step]] = True
+            self.opened += int(chosen.sum())
+            held = np.flatnonzero(chosen[block])
+            size = self.cut[entries[held] + 1] - self.cut[entries[held]]
+            postings = spans(self.cut[entries[held]], size)
+            found = np.bincount(self.place[postings], np.repeat(w[held], size) * self.weight[postings])
+            hit = np.flatnonzero(found > 0)
+            hit = hit[self.order[hit] != without]
+            score, example = np.concatenate((score, found[hit])), np.concatenate((example, self.order[hit]))
+            best = np.lexsort((example, -score))[:k]
+            score, example = score[best], example[best]
+            at, step = at + step, 2 * step
+        return list(zip(score.tolist(), example.tolist(), strict=True))
 
 
 class Model:
     """Vocabulary, index and calibration."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, ids: list[int], counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
-        self.lookup, self.idf, self.ids = Lookup(vocabulary), idf, ids
+    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, ids: list[int], counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        self.lookup, self.weights, self.ids = Lookup(vocabulary), weights, ids
         self.labels = labels.astype(float)
         self.base = (self.labels.sum() + PRIOR / 2) / (labels.size + PRIOR)
         vectors = [self.vector(*c) for c in counts]
@@ -145,7 +200,7 @@ class Model:
         self.steps = isotonic(raw, self.labels[with_terms])
 
     def vector(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weight = (1 + np.log(np.maximum(count, 1))) * self.idf[term]
+        weight = (1 + np.log(np.maximum(count, 1))) * self.weights[term]
         norm = math.sqrt(float(weight @ weight))
         return term, weight / norm if norm else weight
 
@@ -192,8 +247,7 @@ def examples(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     def go(batches):
         for batch in batches:
             words = plain_words(batch.column(2))
-            hashes, word = terms(words)
-            text = np.searchsorted(words.first, word, "right") - 1
+            text, hashes = np.repeat(np.arange(len(batch.column(0))), np.diff(words.first)), words.hashes()
             order = np.lexsort((hashes, text))
             text, hashes = text[order], hashes[order]
             fresh = np.concatenate(([True], (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]))) if text.size else np.empty(0, bool)
@@ -211,53 +265,55 @@ def examples(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     return joined.mapInArrow(go, "doc_id long, toxic int, terms array<long>, counts array<int>")
 
 
+def evidence(owner: np.ndarray, term: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Each term's factor: how clearly its presence goes with the label."""
+    yes, no = float(toxic.sum()), float(toxic.size - toxic.sum())
+    if not yes or not no:
+        return np.ones(size)
+    a = np.bincount(term[toxic[owner] == 1], minlength=size).astype(float)
+    n = np.bincount(term, minlength=size).astype(float)
+    # chi-squared of the 2 x 2 table of label and presence
+    cross = a * (no - (n - a)) - (n - a) * (yes - a)
+    chi = np.where(cross > 0, cross * cross * (yes + no) / (yes * no * np.maximum(n, 1) * (yes + no - n + 0.5)), 0)
+    return FLOOR + (1 - FLOOR) * chi / (chi + EVIDENCE)
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     """Trains on the usable labelled rows; document frequencies cover all documents."""
     small_batches(docs.sparkSession)
-    sample = materialise(examples(docs, labels, usable), "examples")
-    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    yes, no = float(size.get(1, 0)), float(size.get(0, 0))
-    seen = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
-    seen = seen.where(F.col("n") >= LEAST)
-    if yes and no:
-        total = yes + no
-        # chi-squared of the 2 x 2 table of label and presence
-        cross = F.col("a") * (no - (F.col("n") - F.col("a"))) - (F.col("n") - F.col("a")) * (yes - F.col("a"))
-        chi = cross * cross * total / (yes * no * F.col("n") * (total - F.col("n") + 0.5))
-        lifted = F.col("a") * no >= LIFT * yes * (F.col("n") - F.col("a"))
-        seen = seen.withColumn("chi", chi).where(lifted & (F.col("chi") >= EVIDENCE)).orderBy(F.desc("chi"), "term").limit(TERMS)
-        vocabulary = np.sort(np.array([r["term"] for r in seen.collect()], np.int64).view(np.uint64))
-    else:
-        vocabulary = np.empty(0, np.uint64)
-    idf = frequencies(docs, vocabulary)
-    lookup = {int(t): i for i, t in enumerate(vocabulary.view(np.int64).tolist())}
-    chosen = F.array(*[F.lit(t) for t in lookup]) if lookup else F.array().cast("array<long>")
-    pairs = F.filter(F.arrays_zip("terms", "counts"), lambda z: F.array_contains(chosen, z["terms"])) if lookup else F.array()
-    ids, counts, toxic = [], [], []
-    for row in sample.select("doc_id", "toxic", pairs.alias("p")).orderBy("doc_id").collect():  # at most POSITIVE + NEGATIVE rows
-        held = sorted((lookup[z["terms"]], z["counts"]) for z in row["p"])
-        ids.append(row["doc_id"])
-        toxic.append(row["toxic"])
-        counts.append((np.array([t for t, _ in held], np.int64), np.array([n for _, n in held], np.int64)))
-    return Model(vocabulary, idf, ids, counts, np.array(toxic, np.int64))
+    sample = materialise(examples(docs, labels, usable), "examples").orderBy("doc_id").toArrow()  # at most POSITIVE + NEGATIVE rows
+    ids, toxic = sample.column("doc_id").to_pylist(), np.array(sample.column("toxic").to_pylist(), np.int64)
+    lists = [sample.column(c).combine_chunks() for c in ("terms", "counts")]
+    size = np.array(pa.compute.list_value_length(lists[0]).to_pylist(), np.int64)
+    hashes, counts = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+    vocabulary, term = np.unique(hashes.astype(np.int64).view(np.uint64), return_inverse=True)
+    owner = np.repeat(np.arange(toxic.size), size)
+    weights = frequencies(docs, vocabulary) * evidence(owner, term, toxic, vocabulary.size)
+    cut = np.cumsum(size)[:-1] if size.size else []
+    held = list(zip(np.split(term, cut), np.split(counts.astype(np.int64), cut), strict=True)) if size.size else []
+    return Model(vocabulary, weights, ids, held, toxic)
 
 
 def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Smoothed inverse document frequencies of the vocabulary over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def go(batches):
-        lookup = Lookup(vocabulary)
-        total, texts = np.zeros(vocabulary.size, np.int64), 0
+        lookup = Lookup(shared.value)
+        total, texts = np.zeros(lookup.vocabulary.size, np.int64), 0
         for batch in batches:
             for term, _ in lookup.counts(plain_words(batch.column(0))):
                 total[term] += 1
             texts += len(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(vocabulary.size)], pa.int32()), pa.array([texts, *total.tolist()], pa.int64())], ["term", "n"])
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, hit).astype(np.int32)), pa.array(np.append(texts, total[hit]))], ["term", "n"])
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(go, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    df = np.array([found.get(t, 0) for t in range(vocabulary.size)], float)
-    return np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(go, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    term, n = (rows.column(c).to_numpy() for c in ("term", "n"))
+    df, texts = np.zeros(vocabulary.size), float(n[term < 0].sum())
+    df[term[term >= 0]] = n[term >= 0]
+    return np.log((1 + texts) / (1 + df)) + 1
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -271,9 +327,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = []
             for term, count in held.lookup.counts(plain_words(batch.column(1))):
-                key = term.tobytes() + count.tobytes()
+                key = hashlib.blake2b(term.tobytes() + count.tobytes(), digest_size=16).digest()
                 if key not in known:
-                    if len(known) > 20_000:
+                    if len(known) > KNOWN:
                         known.clear()
                     known[key] = held.score(term, count)
                 out.append(known[key])

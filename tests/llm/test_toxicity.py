@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 
 import numpy as np
@@ -72,3 +74,51 @@ def test_nulls_repeats_and_missing_labels(spark, docs):
     assert all(r["score"] < 0.1 for r in toxicity.score(frame, toxicity.fit(frame, one, F.lit(True))).collect())
     empty = docs([])
     assert toxicity.score(empty, toxicity.fit(empty, none, F.lit(True))).count() == 0
+
+
+def brute(rows, labels, usable):
+    """Neighbours and cosines of every text by all pairs, in plain Python."""
+    counts = {i: collections.Counter((t or "").split()) for i, t in rows}
+    df = collections.Counter(w for c in counts.values() for w in c)
+    known = sorted((i, t) for i, _, t in labels if usable(i))
+    yes, no = sum(t for _, t in known), sum(1 - t for _, t in known)
+    factor = {}
+    for w in {w for i, _ in known for w in counts[i]}:
+        a, b = sum(t for i, t in known if w in counts[i]), sum(1 - t for i, t in known if w in counts[i])
+        cross = a * (no - b) - b * (yes - a)
+        chi = cross * cross * (yes + no) / (yes * no * (a + b) * (yes + no - a - b + 0.5)) if cross > 0 else 0
+        factor[w] = toxicity.FLOOR + (1 - toxicity.FLOOR) * chi / (chi + toxicity.EVIDENCE)
+
+    def unit(c):
+        v = {w: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1) * factor[w] for w, n in c.items() if w in factor}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    units = {i: unit(counts[i]) for i, _ in known}
+    out = {}
+    for i, _ in rows:
+        v = unit(counts[i])
+        near = sorted((-round(sum(x * u.get(w, 0) for w, x in v.items()), 9), k) for k, u in units.items())
+        out[i] = [(k, -s) for s, k in near if s < 0][: toxicity.NEIGHBOURS]
+    return out
+
+
+def test_whole_query_against_all_pairs(spark, docs):
+    rows, labels = corpus(240, seed=6)
+    rows += [(900, "gruk " * 20_000 + "word1"), (901, "unseen words only"), (902, None)]
+    usable = lambda i: i % 3 != 1
+    model = toxicity.fit(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("doc_id") % 3 != 1)
+    expected = brute(rows, labels, usable)
+    toxic = {i: t for i, _, t in labels}
+    for r in toxicity.score(docs(rows), model).collect():
+        want = expected[r["doc_id"]]
+        assert np.allclose(r["similarities"], [s for _, s in want], atol=1e-6)
+        # at equal cosines (copies) any order of the last digits will do
+        clear = {k for k, s in want if not want or s > want[-1][1] + 1e-6}
+        assert clear <= set(r["neighbours"])
+        if want and len(clear) == len(want) - 1:
+            weight = [1 / (1 + toxicity.SHARPNESS - min(s, 1.0)) for _, s in want]
+            vote = (sum(w * toxic[k] for w, (k, _) in zip(weight, want, strict=True)) + toxicity.PRIOR * model.base) / (sum(weight) + toxicity.PRIOR)
+            assert abs(r["score"] - np.interp(vote, *model.steps)) < 1e-6
+        elif not want:
+            assert r["score"] == model.bare
