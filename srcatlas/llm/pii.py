@@ -16,13 +16,16 @@ decides about the looser candidates; base spans always stay.
 Cases: a null text is an empty one and has no spans; an empty table gives no
 rows and an untrained model that adds nothing; repeated rows give equal rows;
 overlapping looser spans lose against base ones, then against earlier ones;
-very long texts are searched whole and in linear time; offsets are code points.
+very long texts are searched whole and in linear time, as are digit runs of any
+length; offsets are code points; only doc_id and text are read, so further
+columns of any name do not matter, and ``redact`` returns them as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -48,21 +51,38 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?
 _WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{2,63})+")
 _TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr)\. ([A-Z][a-z]+(?: [A-Z][a-z]+)?)")
 
-#: Gazetteers.
-TOP_LEVEL = frozenset("com org net edu gov io de fr es uk it nl eu info biz".split())
-DIALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "44", "49", "52", "55", "61", "81", "86", "91")
-ISSUERS = ("34", "36", "37", "38", "4", "51", "52", "53", "54", "55", "6011", "62", "65")
-GIVEN = frozenset("James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Thomas Susan Anna Peter Paul Maria Jean Pierre Marie Hans Karl Jose Carlos Ana Luis".split())
+#: Gazetteers: generic domains and those of the larger countries; dialling codes of the countries, three-digit ones by
+#: their zones; issuers of payment cards; given names.
+TOP_LEVEL = frozenset(
+    "com org net edu gov mil int info biz name pro io ai app dev me tv co us ca mx br ar cl pe uk ie fr de at ch nl be lu es pt it gr pl cz sk hu ro bg "
+    "hr si rs ua ru by ee lv lt fi se no dk is tr il ir iq sa ae eg ma dz tn za ng ke gh et in pk bd lk np cn hk tw jp kr vn th my sg id ph au nz eu".split()
+)
+DIALLING = tuple(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split()
+)
+ISSUERS = ("300", "301", "302", "303", "304", "305", "34", "35", "36", "37", "38", "39", "4", "50", "51", "52", "53", "54", "55", "56", "57", "58", "6011", "62", "63", "64", "65", "67")
+GIVEN = frozenset(
+    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher "
+    "Lisa Daniel Nancy Matthew Betty Anthony Margaret Mark Sandra Donald Ashley Steven Kimberly Paul Emily Andrew Donna Joshua Michelle Kenneth Carol Kevin Amanda "
+    "Brian Dorothy George Melissa Edward Deborah Ronald Stephanie Timothy Rebecca Jason Laura Helen Sharon Anna Emma Olivia Sophia Peter Maria Jean Pierre Marie "
+    "Jacques Claire Hans Karl Klaus Greta Jose Carlos Ana Luis Juan Miguel Carmen Giulia Marco Luca Sofia Ivan Olga Anders Ingrid Ahmed Fatima Wei Yuki Priya Raj".split()
+)
+#: Words before a span that speak for its kind, or against any.
 CUES = {
-    "email": ("mail", "contact", "write to", "reach"),
-    "ip": ("ip", "host", "server", "address", "from"),
-    "card": ("card", "visa", "mastercard", "payment", "credit"),
-    "phone": ("phone", "tel", "call", "fax", "mobile"),
-    "ssn": ("ssn", "social security"),
-    "iban": ("iban", "account", "bank"),
-    "name": ("dear", "by", "name"),
+    "email": "mail email e-mail contact write reach address cc bcc",
+    "ip": "ip host server address from addr client remote node",
+    "card": "card visa mastercard amex payment credit debit paid",
+    "phone": "phone tel telephone call fax mobile cell number dial whatsapp",
+    "ssn": "ssn social security taxpayer",
+    "iban": "iban account bank transfer",
+    "name": "dear by name from patient signed met ask",
 }
-AGAINST = ("version", "isbn", "order", "invoice", "serial", "part no")
+CUES = {kind: frozenset(words.split()) for kind, words in CUES.items()}
+AGAINST = frozenset("version release build isbn issn order invoice serial part model sku section chapter example".split())
+_CUE = re.compile(r"[a-z]+(?:-[a-z]+)?")
+#: Characters before a span in which its cues stand.
+BEFORE = 40
 LABELERS = ("pattern", "check", "gazetteer", "context", "digits")
 
 
@@ -88,11 +108,16 @@ def _emails(text: str):
         at = text.find("@", free)
 
 
+def _octet(bare: str) -> bool:
+    """Whether digits without leading zeros are at most 255, however many zeros there were."""
+    return len(bare) < 3 or (len(bare) == 3 and bare <= "255")
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed."""
     spans = [(s, e, "email") for s, e in _emails(text)]
     if _DIGIT.search(text):
-        spans += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        spans += [(*m.span(), "ip") for m in _IP.finditer(text) if all(_octet(p.lstrip("0")) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -133,8 +158,8 @@ def votes(text: str, start: int, end: int, kind: str, strict: bool) -> tuple[int
         check = -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1
     elif kind == "name":
         gazetteer = 1 if span.split()[0] in GIVEN else 0
-    before = text[max(0, start - 40) : start].lower()
-    context = 1 if any(c in before for c in CUES[kind]) else -1 if any(c in before for c in AGAINST) else 0
+    before = _CUE.findall(text[max(0, start - BEFORE) : start].lower())
+    context = 1 if not CUES[kind].isdisjoint(before) else -1 if not AGAINST.isdisjoint(before) else 0
     degenerate = -1 if len(digits) > 6 and len(set(digits)) < 3 else 0
     return (1 if strict else 0), check, gazetteer, context, degenerate
 
@@ -143,10 +168,19 @@ def candidates_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple]]:
     """Base spans, and every candidate as (start, end, kind, strict, votes)."""
     base = base_spans(text)
     found = [(*s, True, votes(text, *s, True)) for s in base]
-    taken = [(s, e) for s, e, _ in base]
+    # base spans merged into disjoint ones; accepted looser spans are disjoint and in order
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _ in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    free = 0
     for s, e, kind in sorted(_loose(text), key=lambda x: (x[0], RANK[x[2]])):
-        if all(e <= a or s >= b for a, b in taken):
-            taken.append((s, e))
+        if s >= free and bisect_left(starts, e) == bisect_right(ends, s):
+            free = e
             found.append((s, e, kind, False, votes(text, s, e, kind, False)))
     return base, found
 
