@@ -1,20 +1,27 @@
 """Two-pass external shuffle into shards (DataFrame functions only).
 
-Pass one scatters every record with seeded hashes: a rendezvous hash of
-(id, shard) picks the shard, so one more shard takes records only into
-itself, and a second hash spreads a shard over memory-sized buckets.  Pass two
-gathers one bucket at a time, shuffles it (the built-in ``shuffle`` is a
-seeded Fisher-Yates) and gives every record its gapless slot.
+Pass one scatters whole records with seeded hashes: a rendezvous hash of
+(id, shard) picks the shard, so one more shard takes records only into itself,
+and a second hash spreads a shard evenly over buckets.  Pass two gathers one
+bucket at a time, brings its records into an order of their own (by id, then
+content) and shuffles it: Fisher-Yates, inside out, as a fold over the places.
+Its draws are hashes of (seed, shard, bucket, place), so a slot depends on the
+records and the seed alone, not on partitions, tasks or file layout.  A bucket
+begins where the earlier buckets of its shard end; only the buckets' counts are
+summed, never the records.
 
-A bucket holds about ``bucket_rows`` references, whatever the table's size:
-the number of buckets follows the row count.  No key decides more than one
-record's place, so copies and hot sources spread evenly.
+A bucket holds about ``BUCKET_ROWS`` records or ``BUCKET_BYTES`` of text,
+whichever is less, so the number of buckets follows the table and memory does
+not.  No key decides more than one record's place, so copies and hot sources
+spread evenly.
 
-Cases: a null text has size ``overhead`` and crc32 0 (empty bytes); a null id
+Cases: a null text has size ``OVERHEAD`` and crc32 0 (empty bytes); a null id
 is hashed like any value and its bucket also depends on the text, so many null
-ids still spread; repeated rows are kept, each with its own slot; an empty
-table gives no rows; further columns are ignored here and kept by
-``write_shards``.
+ids still spread over their shard's buckets; equal ids share a shard, as the law
+asks, and are told apart by their texts; repeated rows are kept, each with its
+own slot; an empty table gives no rows; a text longer than a bucket is in a
+bucket of its own size; further columns, of whatever names, are ignored by
+``assign`` and kept by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -26,7 +33,10 @@ from pyspark.sql import functions as F
 
 SHARDS = 40
 OVERHEAD = 16
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 2048
+BUCKET_BYTES = 8 << 20
+#: Text that one task of the second pass gathers, in buckets.
+TASK_BYTES = 32 << 20
 SEED = 20240607
 
 
@@ -35,57 +45,73 @@ def best(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("h"), F.lit(s).alias("s")) for s in range(shards)]))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
-    buckets = max(1, math.ceil(docs.count() / (shards * bucket_rows)))
+def fisher_yates(n: Column, *seeds: Column) -> Column:
+    """A uniform order of 0 .. n - 1 as array<int>, drawn from hashes of the seeds.
+
+    Inside out: place i takes over a random earlier place's element (or its
+    own), which moves to the end.
+    """
+
+    def step(order: Column, i: Column) -> Column:
+        j = F.pmod(F.xxhash64(*seeds, i), (i + 1).cast("long")).cast("int")
+        swapped = F.concat(F.slice(order, F.lit(1), j), F.array(i), F.slice(order, j + 2, i - j - 1), F.array(F.get(order, j)))
+        return F.when(j == i, F.array_append(order, i)).otherwise(swapped)
+
+    places = F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: i < n)
+    return F.aggregate(places, F.array().cast("array<int>"), step)
+
+
+def shuffled(docs: DataFrame, record: Column, shards: int, seed: int, bucket_rows: int, bucket_bytes: int) -> DataFrame:
+    """shard, slot, grown (the shard when there is one more) and the record of every row."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.col("doc_id")
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-    )
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(raw)).alias("bytes")).first()
+    most = max(size["n"] / bucket_rows, (size["bytes"] or 0) / bucket_bytes)
+    buckets = max(1, math.ceil(most / shards))
+
     # the hashes of the first ``shards`` shards decide; the new shard wins only with a larger one
-    rows = rows.withColumn("best", best(key, shards, seed))
-    rows = rows.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.col("best.s").alias("shard"),
-        F.when(F.xxhash64(F.lit(seed), F.lit(shards), key) > F.col("best.h"), F.lit(shards)).otherwise(F.col("best.s")).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), key, "text_crc32", "size"), F.lit(buckets)).cast("int").alias("bucket"),
+    found = F.struct(best(key, shards, seed).alias("b"), F.xxhash64(F.lit(seed), F.lit(shards), key).alias("new"))
+    content = F.xxhash64(F.lit(seed + 1), key, raw)
+    placed = docs.select(found.alias("f"), content.alias("content"), key.alias("id"), record.alias("record")).select(
+        F.col("f.b.s").alias("shard"),
+        F.pmod("content", F.lit(buckets)).cast("int").alias("bucket"),
+        F.struct("id", "content", F.when(F.col("f.new") > F.col("f.b.h"), F.lit(shards)).otherwise(F.col("f.b.s")).alias("grown"), "record").alias("r"),
     )
-    gathered = rows.groupBy("shard", "bucket").agg(
-        F.sort_array(F.collect_list(F.struct("doc_id", "size", "text_crc32", "grown_shard"))).alias("records")
+    # pass one: whole buckets travel, so many of them to a task as fit its memory
+    scattered = placed.repartition(max(1, math.ceil((size["bytes"] or 0) / TASK_BYTES)), "shard", "bucket")
+    # pass two
+    gathered = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    order = fisher_yates(F.size("rs"), F.lit(seed + 2), F.col("shard"), F.col("bucket"))
+    dealt = gathered.select("shard", "bucket", F.transform(order, lambda i: F.get("rs", i)).alias("rs"))
+    return dealt.join(_begins(placed), ["shard", "bucket"]).select("shard", "begin", F.posexplode("rs").alias("at", "r")).select(
+        "shard", (F.col("begin") + F.col("at")).cast("long").alias("slot"), F.col("r.grown").alias("grown"), F.col("r.record").alias("record")
     )
-    # Fisher-Yates over the bucket; the sorted input makes the result depend on the seed alone
-    gathered = gathered.select("shard", "bucket", F.shuffle("records", F.lit(seed)).alias("records"), F.size("records").alias("n"))
+
+
+def _begins(placed: DataFrame) -> DataFrame:
+    """Where each bucket's slots begin in its shard."""
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = gathered.withColumn("first", F.coalesce(F.sum(F.col("n").cast("long")).over(before), F.lit(0).cast("long")))
-    return placed.select("shard", "first", F.posexplode("records").alias("at", "r")).select(
-        F.col("r.doc_id").alias("doc_id"),
-        F.col("r.size").alias("size"),
-        F.col("r.text_crc32").alias("text_crc32"),
+    return counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("begin"))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
+    record = F.struct(F.col("doc_id"), F.col("text"))
+    raw = F.coalesce(F.col("record.text"), F.lit("")).cast("binary")
+    return shuffled(docs, record, shards, seed, bucket_rows, bucket_bytes).select(
+        F.col("record.doc_id").alias("doc_id"),
+        (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"),
+        F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
-        (F.col("first") + F.col("at")).cast("long").alias("slot"),
-        F.col("r.grown_shard").alias("grown_shard"),
+        "slot",
+        F.col("grown").alias("grown_shard"),
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> None:
-    """Writes whole records, one folder per shard, in a seeded random order.
-
-    The second pass sorts each (shard, bucket) by a seeded hash of the record,
-    which needs no more memory than Spark's spilling sort.
-    """
-    buckets = max(1, math.ceil(docs.count() / (shards * bucket_rows)))
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    placed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
-        best(F.col("doc_id"), shards, seed)["s"].alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", crc), F.lit(buckets)).cast("int").alias("bucket"),
-        F.xxhash64(F.lit(seed + 2), "doc_id", crc).alias("turn"),
-    )
-    dealt = placed.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "turn")
-    dealt.select("shard", "record").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> None:
+    """Writes whole records with their slots, one folder per shard; each file holds buckets in the order of their slots."""
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = shuffled(docs, record, shards, seed, bucket_rows, bucket_bytes).select("shard", "slot", "record")
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
