@@ -1,22 +1,26 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-Training keeps, for every language, the n-grams whose rate in that language is
-at least ``SHARE`` of their largest rate in any language, and sets them in a
-Bloom filter of one bit slice per language: a slot is one machine word with a
+A language holds the n-grams that its training texts use at least ``LEAST``
+times and at no less than ``SHARE`` of their largest rate in any language (so a
+stray quotation does not make an n-gram part of a language).  A Bloom filter
+has one bit slice per language: a slot is a machine word, or several, with a
 bit for each language.  One probe ANDs the words at ``HASHES`` slots and
-returns the bitmask of all languages that contain the n-gram.  A document's
-score for a language is the popcount of its bit over all n-grams of the text,
+returns the bitmask of all languages that hold the n-gram.  A document's score
+for a language is the popcount of its bit over all n-grams of the text,
 corrected for that slice's false-positive rate; the largest one decides.
 
-The model is a table of fixed size (``SLOTS`` words) whatever the corpus.
-Training reads at most ``TRAIN_DOCS`` labelled documents per language, those
-with the smallest hashes, and at most ``TRAIN_CHARS`` characters of each; every
-document is scored on its whole text.
+Training takes at most ``TRAIN_DOCS`` labelled documents per language, those
+with the smallest hashes, and counts their whole texts on the executors; what
+reaches the driver is the filter's non-empty slots, at most ``SLOTS`` words for
+every 64 languages, whatever the corpus.  Every document is scored on its whole
+text; long texts go through in parts that give the n-grams of the whole.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; without
 any trained language every text is ``und``; ties go to the first language in
 alphabetical order; repeated rows give equal rows; an empty table gives no
-rows; null languages do not train.
+rows; null languages do not train, null texts count for nothing; only doc_id,
+text and lang are read, so further columns of any name do not matter, and
+``keep_recognised`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, materialise, small_batches
 
 GRAM = 4
 SLOTS = 1 << 20
@@ -38,9 +42,10 @@ HASHES = 2
 SHARE = 0.3
 LEAST = 3
 TRAIN_DOCS = 1000
-TRAIN_CHARS = 20_000
-#: Code points scored at once; longer texts go in chunks that overlap by GRAM - 1.
+#: Code points scored at once.
 CHUNK = 1 << 20
+#: Languages in one machine word.
+WORD = 64
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -63,15 +68,35 @@ def letters() -> np.ndarray:
 
 def points(text: str) -> np.ndarray:
     """Letters in lower case with single spaces between and around words."""
+    return _single(np.concatenate(([32], _mapped(text), [32])))
+
+
+def _mapped(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     mapped = letters()[np.minimum(raw, 65535)]
     if (raw > 65535).any():  # astral letters stand for themselves
         mapped = np.where(raw > 65535, np.fromiter((ord(c) if c.isalpha() else 32 for c in text), np.uint32, len(raw)), mapped)
-    mapped = np.concatenate(([32], mapped, [32])).astype(np.uint32)
+    return mapped
+
+
+def _single(mapped: np.ndarray) -> np.ndarray:
+    """Runs of spaces become one."""
+    mapped = mapped.astype(np.uint32)
     space = mapped == 32
     return mapped[np.concatenate(([True], ~(space[1:] & space[:-1])))]
 
 
+def text_grams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a whole text, part by part."""
+    tail = np.array([32], np.uint32)
+    for at in range(0, len(text), CHUNK):
+        last = [32] if at + CHUNK >= len(text) else []
+        spelled = _single(np.concatenate((tail, _mapped(text[at : at + CHUNK]), last)))
+        yield grams(spelled)
+        # windows that begin here end in the next part
+        tail = spelled[-(GRAM - 1) :]
+
+
 def grams(spelled: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every window of GRAM letters."""
     n = spelled.size - GRAM + 1
@@ -90,77 +115,94 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 class Model:
-    """The filter, its languages, and each slice's false-positive rate."""
+    """The filter (slots x words), its languages, and each slice's false-positive rate."""
 
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
-        bits = 1 << np.arange(len(languages), dtype=np.uint64)
-        self.bits = bits
-        self.false = np.array([((table & b) > 0).mean() for b in bits]) ** HASHES
+        self.places = [(bit // WORD, np.uint64(1 << bit % WORD)) for bit in range(len(languages))]
+        self.false = np.array([((table[:, w] & b) > 0).mean() for w, b in self.places]) ** HASHES
 
     @classmethod
-    def train(cls, samples: dict[str, list[str]]) -> Model:
-        languages = sorted(samples)
-        counted = []
-        for lang in languages:
-            found = [grams(points(t[:TRAIN_CHARS])) for t in samples[lang]]
-            keys, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
-            counted.append((keys, n, n / max(1, n.sum())))
-        every = np.unique(np.concatenate([c[0] for c in counted] or [np.empty(0, np.uint64)]))
-        top = np.zeros(every.size)
-        for keys, _, rate in counted:
-            at = np.searchsorted(every, keys)
-            top[at] = np.maximum(top[at], rate)
-        table = np.zeros(SLOTS, np.uint64)
-        for bit, (keys, n, rate) in enumerate(counted):
-            kept = keys[(n >= LEAST) & (rate >= SHARE * top[np.searchsorted(every, keys)])]
-            for where in slots(kept):
-                np.bitwise_or.at(table, where, np.uint64(1 << bit))
+    def of(cls, languages: list[str], slot: np.ndarray, word: np.ndarray, bits: np.ndarray) -> Model:
+        table = np.zeros((SLOTS, max(1, -(-len(languages) // WORD))), np.uint64)
+        np.bitwise_or.at(table, (slot, word), bits)
         return cls(languages, table)
 
+    def masks(self, hashes: np.ndarray) -> np.ndarray:
+        """For every n-gram the bits of all languages that hold it."""
+        return functools.reduce(np.bitwise_and, [self.table[w] for w in slots(hashes)])
+
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """Per-language popcounts over all n-grams of the whole text, and their number."""
         hits, total = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), CHUNK):
-            hashes = grams(points(text[max(0, at - GRAM + 1) : at + CHUNK]))
-            mask = functools.reduce(np.bitwise_and, [self.table[w] for w in slots(hashes)])
-            hits += [np.count_nonzero(mask & b) for b in self.bits]
+        for hashes in text_grams(text):
+            mask = self.masks(hashes)
+            hits += [np.count_nonzero(mask[:, w] & b) for w, b in self.places]
             total += hashes.size
         return hits, total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def weigh(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share among the languages' popcounts, and its share of the text's n-grams."""
         if not text or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         hits, total = self.counts(text)
         if not total and not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         true = np.clip((hits - total * self.false) / (1 - self.false), 0, None)
         best = int(true.argmax())
-        return self.languages[best], float(true[best] / true.sum()) if true.sum() else 0.0
+        return self.languages[best], float(true[best] / true.sum()) if true.sum() else 0.0, float(true[best] / max(1, total))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.weigh(text)[:2]
 
 
 def training_rows(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> DataFrame:
     """At most ``per_language`` documents of each language, those with the smallest hashes."""
-    known = docs.where(usable & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(counts) > 64:
-        raise ValueError("a filter slot has bits for 64 languages")
-    if not counts:
-        return known.select("lang", "text")
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     turn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
     # three times as many as are needed pass; the ranking sees only those, however long the table
-    most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, 3 * (per_language << 30) // n + 1))])
-    picked = known.where((turn < F.element_at(most, F.col("lang"))) & F.col("text").isNotNull())
-    picked = picked.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), turn.alias("turn"))
+    most = F.least(F.lit(1 << 30).cast("double"), F.lit(3.0 * per_language * (1 << 30)) / F.col("n") + 1)
+    # a row a language, as many as the filter has slices on every worker anyway
+    picked = known.join(F.broadcast(counts), "lang").where(turn < most).select("lang", "text", turn.alias("turn"))
     ranked = picked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text")))
     return ranked.where(F.col("at") <= per_language).select("lang", "text")
 
 
+def filter_bits(texts: DataFrame, languages: list[str]) -> DataFrame:
+    """slot, word and bits of the filter that holds every language's n-grams, from lang and text."""
+    number = {lang: i for i, lang in enumerate(languages)}
+
+    def count(batches):
+        for batch in batches:
+            held: dict[int, list[np.ndarray]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(number[lang], []).extend(text_grams(text))
+            for lang, found in held.items():
+                keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    counted = texts.select("lang", "text").mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    rated = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row a language
+    # a gram has at most one row a language
+    held = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("in"))
+    held = held.select("gram", F.explode(F.filter("in", lambda x: (x["n"] >= LEAST) & (x["rate"] >= SHARE * F.col("top")))).alias("x"))
+    width = SLOTS.bit_length() - 1
+    where = F.array(*[F.shiftrightunsigned("gram", k * width + 4).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for k in range(HASHES)])
+    set_bits = held.select(F.explode(where).alias("slot"), F.floor(F.col("x.lang") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, x.lang % {WORD})").alias("bits"))
+    return set_bits.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits"))
+
+
 def train(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Model:
-    samples: dict[str, list[str]] = {}
-    for row in training_rows(docs, usable, per_language).toLocalIterator():
-        samples.setdefault(row["lang"], []).append(row["text"])
-    return Model.train(samples)
+    small_batches(docs.sparkSession)
+    picked = materialise(training_rows(docs, usable, per_language), "training")
+    languages = sorted(r["lang"] for r in picked.select("lang").distinct().collect())
+    if not languages:
+        return Model(languages, np.zeros((1, 1), np.uint64))
+    rows = filter_bits(picked, languages).toArrow()
+    slot, word, bits = (rows.column(c).to_numpy() for c in ("slot", "word", "bits"))
+    return Model.of(languages, slot, word, bits.view(np.uint64))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -181,7 +223,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows, with all their columns, whose text has a language with at least this score.
+    """The rows, with all their columns, of whose n-grams one language holds at least this share.
 
     Without a trained language nothing can be told apart and all rows stay.
     """
@@ -191,12 +233,12 @@ def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
 
     @F.pandas_udf("double")
-    def certainty(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def covered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held = Model(*shared.value)
         for texts in batches:
-            yield texts.map(lambda t: held.predict(t)[1])
+            yield texts.map(lambda t: held.weigh(t)[2])
 
-    return docs.where(certainty("text") >= least)
+    return docs.where(covered("text") >= least)
 
 
 def held_out(column: Column, divisor: int = 4, remainder: int = 2) -> Column:
