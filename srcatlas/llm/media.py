@@ -9,8 +9,9 @@ image 64 wide.  The low bit of the payload's crc32 picks PGM or BMP, so equal
 texts give equal values and both decoders carry the corpus.
 
 Cases: a null text is an empty one, an empty payload is 64 zero bytes; very
-long texts make tall images, one in memory at a time; repeated rows give equal
-rows; an empty table gives no rows; only ``doc_id`` and ``text`` are read.
+long texts make tall images, one in memory at a time, resized a few rows at a
+time; repeated rows give equal rows; an empty table gives no rows; only
+``doc_id`` and ``text`` are read, so further columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import small_batches, text_or_empty
 
 WIDTH = 64
 TILE = 32
+#: Image rows summed at once.
+ROWS = 4096
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
     "media_bytes long, media_sha256 string, feature string, format string, tile_npy binary"
@@ -108,7 +111,7 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     elif top != 255:
         samples = (samples.astype(np.int64) * 255 + top // 2) // top
     shape = (height, width, 3) if channels == 3 else (height, width)
-    return samples.astype(np.uint8).reshape(shape)
+    return samples.astype(np.uint8, copy=False).reshape(shape)
 
 
 def _decode_bmp(data: bytes) -> np.ndarray:
@@ -136,17 +139,27 @@ def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means over equal areas, in float64, from an integral image.
 
     A cell's edges fall between samples; the integral image is interpolated
-    there, which is exact for sums over fractions of samples.
+    there, which is exact for sums over fractions of samples.  The image is
+    summed ``ROWS`` rows at a time and only the lines that cells need are kept,
+    so a tall image takes no more memory than a small one.
     """
-    grey = samples if samples.ndim == 2 else samples.mean(axis=2)
-    rows, columns = grey.shape
-    sums = np.zeros((rows + 1, columns + 1))
-    np.cumsum(grey, axis=0, out=sums[1:, 1:], dtype=np.float64)
-    np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
+    rows, columns = samples.shape[:2]
     y, x = np.linspace(0, rows, height + 1), np.linspace(0, columns, width + 1)
-    low = np.minimum(y.astype(np.int64), rows - 1)
-    part = (y - low)[:, None]
-    lines = sums[low] * (1 - part) + sums[low + 1] * part
+    at = np.minimum(y.astype(np.int64), rows - 1)
+    part = y - at
+    lines = np.zeros((height + 1, columns + 1))
+    above = np.zeros(columns + 1)
+    for low in range(0, rows, ROWS):
+        block = samples[low : low + ROWS]
+        grey = block if block.ndim == 2 else block.mean(axis=2)
+        sums = np.zeros((grey.shape[0] + 1, columns + 1))
+        np.cumsum(grey, axis=0, out=sums[1:, 1:], dtype=np.float64)
+        np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
+        sums += above
+        here = np.flatnonzero((at >= low) & (at < low + grey.shape[0]))
+        k = at[here] - low
+        lines[here] = sums[k] * (1 - part[here, None]) + sums[k + 1] * part[here, None]
+        above = sums[-1].copy()
     low = np.minimum(x.astype(np.int64), columns - 1)
     part = x - low
     corners = lines[:, low] * (1 - part) + lines[:, low + 1] * part
@@ -169,16 +182,20 @@ def npy_tile(samples: np.ndarray, side: int = TILE) -> bytes:
 
 
 def media_of(text: bytes) -> tuple:
-    """Stores the text, reads the stored bytes back, and describes what came back."""
-    payload = text + bytes(-len(text) % WIDTH or (0 if text else WIDTH))
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    bmp = zlib.crc32(payload) & 1
-    stored = encode_bmp(samples) if bmp else encode_pgm(samples)
-    back = decode(stored)
-    flat = back.tobytes()
+    """Stores the text, reads the stored bytes back, and describes what came back.
+
+    At most four copies of the text exist at a time: it, its payload, the
+    stored form and what is read back from that.
+    """
+    size = len(text)
+    payload = text + bytes(-size % WIDTH or (0 if text else WIDTH))
+    encode = encode_bmp if zlib.crc32(payload) & 1 else encode_pgm
+    stored = encode(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
+    del payload
+    back = np.ascontiguousarray(decode(stored))
     return (
-        len(text), len(flat), hashlib.sha256(flat).hexdigest(), zlib.crc32(flat[-WIDTH:]),
-        len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(back), "bmp" if bmp else "pgm", npy_tile(back),
+        size, back.size, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-1]),
+        len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(back), "bmp" if stored[:2] == b"BM" else "pgm", npy_tile(back),
     )
 
 

@@ -41,7 +41,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(table(spark, sf_dir, "documents")).drop("tile_npy")
+    return media.text_media(table(spark, sf_dir, "documents")).withColumn("tile_npy", F.sha2("tile_npy", 256)).withColumnRenamed("tile_npy", "tile_sha256")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -54,3 +55,21 @@ def test_facts_are_of_what_was_read_back(docs):
     tile = np.load(io.BytesIO(out[5]["tile_npy"]))
     assert tile.shape == (32, 32) and tile.dtype == np.uint8
     assert media.text_media(docs([])).count() == 0
+
+
+def test_a_tall_image_is_resized_in_parts(monkeypatch):
+    samples = np.random.default_rng(5).integers(0, 256, (1000, 64)).astype(np.uint8)
+    whole = [media.area_resize(samples, h, w) for h, w in ((8, 9), (32, 32), (999, 3))]
+    monkeypatch.setattr(media, "ROWS", 7)
+    parts = [media.area_resize(samples, h, w) for h, w in ((8, 9), (32, 32), (999, 3))]
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_a_very_long_text_needs_little_more_than_its_copies():
+    text = b"0123456789abcdef" * (1 << 21)  # 32 MB
+    tracemalloc.start()
+    facts = media.media_of(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert facts[2] == hashlib.sha256(text).hexdigest()
+    assert peak < 4 * len(text)
