@@ -2,7 +2,7 @@
 
 Documents become pieces of at most ``size`` tokens; only longer documents are
 cut.  Pieces are scattered by a hash of (id, piece) into buckets of about
-``bucket_docs`` documents, so no long document or hot source fills one bucket,
+``bucket_pieces``, so no long document or hot source fills one bucket,
 and each bucket is packed on its own: open a sequence, add the longest piece
 that still fits until none does, then try to replace the sequence's smallest
 piece with two unpacked pieces that fill the enlarged gap more tightly.  A
@@ -12,13 +12,17 @@ grow with the corpus.
 Cases: a null text is an empty one and gives a piece holding the end id alone;
 repeated rows and ids are packed as separate documents; ties go to the smaller
 id; an empty table gives no rows; very long texts are tokenised whole, word by
-word; only ``doc_id`` and ``text`` are read.
+word; only ``doc_id`` and ``text`` are read, so further columns of any name do
+not matter.  A tokenizer whose file is not of the kind that ``WordTokenizer``
+knows encodes whole texts, as slowly as it does by itself.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from array import array
 from unicodedata import is_normalized
@@ -34,11 +38,14 @@ from .wordhash import Words, raw_words
 
 SIZE = 2048
 END = 0
-BUCKET_DOCS = 4096
+BUCKET_PIECES = 4096
+#: Text bytes that make a token, at most, on average: only the number of buckets depends on it.
+TOKEN_BYTES = 4
 #: Slots of a worker's word table, the ids it points to, and parts of words remembered in each of two generations.
 SLOTS = 1 << 20
 POOL = 3 << 21
 PARTS = 100_000
+LONG = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -68,7 +75,9 @@ class WordTokenizer:
     are those of its words in order, and a word's are those of its letters and
     of its punctuation.  Words are looked up by 64-bit hashes in an array of
     ``SLOTS`` (each has two places) that points into a pool of ids; when the
-    pool is full both start anew.
+    pool is full both start anew.  At most a few million words are known at a
+    time, so two of them share a hash with a chance of one in a million; words
+    longer than ``LONG`` bytes, whose hashes could be forged, are not looked up.
     """
 
     def __init__(self, path: str):
@@ -77,6 +86,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = Generations(PARTS)
+        self.fresh = 1
         self._clear()
 
     def _clear(self) -> None:
@@ -86,9 +96,17 @@ class WordTokenizer:
         self.pool = np.zeros(POOL, np.uint32)
         self.used = 0
 
+    def encode_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode(raw_words(column))
+
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a batch, and where each text's begin."""
         hashes = np.maximum(words.hashes(), np.uint64(1))  # 0 marks a free slot
+        long = np.flatnonzero(words.end - words.begin > LONG)
+        if long.size:  # numbers of equal words instead, which no look-up finds twice
+            known: dict[bytes, int] = {}
+            hashes[long] = [self.fresh + known.setdefault(words.raw[b:e].tobytes(), len(known)) for b, e in zip(words.begin[long].tolist(), words.end[long].tolist(), strict=True)]
+            self.fresh += len(known)
         if self.used > POOL // 2:
             self._clear()
         places = [(hashes & np.uint64(SLOTS - 1)).astype(np.int32), ((hashes >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int32)]
@@ -154,10 +172,50 @@ def _shown() -> dict[int, int]:
 
 
 _SHOWN = _shown()
+
+
+class WholeTokenizer:
+    """The same for any tokenizer, by encoding whole texts."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in column.to_pylist()]
+        return np.concatenate([*ids, np.empty(0, np.uint32)]), np.cumsum([0, *(i.size for i in ids)])
+
+
+#: The kind of tokenizer file that gives a text's ids word by word (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether the file is of the kind whose texts can be encoded word by word."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model = made.get("model") or {}
+    added = all(t.get("special") and not t.get("lstrip") and not t.get("rstrip") and not re.search(r"\s", t["content"]) for t in made.get("added_tokens") or ())
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not made.get("truncation") and not made.get("padding")
+    return plain and added and made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == PRE_TOKENIZER
+
+
 @functools.cache
-def shared_tokenizer(path: str) -> WordTokenizer:
+def shared_tokenizer(path: str) -> WordTokenizer | WholeTokenizer:
     """One per Python worker, which goes on using its tables from task to task."""
-    return WordTokenizer(path)
+    return WordTokenizer(path) if by_words(path) else WholeTokenizer(path)
 
 
 _TAIL = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
@@ -180,7 +238,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: boo
     def run(batches):
         tokenizer = shared_tokenizer(tokenizer_path)
         for batch in batches:
-            ids, first = tokenizer.encode(raw_words(batch.column(1)))
+            ids, first = tokenizer.encode_texts(batch.column(1))
             out = []
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 text = ids[first[i] : first[i + 1]].astype("<u4").tobytes() + end
@@ -240,9 +298,11 @@ def _best_pair(kinds: np.ndarray, left: np.ndarray, gap: int, replaced: int) ->
     return int(first[best]), int(kinds[at[best]])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, bucket_docs: int = BUCKET_DOCS, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, bucket_pieces: int = BUCKET_PIECES, keep_ids: bool = False) -> DataFrame:
     """Every piece with its sequence and its place there."""
-    buckets = max(1, round(docs.count() / bucket_docs))
+    # every document gives a piece, and one more for each sequence its tokens fill
+    held = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = max(1, round((held["n"] + (held["bytes"] or 0) / (TOKEN_BYTES * size)) / bucket_pieces))
     cut = pieces(docs, tokenizer_path, size, keep_ids)
     cut = cut if keep_ids else cut.drop("ids")
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -62,7 +63,7 @@ def test_a_crowded_table_forgets_nothing_it_needs(reference, monkeypatch):
 
 def test_pieces_and_places(docs, reference):
     rows = [(1, "word " * 5000), (2, None), (3, ""), (4, "a b c"), (4, "a b c"), (None, "x"), *((i, "some text here " * (i % 40)) for i in range(10, 200))]
-    out = packing.pack(docs(rows), PATH, size=256, bucket_docs=64).collect()
+    out = packing.pack(docs(rows), PATH, size=256, bucket_pieces=64).collect()
     long = sorted((r["start"], r["length"], r["ids_crc32"], r["piece"]) for r in out if r["doc_id"] == 1)
     ids = reference.encode("word " * 5000, add_special_tokens=False).ids + [0]
     expected = [(s, len(ids[s : s + 256]), zlib.crc32(np.array(ids[s : s + 256], "<u4").tobytes()), s // 256) for s in range(0, len(ids), 256)]
@@ -81,3 +82,31 @@ def test_pieces_and_places(docs, reference):
     total = sum(r["length"] for r in out)
     assert len(held) <= -(-total // 256) + 12
     assert packing.pack(docs([]), PATH).count() == 0
+
+
+def test_long_and_repeated_words(reference):
+    texts = ["x" * 600 + " " + "y" * 5000 + " " + "x" * 600, "y" * 5000, "ab" * 400 + "! " + "ab" * 400 + "!"]
+    tokenizer = packing.WordTokenizer(PATH)
+    for _ in range(2):
+        assert encoded(tokenizer, texts) == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {}])
+def test_other_tokenizers_encode_whole_texts(docs, tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        made = json.load(f) | change
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    assert packing.by_words(path) == (not change)
+    texts = ["The Cat's  hat. É x", "", "A,b 12"]
+    plain = Tokenizer.from_file(path)
+    out = {r["doc_id"]: r["ids_crc32"] for r in packing.pack(docs(list(enumerate(texts))), path).collect()}
+    assert out == {i: zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+
+
+def test_buckets_follow_the_pieces(docs):
+    rows = [(i, "word " * 30_000) for i in range(8)]
+    out = packing.pack(docs(rows), PATH, size=64, bucket_pieces=256).collect()
+    assert len({r["sequence_id"] >> 32 for r in out}) >= 8
+    assert len({(r["doc_id"], r["piece"]) for r in out}) == len(out) == 8 * 469
