@@ -8,9 +8,10 @@ frequency
 
 At most (mean shingles per text) / FLOOR shingles occur in a share FLOOR of
 all documents, whatever N, so the table of frequencies that differ from the
-floor has a fixed bound and is broadcast.  It is exact: a shingle that
-frequent overall is that frequent in at least one block of documents, so
-blocks name candidates and a second pass counts them over all documents.
+floor has a fixed bound and is broadcast.  It is exact: blocks of documents
+name the shingles that half that share of them hold; one frequent overall has
+at least half of its share in the blocks that name it, which leaves at most
+twice as many candidates, and a second pass counts those over all documents.
 
 ``BANDS`` x ``ROWS`` samples of improved consistent weighted sampling (Ioffe,
 2010) make the bands.  Exact copies are one representative.  Texts that share
@@ -28,7 +29,10 @@ about ``CHUNK`` by ``CHUNK`` members, each pair in the first band it shares.
 Cases: null and empty texts are equal to each other and form one class; texts
 of fewer words than a shingle are one shingle; a null id forms its own class
 under its copies; repeated rows share a class and all but one are dropped;
-ties go to the smaller id; an empty table gives no rows.
+ties go to the smaller id; an empty table gives no rows; very long texts are
+shingled and sampled whole, a slice of their shingles at a time; only doc_id and
+text are read, and ``deduplicate`` returns the columns of its input whatever
+their names.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ from .wordhash import mix, plain_words, sequence_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-FLOOR = 0.1
+FLOOR = 0.01
 BANDS = 16
 ROWS = 3
 ROUNDS = 3
@@ -54,12 +58,8 @@ ROUNDS = 3
 FEW = 8
 #: Members on each side of a block of the last step.
 CHUNK = 512
-#: Documents of a block that names frequent shingles.
+#: Documents of a block that names frequent shingles, and of a partition on average.
 BLOCK = 2000
-#: Documents for each partition, on average, below which partitions are merged to name them.
-SMALL = 200
-#: Frequent shingles counted in one pass.
-PASS = 1_000_000
 #: Weight classes per factor of two; samples use the class, verification the weight.
 STEPS = 8
 
@@ -103,47 +103,44 @@ class Weights:
 
 def frequent(texts: DataFrame, documents: int, floor: float = FLOOR) -> Weights:
     """Exact document frequencies of all shingles in at least a share ``floor`` of the documents."""
-    spark = texts.sparkSession
 
-    def name(batches):
-        def heavy(sets):
-            keys, n = np.unique(np.concatenate([s for s, _ in sets]), return_counts=True)
-            return keys[n >= floor * len(sets)].view(np.int64)
+    def heavy(sets):
+        keys, n = np.unique(np.concatenate([s for s, _ in sets]), return_counts=True)
+        named = n >= floor / 2 * len(sets)
+        return pa.RecordBatch.from_arrays([pa.array(keys[named].view(np.int64)), pa.array(n[named])], ["s", "n"])
 
+    def name(batches):
         sets = []
         for batch in batches:
             sets += Shingles(batch.column(0)).sets
             if len(sets) >= BLOCK:
-                yield pa.RecordBatch.from_arrays([pa.array(heavy(sets))], ["s"])
+                yield heavy(sets)
                 sets = []
         if sets:
-            yield pa.RecordBatch.from_arrays([pa.array(heavy(sets))], ["s"])
+            yield heavy(sets)
 
     least = floor * documents
     # a block of few texts names most of their shingles, so small partitions are merged
-    merged = texts.select("text").coalesce(max(1, documents // SMALL))
-    named = materialise(merged.mapInArrow(name, "s long").groupBy("s").count(), "frequent")
-    passes = -(-named.count() // PASS)
-    keys, df = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for k in range(passes):
-        part = named.where(F.pmod(F.xxhash64("s"), F.lit(passes)) == k).select("s").toPandas()["s"].to_numpy()
-        table = spark.sparkContext.broadcast(np.sort(part.view(np.uint64)))
-
-        def count(batches, table=table):
-            known = table.value
-            total = np.zeros(known.size, np.int64)
-            for batch in batches:
-                for shingles, _ in Shingles(batch.column(0)).sets:
-                    at = np.minimum(np.searchsorted(known, shingles), known.size - 1)
-                    total[at[known[at] == shingles]] += 1
-            hit = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(known[hit].view(np.int64)), pa.array(total[hit])], ["s", "n"])
-
-        counted = texts.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-        keys.append(counted["s"].to_numpy().astype(np.int64).view(np.uint64))
-        df.append(counted["n"].to_numpy().astype(np.int64))
-        table.unpersist()
-    return Weights(np.concatenate(keys), np.concatenate(df), documents)
+    merged = texts.select("text").coalesce(max(1, documents // BLOCK))
+    named = merged.mapInArrow(name, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least / 2).select("s").toArrow()
+    known = np.sort(named.column("s").to_numpy().astype(np.int64).view(np.uint64))  # at most 2 / floor of a mean text's shingles
+    if not known.size:
+        return Weights(np.empty(0, np.uint64), np.empty(0, np.int64), documents)
+    table = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches):
+        known = table.value
+        total = np.zeros(known.size, np.int64)
+        for batch in batches:
+            for shingles, _ in Shingles(batch.column(0)).sets:
+                at = np.minimum(np.searchsorted(known, shingles), known.size - 1)
+                total[at[known[at] == shingles]] += 1
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(known[hit].view(np.int64)), pa.array(total[hit])], ["s", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    table.unpersist()
+    return Weights(counted.column("s").to_numpy().astype(np.int64).view(np.uint64), counted.column("n").to_numpy().astype(np.int64), documents)
 
 
 class Sampler:
@@ -267,7 +264,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
 def first_pairs(members: DataFrame) -> DataFrame:
     """Every member of a bucket with the bucket's member of most company."""
     busy = F.max(F.struct("company", (-F.col("node")).alias("less"))).alias("busy")
-    pivots = members.groupBy("band").agg(busy).select("band", (-F.col("busy.less")).alias("p"))
+    pivots = materialise(members.groupBy("band").agg(busy).select("band", (-F.col("busy.less")).alias("p")), "pivots")
     return _ordered(members.join(pivots, "band").where("p != node"))
 
 
@@ -282,7 +279,7 @@ def stray_pairs(members: DataFrame, turn: int) -> DataFrame:
         F.count("*").alias("n"), *[F.max(F.struct(F.xxhash64("node", F.lit(7 * turn + k)).alias("h"), "node"))["node"].alias(f"p{k}") for k in range(3)]
     )
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "part", "p0", "p1", "p2")).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
-    largest = largest.where("low < high").select("band", "main")
+    largest = materialise(largest.where("low < high").select("band", "main"), "largest")
     strays = members.join(largest, "band").where("part != main.part").select("band", "node", "part", "main")
     with_main = strays.select("node", F.explode(F.array_distinct(F.array("main.p0", "main.p1", "main.p2"))).alias("p"))
     drawn = strays.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "part")).alias("d"))
@@ -312,7 +309,7 @@ def block_links(members: DataFrame, banded: DataFrame, texts: DataFrame, weights
     buckets = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
     buckets = buckets.where((F.col("parts") > 1) & (F.col("n") > few))
     count = lambda n: F.ceil(n / chunk).cast("int")
-    buckets = buckets.select("band", F.col("main.part").alias("main"), count(F.col("n") - F.col("main.n")).alias("us"), count(F.col("n")).alias("vs"))
+    buckets = materialise(buckets.select("band", F.col("main.part").alias("main"), count(F.col("n") - F.col("main.n")).alias("us"), count(F.col("n")).alias("vs")), "blocks")
     held = members.join(buckets, "band").withColumn("stray", F.col("part") != F.col("main"))
     dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = held.select("band", "node", "part", "stray", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("u"), dealt("vs", 3).alias("v"))
@@ -383,7 +380,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     # equal ids are one document, whatever their texts
     nodes = groups.where(F.col("node").isNotNull() & (F.size("bands") > 0))
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # written first: a join of two plain shuffles can split a hot band, one with an aggregate cannot
+    shared = materialise(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = banded.join(shared, "band")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = materialise(members.join(company, "node").select("band", "node", "company"), "members")
@@ -444,7 +442,10 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with all its columns."""
     found = classes(docs, **options).where("kept").select("doc_id", "k1", "k2").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(17), text)})
-    on = (marked["__k1"] == found["k1"]) & (marked["__k2"] == found["k2"]) & marked["doc_id"].eqNullSafe(found["doc_id"])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.join(found, on, "left_semi").dropDuplicates(["doc_id", "__k1", "__k2"]).select(*names)
+    # all of a row in one column, so that no name can clash
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("one"), F.xxhash64(F.lit(17), text).alias("two"),
+    )
+    on = (marked["one"] == found["k1"]) & (marked["two"] == found["k2"]) & marked["id"].eqNullSafe(found["doc_id"])
+    return marked.join(found, on, "left_semi").dropDuplicates(["id", "one", "two"]).select("row.*")

@@ -89,7 +89,7 @@ _CLASSES = r"""with recursive t as (select doc_id, regexp_extract_all(lower(coal
 g as (select doc_id, case when len(words) between 1 and 4 then [array_to_string(words, ' ')] when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i : array_to_string(words[i : i + 4], ' ')) else [] end as grams from t),
 s as (select doc_id, gram, 1 + ln(count(*)) as tf from (select doc_id, unnest(grams) as gram from g) group by doc_id, gram),
 n as (select count(*) as n from documents),
-d as (select gram, 1 + log10(1 + n.n / greatest(count(*), 0.1 * n.n)) as idf, count(*) as df from s, n group by gram, n.n),
+d as (select gram, 1 + log10(1 + n.n / greatest(count(*), 0.01 * n.n)) as idf, count(*) as df from s, n group by gram, n.n),
 v as (select s.doc_id, s.gram, s.tf * d.idf as w, d.df from s join d using (gram)),
 total as (select doc_id, sum(w) as w from v group by doc_id),
 pairs as (select x.doc_id as a, y.doc_id as b, sum(least(x.w, y.w)) as shared from v x join v y on x.gram = y.gram and x.doc_id < y.doc_id where x.df > 1 group by x.doc_id, y.doc_id),
