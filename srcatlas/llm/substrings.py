@@ -12,15 +12,17 @@ super-k-mer.  Equal windows have equal minimisers, so
    bucket, sorting ranks the windows exactly and gives each its smallest id;
 4. minimisers with more than ``HOT`` different strings (a passage that a large
    share of the corpus holds in changing surroundings) are split: their
-   windows are counted one by one under 128-bit hashes, again combined before
-   the shuffle, so no bucket grows with the corpus;
+   windows are dealt out one by one by 128-bit hashes, again combined before
+   the shuffle, so no bucket grows with the corpus.  Both ways rank every
+   window, so the limit decides where the work is done, not what is found;
 5. every word covered by a window that also starts in a text with a smaller id
    is removed.  Windows are judged on the input.
 
 Cases: a null text has no words; texts shorter than a window keep all words;
 equal (id, text) rows share one result and do not count against each other; a
 null id owns nothing and loses only what others own; an empty table gives no
-rows; long texts are handled whole.
+rows; very long texts are handled whole; only doc_id and text are read, so
+further columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -172,8 +174,8 @@ def split_owners(strings: DataFrame, window: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["p1", "p2", "at", "w1", "w2", "doc_id"])
 
-    windows = strings.select("p1", "p2", "packed", "doc_id").mapInArrow(go, "p1 long, p2 long, at long, w1 long, w2 long, doc_id long")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"))
+    windows = materialise(strings.select("p1", "p2", "packed", "doc_id").mapInArrow(go, "p1 long, p2 long, at long, w1 long, w2 long, doc_id long"), "windows")
+    least = materialise(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner")), "owners")
     placed = windows.join(least, ["w1", "w2"]).groupBy("p1", "p2").agg(F.sort_array(F.collect_set(F.struct("at", "owner"))).alias("o"))
     return placed.select("p1", "p2", F.col("o.owner").alias("owners"))
 
@@ -205,7 +207,7 @@ def same(left: DataFrame, right: DataFrame) -> Column:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the kept words of every row."""
+    """doc_id, n_words, n_removed and the digest of the kept words of every row."""
     small_batches(docs.sparkSession)
     texts = keyed(docs)
     seen = materialise(scan(texts, window, run), "kmers")
@@ -216,7 +218,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: i
     kmers = firsts.select("doc_id", "k1", "k2", F.explode(F.arrays_zip("s.starts", "s.ns", "s.lows")).alias("z")).select(
         "doc_id", "k1", "k2", F.col("z.starts").alias("start"), F.col("z.ns").alias("n"), F.col("z.lows").alias("low")
     )
-    shared = kmers.groupBy("low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("low")
+    # written first: a join of two plain shuffles can split a hot minimiser, one with an aggregate cannot
+    shared = materialise(kmers.groupBy("low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("low"), "shared")
     surviving = kmers.join(shared, "low").groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("start", "n", "low")).alias("found"))
     # texts travel once; those with surviving super-k-mers are kept for the cut
     joined = texts.join(surviving, same(texts, surviving)).select(texts["doc_id"], texts["k1"], texts["k2"], texts["text"], surviving["found"])
@@ -225,7 +228,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: i
 
     # equal strings are combined in every task before they travel
     strings = occurrences.groupBy("low", "p1", "p2", "packed").agg(F.min("doc_id").alias("doc_id"))
-    crowded = occurrences.groupBy("low").agg(F.approx_count_distinct("p1").alias("n")).where(F.col("n") > hot).select("low")
+    crowded = materialise(occurrences.groupBy("low").agg(F.approx_count_distinct("p1").alias("n")).where(F.col("n") > hot).select("low"), "crowded")
+    strings = materialise(strings, "strings")
     cool = bucket_owners(strings.join(crowded, "low", "left_anti"), window)
     warm = split_owners(strings.join(crowded, "low", "left_semi"), window)
     owners = cool.unionByName(warm)

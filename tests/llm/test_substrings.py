@@ -48,3 +48,12 @@ def test_against_brute_force(docs, hot):
 
 def test_empty_table(docs):
     assert substrings.remove_repeats(docs([])).count() == 0
+
+
+def test_a_very_long_text_and_clashing_columns(docs):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words[:200])), (2, " ".join([*words[20_000:], *words[:20_000]])), (3, " ".join(words[-300:]))]
+    out = substrings.remove_repeats(docs(rows).selectExpr("*", "1 as start", "2 as low", "3 as found", "4 as at", "5 as m0")).collect()
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out)
+    assert got == brute(rows, 50) and got[1][2] == 200 and got[2][2] == 300
