@@ -280,9 +280,9 @@ def stray_pairs(members: DataFrame, turn: int) -> DataFrame:
     )
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "part", "p0", "p1", "p2")).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
     largest = materialise(largest.where("low < high").select("band", "main"), "largest")
-    strays = members.join(largest, "band").where("part != main.part").select("band", "node", "part", "main")
+    strays = materialise(members.join(largest, "band").where("part != main.part").select("band", "node", "part", "main"), "strays")
     with_main = strays.select("node", F.explode(F.array_distinct(F.array("main.p0", "main.p1", "main.p2"))).alias("p"))
-    drawn = strays.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "part")).alias("d"))
+    drawn = materialise(strays.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "part")).alias("d")), "drawn")
     among = strays.join(drawn, "band").where("part != d.part").select("node", F.col("d.node").alias("p"))
     pairs = with_main.unionByName(among)
     return _ordered(pairs)
@@ -291,7 +291,8 @@ def stray_pairs(members: DataFrame, turn: int) -> DataFrame:
 def few_pairs(members: DataFrame, few: int = FEW) -> DataFrame:
     """All pairs of different components in buckets of at most ``few`` members."""
     sizes = members.groupBy("band").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    held = members.join(sizes.where((F.col("n") <= few) & (F.col("low") < F.col("high"))).select("band"), "band").select("band", "node", "part")
+    sizes = materialise(sizes.where((F.col("n") <= few) & (F.col("low") < F.col("high"))).select("band"), "few")
+    held = materialise(members.join(sizes, "band").select("band", "node", "part"), "held")
     others = held.select("band", F.col("node").alias("p"), F.col("part").alias("p_part"))
     return _ordered(held.join(others, "band").where("p < node and p_part != part").select("node", "p"))
 

@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: i
     marks = lost.groupBy("doc_id", "k1", "k2").agg(F.flatten(F.collect_list("at")).alias("at"))
     marked = _cut(held.drop("found"), marks, window)
 
-    first = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"))
+    first = materialise(seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id")), "firsts")
     base = seen.select("doc_id", "k1", "k2", "n_words", "sha").join(first, ["k1", "k2"])
     copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
