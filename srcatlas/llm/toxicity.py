@@ -15,8 +15,8 @@ decide which examples are near; with it no term is dropped.
 The examples' unit vectors form an inverted index.  Examples are ordered so
 that similar ones share a block; every term keeps, per block, its postings and
 their largest weight.  A query bounds each block by the sum of
-its weights times those maxima, opens blocks in the order of their bounds and
-stops when the next bound cannot beat the k-th best score, so the k nearest
+its weights times those maxima, opens the blocks of the largest bounds, and then
+all others whose bounds reach the k-th best score so far, so the k nearest
 examples are exact.  Neighbours vote with weight 1 / (1 + SHARPNESS - cosine);
 leave-one-out votes of the examples calibrate the result monotonically.
 
@@ -52,15 +52,16 @@ FLOOR = 0.1
 EVIDENCE = 100.0
 NEIGHBOURS = 15
 SHARPNESS = 0.05
-BLOCK = 64
+BLOCK = 256
 #: Rounds that settle the two halves of the examples when blocks are formed.
 HALVINGS = 3
-#: Blocks opened at first; every further round opens twice as many.
-OPEN = 16
+#: Blocks opened at first, whose k-th score bounds the rest.
+OPEN = 8
 #: Scores of equal texts that a task remembers.
 KNOWN = 20_000
 THRESHOLD = 0.7
 PRIOR = 1.0
+BITS = 20
 SCHEMA = "doc_id long, score double, neighbours array<long>, similarities array<float>"
 
 
@@ -71,24 +72,34 @@ def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Numbers of the vocabulary's terms among many hashes."""
+    """Numbers of the vocabulary's terms among many hashes.
+
+    A hash's first ``BITS`` bits say where in the sorted vocabulary it would
+    be, up to the few terms that share them.
+    """
 
     def __init__(self, vocabulary: np.ndarray):
         self.vocabulary = vocabulary  # sorted
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(vocabulary >> np.uint64(42)).astype(np.int64)] = True
+        top = (vocabulary >> np.uint64(64 - BITS)).astype(np.int64)
+        held = np.bincount(top, minlength=1 << BITS)
+        self.first = (np.cumsum(held) - held).astype(np.int32)
+        self.most = int(held.max())
 
     def counts(self, words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text: its vocabulary terms, ascending, and how often each occurs."""
         texts = words.first.size - 1
         hashes = words.hashes()
-        maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(42)).astype(np.int64)])
-        if not self.vocabulary.size or not maybe.size:
+        if not self.vocabulary.size or not hashes.size:
             return [(np.empty(0, np.int64), np.empty(0, np.int64))] * texts
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), self.vocabulary.size - 1)
-        hit = self.vocabulary[at] == hashes[maybe]
-        text = np.searchsorted(words.first, maybe[hit], "right") - 1
-        keys, n = np.unique(text * self.vocabulary.size + at[hit], return_counts=True)
+        begin = self.first.take((hashes >> np.uint64(64 - BITS)).astype(np.int64))
+        at = np.full(hashes.size, -1, np.int64)
+        for i in range(self.most):
+            here = np.minimum(begin + i, self.vocabulary.size - 1)
+            at = np.where(self.vocabulary.take(here) == hashes, here, at)
+        maybe = np.flatnonzero(at >= 0)
+        hit = at[maybe]
+        text = np.searchsorted(words.first, maybe, "right") - 1
+        keys, n = np.unique(text * self.vocabulary.size + hit, return_counts=True)
         owner, term = np.divmod(keys, self.vocabulary.size)
         cut = np.searchsorted(owner, np.arange(texts + 1))
         return [(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -140,9 +151,9 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)])
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
         self.order = arranged(term, weight, count, size)
-        place = np.empty(len(vectors), np.int64)
-        place[self.order] = np.arange(len(vectors))
-        at = np.repeat(place, count)
+        self.home = np.empty(len(vectors), np.int64)
+        self.home[self.order] = np.arange(len(vectors))
+        at = np.repeat(self.home, count)
         by = np.lexsort((at, term))
         term, self.place, self.weight = term[by], at[by].astype(np.int32), weight[by]
         block = self.place // BLOCK
@@ -161,27 +172,34 @@ class BlockMaxIndex:
             return []
         n = self.first[term + 1] - self.first[term]
         entries, w = spans(self.first[term], n), np.repeat(weight, n)
-        block = self.block[entries]
-        bound = np.bincount(block, w * self.top[entries], self.blocks)
+        block = self.block.take(entries)
+        bound = np.bincount(block, w * self.top.take(entries), self.blocks)
         ranked = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
-        score, example = np.empty(0), np.empty(0, np.int64)
-        at, step = 0, OPEN
-        # sums in another order may differ in their last digits
-        while at < ranked.size and not (score.size == k and bound[ranked[at]] < score[-1] - 1e-9):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[ranked[at : at + step]] = True
-            self.opened += int(chosen.sum())
-            held = np.flatnonzero(chosen[block])
-            size = self.cut[entries[held] + 1] - self.cut[entries[held]]
-            postings = spans(self.cut[entries[held]], size)
-            found = np.bincount(self.place[postings], np.repeat(w[held], size) * self.weight[postings])
-            hit = np.flatnonzero(found > 0)
-            hit = hit[self.order[hit] != without]
-            score, example = np.concatenate((score, found[hit])), np.concatenate((example, self.order[hit]))
-            best = np.lexsort((example, -score))[:k]
-            score, example = score[best], example[best]
-            at, step = at + step, 2 * step
-        return list(zip(score.tolist(), example.tolist(), strict=True))
+        found = np.zeros(self.order.size)
+        # the best blocks give a k-th score; then all blocks that may beat it are opened at once
+        least = 0.0
+        for chosen in (ranked[:OPEN], ranked[OPEN:]):
+            # sums in another order may differ in their last digits
+            chosen = chosen[bound[chosen] >= least - 1e-9]
+            if not chosen.size:
+                break
+            self.opened += chosen.size
+            mark = np.zeros(self.blocks, bool)
+            mark[chosen] = True
+            held = np.flatnonzero(mark.take(block))
+            entry = entries.take(held)
+            begin = self.cut.take(entry)
+            size = self.cut.take(entry + 1) - begin
+            postings = spans(begin, size)
+            found += np.bincount(self.place.take(postings), np.repeat(w.take(held), size) * self.weight.take(postings), found.size)
+            if without >= 0:
+                found[self.home[without]] = 0
+            if np.count_nonzero(found) >= k:
+                least = np.partition(found, found.size - k)[found.size - k]
+        hit = np.flatnonzero((found > 0) & (found >= least))
+        score, example = found[hit], self.order[hit]
+        best = np.lexsort((example, -score))[:k]
+        return list(zip(score[best].tolist(), example[best].tolist(), strict=True))
 
 
 class Model:

@@ -29,6 +29,14 @@ def corpus(n=400, seed=2):
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10_000))
 def test_index_returns_the_nearest(seed):
+    toxicity.BLOCK, block = (8, 32, 256)[seed % 3], toxicity.BLOCK
+    try:
+        nearest_by_all_pairs(seed)
+    finally:
+        toxicity.BLOCK = block
+
+
+def nearest_by_all_pairs(seed):
     rng = np.random.default_rng(seed)
     size, n, k = 20, int(rng.integers(0, 150)), int(rng.integers(1, 8))
     dense = rng.random((n, size)) * (rng.random((n, size)) < 0.15)
@@ -42,7 +50,8 @@ def test_index_returns_the_nearest(seed):
     assert [(round(-s, 9), i) for s, i in found] == expected
 
 
-def test_pruning_skips_blocks():
+def test_pruning_skips_blocks(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 32)
     vectors = [(np.array([i // 64]), np.array([1.0])) for i in range(640)]
     index = toxicity.BlockMaxIndex(vectors, 10)
     assert [i for _, i in index.nearest(np.array([3]), np.array([1.0]), 5)] == [192, 193, 194, 195, 196]
