@@ -71,10 +71,10 @@ def overlay(children: DataFrame, parents: DataFrame, key: str, fields: list[str]
 
 def check_report(constraints: DataFrame, shown: int = 10) -> DataFrame:
     """Files by level in order of severity, ``shown`` of each, and how many more there are."""
-    ranked = constraints.withColumn("rank", level_rank(F.col("level")))
-    order = Window.partitionBy("level").orderBy("path")
-    listed = ranked.withColumn("at", F.row_number().over(order)).withColumn("more", F.greatest(F.count("*").over(Window.partitionBy("level")) - shown, F.lit(0)))
-    return listed.where(F.col("at") <= shown).select(F.col("rank").cast("long").alias("rank"), "level", F.col("at").cast("long").alias("at"), "path", "more")
+    counts = constraints.groupBy("level").agg(F.greatest(F.count("*") - shown, F.lit(0)).alias("more"))  # a row a level
+    # only the first of each level leave their tasks
+    listed = constraints.withColumn("at", F.row_number().over(Window.partitionBy("level").orderBy("path"))).where(F.col("at") <= shown)
+    return listed.join(counts, "level").select(level_rank(F.col("level")).cast("long").alias("rank"), "level", F.col("at").cast("long").alias("at"), "path", "more")
 
 
 def guardrails(lines: DataFrame) -> DataFrame:

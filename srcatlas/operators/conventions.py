@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, parent
@@ -40,7 +40,12 @@ def naming(files: DataFrame) -> DataFrame:
     folder = F.when(parent(F.col("path")) == "", ".").otherwise(parent(F.col("path")))
     named = files.select(folder.alias("folder"), file_name(F.col("path")).alias("name"))
     seen = named.withColumn("suffix", F.when(~F.col("name").startswith("."), suffix(F.col("name"))))
-    counted = seen.groupBy("folder", "suffix").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names"))
+    counted = seen.groupBy("folder", "suffix").agg(F.count("*").alias("n"))
+    # only a folder's first names of each suffix leave their tasks
+    order = Window.partitionBy("folder", "suffix").orderBy("name")
+    first = seen.where(F.col("suffix").isNotNull()).distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= EXAMPLES)
+    first = first.groupBy("folder", "suffix").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    counted = counted.join(first, ["folder", "suffix"], "left")
     whole = counted.groupBy("folder").agg(
         F.sum("n").alias("files"),
         F.sum(F.when(F.col("suffix").isNotNull(), F.col("n"))).alias("shown"),
@@ -86,8 +91,12 @@ def convention_for(paths: DataFrame, conventions: DataFrame) -> DataFrame:
 
 def similar_files(files: DataFrame, most: int = 5) -> DataFrame:
     """Up to ``most`` other files in a file's folder, by name."""
-    listed = files.groupBy(parent(F.col("path")).alias("folder")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    joined = files.select("path", parent(F.col("path")).alias("folder")).join(listed, "folder")
+    folder = parent(F.col("path"))
+    # a file's own path may be among the first, so one more is kept
+    order = Window.partitionBy("folder").orderBy("path")
+    first = files.select(folder.alias("folder"), "path").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= most + 1)
+    listed = first.groupBy("folder").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    joined = files.select("path", folder.alias("folder")).join(listed, "folder")
     return joined.select("path", F.slice(F.array_remove("paths", F.col("path")), 1, most).alias("similar"))
 
 

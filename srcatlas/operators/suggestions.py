@@ -159,14 +159,27 @@ def module_name(path: Column) -> Column:
     return F.when(stem(path).isin(*GENERIC_STEMS), humanize(file_name(parent(path)))).otherwise(humanize(stem(path)))
 
 
+# Verbs whose summary does not follow from their ending.
+VERBS = {
+    "is": "Checks if", "has": "Checks if has", "can": "Checks if can", "should": "Determines if should", "will": "Determines if will",
+    "does": "Checks if does", "concat": "Concatenates", "calc": "Calculates", "init": "Initializes", "setup": "Sets up",
+    "teardown": "Tears down", "cleanup": "Cleans up", "login": "Logs in", "logout": "Logs out", "equals": "Checks equality",
+    "spy": "Spies on", "rollback": "Rolls back", "checkout": "Checks out", "mkdir": "Creates directory", "rmdir": "Removes directory",
+    "chmod": "Changes permissions", "chown": "Changes ownership", "stat": "Gets stats for", "exists": "Checks if exists",
+}
+
+
 def third_person(verb: Column) -> Column:
-    """A verb's third person by its ending."""
+    """A verb as a summary begins: fixed phrases, else its third person by its ending."""
     low = F.lower(verb)
-    return (
-        F.when(low.rlike("(s|x|z|ch|sh|o)$"), F.concat(low, F.lit("es")))
+    table = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
+    ending = (
+        F.when(low.rlike("(x|ch|sh|ss|us|is)$"), F.concat(low, F.lit("es")))
+        .when(low.rlike("s$"), low)
         .when(low.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(low, "y$", ""), F.lit("ies")))
         .otherwise(F.concat(low, F.lit("s")))
     )
+    return F.coalesce(F.try_element_at(table, low), capitalize(ending))
 
 
 def summary(name: Column, kind: Column) -> Column:
@@ -174,7 +187,7 @@ def summary(name: Column, kind: Column) -> Column:
     parts = words(name)
     low = F.transform(parts, F.lower)
     head = third_person(F.get(parts, F.lit(0)))
-    verb = F.trim(F.concat_ws(" ", capitalize(head), F.array_join(F.slice(low, 2, F.greatest(F.size(low) - 1, F.lit(0))), " ")))
+    verb = F.trim(F.concat_ws(" ", head, F.array_join(F.slice(low, 2, F.greatest(F.size(low) - 1, F.lit(0))), " ")))
     noun = capitalize(F.array_join(low, " "))
     made = (
         F.when(kind.isin("function", "method"), verb)
@@ -185,6 +198,48 @@ def summary(name: Column, kind: Column) -> Column:
     return F.when((F.length(name) < 3) | made.isNull(), F.lit(None)).when(poor, F.concat_ws(" ", capitalize(F.lower(name)), kind)).otherwise(made)
 
 
+def by_file(files: DataFrame) -> DataFrame:
+    """Module name and summary for whole files (path, target, line)."""
+    name = module_name(F.col("path"))
+    made = F.array(_one("module", name, 0.7), _one("summary", F.concat(name, F.lit(" module")), 0.5))
+    return _emit(files, F.when(name.isNotNull() & (name != ""), made).otherwise(F.slice(made, 1, 0)))
+
+
+def heuristic(targets: DataFrame, history: DataFrame | None = None, summaries: bool = True) -> DataFrame:
+    """All heuristics of every target, in their order.
+
+    ``targets``: path, target, line, kind (null for a whole file), visibility,
+    exported.  Whole files get module suggestions only; symbols those of their
+    name, path, visibility, summary, and of their file's history (``history``:
+    path, commits, authors, days, added, removed).
+    """
+    wanted = ["path", "target", "line"]
+    symbols = targets.where(F.col("kind").isNotNull())
+    parts = [by_file(targets.where(F.col("kind").isNull()).select(*wanted)), by_name(symbols), by_path(symbols.select(*wanted))]
+    parts.append(by_visibility(symbols.where(F.col("visibility").isNotNull())))
+    if summaries:
+        made = symbols.withColumn("made", summary(F.col("target"), F.col("kind"))).where(F.col("made").isNotNull())
+        parts.append(_emit(made, F.array(_one("summary", F.col("made"), 0.6))))
+    if history is not None:
+        parts.append(by_history(symbols.select(*wanted).join(history, "path")))
+    columns = ["target", "line", "kind", "value", "confidence", "source"]
+    # a later heuristic's suggestions come after all of an earlier one's
+    rows = [p.select(*columns, (F.lit(1000 * (i + 1)) + F.col("ord")).cast("long").alias("ord")) for i, p in enumerate(parts)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def assemble(converted: DataFrame, found: DataFrame, level: str = "standard", least: float = 0.0) -> DataFrame:
+    """One suggestion for each gap's kind: from its doc comment first, else from the heuristics.
+
+    ``converted`` and ``found``: target, line, kind, value, confidence, source, ord.
+    """
+    columns = ["target", "line", "kind", "value", "confidence", "source", "ord"]
+    return priority(converted.select(*columns).unionByName(found.select(*columns)), level, least)
+
+
 def eligible(visibility: Column, kind: Column) -> Column:
     """Which symbols to annotate: public ones, and other visible types."""
     types = kind.isin("class", "struct", "interface", "trait")

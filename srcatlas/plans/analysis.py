@@ -110,11 +110,13 @@ def a06(spark, sf_dir):
     return suggestions.by_name(derived(spark, sf_dir, _SYMBOLS)).select("target", "line", "kind", "value", "confidence")
 
 
-_THIRD = "case when regexp_matches(lower(w[1]), '(s|x|z|ch|sh|o)$') then lower(w[1]) || 'es' when regexp_matches(lower(w[1]), '[^aeiou]y$') then regexp_replace(lower(w[1]), 'y$', '') || 'ies' else lower(w[1]) || 's' end"
+_VERB = "case lower(w[1]) " + " ".join(f"when '{k}' then '{v}'" for k, v in suggestions.VERBS.items())
+_ENDED = "case when regexp_matches(lower(w[1]), '(x|ch|sh|ss|us|is)$') then lower(w[1]) || 'es' when ends_with(lower(w[1]), 's') then lower(w[1]) when regexp_matches(lower(w[1]), '[^aeiou]y$') then regexp_replace(lower(w[1]), 'y$', '') || 'ies' else lower(w[1]) || 's' end"
+_THIRD = f"{_VERB} else upper(({_ENDED})[1]) || substr({_ENDED}, 2) end"
 
 
 @query("a07_symbol_summary", f"""with s as ({_SYMBOLS}), t as (select target, kind, list_filter(string_split(replace(regexp_replace(regexp_replace(target, '([A-Z])', ' \\1', 'g'), '^ ', ''), '_', ' '), ' '), lambda x : x <> '') as w from s),
-m as (select target, kind, case when kind in ('function', 'method') then trim(upper({_THIRD}[1]) || substr({_THIRD}, 2) || ' ' || array_to_string(list_transform(w[2:], lambda x : lower(x)), ' '))
+m as (select target, kind, case when kind in ('function', 'method') then trim({_THIRD} || ' ' || array_to_string(list_transform(w[2:], lambda x : lower(x)), ' '))
 when kind = 'class' then upper(w[1][1]) || substr(array_to_string(list_transform(w, lambda x : lower(x)), ' '), 2) else array_to_string(w, '') || ' ' || kind end as made from t)
 select target, kind, case when len(made) < 5 or regexp_matches(made, '(eses|sses)(\\s|$)|  ') then upper(target[1]) || substr(lower(target), 2) || ' ' || kind else made end as summary from m""")
 def a07(spark, sf_dir):

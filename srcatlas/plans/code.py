@@ -35,8 +35,8 @@ raw as (select path, line_no, {_grab(notes.PATTERN, 1)} as name, {_grab(notes.PA
 more as (select path, line_no, trim(regexp_extract(text, '{notes.CONTINUATION}', 1)) as added from lines where regexp_matches(text, '{notes.CONTINUATION}')),
 said as (select r.path, r.line_no, r.name, r.value, nullif(trim(concat_ws(' ', r.own, m.added)), '') as own from raw r left join more m on m.path = r.path and m.line_no = r.line_no + 1),
 notes as (select path, line_no, name, value, coalesce(own, case when name = 'lock' then {_case(LOCK_DIRECTIVES, "coalesce(value, 'normal')")} when name = 'purpose' then trim(value, '"') else {_case(DIRECTIVES, "name")} end) as directive, own is null as auto_generated from said),
-opened as (select *, max(case when name in ('symbol', 'fn', 'function', 'class', 'method') then line_no end) over (partition by path order by line_no) as opener_line from notes),
-scoped as (select o.*, trim(p.value, '"') as symbol, p.name as opener, p.directive as opener_directive from opened o left join notes p on p.path = o.path and p.line_no = o.opener_line)
+opened as (select *, last_value(case when name in ('symbol', 'fn', 'function', 'class', 'method') then {{'l': line_no, 's': trim(value, '"'), 'n': name, 'd': directive}} end ignore nulls) over (partition by path order by line_no rows between unbounded preceding and current row) as o from notes),
+scoped as (select * exclude (o), o.l as opener_line, o.s as symbol, o.n as opener, o.d as opener_directive from opened)
 """
 
 

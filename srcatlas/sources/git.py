@@ -1,7 +1,8 @@
 """Version-control facts of one repository as Spark data sources.
 
-One bulk ``git`` command gives each table.  A repository is read where it is
-checked out, so these sources have one partition.
+One bulk ``git`` command gives the log and the status; blame takes a command a
+file, dealt out in lists of ``BLAMED``.  The repository must be checked out at
+the same path wherever tasks run.
 """
 
 from __future__ import annotations
@@ -11,31 +12,42 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _MARK = "\x1e"
+#: Files that one task blames.
+BLAMED = 64
 LOG = "path string, commit_id string, author string, email string, ts timestamp, message string, added long, removed long"
 BLAME = "path string, line_no long, commit_id string, author string, email string, ts timestamp, summary string"
 STATUS = "path string, status string"
 
 
 def run(repo: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, check=True, errors="replace").stdout
+    return subprocess.run(["git", "-C", repo, "-c", "core.quotepath=off", *args], capture_output=True, check=True).stdout.decode("utf-8", "replace")
 
 
 def log_rows(repo: str) -> Iterator[tuple]:
-    """One row per commit and changed path, against the first parent, without renames."""
+    """One row per commit and changed path, against the first parent, without renames; paths as they are."""
     form = _MARK + "%H%x1f%an%x1f%ae%x1f%ct%x1f%s"
-    text = run(repo, "log", "--date-order", "--diff-merges=first-parent", "--no-renames", "--numstat", f"--format={form}")
+    text = run(repo, "log", "-z", "--date-order", "--diff-merges=first-parent", "--no-renames", "--numstat", f"--format={form}")
     for block in text.split(_MARK)[1:]:
-        head, _, body = block.partition("\n")
-        commit, author, email, seconds, message = head.split("\x1f")
-        for line in body.strip().split("\n"):
-            if line:
-                added, removed, path = line.split("\t", 2)
+        head, *changes = block.split("\0")
+        commit, author, email, seconds, message = head.strip("\n").split("\x1f")
+        for change in changes:
+            if change.count("\t") >= 2:
+                added, removed, path = change.lstrip("\n").split("\t", 2)
                 yield path, commit, author or "Unknown", email, datetime.fromtimestamp(int(seconds), UTC), message, int(added) if added != "-" else 0, int(removed) if removed != "-" else 0
 
 
+def tracked(repo: str) -> list[str]:
+    """The paths that the index holds."""
+    return [p for p in run(repo, "ls-files", "-z").split("\0") if p]
+
+
+def is_tracked(repo: str, path: str) -> bool:
+    return path in tracked(repo)
+
+
 def blame_rows(repo: str, paths: list[str]) -> Iterator[tuple]:
     for path in paths:
         facts: dict[str, str] = {}
@@ -60,21 +72,38 @@ _STATES = (
 
 
 def status_rows(repo: str) -> Iterator[tuple]:
-    for entry in run(repo, "status", "--porcelain", "-z").split("\0"):
+    """path and state; a renamed or copied file under its new path."""
+    entries = iter(run(repo, "status", "--porcelain", "-z").split("\0"))
+    for entry in entries:
         if len(entry) > 3:
-            state = next((name for codes, name in _STATES if entry[:2] in codes), "modified")
-            yield entry[3:], state
+            if entry[0] in "RC" or entry[1] in "RC":
+                next(entries, None)  # the path it came from
+            yield entry[3:], next((name for codes, name in _STATES if entry[:2] in codes), "modified")
+
+
+class _Paths(InputPartition):
+    """The files that one task blames."""
+
+    def __init__(self, paths: list[str]):
+        super().__init__(0)
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
 
+    def partitions(self) -> list[InputPartition]:
+        if self.options.get("table", "log") != "blame":
+            return [InputPartition(0)]
+        paths = [p for p in self.options.get("paths", "").split("\n") if p] or tracked(self.options["path"])
+        size = int(self.options.get("filespertask", BLAMED))
+        return [_Paths(paths[at : at + size]) for at in range(0, len(paths), size)] or [_Paths([])]
+
     def read(self, partition) -> Iterator[tuple]:
         repo, kind = self.options["path"], self.options.get("table", "log")
         if kind == "blame":
-            paths = [p for p in self.options.get("paths", "").split("\n") if p] or run(repo, "ls-files").split("\n")[:-1]
-            return blame_rows(repo, paths)
+            return blame_rows(repo, partition.paths)
         return log_rows(repo) if kind == "log" else status_rows(repo)
 
 

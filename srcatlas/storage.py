@@ -8,12 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where it is unset (on one machine) a temporary one."""
+    """The folder named in ``spark.checkpoint.dir``; only on one machine, where it may be unset, a temporary one."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return named or found.get()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     named = named or tempfile.mkdtemp(prefix="srcatlas-")
     context.setCheckpointDir(named)
     return named

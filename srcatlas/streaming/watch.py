@@ -14,6 +14,8 @@ from ..operators.attempts import upsert
 from ..schema import EXCLUDE, INCLUDE
 
 BUCKETS = 16
+#: What the table of indexed files is called after, and changed files read at once.
+FILES, REREAD = "_files", 1000
 
 
 def changed_files(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, per_trigger: int = 1000) -> DataFrame:
@@ -40,43 +42,85 @@ def upsert_annotations(target: str, buckets: int = BUCKETS) -> Callable[[DataFra
         newest = batch.groupBy("path").agg(F.max_by("content", "modified_at").alias("content"))
         fresh = bucketed(annotations.annotations(annotations.lines(newest)), buckets)
         touched = bucketed(newest.select("path"), buckets)
-        try:
-            old = spark.read.parquet(target)
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
+        old = _existing(spark, target)
+        if old is None:
             kept = fresh.limit(0)
         else:
             hit = touched.select("bucket").distinct()
             kept = old.join(F.broadcast(hit), "bucket", "left_semi").join(touched.select("path"), "path", "left_anti").select(*fresh.columns)
-        # the buckets are read and overwritten, so the new rows are cut from the old files first
-        rows = kept.unionByName(fresh).checkpoint()
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        _replace(kept.unionByName(fresh), touched, target)
+        files(batch.select("path", "modified_at"), 0)
 
+    files = upsert_state(target + FILES, ["path"], "modified_at", buckets)
     return write
 
 
+def _existing(spark: SparkSession, target: str) -> DataFrame | None:
+    """The table at ``target``, or nothing before the first batch."""
+    try:
+        return spark.read.parquet(target)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return None
+
+
+def _replace(rows: DataFrame, touched: DataFrame, target: str) -> None:
+    """Puts ``rows`` in place of all of the touched buckets; those without rows go."""
+    spark = rows.sparkSession
+    # the buckets are read and overwritten, so the new rows are cut from the old files first
+    rows = rows.checkpoint()
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+    jvm = spark.sparkContext._jvm
+    for gone in touched.select("bucket").distinct().join(rows.select("bucket").distinct(), "bucket", "left_anti").collect():  # at most a row a bucket
+        path = jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={gone['bucket']}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def refresh(spark: SparkSession, root: str, target: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> None:
+    """Indexes known files again that changed since, and forgets those that went.
+
+    A file stream takes every path once, so changes and deletions are found by
+    comparing the listing with the times in the table of indexed files.
+    """
+    known, old = _existing(spark, target + FILES), _existing(spark, target)
+    if known is None or old is None:
+        return
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    there = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
+    there = there.where(selected(F.col("path"), include, exclude)).select("path", F.col("modificationTime").alias("now"))
+    lost = known.select("path").join(there, "path", "left_anti").checkpoint()
+    changed = [r["path"] for r in there.join(known, "path").where("now > modified_at").select("path").toLocalIterator()]
+    if not lost.isEmpty():
+        for table, rows in ((target, old), (target + FILES, known)):
+            touched = bucketed(lost)
+            kept = rows.join(F.broadcast(touched.select("bucket").distinct()), "bucket", "left_semi").join(lost, "path", "left_anti")
+            _replace(kept.select(*rows.columns), touched, table)
+    write = upsert_annotations(target)
+    for at in range(0, len(changed), REREAD):
+        rows = spark.read.format("binaryFile").schema(schema).load(changed[at : at + REREAD])
+        write(rows.select("path", F.col("modificationTime").alias("modified_at"), F.col("content").cast("string").alias("content")), 0)
+
+
 def watch(spark: SparkSession, root: str, target: str, checkpoint: str, **options) -> StreamingQuery:
-    """Indexes what is there and ends (available-now trigger); run it again for what changed."""
+    """Indexes what is there and ends (available-now trigger); run it again for what changed or went."""
     from ..storage import shared_dir
 
     shared_dir(spark)
+    refresh(spark, root, target)
     stream = changed_files(spark, root, **options)
     return stream.writeStream.foreachBatch(upsert_annotations(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_state(target: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the newest row of each key in a table."""
+def upsert_state(target: str, keys: list[str], order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps the newest row of each key in a table bucketed by key; a batch rewrites the buckets it falls in."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            current = spark.read.parquet(target)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            current = batch.limit(0)
-        upsert(current, batch, keys, order).checkpoint().write.mode("overwrite").parquet(target)
+        fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = fresh.select("bucket").distinct()
+        old = _existing(batch.sparkSession, target)
+        current = fresh.limit(0) if old is None else old.join(F.broadcast(touched), "bucket", "left_semi").select(*fresh.columns)
+        _replace(upsert(current, fresh, keys, order).select(*fresh.columns), touched, target)
 
     return write
 

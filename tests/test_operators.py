@@ -256,6 +256,62 @@ def test_git(spark, tmp_path):
     assert git.head(repo)["branch"] == "main" and git.head(repo)["dirty"] and git.head(repo)["remote"] is None
 
 
+def test_git_paths_of_any_letters(spark, tmp_path):
+    repo = str(tmp_path)
+    env = os.environ | {"GIT_AUTHOR_NAME": "Ann", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "Ann", "GIT_COMMITTER_EMAIL": "a@x", "GIT_CONFIG_GLOBAL": "/dev/null"}
+    call = lambda *a: subprocess.run(["git", "-C", repo, *a], check=True, env=env, capture_output=True)
+    call("init", "-q", "-b", "main")
+    names = ["naïve.py", "two words.py", 'quo"te.py', "日本.py"]
+    for name in names:
+        (tmp_path / name).write_text(f"x = 1  # {name}\ny = 2\nz = 3\n")
+    call("add", "-A")
+    call("commit", "-qm", "first")
+    call("commit", "-qm", "nothing", "--allow-empty")
+    assert sorted((r["path"], r["added"]) for r in git.read(spark, repo).collect()) == sorted((n, 3) for n in names)
+    blamed = git.read(spark, repo, "blame", filesPerTask="2")
+    assert blamed.rdd.getNumPartitions() == 2
+    assert sorted({r["path"] for r in blamed.collect()}) == sorted(names) and blamed.count() == 12
+    call("mv", "naïve.py", "new naïve.py")
+    (tmp_path / "日本.py").write_text("x = 2\n")
+    assert sorted(tuple(r) for r in git.read(spark, repo, "status").collect()) == [("new naïve.py", "staged"), ("日本.py", "modified")]
+    assert git.is_tracked(repo, "new naïve.py") and not git.is_tracked(repo, "naïve.py")
+
+
+def test_watch_forgets_what_went(spark, tmp_path):
+    root, target, log = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "log")
+    root.mkdir()
+    for name in ("a", "b", "c"):
+        (root / f"{name}.ts").write_text(f"// {M}domain {name}\n")
+    watch.watch(spark, str(root), target, log).awaitTermination(60)
+    time.sleep(1.1)
+    (root / "a.ts").write_text("no annotation any more\n")
+    (root / "b.ts").unlink()
+    watch.watch(spark, str(root), target, log).awaitTermination(60)
+    spark.catalog.refreshByPath(target)
+    assert {r["value"] for r in spark.read.parquet(target).collect()} == {"c"}
+
+
+def test_state_rewrites_only_its_buckets(spark, tmp_path):
+    target = str(tmp_path / "state")
+    write = watch.upsert_state(target, ["id"], "seq")
+    write(spark.createDataFrame([(f"a{i}", 1, "x") for i in range(40)], "id string, seq long, v string"), 0)
+    before = {p: os.stat(p).st_ino for p in map(str, (tmp_path / "state").rglob("*.parquet"))}
+    write(spark.createDataFrame([("a3", 2, "y"), ("a3", 1, "z"), ("new", 1, "n")], "id string, seq long, v string"), 1)
+    spark.catalog.refreshByPath(target)
+    found = {r["id"]: r["v"] for r in spark.read.parquet(target).collect()}
+    assert found == {f"a{i}": "x" for i in range(40)} | {"a3": "y", "new": "n"}
+    after = {p: os.stat(p).st_ino for p in map(str, (tmp_path / "state").rglob("*.parquet"))}
+    assert len(before.keys() & after.keys()) >= len(before) - 2
+
+
+def test_verbs(spark):
+    names = ["isReady", "hasItems", "processOrder", "applyPatch", "focusField", "getUser", "mkdir", "initCache", "playSound", "fixBug", "runs", "canEdit"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(suggestions.summary(F.col("n"), F.lit("function")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [
+        "Checks if ready", "Checks if has items", "Processorder function", "Applies patch", "Focuses field", "Gets user", "Creates directory", "Initializes cache", "Plays sound", "Fixes bug", "Runs function", "Checks if can edit",
+    ]
+
+
 def test_documents(spark, tmp_path):
     stored = {"files": {"a.ts": {"path": "a.ts", "language": "typescript", "lines": 3, "exports": ["x"], "unknown": 1}}, "symbols": {"x": {"name": "x", "lines": [1, 2], "exported": True}}}
     (tmp_path / "c.json").write_text(json.dumps(stored, indent=2))
