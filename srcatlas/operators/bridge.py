@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import annotations as notes
 from ..schema import PRECEDENCES
 
 # What tells documentation formats apart.
@@ -113,3 +114,40 @@ def suggestions(parsed: DataFrame) -> DataFrame:
     )
     rows = parsed.select("target", "line", F.posexplode(F.filter(found, lambda s: s["value"].isNotNull())).alias("ord", "s"))
     return rows.select("target", "line", "s.kind", "s.value", F.lit(1.0).alias("confidence"), F.lit("converted").alias("source"), F.col("ord").cast("long").alias("ord"))
+
+
+def noted_in_docs(docs: DataFrame) -> DataFrame:
+    """Summary, directive, params, returns and throws that annotations inside doc comments state.
+
+    ``docs``: target, text.  A summary annotation beats a quoted text of a
+    function's annotation; of equal ones the last counts, of functions' texts
+    the first.
+    """
+    lines = notes.lines(docs.select(F.col("target").alias("path"), F.col("text").alias("content")))
+    found = notes.annotations(lines)
+    value, own = F.col("value"), F.trim(F.regexp_replace("value", r"^\{[^}]*\}", ""))
+    called = F.col("name").isin("fn", "method")
+    quoted = F.nullif(F.regexp_extract(value, r'^"([^"]*)"[\s-]*[^\s-]', 1), F.lit(""))
+    # optional ones stand in brackets, with their default
+    param = F.when(own.startswith("["), F.trim(F.regexp_extract(own, r"^\[([^=\]]*)[^\]]*\]", 1))).otherwise(F.regexp_extract(own, r"^(\S+)", 1))
+    thrown = F.when(value.startswith("{"), F.regexp_extract(value, r"^\{([^}]*)\}", 1)).otherwise(F.regexp_extract(value, r"^(\S+)", 1))
+    stated = F.coalesce("directive", F.lit(""))
+    returned = F.coalesce("directive", F.nullif(F.trim(F.regexp_replace(own, "^-+", "")), F.lit("")))
+    last = lambda test, v: F.max_by(v, F.when(test & v.isNotNull(), F.col("line_no")))
+    pairs = lambda test, a: F.transform(F.array_sort(F.collect_list(F.when(test & (a != ""), F.struct("line_no", a.alias("name"), stated.alias("directive"))))), lambda x: F.struct(x["name"].alias("name"), x["directive"].alias("directive")))
+    made = found.groupBy("path").agg(
+        last(F.col("name") == "summary", value).alias("summary"),
+        F.min_by(quoted, F.when(called & quoted.isNotNull(), F.col("line_no"))).alias("called"),
+        last(called, F.col("directive")).alias("directive"),
+        pairs(F.col("name") == "param", param).alias("params"),
+        last(F.col("name") == "returns", returned).alias("returns"),
+        pairs(F.col("name") == "throws", thrown).alias("throws"),
+    )
+    return made.select(F.col("path").alias("target"), F.coalesce("summary", "called").alias("summary"), "directive", "params", "returns", "throws")
+
+
+def status(symbols: DataFrame) -> DataFrame:
+    """One row: documented symbols by what documents them (``native``, ``noted``: booleans)."""
+    n = lambda test: F.count_if(test).alias
+    native, noted = F.col("native"), F.col("noted")
+    return symbols.agg(F.count("*").alias("symbols"), n(native & noted)("merged"), n(native & ~noted)("native_only"), n(~native & noted)("noted_only"), n(~native & ~noted)("bare"))

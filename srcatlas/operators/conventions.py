@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,9 @@ LEAST_FILES, DOMINANT, EXAMPLES = 3, 0.7, 5
 
 
 def suffix(name: Column) -> Column:
-    """The compound suffix of a file name, else its extension, else nothing."""
-    found = F.when(F.lit(False), F.lit(None).cast("string"))
-    for s in SUFFIXES:
-        found = found.when(name.endswith(s), F.lit(s))
-    return found.otherwise(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    """The compound suffix of a file name, else its extension, else nothing; none of the suffixes ends another."""
+    compound = "|".join(re.escape(s) for s in SUFFIXES)
+    return F.regexp_extract(name, rf"({compound}|\.[^.]*)$", 1)
 
 
 def naming(files: DataFrame) -> DataFrame:

@@ -194,3 +194,13 @@ def render_sections(rows: DataFrame, sections: DataFrame) -> DataFrame:
     joined = sections.join(listed, "id", "left")
     body = F.concat("header", F.expr("array_join(transform(l, x -> x.t), separator)"), "footer")
     return joined.select("id", F.when(F.coalesce(F.size("l"), F.lit(0)) > 0, body).otherwise(F.col("empty")).alias("text"))
+
+
+def listing(sections: DataFrame) -> DataFrame:
+    """What the sections are: id, name (the id without one), category, tokens, required, capabilities."""
+    return sections.select("id", F.coalesce("name", "id").alias("name"), "category", "tokens", F.coalesce("required", F.lit(False)).alias("required"), "capabilities")
+
+
+def presets() -> list[tuple[str, float, float, float, float]]:
+    """The presets with their weights of safety, efficiency, accuracy and base."""
+    return [(name, *weights) for name, weights in PRESETS.items()]

@@ -53,3 +53,9 @@ def unknown_dependencies(sections: DataFrame) -> DataFrame:
 def dependency_cycles(sections: DataFrame, most: int | None = None) -> DataFrame:
     """Sections that depend on themselves through others."""
     return cycles(sections.select(F.col("id").alias("src"), F.explode("depends").alias("dst")), most)
+
+
+def tool_overlap(configs: DataFrame) -> DataFrame:
+    """Warnings for sync settings that name a tool both to use and to leave out (key, tools, exclude)."""
+    both = F.array_sort(F.array_intersect("tools", "exclude"))
+    return configs.where(F.size(both) > 0).select("key", F.concat(F.lit("in tools and exclude: "), F.array_join(both, ", ")).alias("message"))

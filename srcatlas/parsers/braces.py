@@ -54,7 +54,7 @@ _JAVA_MEMBERS = (
 _CONTROL = frozenset("if for while switch return else in case do".split())
 _RESERVED = {
     "typescript": "function catch typeof await yield throw super new import with", "javascript": "function catch typeof await yield throw super new import with",
-    "rust": "fn match loop impl where as move", "go": "func go defer select range", "java": "catch try throw super this new synchronized assert",
+    "rust": "fn match loop impl where as move pub", "go": "func go defer select range import const var type", "java": "catch try throw super this new synchronized assert",
 }
 
 
@@ -66,8 +66,9 @@ def blank(content: str) -> str:
     """The text with comments and strings replaced by spaces of equal length."""
     hide = lambda m: re.sub(r"[^\n]", " ", m[0])
     code = _BLANK.sub(hide, content)
-    # attributes are no calls, and empty type literals no bodies
-    return re.sub(r"#!?\[[^\]\n]*\]|\b(?:interface|struct)\s*\{\s*\}", hide, code)
+    # attributes are no calls, and empty type literals no bodies; a named type's is its body
+    literal = lambda m: m[0] if m[1] else hide(m)
+    return re.sub(r"#!?\[[^\]\n]*\]|(\btype[ \t]+\w+[ \t]+)?\b(?:interface|struct)\s*\{\s*\}", literal, code)
 
 
 def _depths(code: str) -> list[int]:

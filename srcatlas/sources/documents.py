@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructType, _parse_datatype_string
@@ -73,3 +75,17 @@ def variables_path(cache_path: str) -> str:
     if cache_path.endswith("cache.json"):
         return cache_path[: -len("cache.json")] + "vars.json"
     return cache_path.rsplit(".", 1)[0] + ".vars.json"
+
+
+ATTEMPT = "id string, status string, for_issue string, description string, created_at string, files array<struct<path:string,original_hash:string,modified_hash:string>>"
+
+
+def attempts(documents: DataFrame) -> DataFrame:
+    """The attempts of an attempts document, a row each."""
+    held = documents.select(F.from_json("json", f"struct<attempts:map<string,struct<{_fields(ATTEMPT)}>>>").alias("d"))
+    return held.select(F.explode("d.attempts").alias("key", "a")).select("key", "a.*")
+
+
+def _fields(ddl: str) -> str:
+    """A table's columns as a struct's."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", ddl)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from srcatlas import parsers
-from srcatlas.operators import attempts, bridge, constraints, conventions, graph, lookups, primer, rewrite, suggestions, validation, variables
+from srcatlas.operators import attempts, bridge, constraints, conventions, graph, lookups, primer, rewrite, suggestions, validation, variables, writers
 from srcatlas.schema import MARKER as M
 from srcatlas.sources import documents, files, git
 from srcatlas.streaming import watch
@@ -312,6 +312,46 @@ def test_verbs(spark):
     ]
 
 
+def test_writers(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("old\n")
+    (root / "same.py").write_text("same\n")
+    rows = spark.createDataFrame([("a.py", "new é\n"), ("sub/b.py", "made\r\n"), ("same.py", "same\n"), ("none.py", None)], "path string, content string")
+    done = {r["path"]: (r["written"], r["backup"]) for r in writers.write_files(rows, str(root), "20240101").collect()}
+    assert done == {"a.py": (True, "a.py.20240101.bak"), "sub/b.py": (True, None), "same.py": (False, None)}
+    assert (root / "a.py").read_text() == "new é\n" and (root / "a.py.20240101.bak").read_text() == "old\n"
+    assert (root / "sub/b.py").read_bytes() == b"made\r\n" and not (root / "none.py").exists()
+    again = writers.write_files(rows, str(root), "20240101").collect()
+    assert not any(r["written"] for r in again) and (root / "a.py.20240101.bak").read_text() == "old\n"
+    stored = spark.createDataFrame([("a.py", "old\n")], "path string, content string")
+    assert writers.restore(stored, str(root)).first()["written"] and (root / "a.py").read_text() == "old\n"
+    with pytest.raises(Exception, match="is not below"):
+        writers.write_files(spark.createDataFrame([("../x.py", "")], "path string, content string"), str(root)).collect()
+
+
+def test_rewritten_sources_in_place(spark, tmp_path):
+    (tmp_path / "m.py").write_text("def f():\n    pass\n")
+    code = files.scan(spark, str(tmp_path)).select("path", "language", "content")
+    none = F.lit(None).cast("long")
+    wanted = code.select("path", F.lit("f").alias("target"), F.lit(1).cast("long").alias("line"), F.lit(f'{M}summary "s"').alias("text"), F.lit(False).alias("is_file"), none.alias("doc_start"), none.alias("doc_end"), F.lit(0).alias("ord"))
+    made = rewrite.preview(code, rewrite.plan(wanted))
+    assert writers.write_files(made.withColumn("content", F.concat("content", F.lit("\n"))), str(tmp_path), "1").count() == 1
+    assert (tmp_path / "m.py").read_text() == f'# {M}summary "s"\ndef f():\n    pass\n'
+    assert (tmp_path / "m.py.1.bak").read_text() == "def f():\n    pass\n"
+
+
+def test_attempts_document(spark, tmp_path):
+    stored = {"attempts": {"x1": {"id": "x1", "status": "active", "for_issue": "7", "files": [{"path": "a", "original_hash": "h"}], "odd": 1}, "x2": {"id": "x2", "status": "failed"}}}
+    (tmp_path / "a.json").write_text(json.dumps(stored, indent=1))
+    found = documents.attempts(documents.read_document(spark, str(tmp_path / "a.json"))).orderBy("key").collect()
+    assert [(r["id"], r["status"], r["for_issue"], len(r["files"] or [])) for r in found] == [("x1", "active", "7", 1), ("x2", "failed", None, 0)]
+
+
+def test_presets():
+    assert [p[0] for p in primer.presets()] == ["safe", "efficient", "accurate", "balanced"]
+
+
 def test_documents(spark, tmp_path):
     stored = {"files": {"a.ts": {"path": "a.ts", "language": "typescript", "lines": 3, "exports": ["x"], "unknown": 1}}, "symbols": {"x": {"name": "x", "lines": [1, 2], "exported": True}}}
     (tmp_path / "c.json").write_text(json.dumps(stored, indent=2))
