@@ -22,13 +22,17 @@ Candidates are verified exactly: the item's edit distance, in words, to the
 best stretch of the document around the window must be at most
 ``floor((1 - SIMILARITY) * words of the item)``.
 
-The benchmark is a stated query set: items are read in blocks of ``ITEMS``, so
+The benchmark is a stated query set: items are read in blocks of at most
+``ITEMS`` items and ``WORDS`` words (a longer item is a block of its own), so
 what is broadcast is bounded; documents are never shuffled.
 
 Cases: null or empty texts and items without words match nothing; items of
 fewer than ``1 / (1 - SIMILARITY)`` words must occur unchanged; repeated rows
 give repeated results; an item found at several places of a document gives one
-row, the nearest, then the first; an empty table gives no rows.
+row, the nearest, then the first; an empty table gives no rows; very long texts
+are searched whole, ``WINDOWS`` windows at a time; only doc_id and text, and
+item_id and text of the benchmark, are read, and ``clean`` returns the columns of
+its input whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +50,10 @@ from .wordhash import mix, plain_words
 
 SIMILARITY = 0.8
 RECALL = 0.95
+#: Items of a block, and their words: with at most MOST_WALKS bits for each word and step, what is broadcast stays
+#: below WORDS * MOST_WALKS * 1.6 / 8 bytes for every word of the longest items that walks still find.
 ITEMS = 20_000
+WORDS = 200_000
 #: Places sampled for one hash, and hashes for one walk.
 SAMPLED = 3
 HASHES = 6
@@ -72,6 +79,8 @@ class Group:
     least: int
     reach: int  # words that any match has at least
     spare: int  # unknown words that any match has at most
+    local: np.ndarray  # the block's symbols as numbers of this group's words, 0 for others
+    words: int  # distinct words of the group
 
 
 class Walk:
@@ -193,7 +202,10 @@ class Index:
             least = int(sizes[order[at]])
             stop = at + int(np.searchsorted(sizes[order[at:]], max(least, int(least * GROUP)), "right"))
             rows = order[at:stop]
-            groups.append(Group(rows, least, least - allowed(least, self.similarity), allowed(int(sizes[rows].max()), self.similarity)))
+            own = np.unique(np.concatenate([self.items[i] for i in rows.tolist()]))
+            local = np.zeros(self.vocabulary.size + 1, np.int32)
+            local[own] = np.arange(1, own.size + 1)
+            groups.append(Group(rows, least, least - allowed(least, self.similarity), allowed(int(sizes[rows].max()), self.similarity), local, own.size))
             at = stop
         return groups
 
@@ -208,8 +220,8 @@ class Index:
         found = np.zeros(DRAWN, bool)
         plan = []
         for turn in range(MOST_WALKS):
-            walk = Walk(1000 * group.least + turn, self.vocabulary.size, group.least)
-            walk.learn({i: self.items[i] for i in group.items.tolist()})
+            walk = Walk(1000 * group.least + turn, group.words, group.least)
+            walk.learn({i: group.local[self.items[i]] for i in group.items.tolist()})
             plan.append(walk)
             for text, item, _ in self.candidates(symbols, first, [(group, [walk])]):
                 found[text] = found[text] or item == drawn[text][0]
@@ -254,15 +266,18 @@ class Index:
                     # a match begins within the allowed edits of where its piece puts it
                     found.update((text, item, max(int(first[text]), here - place)) for item, place in pieces)
                 continue
-            few = unknown[group.reach :] - unknown[: n + 1 - group.reach] <= group.spare if n >= group.reach else np.empty(0, bool)
+            # a word in no item of the group costs each of them an edit
+            own = group.local.take(symbols)
+            missing = np.concatenate(([0], np.cumsum(own == 0))).astype(np.int32)
+            few = missing[group.reach :] - missing[: n + 1 - group.reach] <= group.spare if n >= group.reach else np.empty(0, bool)
             # a match may as well begin at a known word: dropping an unknown first word costs no more
-            start = np.flatnonzero(few[:n] & (symbols[: few.size] > 0))
+            start = np.flatnonzero(few[:n] & (own[: few.size] > 0))
             start = start[ends[start] - start >= group.reach]
             for low in range(0, start.size, WINDOWS):
                 part = start[low : low + WINDOWS]
                 # words after the text's end are unknown
                 at = part[:, None] + np.arange(group.least)
-                grid = np.where(at < ends[part][:, None], symbols[np.minimum(at, n - 1)], 0).astype(np.int32)
+                grid = np.where(at < ends[part][:, None], own[np.minimum(at, n - 1)], 0).astype(np.int32)
                 for walk in plan:
                     for w, items in walk.lookup(grid):
                         here = int(part[w])
@@ -271,7 +286,7 @@ class Index:
                             size = self.items[item].size
                             slack = allowed(size, self.similarity)
                             stop = here + size - slack
-                            if stop <= first[text + 1] and unknown[stop] - unknown[here] <= slack:
+                            if stop <= first[text + 1] and missing[stop] - missing[here] <= slack:
                                 found.add((text, item, here))
         return found
 
@@ -325,17 +340,19 @@ def nearest(item: np.ndarray, words: np.ndarray, most: int) -> tuple[int, int, i
     return best
 
 
-def blocks(benchmark: DataFrame, size: int = ITEMS):
-    """The benchmark's items as arrays of word hashes, ``size`` at a time."""
-    ids, texts = [], []
+def blocks(benchmark: DataFrame, size: int = ITEMS, most: int = WORDS):
+    """The benchmark's items as arrays of word hashes, at most ``size`` items and ``most`` words at a time."""
+    ids, items, words = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text")).toLocalIterator():
+        item = _hashed([row[1]])[0]
+        if ids and (len(ids) == size or words + item.size > most):
+            yield ids, items
+            ids, items, words = [], [], 0
         ids.append(row[0])
-        texts.append(row[1])
-        if len(ids) == size:
-            yield ids, _hashed(texts)
-            ids, texts = [], []
+        items.append(item)
+        words += item.size
     if ids:
-        yield ids, _hashed(texts)
+        yield ids, items
 
 
 def _hashed(texts: list[str]) -> list[np.ndarray]:
@@ -373,5 +390,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    found = contaminated(docs, benchmark, similarity, recall).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__hit"]), "left_anti")
+    found = contaminated(docs, benchmark, similarity, recall).select(F.col("doc_id").alias("hit")).distinct()
+    # all of a row in one column, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(found, rows["id"].eqNullSafe(found["hit"]), "left_anti").select("row.*")

@@ -115,6 +115,44 @@ def test_short_items_reach_the_recall_between_unknown_words():
     assert min(found.values()) >= d.RECALL, found
 
 
+def test_recall_in_every_length_band():
+    """Items of 5 to 300 words in one index, with known words around the copies too."""
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(1, 1 << 63, 3000).astype(np.uint64)
+    share = 1 / np.arange(1, 3001)
+    draw = lambda n: hashes[rng.choice(3000, n, p=share / share.sum())]
+    bands = [(5, 9), (10, 19), (20, 39), (40, 79), (80, 149), (150, 300)]
+    items = [draw(int(rng.integers(a, b + 1))) for a, b in bands for _ in range(30)]
+    index = d.Index(list(range(len(items))), items)
+    for k, band in enumerate(bands):
+        copies = 400 if band[1] < 80 else 100
+        texts, planted = [], []
+        for _ in range(copies):
+            item = 30 * k + int(rng.integers(0, 30))
+            words = items[item].tolist()
+            for _ in range(d.allowed(len(words))):
+                at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+                words[at : at + (kind != 1)] = [int(draw(1)[0])] * (kind < 2)
+            texts.append(np.concatenate((draw(40), np.array(words, np.uint64), draw(40))))
+            planted.append(item)
+        first = np.concatenate(([0], np.cumsum([t.size for t in texts])))
+        out = {(t, i) for t, i, *_ in index.matches(index.symbols(np.concatenate(texts)), first)}
+        found = np.mean([(t, i) in out for t, i in enumerate(planted)])
+        assert found >= d.RECALL, (band, found)
+
+
+def test_a_very_long_text_and_clashing_columns(spark, docs, case):
+    items, _, _ = case
+    rng = random.Random(4)
+    long = sentence(rng, 120_000)
+    long[90_000:90_000] = items[3][1].split()
+    frame = docs([(1, " ".join(long)), (2, "clean text")]).selectExpr("*", "1 as hit", "2 as id", "3 as `row`", "4 as __hit")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert (1, 3) in {(r["doc_id"], r["item_id"]) for r in d.contaminated(frame, benchmark).collect()}
+    kept = d.clean(frame, benchmark)
+    assert kept.columns == frame.columns and [(r["doc_id"], r["__hit"], r["hit"]) for r in kept.collect()] == [(2, 4, 1)]
+
+
 def test_clean_keeps_the_rest(spark, docs, case):
     items, rows, _ = case
     frame = docs(rows)
@@ -129,7 +167,7 @@ def test_blocks_and_empty_tables(spark, docs, case, monkeypatch):
     items, rows, _ = case
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     whole = {tuple(r)[:2] for r in d.contaminated(docs(rows), benchmark).collect()}
-    monkeypatch.setattr(d.blocks, "__defaults__", (15,))
+    monkeypatch.setattr(d.blocks, "__defaults__", (15, 300))
     parts = {tuple(r)[:2] for r in d.contaminated(docs(rows), benchmark).collect()}
     assert len(whole ^ parts) <= 0.05 * len(whole)
     assert d.contaminated(docs(rows), benchmark.limit(0)).count() == 0
