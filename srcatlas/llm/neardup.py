@@ -441,7 +441,7 @@ def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with all its columns."""
-    found = classes(docs, **options).where("kept").select("doc_id", "k1", "k2").distinct()
+    found = classes(docs, **options).where("kept").select("doc_id", "k1", "k2")
     text = F.coalesce(F.col("text"), F.lit(""))
     # all of a row in one column, so that no name can clash
     marked = docs.select(
