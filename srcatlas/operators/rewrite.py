@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 
 import pandas as pd
@@ -92,6 +93,36 @@ def between_markers(existing: str, section: str, begin: str, end: str) -> str:
     block = f"{begin}\n{section}\n{end}"
     a, b = existing.find(begin), existing.find(end)
     if 0 <= a < b:
-        return existing[:a] + block + existing[b + len(end) :]
-    gap = "" if not existing else "\n" if existing.endswith("\n") else "\n\n"
-    return f"{existing}{gap}{block}\n"
+        before, after = existing[:a].rstrip(), existing[b + len(end) :].lstrip()
+        return "".join((before, "\n\n" if before else "", "\n", block, "\n", "\n" if after else "", after))
+    before = existing.rstrip()
+    return f"{before}\n\n{block}" if before else block
+
+
+def merged(existing: str, section: str, strategy: str, begin: str, end: str) -> str:
+    """An existing text with a new one: ``replace``, ``append``, or ``section`` and ``merge`` between markers."""
+    if strategy == "replace":
+        return section
+    if strategy == "append":
+        return f"{existing.rstrip()}\n\n{section}"
+    if strategy not in ("section", "merge"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return between_markers(existing, section, begin, end)
+
+
+def merged_json(existing: str, section: str) -> str:
+    """An existing object with the keys of a new one put over its own; anything else stays as it is."""
+    held, new = json.loads(existing), json.loads(section)
+    if isinstance(held, dict) and isinstance(new, dict):
+        held |= new
+    return json.dumps(held, indent=2, sort_keys=True, ensure_ascii=False)
+
+
+def merge_texts(rows: DataFrame, strategy: str, begin: str, end: str) -> DataFrame:
+    """path and merged content from path, existing and section; a missing text is an empty one."""
+
+    @F.pandas_udf("string")
+    def run(existing: pd.Series, section: pd.Series) -> pd.Series:
+        return pd.Series([merged(a or "", b or "", strategy, begin, end) for a, b in zip(existing, section, strict=True)])
+
+    return rows.select("path", run("existing", "section").alias("content"))

@@ -59,3 +59,29 @@ def tool_overlap(configs: DataFrame) -> DataFrame:
     """Warnings for sync settings that name a tool both to use and to leave out (key, tools, exclude)."""
     both = F.array_sort(F.array_intersect("tools", "exclude"))
     return configs.where(F.size(both) > 0).select("key", F.concat(F.lit("in tools and exclude: "), F.array_join(both, ", ")).alias("message"))
+
+
+#: What each kind of document holds that has rules: the field, the rules' name, and the columns they need beside the entry's own.
+_HELD = {
+    "cache": ("files", "files", "struct<path:string,language:string,lines:bigint>"),
+    "vars": ("variables", "vars", "struct<type:string,value:string>"),
+    "attempts": ("attempts", "attempts", "struct<status:string,started_at:string,ended_at:string,hash:string>"),
+}
+
+
+def validate(documents: DataFrame) -> DataFrame:
+    """Everything wrong with stored documents (name, json): name, kind, key and message.
+
+    A document must be a JSON object of a known kind; the entries of caches,
+    variables and attempts are held against their rules.
+    """
+    linked = F.get_json_object("json", "$['$schema']")
+    told = documents.select("name", "json", kind_of(F.col("name"), F.coalesce(linked, F.lit(""))).alias("kind"), F.from_json("json", "map<string,string>", {"mode": "PERMISSIVE"}).alias("parsed"))
+    whole = F.when(F.col("parsed").isNull(), "is no JSON object").when(F.col("kind").isNull(), "is of no known kind")
+    out = told.select("name", "kind", F.lit(None).cast("string").alias("key"), whole.alias("message")).where(F.col("message").isNotNull())
+    for kind, (field, named, entry) in _HELD.items():
+        held = F.from_json("json", f"struct<{field}:map<string,{entry}>>")[field]
+        rows = told.where((F.col("kind") == kind) & F.col("parsed").isNotNull()).select("name", F.explode(held).alias("k", "e"))
+        broken = violations(rows.select(F.struct("name", "k").alias("at"), "e.*"), named, "at")
+        out = out.unionByName(broken.select(F.col("key.name").alias("name"), F.lit(kind).alias("kind"), F.col("key.k").alias("key"), "message"))
+    return out

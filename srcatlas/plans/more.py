@@ -8,8 +8,9 @@ from .. import parsers
 from ..functions import docs
 from ..functions.conditions import state as state_condition
 from ..functions.text import truncated
-from ..operators import bridge, files, lookups, primer, suggestions, validation, variables
+from ..operators import bridge, files, lookups, primer, rewrite, suggestions, validation, variables
 from ..schema import MARKER
+from ..sources.files import to_annotate
 from .analysis import _THIRD, _VIS, _name_rules, _path_case
 from .code import _BASE, _T, _notes
 from .derived import VARIABLES, derived, sources
@@ -262,6 +263,42 @@ def g28(spark, sf_dir):
     return primer.listing(rows.withColumn("capabilities", F.array(F.lit("shell")))).drop("capabilities")
 
 
+@query("s02_annotate_scan", """with f as (select concat('/srv/app/', case c_custkey % 3 when 0 then 'src' when 1 then 'lib' else 'node_modules/x' end, '/m', cast(c_custkey as varchar(40)), case c_custkey % 4 when 0 then '.ts' when 1 then '.py' when 2 then '.txt' else '.go' end) as path from customer)
+select path from f where regexp_matches(path, '[.](ts|py|go)$') and not contains(path, '/node_modules/') and contains(path, '/src/')""")
+def s02(spark, sf_dir):
+    rows = derived(spark, sf_dir, "select concat('/srv/app/', case c_custkey % 3 when 0 then 'src' when 1 then 'lib' else 'node_modules/x' end, '/m', cast(c_custkey as varchar(40)), case c_custkey % 4 when 0 then '.ts' when 1 then '.py' when 2 then '.txt' else '.go' end) as path from customer")
+    return to_annotate(rows, ("**/*.ts", "**/*.py", "**/*.go"), ("**/node_modules/**",), "**/src/**")
+
+
+_DOCUMENTS = """select case s_suppkey % 5 when 0 then 'my.cache.json' when 1 then 'a.vars.json' when 2 then 'x.json' when 3 then 'the.attempts.json' else 'y.cache.json' end as kind, s_suppkey,
+case s_suppkey % 5 when 0 then concat('{"files":{"f', cast(s_suppkey as varchar(40)), '":{"path":"p","language":"', case when s_suppkey % 2 = 0 then 'cobol' else 'python' end, '","lines":', cast(s_suppkey % 7 - 1 as varchar(40)), '}}}')
+when 1 then concat('{"variables":{"V":{"type":"', case when s_suppkey % 2 = 0 then 'odd' else 'symbol' end, '"}}}') when 2 then '{"a":1}' when 3 then '{"attempts":{"a":{"status":"lost"}}}' else '{"files":' end as json from supplier"""
+
+
+@query("c04_validated_documents", f"""with d as ({_DOCUMENTS}) select s_suppkey || ':' || kind as name, 'cache' as kind, 'f' || s_suppkey as key, 'unknown language' as message from d where s_suppkey % 5 = 0 and s_suppkey % 2 = 0
+union all select s_suppkey || ':' || kind, 'cache', 'f' || s_suppkey, 'negative lines' from d where s_suppkey % 5 = 0 and s_suppkey % 7 = 0
+union all select s_suppkey || ':' || kind, 'vars', 'V', 'unknown type' from d where s_suppkey % 5 = 1 and s_suppkey % 2 = 0 union all select s_suppkey || ':' || kind, 'vars', 'V', 'value is missing' from d where s_suppkey % 5 = 1
+union all select s_suppkey || ':' || kind, null, null, 'is of no known kind' from d where s_suppkey % 5 = 2 union all select s_suppkey || ':' || kind, 'attempts', 'a', 'unknown status' from d where s_suppkey % 5 = 3
+union all select s_suppkey || ':' || kind, 'cache', null, 'is no JSON object' from d where s_suppkey % 5 = 4""")
+def c04(spark, sf_dir):
+    rows = derived(spark, sf_dir, _DOCUMENTS)
+    return validation.validate(rows.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(":"), "kind").alias("name"), "json"))
+
+
+_TEXTS = "select cast(s_suppkey as varchar(40)) as path, case s_suppkey % 4 when 0 then '' when 1 then concat('head', chr(10), chr(10)) when 2 then concat('head', chr(10), '<b>', chr(10), 'old', chr(10), '<e>', chr(10), 'tail') else concat('<e> odd <b>', chr(10)) end as existing, concat('new ', cast(s_suppkey as varchar(40))) as section from supplier"
+
+
+@query("k09_marker_merge", f"""with t as ({_TEXTS}), b as (select *, concat('<b>', chr(10), section, chr(10), '<e>') as block, cast(path as int) % 4 as k from t)
+select path, case k when 0 then block when 1 then concat('head', chr(10), chr(10), block) when 2 then concat('head', chr(10), chr(10), chr(10), block, chr(10), chr(10), 'tail') else concat('<e> odd <b>', chr(10), chr(10), block) end as content from b""")
+def k09(spark, sf_dir):
+    return rewrite.merge_texts(derived(spark, sf_dir, _TEXTS), "section", "<b>", "<e>")
+
+
+@query("k09_append", f"with t as ({_TEXTS}) select path, rtrim(existing, chr(10)) || chr(10) || chr(10) || section as content from t")
+def k09_append(spark, sf_dir):
+    return rewrite.merge_texts(derived(spark, sf_dir, _TEXTS), "append", "<b>", "<e>")
+
+
 #: The selection of every catalogue, one section a step: each phase walks its list, made when it begins.
 _SELECTED = f"""with recursive raw as ({_SECTIONS}),
 own as (select *, case m when 1 then least(safety + 200, 255) when 2 then safety // 2 else safety end as safety_now, case m when 2 then efficiency // 2 else efficiency end as efficiency_now,

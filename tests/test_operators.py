@@ -136,7 +136,8 @@ def test_rewriting():
 
 def test_marker_sections():
     first = rewrite.between_markers("head\n", "one", "<!-- b -->", "<!-- e -->")
-    assert rewrite.between_markers(first, "two", "<!-- b -->", "<!-- e -->") == first.replace("one", "two")
+    assert first == "head\n\n<!-- b -->\none\n<!-- e -->"
+    assert rewrite.between_markers(first + "\ntail", "two", "<!-- b -->", "<!-- e -->") == "head\n\n\n<!-- b -->\ntwo\n<!-- e -->\n\ntail"
     assert first.startswith("head\n")
 
 
@@ -348,6 +349,23 @@ def test_attempts_document(spark, tmp_path):
     assert [(r["id"], r["status"], r["for_issue"], len(r["files"] or [])) for r in found] == [("x1", "active", "7", 1), ("x2", "failed", None, 0)]
 
 
+def test_json_and_other_merges():
+    assert json.loads(rewrite.merged_json('{"a": 1, "b": {"x": 1}}', '{"b": {"y": 2}, "c": 3}')) == {"a": 1, "b": {"y": 2}, "c": 3}
+    assert rewrite.merged_json("[1]", '{"a": 1}') == "[\n  1\n]"
+    assert rewrite.merged("old", "new", "replace", "<", ">") == "new" and rewrite.merged("old\n\n", "new", "append", "<", ">") == "old\n\nnew"
+    with pytest.raises(ValueError):
+        rewrite.merged("", "", "odd", "<", ">")
+
+
+def test_scan_of_odd_names(spark, tmp_path):
+    root = tmp_path / "a+b é" / "src"
+    (root / "src").mkdir(parents=True)
+    for name in ("one two.py", "50%.py", "c+d.py", "src/é.py"):
+        (root / name).write_text("x")
+    (root / "big.py").write_text("y" * (11 << 20))
+    assert sorted(r["path"] for r in files.scan(spark, str(root), content=False).collect()) == sorted(["one two.py", "50%.py", "c+d.py", "src/é.py", "big.py"])
+
+
 def test_presets():
     assert [p[0] for p in primer.presets()] == ["safe", "efficient", "accurate", "balanced"]
 
