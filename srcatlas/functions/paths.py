@@ -81,6 +81,13 @@ def selected(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ..
     return keep
 
 
+# Parts of paths that make a file a test.
+TEST_PARTS = ("/test/", "/tests/", "/__tests__/", "/spec/", "/e2e/", ".test.", ".spec.", "_test.", "_spec.")
+
+
 def is_test(path: Column) -> Column:
     """Paths of tests, by folder or by file name."""
-    return F.lower(path).rlike(r"/(test|tests|__tests__|spec|e2e)/|\.(test|spec)\.|_(test|spec)\.")
+    found = F.lit(False)
+    for part in TEST_PARTS:
+        found = found | F.lower(path).contains(part)
+    return found

@@ -11,6 +11,7 @@ from ..functions.text import blank_to_null, unquote
 from ..schema import DIRECTIVES, LOCK_DIRECTIVES, MARKER, ORIGINS, REVIEW_BELOW
 
 _M = re.escape(MARKER).replace("\\@", "@")
+# The grammar of annotation lines.
 #: Name, value and directive; a value ends at a spaced hyphen.
 PATTERN = rf"{_M}([\w-]+)(?:\s+(.+?))?(?:\s+-\s+(.+))?$"
 #: The same with values that hold no hyphen at all.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent
@@ -14,7 +14,10 @@ def create(files: DataFrame, conventions: DataFrame, shown: int = 5) -> DataFram
     """Per folder: its language, naming pattern (its own or its nearest parent's) and some of its files."""
     folders = files.select(parent(F.col("path")).alias("folder")).distinct()
     patterns = convention_for(folders.select(F.col("folder").alias("path")), conventions).select(F.col("path").alias("folder"), "pattern")
-    listed = files.groupBy(parent(F.col("path")).alias("folder")).agg(F.slice(F.array_sort(F.collect_set("path")), 1, shown).alias("similar"))
+    # only a folder's first files leave their tasks
+    order = Window.partitionBy("folder").orderBy("path")
+    first = files.select(parent(F.col("path")).alias("folder"), "path").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= shown)
+    listed = first.groupBy("folder").agg(F.array_sort(F.collect_list("path")).alias("similar"))
     return folders.join(folder_language(files), "folder", "left").join(patterns, "folder", "left").join(listed, "folder")
 
 
@@ -29,7 +32,7 @@ def modify(files: DataFrame, imported_by: DataFrame, constraints: DataFrame) ->
 def debug(files: DataFrame, symbols: DataFrame, hotpaths: DataFrame) -> DataFrame:
     """Per file: its imports, its symbols with type and purpose, and which of them are called most."""
     told = symbols.groupBy("path").agg(F.array_sort(F.collect_set(F.struct("name", "type", "purpose"))).alias("symbols"))
-    hot = symbols.select("path", F.col("name").alias("callee")).join(F.broadcast(hotpaths), "callee").groupBy("path").agg(F.array_sort(F.collect_set("callee")).alias("hotpaths"))
+    hot = symbols.select("path", F.col("name").alias("callee")).join(hotpaths, "callee").groupBy("path").agg(F.array_sort(F.collect_set("callee")).alias("hotpaths"))
     none = F.array().cast("array<string>")
     rows = files.select("path", F.col("imports").alias("related")).join(told, "path", "left").join(hot, "path", "left")
     return rows.withColumn("hotpaths", F.coalesce("hotpaths", none))

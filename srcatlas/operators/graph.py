@@ -63,10 +63,16 @@ def imported_by(resolved: DataFrame) -> DataFrame:
 
 
 def key_files(reverse: DataFrame, most: int = 10) -> DataFrame:
-    """The files with most importers."""
+    """The files with most importers, from stored lists of them."""
     return reverse.select("path", F.size("imported_by").cast("long").alias("importers")).orderBy(F.desc("importers"), "path").limit(most)
 
 
+def most_imported(resolved: DataFrame, most: int = 10) -> DataFrame:
+    """The same from imports (importer, imported), counted without making lists."""
+    pairs = resolved.select(F.col("imported").alias("path"), "importer").distinct()
+    return pairs.groupBy("path").agg(F.count("*").alias("importers")).orderBy(F.desc("importers"), "path").limit(most)
+
+
 def reach(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, reached, depth): the shortest distance from every node, at most ``most`` steps if given.
 

@@ -171,7 +171,7 @@ def dynamic_rows(items: DataFrame, sections: DataFrame) -> DataFrame:
     source, levels, expired, max_items.  A null filter keeps all; the first
     ``max_items`` by key stay.
     """
-    joined = items.join(F.broadcast(sections), "source")
+    joined = items.join(sections, "source")
     kept = joined.where(
         (F.col("levels").isNull() | F.array_contains("levels", F.col("level"))) & (F.col("wanted_expired").isNull() | (F.col("expired") == F.col("wanted_expired")))
     )
@@ -190,7 +190,7 @@ def render_sections(rows: DataFrame, sections: DataFrame) -> DataFrame:
 
     ``sections``: id, header, item, separator, footer, empty.
     """
-    listed = rows.join(F.broadcast(sections.select("id", "item")), "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", filled(F.col("item"), F.col("fields")).alias("t")))).alias("l"))
+    listed = rows.join(sections.select("id", "item"), "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", filled(F.col("item"), F.col("fields")).alias("t")))).alias("l"))
     joined = sections.join(listed, "id", "left")
     body = F.concat("header", F.expr("array_join(transform(l, x -> x.t), separator)"), "footer")
     return joined.select("id", F.when(F.coalesce(F.size("l"), F.lit(0)) > 0, body).otherwise(F.col("empty")).alias("text"))

@@ -254,7 +254,7 @@ def j06(spark, sf_dir):
 
 @query("g17_key_files", _RESOLVED + " select imported as path, count(distinct importer) as importers from resolved group by imported order by importers desc, path limit 10")
 def g17(spark, sf_dir):
-    return graph.key_files(graph.imported_by(_resolved(spark, sf_dir)))
+    return graph.most_imported(_resolved(spark, sf_dir))
 
 
 @query("flagship_domain_locks", _BASE + f""", d as (select path, {_T} as domain from notes where name = 'domain' group by all), {_LOCKS}

@@ -8,7 +8,7 @@ from .. import parsers
 from ..functions import docs
 from ..functions.conditions import state as state_condition
 from ..functions.text import truncated
-from ..operators import bridge, files, lookups, primer, rewrite, suggestions, validation, variables
+from ..operators import bridge, files, lookups, primer, render, rewrite, suggestions, validation, variables
 from ..schema import MARKER
 from ..sources.files import to_annotate
 from .analysis import _THIRD, _VIS, _name_rules, _path_case
@@ -299,6 +299,32 @@ def k09_append(spark, sf_dir):
     return rewrite.merge_texts(derived(spark, sf_dir, _TEXTS), "append", "<b>", "<e>")
 
 
+@query("k11_file_trees", """with f as (select c_custkey as k, 'src/m' || c_custkey || '.ts' as path, case when c_custkey % 3 = 0 then 'frozen' end as level, case when c_custkey % 2 = 0 then 'Does ' || c_custkey end as purpose from customer)
+select path, 'm' || k || '.ts' || coalesce(' (' || level || ')', '') || coalesce(chr(10) || '  ' || purpose, '') || case when k % 5 = 0 then '' else chr(10) || '  ├─ a' || k || ' (fn:' || (k % 9 + 1) || ')' || chr(10) || '  └─ b (class:20)' || case when k % 3 = 0 then ' [frozen]' else '' end end as text from f""")
+def k11(spark, sf_dir):
+    made = derived(spark, sf_dir, "select c_custkey as k, concat('src/m', cast(c_custkey as varchar(40)), '.ts') as path, case when c_custkey % 3 = 0 then 'frozen' end as level, case when c_custkey % 2 = 0 then concat('Does ', cast(c_custkey as varchar(40))) end as purpose from customer")
+    some = made.where("k % 5 <> 0")
+    two = some.select("path", F.lit("b").alias("name"), F.lit("class").alias("type"), F.lit(20).cast("long").alias("line"), (F.col("k") % 3 == 0).alias("frozen"))
+    one = some.select("path", F.concat(F.lit("a"), F.col("k").cast("string")).alias("name"), F.lit("fn").alias("type"), (F.col("k") % 9 + 1).cast("long").alias("line"), F.lit(False).alias("frozen"))
+    return render.file_trees(made.select("path", "level", "purpose"), two.unionByName(one))
+
+
+@query("k11_symbol_refs", "select o_orderkey as k, 'f' || o_orderkey || ' (' || case o_orderkey % 3 when 0 then 'fn' when 1 then 'iface' else 'class' end || ':' || (o_orderkey % 50) || '-' || (o_orderkey % 50 + 9) || ')' as text from orders")
+def k11_refs(spark, sf_dir):
+    rows = derived(spark, sf_dir, "select o_orderkey as k, concat('f', cast(o_orderkey as varchar(40))) as name, case o_orderkey % 3 when 0 then 'function' when 1 then 'interface' else 'class' end as kind, o_orderkey % 50 as line from orders")
+    return rows.select("k", render.symbol_ref(F.col("name"), F.col("kind"), F.col("line"), F.col("line") + 9).alias("text"))
+
+
+@query("a13_a15_rewritten_diffs", f"""with o as (select o_orderkey as k, case o_orderkey % 3 when 0 then 'python' when 1 then 'go' else 'java' end as language from orders)
+select 'm' || k as path, '--- a/m' || k || chr(10) || '+++ b/m' || k || chr(10) || case language when 'java' then '@@ -1,2 +1,5 @@' else '@@ -1,2 +1,3 @@' end || chr(10) || ' one' || chr(10) ||
+case language when 'python' then '+# {MARKER}lock normal' when 'go' then '+// {MARKER}lock normal' else '+/**' || chr(10) || '+ * {MARKER}lock normal' || chr(10) || '+ */' end || chr(10) || ' two' as diff from o""")
+def a13(spark, sf_dir):
+    rows = derived(spark, sf_dir, "select concat('m', cast(o_orderkey as varchar(40))) as path, case o_orderkey % 3 when 0 then 'python' when 1 then 'go' else 'java' end as language, concat('one', chr(10), 'two') as content from orders")
+    none = F.lit(None).cast("long")
+    wanted = rows.select("path", F.lit("t").alias("target"), F.lit(2).cast("long").alias("line"), F.lit(f"{MARKER}lock normal").alias("text"), F.lit(False).alias("is_file"), none.alias("doc_start"), none.alias("doc_end"), F.lit(0).alias("ord"))
+    return rewrite.preview(rows, rewrite.plan(wanted)).select("path", "diff")
+
+
 #: The selection of every catalogue, one section a step: each phase walks its list, made when it begins.
 _SELECTED = f"""with recursive raw as ({_SECTIONS}),
 own as (select *, case m when 1 then least(safety + 200, 255) when 2 then safety // 2 else safety end as safety_now, case m when 2 then efficiency // 2 else efficiency end as efficiency_now,

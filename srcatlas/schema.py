@@ -33,14 +33,12 @@ EXTENSIONS = {
 }
 
 # Which files an index takes by default.
-INCLUDE = tuple(f"**/*.{e}" for e in "ts tsx js jsx rs py go java".split())
-EXCLUDE = tuple(
-    f"**/{d}/**"
-    for d in (
-        "node_modules vendor dist build target out .next .nuxt .output .svelte-kit .vite .turbo .cache coverage "
-        "__pycache__ .pytest_cache .git .idea .vscode"
-    ).split()
-)
+INCLUDE = ("**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.rs", "**/*.py", "**/*.go", "**/*.java")
+EXCLUDE = (
+    "**/node_modules/**", "**/vendor/**", "**/dist/**", "**/build/**", "**/target/**", "**/out/**", "**/.next/**", "**/.nuxt/**",
+    "**/.output/**", "**/.svelte-kit/**", "**/.vite/**", "**/.turbo/**", "**/.cache/**", "**/coverage/**", "**/__pycache__/**",
+    "**/.pytest_cache/**", "**/.git/**", "**/.idea/**", "**/.vscode/**",
+)
 
 # Directives that an annotation has if it states none.
 LOCK_DIRECTIVES = {
