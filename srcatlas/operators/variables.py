@@ -34,16 +34,22 @@ def generate(symbols: DataFrame, files: DataFrame, calls: DataFrame | None = Non
         own = own.join(refs, "of", "left").withColumn("refs", F.coalesce("refs", none))
     else:
         own = own.withColumn("refs", none)
-    counted = lambda what, label, prefix: what.select(
-        F.concat(F.lit(prefix), _upper(F.col("k"), "-")).alias("name"), F.lit(label.lower()).alias("type"), F.col("k").alias("value"),
-        F.concat(F.lit(f"{label}: "), "k", F.lit(" ("), F.col("n").cast("string"), F.lit(" files)")).alias("description"), none.alias("refs"),
-    )
-    domains = counted(files.select("path", F.explode(F.array_distinct("domains")).alias("k")).groupBy("k").agg(F.count("*").alias("n")), "Domain", "DOM_")
-    layers = counted(files.where(F.col("layer").isNotNull()).groupBy(F.col("layer").alias("k")).agg(F.count("*").alias("n")), "Layer", "LAYER_")
-    told = files.where(F.col("module").isNotNull() | F.col("summary").isNotNull()).select(
-        F.concat(F.lit("FILE_"), _upper(F.col("path"), r"[/.]")).alias("name"), F.lit("file").alias("type"), F.col("path").alias("value"), F.coalesce("summary", "module").alias("description"), none.alias("refs")
+    # one pass over the files gives the domains, layers and described files that each stands for
+    item = lambda kind, key, text: F.struct(F.lit(kind).alias("type"), key.alias("k"), text.cast("string").alias("text"))
+    nothing, told = F.lit(None), F.coalesce("summary", "module")
+    found = F.concat(
+        F.transform(F.coalesce(F.array_distinct("domains"), none), lambda d: item("domain", d, nothing)),
+        F.array(item("layer", F.col("layer"), nothing), F.when(told.isNotNull(), item("file", F.col("path"), told)).otherwise(item("file", nothing.cast("string"), nothing))),
     )
-    every = own.drop("of").unionByName(domains).unionByName(told).unionByName(layers)
+    counted = files.select(F.explode(F.filter(found, lambda x: x["k"].isNotNull())).alias("x")).groupBy("x.type", "x.k").agg(F.count("*").alias("n"), F.max("x.text").alias("text"))
+    kind, key = F.col("type"), F.col("k")
+    about = F.concat(F.initcap(kind), F.lit(": "), key, F.lit(" ("), F.col("n").cast("string"), F.lit(" files)"))
+    prefix = F.when(kind == "domain", "DOM_").when(kind == "layer", "LAYER_").otherwise("FILE_")
+    rest = counted.select(
+        F.concat(prefix, F.when(kind == "file", _upper(key, "[/.]")).otherwise(_upper(key, "-"))).alias("name"), kind, key.alias("value"),
+        F.when(kind == "file", F.col("text")).otherwise(about).alias("description"), none.alias("refs"),
+    )
+    every = own.drop("of").unionByName(rest)
     last = Window.partitionBy("name").orderBy(F.desc("value"))
     return every.withColumn("at", F.row_number().over(last)).where("at = 1").drop("at")
 
