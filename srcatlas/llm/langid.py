@@ -157,16 +157,17 @@ class Model:
 
 
 def training_rows(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> DataFrame:
-    """At most ``per_language`` documents of each language, those with the smallest hashes."""
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    # three times as many as are needed pass; the ranking sees only those, however long the table
-    most = F.least(F.lit(1 << 30).cast("double"), F.lit(3.0 * per_language * (1 << 30)) / F.col("n") + 1)
+    """At most ``per_language`` different documents of each language, those with the smallest hashes of id and text.
+
+    Hashes alone are ranked, a few from each partition; whole texts are read only where they are chosen.
+    """
+    turn = F.xxhash64("doc_id", "text", F.lit(5))
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", turn.alias("turn"))
+    ranked = known.select("lang", "turn").distinct().withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn")))
+    last = ranked.where(F.col("at") <= per_language).groupBy("lang").agg(F.max("turn").alias("last"))
     # a row a language, as many as the filter has slices on every worker anyway
-    picked = known.join(F.broadcast(counts), "lang").where(turn < most).select("lang", "text", turn.alias("turn"))
-    ranked = picked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text")))
-    return ranked.where(F.col("at") <= per_language).select("lang", "text")
+    picked = known.join(F.broadcast(last), "lang").where(F.col("turn") <= F.col("last"))
+    return picked.groupBy("lang", "turn").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def filter_bits(texts: DataFrame, languages: list[str]) -> DataFrame:

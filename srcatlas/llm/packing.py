@@ -1,9 +1,9 @@
 """Best-two-fit packing of tokenised documents into fixed-size sequences.
 
 Documents become pieces of at most ``size`` tokens; only longer documents are
-cut.  Pieces are scattered by a hash of (id, piece) into buckets of about
-``bucket_pieces``, so no long document or hot source fills one bucket,
-and each bucket is packed on its own: open a sequence, add the longest piece
+cut.  Pieces are scattered by a hash of their row and number into buckets of
+about ``bucket_pieces``, so no long document, hot source or repeated row fills
+one bucket, and each bucket is packed on its own: open a sequence, add the longest piece
 that still fits until none does, then try to replace the sequence's smallest
 piece with two unpacked pieces that fill the enlarged gap more tightly.  A
 bucket leaves at most a few sequences short of full, a share that does not
@@ -15,6 +15,10 @@ id; an empty table gives no rows; very long texts are tokenised whole, word by
 word; only ``doc_id`` and ``text`` are read, so further columns of any name do
 not matter.  A tokenizer whose file is not of the kind that ``WordTokenizer``
 knows encodes whole texts, as slowly as it does by itself.
+
+Rows are numbered by partition as they are read: hand in rows as they lie in
+files or a written table, not those of a shuffle that may deliver them in
+another order after a lost executor.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +51,7 @@ SLOTS = 1 << 20
 POOL = 3 << 21
 PARTS = 100_000
 LONG = 512
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, row long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -231,12 +236,13 @@ def halve(word: str) -> tuple[str, str]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
-    """One row per piece of every document."""
+    """One row per piece of every document; ``row`` numbers the documents."""
     small_batches(docs.sparkSession)
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
         tokenizer = shared_tokenizer(tokenizer_path)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, first = tokenizer.encode_texts(batch.column(1))
             out = []
@@ -244,12 +250,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: boo
                 text = ids[first[i] : first[i + 1]].astype("<u4").tobytes() + end
                 for at in range(0, len(text), 4 * size):
                     cut = text[at : at + 4 * size]
-                    out.append((doc, at // (4 * size), at // 4, len(cut) // 4, zlib.crc32(cut), cut if keep_ids else None))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    out.append((doc, at // (4 * size), at // 4, len(cut) // 4, zlib.crc32(cut), cut if keep_ids else None, row + i))
+            row += len(batch)
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "row"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
@@ -305,7 +312,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, bucket_pieces:
     buckets = max(1, round((held["n"] + (held["bytes"] or 0) / (TOKEN_BYTES * size)) / bucket_pieces))
     cut = pieces(docs, tokenizer_path, size, keep_ids)
     cut = cut if keep_ids else cut.drop("ids")
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets))).drop("row")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

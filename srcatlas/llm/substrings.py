@@ -5,7 +5,8 @@ among its runs of ``RUN`` words; consecutive windows that share one form a
 super-k-mer.  Equal windows have equal minimisers, so
 
 1. every text gives its super-k-mers as (first window, windows, minimiser);
-   exact copies of a text count once, under their smallest id;
+   exact copies of a text count once, under their smallest id, and of equal
+   rows one travels on;
 2. minimisers seen in one text only cannot hold a repeated window and go;
 3. the other super-k-mers travel as one packed string each to the bucket of
    their minimiser; equal strings are combined before the shuffle.  In the
@@ -32,7 +33,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, text_or_empty
@@ -41,6 +42,8 @@ from .wordhash import raw_words, sequence_hashes
 WINDOW = 50
 RUN = 8
 HOT = 2000
+#: Different texts that a task remembers, to pass on one of equal rows.
+SEEN = 1 << 20
 #: Words that a bucket task ranks at once.
 RANKED = 400_000
 
@@ -59,6 +62,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def once(texts: DataFrame) -> DataFrame:
+    """Without the repeats of (id, text) that a task meets itself; those of other tasks stay."""
+
+    def go(batches):
+        seen: set[tuple[int, int, int]] = set()
+        for batch in batches:
+            if len(seen) > SEEN:
+                seen.clear()
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
+
+    return texts.mapInArrow(go, texts.schema)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minima of all runs of ``width`` values, by doubling."""
     out, have = values, 1
@@ -202,10 +219,6 @@ def packed_strings(held: DataFrame, window: int) -> DataFrame:
     return held.mapInArrow(go, f"{_KEYS}, start int, low long, p1 long, p2 long, packed binary")
 
 
-def same(left: DataFrame, right: DataFrame) -> Column:
-    return (left["k1"] == right["k1"]) & (left["k2"] == right["k2"]) & left["doc_id"].eqNullSafe(right["doc_id"])
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words of every row."""
     small_batches(docs.sparkSession)
@@ -221,8 +234,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: i
     # written first: a join of two plain shuffles can split a hot minimiser, one with an aggregate cannot
     shared = materialise(kmers.groupBy("low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("low"), "shared")
     surviving = kmers.join(shared, "low").groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("start", "n", "low")).alias("found"))
-    # texts travel once; those with surviving super-k-mers are kept for the cut
-    joined = texts.join(surviving, same(texts, surviving)).select(texts["doc_id"], texts["k1"], texts["k2"], texts["text"], surviving["found"])
+    # texts travel once, one of equal rows; those with surviving super-k-mers are kept for the cut
+    joined = once(texts).join(surviving, ["doc_id", "k1", "k2"]).groupBy("doc_id", "k1", "k2").agg(F.first("text").alias("text"), F.first("found").alias("found"))
     held = materialise(joined, "held")
     occurrences = materialise(packed_strings(held, window), "packed")
 
@@ -275,5 +288,4 @@ def _cut(texts: DataFrame, marks: DataFrame, window: int) -> DataFrame:
                 [*batch.columns[:3], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], ["m0", "m1", "m2", "n_removed", "kept_sha256"]
             )
 
-    once = texts.join(marks, same(texts, marks)).select(texts["doc_id"], texts["k1"], texts["k2"], texts["text"], marks["at"])
-    return once.mapInArrow(go, "m0 long, m1 long, m2 long, n_removed long, kept_sha256 string").dropDuplicates(["m0", "m1", "m2"])
+    return texts.join(marks, ["doc_id", "k1", "k2"]).mapInArrow(go, "m0 long, m1 long, m2 long, n_removed long, kept_sha256 string")

@@ -135,3 +135,11 @@ def test_without_labels_everything_is_unknown(docs):
     model = langid.train(frame, F.lit(True))
     assert langid.identify(frame, model).first()["lang_pred"] == "und"
     assert langid.keep_recognised(frame, model, 0.3).count() == 1
+
+
+def test_a_language_under_one_id_and_equal_rows(docs):
+    """The draw takes different texts, whatever their ids and repeats."""
+    rows = [(8, f"wort nummer {i} im satz", "de") for i in range(3000)] + [(8, "mots et phrases", "fr")] * 3000 + [(i, f"words {i}", "en") for i in range(50)]
+    picked = langid.training_rows(docs(rows).repartition(5), F.lit(True), 100)
+    assert {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()} == {"de": 100, "fr": 1, "en": 50}
+    assert sorted(map(tuple, picked.collect())) == sorted(map(tuple, langid.training_rows(docs(rows).repartition(2), F.lit(True), 100).collect()))

@@ -110,3 +110,10 @@ def test_buckets_follow_the_pieces(docs):
     out = packing.pack(docs(rows), PATH, size=64, bucket_pieces=256).collect()
     assert len({r["sequence_id"] >> 32 for r in out}) >= 8
     assert len({(r["doc_id"], r["piece"]) for r in out}) == len(out) == 8 * 469
+
+
+def test_equal_rows_fill_no_bucket(docs):
+    frame = docs([(1, "the same words")] * 30_000).repartition(4)
+    out = packing.pack(frame, PATH, bucket_pieces=512)
+    held = out.groupBy((out["sequence_id"] / (1 << 32)).cast("int")).count().collect()
+    assert sum(r["count"] for r in held) == 30_000 and len(held) == 59 and max(r["count"] for r in held) < 700

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -53,11 +54,11 @@ def test_slots_do_not_depend_on_the_layout(spark, docs):
     assert all(f == found[0] for f in found)
 
 
-def plain(rows, shards, seed, buckets, hashes):
+def plain(rows, seed, bucket_rows, hashes):
     """The same two passes in plain Python, with Spark's hashes looked up."""
-    held = {}
+    held, sizes = {}, Counter(shard for _, (shard, _, _) in rows)
     for row, (shard, grown, content) in rows:
-        held.setdefault(shard, {}).setdefault(content % buckets, []).append((row[0], content, grown, row[1]))
+        held.setdefault(shard, {}).setdefault(content % -(-sizes[shard] // bucket_rows), []).append((row[0], content, grown, row[1]))
     out = []
     for shard, parts in held.items():
         begin = 0
@@ -81,11 +82,11 @@ def test_against_a_plain_shuffle(spark, docs):
     for r in frame.select("doc_id", "text", F.xxhash64(F.lit(seed + 1), key, raw).alias("content"), *scores).collect():
         best = max(range(shards), key=lambda s: (r[f"h{s}"], s))
         placed.append(((r["doc_id"], r["text"]), (best, shards if r[f"h{shards}"] > r[f"h{best}"] else best, r["content"])))
-    buckets = 4
+    buckets = 8
     draws = spark.range(shards).crossJoin(spark.range(buckets).toDF("b")).crossJoin(spark.range(80).toDF("i"))
     seeds = (F.lit(seed + 2), F.col("id").cast("int"), F.col("b").cast("int"), F.col("i").cast("int"))
     known = {(r[0], r[1], r[2]): r[3] for r in draws.select("id", "b", "i", F.xxhash64(*seeds)).collect()}
-    expected = plain(placed, shards, seed, buckets, lambda s, shard, bucket, i: known[shard, bucket, i])
+    expected = plain(placed, seed, 20, lambda s, shard, bucket, i: known[shard, bucket, i])
     got = sharding.assign(frame, shards=shards, bucket_rows=20).collect()
     assert sorted((r["doc_id"], r["shard"], r["slot"], r["grown_shard"]) for r in got) == expected
 
@@ -119,3 +120,24 @@ def test_a_long_text_and_clashing_columns(docs):
     assert sorted(r["size"] for r in out) == [26] * 19 + [5_000_016]
     for shard in (0, 1):
         assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
+
+
+def test_equal_rows_fill_no_bucket(spark, docs, monkeypatch):
+    """Copies keep to the bound of a bucket, take every slot once, and cost as much as other rows."""
+    rows = [(1, "again and again")] * 20_000 + [(i, f"t{i}") for i in range(2000)]
+    frame = docs(rows).repartition(8)
+    for most in (100, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_COPIES", most)
+        out = sharding.assign(frame, shards=3, bucket_rows=256)
+        found = out.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots")).collect()
+        assert sum(r["n"] for r in found) == 22_000 and all((r["low"], r["high"], r["slots"]) == (0, r["n"] - 1, r["n"]) for r in found)
+        assert out.where("doc_id = 1 and size = 31").count() == 20_000
+        first = facts(out.collect()) if most else first
+    assert facts(out.collect()) == first
+
+
+def test_a_hot_id_has_buckets_of_its_own(docs, monkeypatch):
+    plain = sharding.fisher_yates
+    monkeypatch.setattr(sharding, "fisher_yates", lambda n, *seeds: plain(F.when(n > 400, F.raise_error(F.lit("a bucket above its bound"))).otherwise(n), *seeds))
+    out = sharding.assign(docs([(None, f"text {i}") for i in range(5000)]), shards=10, bucket_rows=256).collect()
+    assert sorted(r["slot"] for r in out) == list(range(5000))

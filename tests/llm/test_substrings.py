@@ -57,3 +57,13 @@ def test_a_very_long_text_and_clashing_columns(docs):
     out = substrings.remove_repeats(docs(rows).selectExpr("*", "1 as start", "2 as low", "3 as found", "4 as at", "5 as m0")).collect()
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out)
     assert got == brute(rows, 50) and got[1][2] == 200 and got[2][2] == 300
+
+
+def test_many_equal_rows(docs):
+    """Repeats of (id, text) cost one text, with a repeated passage elsewhere and without."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(5, " ".join(words))] * 20_000 + [(2, " ".join(words[:80])), (9, " ".join(words[200:])), (7, " ".join(words))]
+    out = substrings.remove_repeats(docs(rows).repartition(6)).groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()
+    want = {r: n for r, n in zip(brute(list(dict.fromkeys(rows)), 50), (1, 20_000, 1, 1), strict=True)}
+    assert {tuple(r)[:4]: r["count"] for r in out} == want
