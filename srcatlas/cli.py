@@ -124,7 +124,7 @@ def main(arguments: list[str] | None = None) -> int:
             text = sys.stdin.read() if given.text == "-" else given.text
             show(variables.expand_texts(spark.createDataFrame([(0, text)], "id long, text string"), made, given.mode))
         else:
-            show(graph.reach(variables.edges(made)).where(F.col("node") == given.name).orderBy("depth", "reached"))
+            show(variables.inheritance(made, made.where(F.col("name") == given.name)))
     elif given.command == "gate":
         found = stats.totals(held.files, held.symbols).first()["coverage"]
         print(f"{found:.1f}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ATTEMPT_STATES, LANGUAGES, LOCK_LEVELS, SYMBOL_TYPES, TOOLS, VARIABLE_TYPES
-from .graph import cycles
+from .graph import cycle_paths, cycles
 
 # Parts of file names that tell a document's kind, first match first.
 KINDS = ("cache", "vars", "config", "attempts", "sync", "primer")
@@ -55,6 +55,12 @@ def dependency_cycles(sections: DataFrame, most: int | None = None) -> DataFrame
     return cycles(sections.select(F.col("id").alias("src"), F.explode("depends").alias("dst")), most)
 
 
+def circular_dependencies(sections: DataFrame) -> DataFrame:
+    """section, cycle: one cycle, written ``a -> b -> a``, for each group of sections that depend on one another."""
+    found = cycle_paths(sections.select(F.col("id").alias("src"), F.explode("depends").alias("dst")))
+    return found.select(F.col("component").alias("section"), F.array_join("path", " -> ").alias("cycle"))
+
+
 def tool_overlap(configs: DataFrame) -> DataFrame:
     """Warnings for sync settings that name a tool both to use and to leave out (key, tools, exclude)."""
     both = F.array_sort(F.array_intersect("tools", "exclude"))

@@ -200,3 +200,32 @@ def chains(variables: DataFrame, depth: int | None = None) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("depth", "reached"))).alias("r"), F.count("*").alias("reached"), F.max("depth").alias("depth"), F.bool_or(F.col("node") == F.col("reached")).alias("has_cycle")
     )
     return held.select("name", F.transform("r", lambda x: x["reached"]).alias("chain"), "reached", "depth", "has_cycle")
+
+
+def inheritance(variables: DataFrame, roots: DataFrame | None = None, by_path: bool = True) -> DataFrame:
+    """name, chain, depth, has_cycle: for each root (name) the names below it in depth-first order.
+
+    Every name is placed by the least path of reference numbers that leads to
+    it, which is the order of a depth-first walk.  The walk stops at its first
+    repeat: by path, at a reference to a name on its own way (names met
+    elsewhere are passed over); otherwise at any name met before.  Only what
+    the asked roots lead to is walked.
+    """
+    from .graph import relax
+
+    steps = variables.select(F.col("name").alias("src"), F.posexplode("refs").alias("pos", "dst"))
+    names = variables.select("name") if roots is None else roots.select("name")
+    begin = F.struct(F.array().cast("array<int>").alias("key"), F.array("name").alias("way"))
+    onward = F.struct(F.concat("best.key", F.array("pos")).alias("key"), F.concat("best.way", F.array("dst")).alias("way"))
+    placed = relax(names.distinct().select(F.col("name").alias("root"), F.col("name").alias("node"), begin.alias("best")), steps, ["root", "node"], F.when(~F.array_contains("best.way", F.col("dst")), onward))
+    placed = placed.select("root", "node", "best.key", "best.way")
+    taken = placed.join(steps, placed["node"] == steps["src"]).select("root", "dst", "way", F.concat("key", F.array("pos")).alias("at"))
+    if by_path:
+        repeats = taken.where(F.array_contains("way", F.col("dst")))
+    else:
+        first = placed.select("root", F.col("node").alias("dst"), F.col("key").alias("first"))
+        repeats = taken.join(first, ["root", "dst"]).where("at != first")
+    stops = repeats.groupBy("root").agg(F.min("at").alias("stop"))
+    met = placed.join(stops, "root", "left").where("stop is null or key < stop")
+    held = met.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("key", "node"))).alias("r"), F.bool_or(F.col("stop").isNotNull()).alias("has_cycle"))
+    return held.select(F.col("root").alias("name"), F.transform("r", lambda x: x["node"]).alias("chain"), (F.size("r") - 1).cast("long").alias("depth"), "has_cycle")

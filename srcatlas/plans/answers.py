@@ -107,6 +107,40 @@ def v05_chains(spark, sf_dir):
     return variables.chains(_variables(spark, sf_dir)).withColumn("chain", F.array_join("chain", ","))
 
 
+_EDGES = f"with recursive v as ({VARIABLES}), r as ({_REFS}), e as (select name as src, unnest(refs) as dst, unnest(range(len(refs))) as pos from r)"
+
+
+@query("c03_cycle_paths", f"""{_EDGES},
+walk as (select src as node, dst as reached, 1 as depth from e union select w.node, e.dst, w.depth + 1 from walk w join e on e.src = w.reached where w.depth < 16),
+both as (select distinct a.node, a.reached from walk a join walk b on a.node = b.reached and a.reached = b.node),
+least as (select node, min(reached) as component from both group by node),
+way as (select component, component as node, [component] as path from least where node = component
+union all select way.component, e.dst, list_append(path, e.dst) from way join e on e.src = way.node join least on least.node = e.dst and least.component = way.component where not list_contains(path, e.dst)),
+closed as (select component, list_append(path, component) as path from way join e on e.src = way.node and e.dst = way.component)
+select component, cast(min(len(path)) - 1 as bigint) as length, array_to_string(arg_min(path, (len(path), path)), ' -> ') as path from closed group by component""")
+def c03_cycle_paths(spark, sf_dir):
+    return graph.cycle_paths(variables.edges(_variables(spark, sf_dir))).withColumn("path", F.array_join("path", " -> "))
+
+
+def _inherited(repeats):
+    return f"""{_EDGES},
+w as (select name as root, name as node, cast([] as bigint[]) as key, [name] as way from r
+union all select w.root, e.dst, list_append(key, pos), list_append(way, e.dst) from w join e on e.src = w.node where not list_contains(way, e.dst)),
+k as (select root, node, min(key) as key, arg_min(way, key) as way from w group by all),
+s as (select k.root, min(list_append(k.key, e.pos)) as stop from k join e on e.src = k.node {repeats} group by k.root)
+select k.root as name, string_agg(k.node, ',' order by key) as chain, count(*) - 1 as depth, bool_or(s.stop is not null) as has_cycle from k left join s on s.root = k.root where s.stop is null or k.key < s.stop group by k.root"""
+
+
+@query("v05_inheritance", _inherited("where list_contains(k.way, e.dst)"))
+def v05_inheritance(spark, sf_dir):
+    return variables.inheritance(_variables(spark, sf_dir)).withColumn("chain", F.array_join("chain", ","))
+
+
+@query("v05_inheritance_compatible", _inherited("join k x on x.root = k.root and x.node = e.dst where list_append(k.key, e.pos) != x.key"))
+def v05_inheritance_compatible(spark, sf_dir):
+    return variables.inheritance(_variables(spark, sf_dir), by_path=False).withColumn("chain", F.array_join("chain", ","))
+
+
 @query("c02_attempt_violations", """with a as (select event_id, case event_type when 'click' then 'active' when 'view' then 'odd' else 'failed' end as status, event_id % 9 as started_at, event_id % 7 as ended_at, case when event_id % 4 = 0 then 'xyz' else md5(event_type) end as hash from events)
 select event_id as key, 'unknown status' as message from a where status = 'odd' union all select event_id, 'ended before it started' from a where ended_at < started_at union all select event_id, 'bad hash' from a where hash = 'xyz'""")
 def c02(spark, sf_dir):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     named = named or tempfile.mkdtemp(prefix="srcatlas-")
     context.setCheckpointDir(named)
     return named
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Removes a file or folder of any store that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_rounds: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder: computed once, cut from its lineage, there until the driver ends."""
+    spark = df.sparkSession
+    if not _rounds:
+        atexit.register(_forget, spark)
+        _rounds.append(f"{shared_dir(spark).rstrip('/')}/srcatlas/rounds-{uuid.uuid4().hex}")
+    path = f"{_rounds[0]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession) -> None:
+    try:
+        delete(spark, _rounds[0])
+    except Exception:  # the JVM has already ended; the shared folder's owner cleans up
+        pass
