@@ -1,5 +1,9 @@
 """Writers that put new contents in place: annotated sources, migrations with backups, restored files.
 
+``put`` stages all files first and moves them when every task has staged its
+own, so a failed task leaves the tree as it was.  ``write_files`` writes as its
+rows are evaluated and tells what it did.
+
 The files are written by the tasks that hold their contents, below a folder
 that all of them share.  A file is written beside its place and then moved
 there, so a lost task leaves no half-written one and may be repeated.
@@ -8,10 +12,14 @@ there, so a lost task leaves no half-written one and may be repeated.
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 WRITTEN = "path string, written boolean, backup string"
 
@@ -58,3 +66,76 @@ def write_files(contents: DataFrame, root: str, stamp: str | None = None) -> Dat
 def restore(files: DataFrame, root: str) -> DataFrame:
     """Writes the stored contents of an attempt or a checkpoint (path, content) back; without content a file stays as it is."""
     return write_files(files, root)
+
+
+def below(root: str, path: str) -> str:
+    full = os.path.join(root, path)
+    if os.path.commonpath([os.path.realpath(full), os.path.realpath(root)]) != os.path.realpath(root):
+        raise ValueError(f"{path!r} is not below {root!r}")
+    return full
+
+
+def text_at(path: str) -> str | None:
+    if not os.path.exists(path):
+        return None
+    with open(path, encoding="utf-8", errors="replace", newline="") as f:
+        return f.read()
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    """What one task staged: path and staged file."""
+
+    files: list[tuple[str, str]]
+
+
+class TreeWriter(DataSourceWriter):
+    def __init__(self, options: dict):
+        self.root, self.stamp = options["path"], options.get("stamp")
+        self.stage = os.path.join(self.root, f".staged-{uuid.uuid4().hex}")
+
+    def write(self, iterator) -> Staged:
+        own = os.path.join(self.stage, uuid.uuid4().hex)
+        found = []
+        for row in iterator:
+            if row.content is not None and text_at(below(self.root, row.path)) != row.content:
+                staged = os.path.join(own, str(len(found)))
+                replace(staged, row.content)
+                found.append((row.path, staged))
+        return Staged(found)
+
+    def commit(self, messages) -> None:
+        """Backups first, then every file by one move; a second attempt moves what the first one left."""
+        files = [f for m in messages if m for f in m.files]
+        for path, staged in files:
+            full = below(self.root, path)
+            backup = f"{full}.{self.stamp}.bak"
+            if self.stamp and os.path.exists(staged) and os.path.exists(full) and not os.path.exists(backup):
+                replace(backup, text_at(full))
+        for path, staged in files:
+            full = below(self.root, path)
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            if os.path.exists(staged):
+                os.replace(staged, full)
+        shutil.rmtree(self.stage, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.stage, ignore_errors=True)
+
+
+class TreeSink(DataSource):
+    """``contents.write.format("tree").option("stamp", ...).mode("append").save(folder)`` for path and content."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tree"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return TreeWriter(dict(self.options))
+
+
+def put(contents: DataFrame, root: str, stamp: str | None = None) -> None:
+    """Writes all of (path, content) below ``root``, or nothing; with a ``stamp`` replaced files are kept as ``path.stamp.bak``."""
+    contents.sparkSession.dataSource.register(TreeSink)
+    kept = {"stamp": stamp} if stamp else {}
+    contents.select("path", "content").write.format("tree").options(**kept).mode("append").save(root)

@@ -112,8 +112,8 @@ _EDGES = f"with recursive v as ({VARIABLES}), r as ({_REFS}), e as (select name
 
 @query("c03_cycle_paths", f"""{_EDGES},
 walk as (select src as node, dst as reached, 1 as depth from e union select w.node, e.dst, w.depth + 1 from walk w join e on e.src = w.reached where w.depth < 16),
-both as (select distinct a.node, a.reached from walk a join walk b on a.node = b.reached and a.reached = b.node),
-least as (select node, min(reached) as component from both group by node),
+mutual as (select distinct a.node, a.reached from walk a join walk b on a.node = b.reached and a.reached = b.node),
+least as (select node, min(reached) as component from mutual group by node),
 way as (select component, component as node, [component] as path from least where node = component
 union all select way.component, e.dst, list_append(path, e.dst) from way join e on e.src = way.node join least on least.node = e.dst and least.component = way.component where not list_contains(path, e.dst)),
 closed as (select component, list_append(path, component) as path from way join e on e.src = way.node and e.dst = way.component)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,13 @@ from ..functions.paths import selected
 from ..operators import annotations
 from ..operators.attempts import upsert
 from ..schema import EXCLUDE, INCLUDE
+from ..storage import delete, shared_dir, written
 
 BUCKETS = 16
 #: What the table of indexed files is called after, and changed files read at once.
 FILES, REREAD = "_files", 1000
+#: Where buckets wait until they are put in place.
+NEXT = "_next"
 
 
 def changed_files(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, per_trigger: int = 1000) -> DataFrame:
@@ -55,29 +59,42 @@ def upsert_annotations(target: str, buckets: int = BUCKETS) -> Callable[[DataFra
     return write
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def _existing(spark: SparkSession, target: str) -> DataFrame | None:
-    """The table at ``target``, or nothing before the first batch."""
-    try:
-        return spark.read.parquet(target)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
+    """The table at ``target``, or nothing before the first batch and when no row is left."""
+    if _there(spark, target + NEXT + "/rows/_SUCCESS"):
+        _put(spark, target)
+    spark.catalog.refreshByPath(target)
+    if not _there(spark, target) or not spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(target).select("path").head(1):
         return None
+    return spark.read.parquet(target)
 
 
 def _replace(rows: DataFrame, touched: DataFrame, target: str) -> None:
-    """Puts ``rows`` in place of all of the touched buckets; those without rows go."""
+    """Puts ``rows`` in place of all of the touched buckets; those without rows go.
+
+    The new buckets are written whole beside the table first.  If the job stops
+    while it puts them in place, the next one that opens the table does it again.
+    """
     spark = rows.sparkSession
-    # the buckets are read and overwritten, so the new rows are cut from the old files first
-    rows = rows.checkpoint()
+    touched.select("bucket").distinct().write.mode("overwrite").parquet(target + NEXT + "/touched")
+    rows.write.mode("overwrite").parquet(target + NEXT + "/rows")
+    _put(spark, target)
+
+
+def _put(spark: SparkSession, target: str) -> None:
+    rows, touched = spark.read.parquet(target + NEXT + "/rows"), spark.read.parquet(target + NEXT + "/touched")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
-    jvm = spark.sparkContext._jvm
-    for gone in touched.select("bucket").distinct().join(rows.select("bucket").distinct(), "bucket", "left_anti").collect():  # at most a row a bucket
-        path = jvm.org.apache.hadoop.fs.Path(f"{target}/bucket={gone['bucket']}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for gone in touched.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect():  # at most a row a bucket
+        delete(spark, f"{target}/bucket={gone['bucket']}")
+    delete(spark, target + NEXT)
 
 
-def refresh(spark: SparkSession, root: str, target: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> None:
+def refresh(spark: SparkSession, root: str, target: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, buckets: int = BUCKETS) -> None:
     """Indexes known files again that changed since, and forgets those that went.
 
     A file stream takes every path once, so changes and deletions are found by
@@ -89,26 +106,25 @@ def refresh(spark: SparkSession, root: str, target: str, include: tuple[str, ...
     schema = "path string, modificationTime timestamp, length long, content binary"
     there = spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
     there = there.where(selected(F.col("path"), include, exclude)).select("path", F.col("modificationTime").alias("now"))
-    lost = known.select("path").join(there, "path", "left_anti").checkpoint()
-    changed = [r["path"] for r in there.join(known, "path").where("now > modified_at").select("path").toLocalIterator()]
+    lost = written(known.select("path").join(there, "path", "left_anti"))
+    changed = written(there.join(known, "path").where("now > modified_at").select("path"))
     if not lost.isEmpty():
         for table, rows in ((target, old), (target + FILES, known)):
-            touched = bucketed(lost)
+            touched = bucketed(lost, buckets)
             kept = rows.join(F.broadcast(touched.select("bucket").distinct()), "bucket", "left_semi").join(lost, "path", "left_anti")
             _replace(kept.select(*rows.columns), touched, table)
-    write = upsert_annotations(target)
-    for at in range(0, len(changed), REREAD):
-        rows = spark.read.format("binaryFile").schema(schema).load(changed[at : at + REREAD])
+    write = upsert_annotations(target, buckets)
+    paths = (r["path"] for r in changed.toLocalIterator())
+    while some := list(islice(paths, REREAD)):
+        rows = spark.read.format("binaryFile").schema(schema).load(some)
         write(rows.select("path", F.col("modificationTime").alias("modified_at"), F.col("content").cast("string").alias("content")), 0)
 
 
-def watch(spark: SparkSession, root: str, target: str, checkpoint: str, **options) -> StreamingQuery:
-    """Indexes what is there and ends (available-now trigger); run it again for what changed or went."""
-    from ..storage import shared_dir
-
+def watch(spark: SparkSession, root: str, target: str, checkpoint: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, per_trigger: int = 1000) -> StreamingQuery:
+    """Indexes what is there and ends (available-now trigger); run it again, with the same globs, for what changed or went."""
     shared_dir(spark)
-    refresh(spark, root, target)
-    stream = changed_files(spark, root, **options)
+    refresh(spark, root, target, include, exclude)
+    stream = changed_files(spark, root, include, exclude, per_trigger)
     return stream.writeStream.foreachBatch(upsert_annotations(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
