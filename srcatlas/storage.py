@@ -29,22 +29,24 @@ def delete(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-_rounds: list[str] = []
+_rounds: set[str] = set()
+_RUN = uuid.uuid4().hex
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder: computed once, cut from its lineage, there until the driver ends."""
     spark = df.sparkSession
-    if not _rounds:
-        atexit.register(_forget, spark)
-        _rounds.append(f"{shared_dir(spark).rstrip('/')}/srcatlas/rounds-{uuid.uuid4().hex}")
-    path = f"{_rounds[0]}/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/srcatlas/rounds-{_RUN}"
+    if folder not in _rounds:
+        _rounds.add(folder)
+        atexit.register(_forget, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget(spark: SparkSession) -> None:
+def _forget(spark: SparkSession, folder: str) -> None:
     try:
-        delete(spark, _rounds[0])
+        delete(spark, folder)
     except Exception:  # the JVM has already ended; the shared folder's owner cleans up
         pass
