@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from .functions import docs as doc_comments
 from .functions.paths import glob_regex
 from .operators import annotations, bridge, conventions, files, graph, history, stats
 from .sources import files as source_files
-from .sources import git
+from .sources import git, tree
 
 
 @dataclass
@@ -113,8 +114,9 @@ def _bridged(symbols: DataFrame, sources: DataFrame, notes: DataFrame) -> DataFr
 
 
 def index(spark: SparkSession, root: str, config: Config | None = None, with_git: bool = False) -> Catalog:
-    """Scans a tree and builds its tables."""
+    """Scans a tree and builds its tables; a mounted folder is read with its hidden files and without listing what is excluded."""
     config = config or Config()
-    sources = source_files.scan(spark, root, tuple(config.include), tuple(config.exclude), config.max_file_bytes)
+    scan = tree.scan if os.path.isdir(root) else source_files.scan
+    sources = scan(spark, root, tuple(config.include), tuple(config.exclude), config.max_file_bytes)
     commits = git.read(spark, root) if with_git else None
     return build(sources, config, commits)

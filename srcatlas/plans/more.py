@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import parsers
 from ..functions import docs
 from ..functions.conditions import state as state_condition
 from ..functions.text import truncated
-from ..operators import bridge, files, lookups, primer, render, rewrite, suggestions, validation, variables
+from ..operators import bridge, files, lookups, primer, render, rewrite, suggestions, validation, variables, writers
 from ..schema import MARKER
+from ..sources import tree
 from ..sources.files import to_annotate
+from ..storage import fresh
 from .analysis import _THIRD, _VIS, _name_rules, _path_case
 from .code import _BASE, _T, _notes
 from .derived import VARIABLES, derived, sources
@@ -270,6 +274,33 @@ def s02(spark, sf_dir):
     return to_annotate(rows, ("**/*.ts", "**/*.py", "**/*.go"), ("**/node_modules/**",), "**/src/**")
 
 
+_TREE = """select concat(case c_custkey % 5 when 0 then 'src/a' when 1 then 'src/b/c' when 2 then 'node_modules/x' when 3 then 'src/node_modules/y' else 'docs' end, '/m', cast(c_custkey as varchar(40)), case c_custkey % 4 when 0 then '.ts' when 1 then '.py' when 2 then '.txt' else '.go' end) as path,
+concat('// ', c_name, chr(10), c_mktsegment, chr(10)) as content from customer"""
+
+
+def _tree(spark, sf_dir):
+    """The customers' files, written to the shared folder."""
+    made = fresh(spark)
+    if re.match(r"(?!file:)\w+:", made):
+        raise ValueError("a source tree lies in a mounted folder")
+    root = re.sub("^file:/*", "/", made)
+    writers.put(derived(spark, sf_dir, _TREE), root)
+    return root
+
+
+@query("s01_tree_source", f"""select path, content, cast(strlen(content) as bigint) as length, case regexp_extract(path, '[.](.*)$', 1) when 'ts' then 'typescript' when 'py' then 'python' else 'go' end as language
+from ({_TREE}) where regexp_matches(path, '[.](ts|py|go)$') and not contains(path, 'node_modules/') and starts_with(path, 'src/')""")
+def s01_tree(spark, sf_dir):
+    found = tree.scan(spark, _tree(spark, sf_dir), ("**/*.ts", "**/*.py", "**/*.go"), ("**/node_modules/**",))
+    return found.where(F.col("path").startswith("src/")).select("path", "content", "length", "language")
+
+
+@query("s01_listed_folders", """select * from (values ('', 0::bigint, 2::bigint), ('src', 0, 2), ('src/b', 0, 1)) v(path, files, folders)
+union all select p, count(*), 0 from (select regexp_replace(path, '/[^/]*$', '') as p, path from (""" + _TREE + """)) where not contains(path, 'node_modules') group by p""")
+def s01_listed(spark, sf_dir):
+    return tree.read(spark, _tree(spark, sf_dir), (), ("**/node_modules/**",), table="folders")
+
+
 _DOCUMENTS = """select case s_suppkey % 5 when 0 then 'my.cache.json' when 1 then 'a.vars.json' when 2 then 'x.json' when 3 then 'the.attempts.json' else 'y.cache.json' end as kind, s_suppkey,
 case s_suppkey % 5 when 0 then concat('{"files":{"f', cast(s_suppkey as varchar(40)), '":{"path":"p","language":"', case when s_suppkey % 2 = 0 then 'cobol' else 'python' end, '","lines":', cast(s_suppkey % 7 - 1 as varchar(40)), '}}}')
 when 1 then concat('{"variables":{"V":{"type":"', case when s_suppkey % 2 = 0 then 'odd' else 'symbol' end, '"}}}') when 2 then '{"a":1}' when 3 then '{"attempts":{"a":{"status":"lost"}}}' else '{"files":' end as json from supplier"""

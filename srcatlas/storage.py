@@ -33,14 +33,19 @@ _rounds: set[str] = set()
 _RUN = uuid.uuid4().hex
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder: computed once, cut from its lineage, there until the driver ends."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession) -> str:
+    """A new path in the shared folder, there until the driver ends."""
     folder = f"{shared_dir(spark).rstrip('/')}/srcatlas/rounds-{_RUN}"
     if folder not in _rounds:
         _rounds.add(folder)
         atexit.register(_forget, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder: computed once, cut from its lineage, there until the driver ends."""
+    spark = df.sparkSession
+    path = fresh(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
