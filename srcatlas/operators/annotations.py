@@ -198,3 +198,14 @@ def migrated(files: DataFrame) -> DataFrame:
     whole = touched.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("rewritten", "text").alias("t")))).alias("l"))
     after = whole.select("path", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("after"))
     return files.join(after, "path").select("path", F.col("content").alias("before"), "after")
+
+
+def migration_script(files: DataFrame) -> DataFrame:
+    """path, place, sign and text of every line of files with legacy annotations: those that stay, go and are added."""
+    numbered = lines(files)
+    changed = legacy(numbered).select("path", "line_no", "rewritten")
+    touched = numbered.join(changed.select("path").distinct(), "path", "left_semi").join(changed, ["path", "line_no"], "left")
+    part = lambda sign, text: F.struct(F.lit(sign).alias("sign"), text.alias("text"))
+    text, new = F.col("text"), F.col("rewritten")
+    rows = touched.select("path", "line_no", F.posexplode(F.when(new.isNull(), F.array(part(" ", text))).otherwise(F.array(part("-", text), part("+", new)))).alias("i", "r"))
+    return rows.select("path", F.struct("line_no", "i").alias("place"), "r.sign", "r.text")

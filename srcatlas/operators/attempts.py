@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_CONTENT_BYTES
+from .machines import Machine, run
 
 #: Events after which an attempt leaves the list of open ones.
 CLOSING = ("verified", "reverted")
@@ -59,3 +60,35 @@ def debug_sessions(events: DataFrame) -> DataFrame:
     return events.groupBy("session").agg(
         F.count("*").alias("attempts"), F.count_if(F.col("result") == "success").alias("kept"), F.count_if(F.col("result") == "failure").alias("reverted"), F.max_by("status", F.struct("ts", "seq")).alias("status")
     )
+
+
+#: An attempt: started anew at any time, changed and reverted only while it is open; ending one that is not open has no effect.
+ATTEMPT = Machine(
+    ("absent", "active", "failed"),
+    {
+        ("absent", "start"): ("active", "done"), ("active", "start"): ("active", "done"), ("failed", "start"): ("active", "done"),
+        ("active", "modify"): ("active", "done"), ("failed", "modify"): ("failed", "done"),
+        ("absent", "fail"): ("absent", "ignored"), ("active", "fail"): ("failed", "done"), ("failed", "fail"): ("failed", "done"),
+        ("absent", "verify"): ("absent", "ignored"), ("active", "verify"): ("absent", "done"), ("failed", "verify"): ("absent", "done"),
+        ("active", "revert"): ("absent", "done"), ("failed", "revert"): ("absent", "done"),
+    },
+)
+#: One try of a debug session.  A success keeps it; a revert drops it for good, whatever is recorded later.
+TRY = Machine(
+    ("absent", "open", "kept", "reverted"),
+    {
+        ("absent", "add"): ("open", "done"),
+        ("absent", "success"): ("absent", "ignored"), ("open", "success"): ("kept", "done"), ("kept", "success"): ("kept", "done"), ("reverted", "success"): ("reverted", "done"),
+        ("absent", "failure"): ("absent", "ignored"), ("open", "failure"): ("open", "done"), ("kept", "failure"): ("kept", "done"), ("reverted", "failure"): ("reverted", "done"),
+        ("absent", "partial"): ("absent", "ignored"), ("open", "partial"): ("open", "done"), ("kept", "partial"): ("kept", "done"), ("reverted", "partial"): ("reverted", "done"),
+        ("absent", "revert"): ("absent", "ignored"), ("open", "revert"): ("reverted", "done"), ("kept", "revert"): ("reverted", "done"), ("reverted", "revert"): ("reverted", "done"),
+    },
+)
+
+
+def tries(events: DataFrame) -> DataFrame:
+    """session, attempts, kept and reverted: tries by the state that their last event left; an id is ``session/attempt``."""
+    ended = run(events, TRY).groupBy("id").agg(F.max_by("after", F.struct("ts", "seq", "event")).alias("state"))
+    return ended.groupBy(F.regexp_replace("id", "/[^/]*$", "").alias("session")).agg(
+        F.count_if(F.col("state") != "absent").alias("attempts"), F.count_if(F.col("state") == "kept").alias("kept"), F.count_if(F.col("state") == "reverted").alias("reverted")
+    )

@@ -7,7 +7,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MARKER
@@ -72,20 +72,86 @@ def plan(suggestions: DataFrame, rendered: str = "text") -> DataFrame:
     return made.select("path", "target", "line", "is_file", "doc_start", "doc_end", F.transform("h", lambda x: x["t"]).alias("texts"))
 
 
+def _inserted(lines: Column, language: Column, change: Column) -> Column:
+    """The lines that a change adds, each with its place: the line before which it goes, and what orders lines of one place."""
+    block, rust = ~language.isin("python", "go", "rust"), language == "rust"
+    prefix = F.when(language == "python", "# ").when(language == "go", "// ").when(rust & change["is_file"], "//! ").when(rust, "/// ").otherwise(" * ")
+    indent = F.coalesce(F.regexp_extract(F.get(lines, change["line"].cast("int") - 1), r"^(\s*)", 1), F.lit(""))
+    start = change["doc_start"].cast("int")
+    last = F.coalesce(change["doc_end"].cast("int"), start + 20)
+    said = F.regexp_extract_all(F.array_join(F.slice(lines, start, F.greatest(last - start + 1, F.lit(0))), "\n"), F.lit("(" + re.escape(MARKER) + r'[^\s"]+)'), 1)
+    put = lambda xs, at: F.transform(xs, lambda x, i: F.struct(at.alias("line_no"), F.lit(0).alias("rank"), (~change["is_file"]).alias("later"), change["target"].alias("target"), i.alias("i"), F.lit("+").alias("sign"), x.alias("text")))
+    line = lambda t: F.concat(indent, prefix, t)
+    commented = F.concat(F.array(F.concat(indent, F.lit("/**"))), F.transform(change["texts"], line), F.array(F.concat(indent, F.lit(" */"))))
+    above = F.least(F.greatest(change["line"].cast("int"), F.lit(1)), F.size(lines) + 1)
+    new = F.when(block, commented).otherwise(F.transform(change["texts"], line))
+    fresh = F.transform(F.filter(change["texts"], lambda t: ~F.array_contains(said, F.substring_index(t, " ", 1))), line)
+    return F.when((start > 0) & (block | rust), put(fresh, F.least(start, F.size(lines)) + 1)).when(F.size(change["texts"]) > 0, put(new, above)).otherwise(put(F.array().cast("array<string>"), above))
+
+
+def script(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """path, place, sign and text: every line of each changed file, those that stay (a blank) and those that are added (``+``).
+
+    Where several changes add lines at one place, those of the file come first,
+    then others by target.  Without a target line there is no indentation;
+    changes below the text go to its end.
+    """
+    held = changes.groupBy("path").agg(F.collect_list(F.struct("line", "is_file", "doc_start", "doc_end", "texts", "target")).alias("changes"))
+    cut = F.split("content", "\n", -1)
+    own = files.select("path", F.coalesce("language", F.lit("")).alias("language"), F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut).alias("lines"))
+    none = F.lit("").alias("target")
+    stay = F.transform("lines", lambda t, i: F.struct((i + 1).alias("line_no"), F.lit(1).alias("rank"), F.lit(False).alias("later"), none, F.lit(0).alias("i"), F.lit(" ").alias("sign"), t.alias("text")))
+    added = F.flatten(F.transform("changes", lambda c: _inserted(F.col("lines"), F.col("language"), c)))
+    rows = own.join(held, "path").select("path", F.explode(F.concat(stay, added)).alias("r"))
+    return rows.select("path", F.struct("r.line_no", "r.rank", "r.later", "r.target", "r.i").alias("place"), "r.sign", "r.text")
+
+
+def hunks(edited: DataFrame, context: int = 3) -> DataFrame:
+    """path and unified diff of a script of lines that stay (a blank), go (``-``) or are added (``+``), in the order of ``place``.
+
+    Changes with no line between them are one island, first what goes, then what
+    is added; lines within ``context`` of a change are shown, and shown lines
+    without a gap are one hunk.  Files without a change have no row.
+    """
+    stays, by = F.col("sign") == " ", Window.partitionBy("path")
+    before = Window.unboundedPreceding
+    islands = edited.withColumn("island", F.count_if(stays).over(by.orderBy("place").rowsBetween(before, -1)))
+    kind = F.when(stays, 2).when(F.col("sign") == "-", 0).otherwise(1)
+    ordered, back = by.orderBy("island", kind, "place"), by.orderBy(F.desc("island"), F.desc(kind), F.desc("place"))
+    change = F.when(~stays, F.col("island"))
+    placed = islands.withColumns(
+        {
+            "at": F.row_number().over(ordered),
+            "old": F.count_if(F.col("sign") != "+").over(ordered.rowsBetween(before, -1)),
+            "new": F.count_if(F.col("sign") != "-").over(ordered.rowsBetween(before, -1)),
+            "since": F.col("island") + 1 - F.last(change, True).over(ordered.rowsBetween(before, 0)),
+            "until": F.last(change, True).over(back.rowsBetween(before, 0)) - F.col("island"),
+        }
+    )
+    shown = placed.where(~stays | (F.col("since") <= context) | (F.col("until") <= context))
+    gap = F.coalesce(F.col("at") - F.lag("at").over(by.orderBy("at")) > 1, F.lit(True))
+    numbered = shown.withColumn("gap", gap).withColumn("hunk", F.count_if(F.col("gap")).over(by.orderBy("at").rowsBetween(before, 0)))
+    made = numbered.groupBy("path", "hunk").agg(
+        F.min("old").alias("old"), F.min("new").alias("new"), F.count_if(F.col("sign") != "+").alias("olds"), F.count_if(F.col("sign") != "-").alias("news"),
+        F.array_sort(F.collect_list(F.struct("at", F.concat("sign", "text").alias("t")))).alias("lines"),
+    )
+    span = lambda start, n: F.when(n == 1, (start + 1).cast("string")).when(n == 0, F.concat(start.cast("string"), F.lit(",0"))).otherwise(F.concat((start + 1).cast("string"), F.lit(","), n.cast("string")))
+    head = F.concat(F.lit("@@ -"), span(F.col("old"), F.col("olds")), F.lit(" +"), span(F.col("new"), F.col("news")), F.lit(" @@"))
+    text = made.select("path", "hunk", F.concat_ws("\n", head, F.transform("lines", lambda x: x["t"])).alias("text"))
+    joined = text.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("hunk", "text"))).alias("hunks"))
+    return joined.select("path", F.concat_ws("\n", F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"), F.transform("hunks", lambda h: h["text"])).alias("diff"))
+
+
+def contents(edited: DataFrame) -> DataFrame:
+    """path and the text that a script leaves, without a last line end."""
+    kept = edited.groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("sign") != "-", F.struct("place", "text")))).alias("lines"))
+    return kept.select("path", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("content"))
+
+
 def preview(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """path, the new content and its diff of every changed file; a file's changes travel as one array."""
-    held = changes.groupBy("path").agg(F.collect_list(F.struct("line", "is_file", "doc_start", "doc_end", "texts")).alias("changes"))
-
-    @F.pandas_udf("struct<content:string,diff:string>")
-    def run(path: pd.Series, content: pd.Series, language: pd.Series, listed: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, c, g, change in zip(path, content, language, listed, strict=True):
-            new = apply(c, g or "", [dict(x) for x in change])
-            rows.append((new, diff(c, new, p)))
-        return pd.DataFrame(rows, columns=["content", "diff"])
-
-    joined = files.join(held, "path")
-    return joined.select("path", run("path", "content", "language", "changes").alias("r")).select("path", "r.content", "r.diff")
+    """path, the new content and its diff (empty if nothing was added) of every changed file."""
+    edited = script(files, changes)
+    return contents(edited).join(hunks(edited), "path", "left").select("path", "content", F.coalesce("diff", F.lit("")).alias("diff"))
 
 
 def between_markers(existing: str, section: str, begin: str, end: str) -> str:

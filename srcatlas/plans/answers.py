@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import annotations as notes
-from ..operators import attempts, contexts, files, graph, primer, stats, validation, variables
+from ..operators import attempts, contexts, files, graph, machines, primer, rewrite, stats, validation, variables
 from ..schema import DIRECTIVES, LOCK_DIRECTIVES, MARKER
 from .code import _BASE, _LEVEL, _LOCKS, _RESOLVED, _T, _case, _files, _notes, _resolved
 from .derived import CALL_EDGES, VARIABLES, derived
@@ -54,14 +54,27 @@ def a04(spark, sf_dir):
     return notes.doc_ranges(notes.lines(rows), rows.select("path", F.lit("f").alias("name"), F.lit(6).cast("long").alias("line_start")))
 
 
-@query("k06_migrated_files", _BASE + f""", old as (select path, line_no, text, nullif(regexp_extract(text, '{MARKER}([\\w-]+)(?:\\s+(.+))?', 1), '') as name, nullif(trim(regexp_extract(text, '{MARKER}([\\w-]+)(?:\\s+(.+))?', 2)), '') as value from lines where contains(text, '{MARKER}') and not contains(text, ' - ')),
+_LEGACY = _BASE + f""", old as (select path, line_no, text, nullif(regexp_extract(text, '{MARKER}([\\w-]+)(?:\\s+(.+))?', 1), '') as name, nullif(trim(regexp_extract(text, '{MARKER}([\\w-]+)(?:\\s+(.+))?', 2)), '') as value from lines where contains(text, '{MARKER}') and not contains(text, ' - ')),
 new as (select path, line_no, text || ' - ' || case when name = 'lock' then {_case(LOCK_DIRECTIVES, "coalesce(value, 'normal')")} else {_case(DIRECTIVES, "name")} end as rewritten from old),
-ch as (select * from new where rewritten is not null)
+ch as (select * from new where rewritten is not null)"""
+
+
+@query("k06_migrated_files", _LEGACY + """
 select l.path, string_agg(coalesce(c.rewritten, l.text), chr(10) order by l.line_no) as after from lines l left join ch c using (path, line_no) where l.path in (select path from ch) group by l.path""")
 def k06(spark, sf_dir):
     return notes.migrated(_files(spark, sf_dir)).select("path", "after")
 
 
+@query("k06_migration_diffs", _LEGACY + """, sh as (select l.path, l.line_no, l.text, c.rewritten from lines l left join ch c using (path, line_no) where exists (select 1 from ch x where x.path = l.path and x.line_no between l.line_no - 3 and l.line_no + 3)),
+g as (select *, line_no - row_number() over (partition by path order by line_no) as hunk, line_no - row_number() over (partition by path, rewritten is null order by line_no) as run from sh),
+a as (select path, hunk, line_no, text, rewritten, case when rewritten is null then line_no else min(line_no) over (partition by path, rewritten is null, run) end as island from g),
+r as (select path, hunk, line_no, island, 0 as part, case when rewritten is null then ' ' else '-' end || text as t from a union all select path, hunk, line_no, island, 1, '+' || rewritten from a where rewritten is not null),
+h as (select path, min(line_no) as first, '@@ -' || min(line_no) || ',' || count(distinct line_no) || ' +' || min(line_no) || ',' || count(distinct line_no) || ' @@' || chr(10) || string_agg(t, chr(10) order by island, part, line_no) as text from r group by path, hunk)
+select path, '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || string_agg(text, chr(10) order by first) as diff from h group by path""")
+def k06_diffs(spark, sf_dir):
+    return rewrite.hunks(notes.migration_script(_files(spark, sf_dir)))
+
+
 _KEPT = "select cast(page_id as varchar(40)) as path, html as content, md5(html) as hash, case when page_id % 3 = 0 then concat(html, 'x') else html end as now from pages where page_id % 7 <> 0"
 
 
@@ -79,6 +92,27 @@ def t03(spark, sf_dir):
     return attempts.debug_sessions(rows)
 
 
+_MOVES = """select concat('a', cast(user_id as varchar(40))) as id, case when event_id % 17 = 0 then 'lost' else case event_type when 'click' then 'start' when 'view' then 'modify' when 'error' then 'fail' when 'purchase' then 'verify' else 'revert' end end as event, ts, event_id as seq from events"""
+
+
+@query("t01_transitions", f"""with recursive e as (select *, row_number() over (partition by id order by ts, seq, event) as n from ({_MOVES})),
+w as (select distinct id, 0::bigint as n, null::varchar as event, null::bigint as seq, 'absent' as before, 'absent' as after from e
+union all select e.id, e.n, e.event, e.seq, w.after, case when e.event = 'start' then 'active' when e.event = 'fail' and w.after <> 'absent' then 'failed' when e.event in ('verify', 'revert') then 'absent' else w.after end from w join e on e.id = w.id and e.n = w.n + 1)
+select id, event, seq, before, after, case when event = 'lost' then 'unknown' when before = 'absent' and event in ('modify', 'revert') then 'forbidden' when before = 'absent' and event in ('fail', 'verify') then 'ignored' else 'done' end as verdict from w where n > 0""")
+def t01_moves(spark, sf_dir):
+    return machines.run(derived(spark, sf_dir, _MOVES), attempts.ATTEMPT).drop("ts")
+
+
+_TRIES = """select concat('s', cast(user_id % 20 as varchar(40)), '/', cast(user_id as varchar(40))) as id, case event_type when 'click' then 'add' when 'view' then 'partial' when 'error' then 'failure' when 'purchase' then 'success' else 'revert' end as event, ts, event_id as seq from events"""
+
+
+@query("t03_session_tries", f"""with e as ({_TRIES}), a as (select id, min((ts, seq)) filter (where event = 'add') as added from e group by id),
+t as (select id, added is not null as there, coalesce(bool_or(event = 'success') filter (where (ts, seq) > added), false) as won, coalesce(bool_or(event = 'revert') filter (where (ts, seq) > added), false) as gone from e join a using (id) group by id, added)
+select split_part(id, '/', 1) as session, count(*) filter (where there) as attempts, count(*) filter (where won and not gone) as kept, count(*) filter (where gone) as reverted from t group by 1""")
+def t03_tries(spark, sf_dir):
+    return attempts.tries(derived(spark, sf_dir, _TRIES))
+
+
 _ITEMS = """select case p_partkey % 3 when 0 then 'files' when 1 then 'hacks' else 'domains' end as source, concat('k', cast(p_partkey as varchar(40))) as key, case p_partkey % 4 when 0 then 'frozen' when 1 then 'restricted' else 'normal' end as level, p_partkey % 5 = 0 as expired, p_name as name from part"""
 
 
