@@ -15,6 +15,7 @@ from .functions.paths import glob_regex
 from .operators import annotations, bridge, conventions, files, graph, history, stats
 from .sources import files as source_files
 from .sources import git, tree
+from .storage import written
 
 
 @dataclass
@@ -70,7 +71,7 @@ def build(sources: DataFrame, config: Config | None = None, commits: DataFrame |
     parsed = parsers.parse(sources)
     ast = files.ast_symbols(parsers.symbols(parsed))
     if config.bridge:
-        ast = _bridged(ast, sources, notes)
+        ast = written(_bridged(ast, sources, notes, config))  # read for symbols and for counts
     symbols = files.apply_ast(files.fold_symbols(notes), ast)
 
     folded = files.fold_files(notes)
@@ -91,6 +92,8 @@ def build(sources: DataFrame, config: Config | None = None, commits: DataFrame |
             "ai_hints": F.coalesce("ai_hints", empty),
         }
     ).drop("names", "specs")
+    if config.bridge:
+        table = table.join(bridge.counts(ast, provenance), "path", "left").fillna(0, ["explicit_count", "converted_count", "merged_count"])
     resolved = graph.resolve_imports(table.select(F.col("path").alias("importer"), F.explode("imports").alias("spec")), sources.select("path"))
     table = table.join(graph.imported_by(resolved), "path", "left").withColumn("imported_by", F.coalesce("imported_by", empty))
     if commits is not None:
@@ -101,16 +104,22 @@ def build(sources: DataFrame, config: Config | None = None, commits: DataFrame |
     return Catalog(table, symbols, notes, provenance, calls, resolved, stats.lock_row(table), files.hacks(found), conventions.naming(sources.select("path")))
 
 
-def _bridged(symbols: DataFrame, sources: DataFrame, notes: DataFrame) -> DataFrame:
-    """Summaries of symbols from their doc comments, reconciled with their annotations."""
+def _bridged(symbols: DataFrame, sources: DataFrame, notes: DataFrame, config: Config) -> DataFrame:
+    """Summaries, purposes and bridge of symbols: their doc comments' two sides by the configured precedence.
+
+    Where a comment says nothing, what annotations in the code around the symbol say counts.
+    """
     scoped = files.scoped(notes).where("symbol is not null")
-    noted = scoped.groupBy("path", F.col("symbol").alias("name")).agg(
-        F.max_by(F.regexp_replace("value", '^"|"$', ""), F.when((F.col("name") == "summary") & (F.col("line_no") > F.col("symbol_line")), F.col("line_no"))).alias("noted"), F.max("opener_directive").alias("directive")
+    near = scoped.groupBy("path", F.col("symbol").alias("name")).agg(
+        F.max_by(F.regexp_replace("value", '^"|"$', ""), F.when((F.col("name") == "summary") & (F.col("line_no") > F.col("symbol_line")), F.col("line_no"))).alias("noted"), F.max("opener_directive").alias("stated")
     )
-    rows = symbols.join(sources.select("path", "language"), "path").join(noted, ["path", "name"], "left")
-    parsed = rows.withColumn("doc", doc_comments.column(F.col("summary"), doc_comments.style_of(F.col("language"))))
-    native = F.when(F.col("summary").isNotNull(), F.col("doc.summary"))
-    return parsed.withColumns({"summary": F.coalesce(native, "noted"), "purpose": F.col("directive")}).drop("language", "noted", "directive", "doc")
+    formats = sources.select("path", "language", bridge.detect(F.col("content"), F.col("language"), config.docstring_style).alias("format"))
+    rows = symbols.withColumnRenamed("summary", "doc").join(formats, "path").withColumn("target", F.concat_ws("\x00", "path", "qualified_name", F.col("line_start").cast("string")))
+    one = rows.dropDuplicates(["target"])  # a place holds one symbol of a name
+    made = bridge.applied(one, config.precedence).join(near, ["path", "name"], "left")
+    plain = doc_comments.column(F.col("doc"), doc_comments.style_of(F.col("language")))["summary"]
+    summary = F.coalesce("summary", F.when(F.col("format").isNull() & F.col("doc").isNotNull(), plain), "noted")
+    return made.withColumns({"summary": summary, "purpose": F.coalesce("directive", "stated")}).drop("language", "format", "target", "doc", "directive", "noted", "stated")
 
 
 def index(spark: SparkSession, root: str, config: Config | None = None, with_git: bool = False) -> Catalog:

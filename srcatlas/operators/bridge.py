@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import docs
 from ..operators import annotations as notes
 from ..schema import PRECEDENCES
 
@@ -146,6 +147,37 @@ def noted_in_docs(docs: DataFrame) -> DataFrame:
     return made.select(F.col("path").alias("target"), F.coalesce("summary", "called").alias("summary"), "directive", "params", "returns", "throws")
 
 
+def applied(symbols: DataFrame, precedence: str = PRECEDENCES[0]) -> DataFrame:
+    """Symbols with the ``summary``, ``directive`` and ``bridge`` (merged, converted, explicit) that their doc comments give.
+
+    ``symbols``: target (unique), language, format and doc, and further columns.
+    A comment's own annotations are one side, its native documentation the
+    other.  Symbols without a comment, or in files of no known format, have none.
+    """
+    if precedence not in PRECEDENCES:
+        raise ValueError(f"unknown precedence {precedence!r}")
+    told = symbols.select("target", "language", "doc").where(F.col("format").isNotNull() & F.col("doc").isNotNull())
+    parsed = told.withColumn("d", docs.column(F.col("doc"), docs.style_of(F.col("language"))))
+    native = parsed.select("target", F.col("d.summary").alias("native"), (F.col("d.summary").isNotNull() | (F.size("d.params") > 0) | F.col("d.returns").isNotNull() | (F.size("d.throws") > 0)).alias("is_native"))
+    said = noted_in_docs(told.select("target", F.col("doc").alias("text")))
+    noted = said.select(
+        "target", F.regexp_replace("summary", '^"|"$', "").alias("noted"), "directive",
+        (F.col("summary").isNotNull() | F.col("directive").isNotNull() | (F.size("params") > 0) | F.col("returns").isNotNull() | (F.size("throws") > 0)).alias("is_noted"),
+    )
+    pairs = native.join(noted, "target", "left")
+    made = merge_summaries(pairs.withColumnRenamed("target", "key"), precedence).select(F.col("key").alias("target"), "summary", "directive")
+    sides = pairs.select("target", F.when(F.col("is_native") & F.coalesce("is_noted", F.lit(False)), "merged").when(F.col("is_noted"), "explicit").when(F.col("is_native"), "converted").alias("bridge"))
+    kept = symbols.drop("summary", "directive", "bridge")
+    return kept.join(made.join(sides, "target"), "target", "left")
+
+
+def counts(symbols: DataFrame, provenance: DataFrame) -> DataFrame:
+    """path, explicit_count and converted_count of a file's annotations, merged_count of its symbols' comments."""
+    n = lambda test, name: F.count_if(test).alias(name)
+    rows = provenance.select("path", F.col("source").alias("s"), F.lit(None).cast("string").alias("b")).unionByName(symbols.select("path", F.lit(None).cast("string").alias("s"), F.col("bridge").alias("b")))
+    return rows.groupBy("path").agg(n(F.col("s") == "explicit", "explicit_count"), n(F.col("s") == "converted", "converted_count"), n(F.col("b") == "merged", "merged_count"))
+
+
 def status(symbols: DataFrame) -> DataFrame:
     """One row: documented symbols by what documents them (``native``, ``noted``: booleans)."""
     n = lambda test: F.count_if(test).alias

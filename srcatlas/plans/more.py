@@ -150,6 +150,34 @@ _NOTED = _comment(
 )
 
 
+_BRIDGED = _comment(
+    "'/**'", "case when o_orderkey % 4 = 0 then ' *' else concat(' * Adds ', o_orderstatus, '.') end", f"case when o_orderkey % 3 = 0 then concat(' * {MARKER}fn \"Sums ', {_S}, '\" kept - Keep it exact') else ' *' end",
+    f"case when o_orderkey % 6 = 0 then concat(' * {MARKER}summary \"Own ', {_S}, '\"') else ' *' end", "case when o_orderkey % 5 = 0 then ' * @returns {number} the sum' else ' *' end", "' */'",
+)
+
+
+def _bridge_sql(both: str) -> str:
+    return f"""with d as (select o_orderkey as k, case when o_orderkey % 4 <> 0 then 'Adds ' || o_orderstatus || '.' end as native, case when o_orderkey % 6 = 0 then 'Own ' || o_orderkey when o_orderkey % 3 = 0 then 'Sums ' || o_orderkey end as noted,
+o_orderkey % 3 = 0 as said, o_orderkey % 4 <> 0 or o_orderkey % 5 = 0 as told from orders where o_orderkey % 7 <> 0)
+select cast(k as varchar) as target, case when native is null then noted when noted is null then native else {both} end as summary, case when said then 'Keep it exact' end as directive,
+case when said and told then 'merged' when said then 'explicit' when told then 'converted' end as bridge from d union all select cast(o_orderkey as varchar), null, null, null from orders where o_orderkey % 7 = 0"""
+
+
+def _bridge(spark, sf_dir, precedence):
+    rows = derived(spark, sf_dir, _BRIDGED).select(F.col("target").cast("string").alias("target"), F.lit("typescript").alias("language"), F.when(F.col("target") % 7 != 0, "jsdoc").alias("format"), F.col("text").alias("doc"))
+    return bridge.applied(rows, precedence).select("target", "summary", "directive", "bridge")
+
+
+@query("b10_bridged_symbols", _bridge_sql("native"))
+def b10(spark, sf_dir):
+    return _bridge(spark, sf_dir, "acp-first")
+
+
+@query("b10_merged_symbols", _bridge_sql("native || ' ' || noted"))
+def b10_merged(spark, sf_dir):
+    return _bridge(spark, sf_dir, "merge")
+
+
 @query("b08_notes_in_docs", """select o_orderkey as target, case when o_orderkey % 3 = 0 then '"Own ' || o_orderkey || '"' else 'Adds ' || o_orderkey end as summary, 'Keep it exact' as directive,
 'a' || o_orderkey || ':the first,b:the second' as params, case when o_orderkey % 2 = 0 then 'the sum' end as returns, case when o_orderkey % 2 = 0 then '' else 'RangeError:if large' end as throws from orders""")
 def b08(spark, sf_dir):

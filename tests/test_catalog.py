@@ -85,3 +85,20 @@ def test_configuration(tmp_path):
     config.save(made, path)
     stored = json.loads((tmp_path / "c.json").read_text())
     assert stored["other"] == 5 and stored["limits"]["max_files"] == 7
+
+
+def test_bridge_at_index_time(spark, tmp_path):
+    (tmp_path / "a.ts").write_text(
+        f'// {M}domain d\n// {M}source converted\n\n/**\n * Native words.\n * @param x the x\n * {M}fn "Noted words" kept - Keep it\n */\nexport function both(x) {{}}\n\n'
+        f"/**\n * Only native.\n */\nexport function told() {{}}\n\nexport function bare() {{}}\n"
+    )
+    (tmp_path / "__init__.py").write_text("def hidden():\n    pass\n")
+    for precedence, summary in (("acp-first", "Native words."), ("native-first", "Native words."), ("merge", "Native words. Noted words")):
+        made = index(spark, str(tmp_path), config.Config(precedence=precedence))
+        symbols = {r["name"]: (r["summary"], r["purpose"], r["bridge"]) for r in made.symbols.collect()}
+        assert symbols["both"] == (summary, "Keep it", "merged")
+        assert symbols["told"] == ("Only native.", None, "converted") and symbols["bare"] == (None, None, None) and "hidden" in symbols
+        file = made.files.where("path = 'a.ts'").first()
+        assert (file["explicit_count"], file["converted_count"], file["merged_count"]) == (1, 1, 1)
+    plain = index(spark, str(tmp_path), config.Config(bridge=False))
+    assert "merged_count" not in plain.files.columns
