@@ -10,7 +10,7 @@ from .. import parsers
 from ..functions import docs
 from ..functions.conditions import state as state_condition
 from ..functions.text import truncated
-from ..operators import bridge, files, lookups, primer, render, rewrite, suggestions, validation, variables, writers
+from ..operators import bridge, documents_check, files, lookups, primer, render, rewrite, suggestions, validation, variables, writers
 from ..schema import MARKER
 from ..sources import tree
 from ..sources.files import to_annotate
@@ -344,6 +344,37 @@ def c04(spark, sf_dir):
     return validation.validate(rows.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(":"), "kind").alias("name"), "json"))
 
 
+_WHOLE = """select c_custkey as k, concat(cast(c_custkey as varchar(40)), case c_custkey % 6 when 0 then '.config.json' when 1 then '.sync.json' when 2 then '.primer.json' when 3 then '.cache.json' when 4 then '.vars.json' else '.attempts.json' end) as name,
+concat('{', case when c_custkey % 11 = 0 then '' when c_custkey % 13 = 0 then '"version":"one",' else '"version":"1.0.0",' end, case c_custkey % 6
+when 0 then concat('"strictness":"', case when c_custkey % 4 = 0 then 'odd' else 'strict' end, '","defaults":{"lock":"', case when c_custkey % 5 = 0 then 'shut' else 'normal' end, '"}')
+when 1 then concat('"tools":["cursor","', case when c_custkey % 5 = 0 then 'vim' else 'aider' end, '"],"debounceMs":', cast(c_custkey % 9 - 1 as varchar(40)))
+when 2 then concat('"sections":[{"id":"s", "category":"c","tokens":1,"value":{}', case when c_custkey % 4 = 0 then ',"formats":{}' when c_custkey % 5 = 0 then '' else ',"formats":{"md":{}}' end, case when c_custkey % 7 = 0 then ',"conflictsWith":["s"]' else '' end, '}]')
+when 3 then concat('"generated_at":"x","project":{},"stats":{},"symbols":{},"files":{"f', cast(c_custkey as varchar(40)), '":{"language":"', case when c_custkey % 4 = 1 then 'cobol' else 'go' end, '","lines":', cast(c_custkey % 8 - 1 as varchar(40)), '}}')
+when 4 then concat('"variables":[{"type":"', case when c_custkey % 4 = 0 then 'odd' else 'symbol' end, '"', case when c_custkey % 5 = 0 then '' else ',"value":"v"' end, '}]')
+else concat('"attempts":{"a":{"status":"active","files":[{"hash":"', case when c_custkey % 7 = 0 then 'bad' else md5('x') end, '"}]}},"history":[{"started_at":"2024-01-0', cast(c_custkey % 9 + 1 as varchar(40)), 'T00:00:00Z","ended_at":"2024-01-05T00:00:00Z"}]') end, case when c_custkey % 17 = 0 then '' else '}' end) as json from customer"""
+
+
+@query("c01_document_rules", f"""with d as (select k, name, k % 6 as m, split_part(name, '.', 2) as kind from ({_WHOLE})), ok as (select * from d where k % 17 <> 0),
+r(name, kind, spot, message) as (select name, kind, '', 'is no JSON object' from d where k % 17 = 0
+union all select name, kind, '', 'version is missing' from ok where k % 11 = 0 union all select name, kind, '', 'version is no version' from ok where k % 13 = 0 and k % 11 <> 0
+union all select name, kind, '', 'unknown strictness' from ok where m = 0 and k % 4 = 0 union all select name, kind, 'defaults', 'unknown lock level' from ok where m = 0 and k % 5 = 0
+union all select name, kind, 'tools.1', 'unknown tool' from ok where m = 1 and k % 5 = 0 union all select name, kind, '', 'debounceMs is no count' from ok where m = 1 and k % 9 = 0
+union all select name, kind, 'sections.0', 'formats is empty' from ok where m = 2 and k % 4 = 0 union all select name, kind, 'sections.0', 'formats is missing' from ok where m = 2 and k % 4 <> 0 and k % 5 = 0
+union all select name, kind, 'sections.0', 'conflicts with itself' from ok where m = 2 and k % 7 = 0 union all select name, kind, 'files.f' || k, 'unknown language' from ok where m = 3 and k % 4 = 1
+union all select name, kind, 'files.f' || k, 'lines is no count' from ok where m = 3 and k % 8 = 0 union all select name, kind, 'variables.0', 'unknown type' from ok where m = 4 and k % 4 = 0
+union all select name, kind, 'variables.0', 'value is missing' from ok where m = 4 and k % 5 = 0 union all select name, kind, 'attempts.a.files.0', 'hash is no MD5' from ok where m = 5 and k % 7 = 0
+union all select name, kind, 'history.0', 'ended before it started' from ok where m = 5 and k % 9 > 4) select * from r""")
+def c01_rules(spark, sf_dir):
+    return documents_check.check(derived(spark, sf_dir, _WHOLE))
+
+
+@query("s05_variant_entries", f"""select name, case when k % 6 = 4 then '0' end as key, 'symbol' as type, case when k % 5 <> 0 then 'v' end as value from ({_WHOLE}) where k % 6 = 4 and k % 17 <> 0 and k % 4 <> 0
+union all select name, '0', 'odd', case when k % 5 <> 0 then 'v' end from ({_WHOLE}) where k % 6 = 4 and k % 17 <> 0 and k % 4 = 0""")
+def s05_entries(spark, sf_dir):
+    held = documents_check.table_of(derived(spark, sf_dir, _WHOLE), "variables")
+    return held.select("name", "key", *[F.try_variant_get("entry", f"$.{c}", "string").alias(c) for c in ("type", "value")])
+
+
 _TEXTS = "select cast(s_suppkey as varchar(40)) as path, case s_suppkey % 4 when 0 then '' when 1 then concat('head', chr(10), chr(10)) when 2 then concat('head', chr(10), '<b>', chr(10), 'old', chr(10), '<e>', chr(10), 'tail') else concat('<e> odd <b>', chr(10)) end as existing, concat('new ', cast(s_suppkey as varchar(40))) as section from supplier"
 
 
