@@ -10,7 +10,7 @@ from .. import parsers
 from ..functions import docs
 from ..functions.conditions import state as state_condition
 from ..functions.text import truncated
-from ..operators import bridge, documents_check, files, lookups, primer, render, rewrite, suggestions, validation, variables, writers
+from ..operators import bridge, documents_check, files, lookups, primer, render, rewrite, search, suggestions, validation, variables, writers
 from ..schema import MARKER
 from ..sources import tree
 from ..sources.files import to_annotate
@@ -344,6 +344,13 @@ def c04(spark, sf_dir):
     return validation.validate(rows.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(":"), "kind").alias("name"), "json"))
 
 
+@query("f07_posting_search", "select n_nationkey as q, p_partkey as id, p_name as name from nation join part on contains(lower(p_name), lower(substr(n_name, 1 + n_nationkey % 3, 1 + n_nationkey % 4)))")
+def f07_postings(spark, sf_dir):
+    names = derived(spark, sf_dir, "select p_partkey as id, p_name as name from part")
+    patterns = spark.sql("select n_nationkey as q, substr(n_name, 1 + n_nationkey % 3, 1 + n_nationkey % 4) as pattern from nation")
+    return search.search(search.index(names), names, patterns)
+
+
 _WHOLE = """select c_custkey as k, concat(cast(c_custkey as varchar(40)), case c_custkey % 6 when 0 then '.config.json' when 1 then '.sync.json' when 2 then '.primer.json' when 3 then '.cache.json' when 4 then '.vars.json' else '.attempts.json' end) as name,
 concat('{', case when c_custkey % 11 = 0 then '' when c_custkey % 13 = 0 then '"version":"one",' else '"version":"1.0.0",' end, case c_custkey % 6
 when 0 then concat('"strictness":"', case when c_custkey % 4 = 0 then 'odd' else 'strict' end, '","defaults":{"lock":"', case when c_custkey % 5 = 0 then 'shut' else 'normal' end, '"}')
