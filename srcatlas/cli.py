@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from . import config as configuration
 from .catalog import Catalog, index
 from .functions.conditions import confidence
-from .operators import annotations, constraints, contexts, conventions, graph, lookups, stats, variables
+from .operators import annotations, constraints, contexts, conventions, documents_check, graph, lookups, rewrite, stats, variables, writers
 from .session import session
+from .sources import tree
+from .sources.documents import read_document
+from .streaming import watch
 
 
 def show(rows: DataFrame, most: int = 100) -> None:
@@ -49,7 +52,14 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--mode", default="summary", choices=variables.MODES)
     one = add("chain", help="what a variable refers to")
     one.add_argument("name")
-    one = add("migrate", help="annotations without a directive")
+    one = add("migrate", help="annotations without a directive: listed, as a diff, or rewritten with backups")
+    one.add_argument("root", nargs="?", default=".")
+    one.add_argument("--diff", action="store_true")
+    one.add_argument("--apply", metavar="STAMP", help="rewrite the files; what they held is kept as path.STAMP.bak")
+    one = add("validate", help="what is wrong with stored documents; fails if anything is")
+    one.add_argument("path")
+    add("bridge", help="documentation formats, and annotations by where they come from, of every file")
+    one = add("watch", help="index the annotations of what is new, changed or gone since the last run")
     one.add_argument("root", nargs="?", default=".")
     one = add("gate", help="fail below a share of documented symbols")
     one.add_argument("--least", type=float, default=configuration.Config().coverage_gate)
@@ -99,9 +109,24 @@ def main(arguments: list[str] | None = None) -> int:
         index(spark, given.root, config, given.git).save(given.catalog)
         return 0
     if given.command == "migrate":
-        from .sources.files import scan
-
-        show(annotations.legacy(annotations.lines(scan(spark, given.root, tuple(config.include), tuple(config.exclude)))))
+        sources = tree.scan(spark, given.root, tuple(config.include), tuple(config.exclude))
+        if given.apply:
+            writers.put(annotations.migrated(sources).select("path", F.col("after").alias("content")), given.root, given.apply)
+        elif given.diff:
+            for row in rewrite.hunks(annotations.migration_script(sources)).orderBy("path").toLocalIterator():
+                print(row["diff"])
+        else:
+            show(annotations.legacy(annotations.lines(sources)))
+        return 0
+    if given.command == "validate":
+        wrong = documents_check.check(read_document(spark, given.path).withColumnRenamed("file", "name")).persist()
+        show(wrong.orderBy("name", "spot", "message"))
+        failed = not wrong.isEmpty()
+        wrong.unpersist()  # else the next call would find these rows for files that have changed
+        return int(failed)
+    if given.command == "watch":
+        where = given.catalog.rstrip("/")
+        watch.watch(spark, given.root, f"{where}/watched", f"{where}/watched_log", tuple(config.include), tuple(config.exclude)).awaitTermination()
         return 0
     held = Catalog.load(spark, given.catalog)
     if given.command == "query":
@@ -110,6 +135,9 @@ def main(arguments: list[str] | None = None) -> int:
         show(context(held, given.task, given.target))
     elif given.command == "check":
         show(constraints.check_report(held.constraints) if given.path == "." else lookups.file(held.constraints, given.path))
+    elif given.command == "bridge":
+        columns = [c for c in ("explicit_count", "converted_count", "merged_count") if c in held.files.columns]  # none without the bridge
+        show(held.files.select("path", "detected_format", *columns).orderBy("path"))
     elif given.command == "review":
         if given.confidence:
             confidence(given.confidence, F.col("confidence"))

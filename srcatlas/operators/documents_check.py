@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import file_name
 from ..schema import ATTEMPT_STATES, LANGUAGES, LOCK_LEVELS, SYMBOL_TYPES, TOOLS, VARIABLE_TYPES
 from .validation import kind_of
 
@@ -146,7 +147,7 @@ def check(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """
     rules = RULES if rules is None else rules
     parsed = documents.select("name", F.try_parse_json("json").alias("value"))
-    told = parsed.withColumn("kind", kind_of(F.col("name"), F.coalesce(F.try_variant_get("value", "$['$schema']", "string"), F.lit(""))))
+    told = parsed.withColumn("kind", kind_of(file_name(F.col("name")), F.coalesce(F.try_variant_get("value", "$['$schema']", "string"), F.lit(""))))
     is_object = F.coalesce(_is(F.col("value"), "OBJECT"), F.lit(False))
     whole = F.when(~is_object, "is no JSON object").when(F.col("kind").isNull(), "is of no known kind")
     out = told.select("name", "kind", F.lit("").alias("spot"), whole.alias("message")).where("message is not null")

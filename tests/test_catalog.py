@@ -70,6 +70,22 @@ def test_commands(held, capsys, spark, arguments, expected):
     assert expected in capsys.readouterr().out
 
 
+def test_bridge_and_validate(held, spark, capsys, tmp_path):
+    assert cli.main(["--catalog", held[0], "bridge"]) == 0 and '"merged_count"' in capsys.readouterr().out
+    (tmp_path / "a.sync.json").write_text('{"version": "1.0.0", "tools": ["vim"]}')
+    assert cli.main(["validate", str(tmp_path)]) == 1 and "unknown tool" in capsys.readouterr().out
+    (tmp_path / "a.sync.json").write_text('{"version": "1.0.0", "tools": ["aider"]}')
+    assert cli.main(["validate", str(tmp_path)]) == 0
+
+
+def test_migrate(spark, capsys, tmp_path):
+    (tmp_path / "a.ts").write_text(f"// {M}lock frozen\nx\n")
+    assert cli.main(["migrate", str(tmp_path), "--diff"]) == 0
+    assert f"-// {M}lock frozen\n+// {M}lock frozen - " in capsys.readouterr().out
+    assert cli.main(["migrate", str(tmp_path), "--apply", "20240101"]) == 0
+    assert (tmp_path / "a.ts").read_text().startswith(f"// {M}lock frozen - ") and (tmp_path / "a.ts.20240101.bak").read_text() == f"// {M}lock frozen\nx\n"
+
+
 def test_gate(held, spark):
     assert cli.main(["--catalog", held[0], "gate", "--least", "1"]) == 0
     assert cli.main(["--catalog", held[0], "gate", "--least", "101"]) == 1
