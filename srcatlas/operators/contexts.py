@@ -38,6 +38,15 @@ def debug(files: DataFrame, symbols: DataFrame, hotpaths: DataFrame) -> DataFram
     return rows.withColumn("hotpaths", F.coalesce("hotpaths", none))
 
 
+def debug_symbol(files: DataFrame, symbols: DataFrame, hotpaths: DataFrame, most: int = 3) -> DataFrame:
+    """Per symbol: where it is, its type and purpose, its file's imports, and up to ``most`` of the most called names that contain its own."""
+    # as many names as the report of hot paths has
+    hot = hotpaths.agg(F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("rank"), F.col("callee").alias("n")))).alias("hot"))
+    rows = symbols.select(F.col("name").alias("target"), "path", "type", "purpose").join(files.select("path", F.col("imports").alias("related")), "path", "left")
+    held = F.transform(F.filter("hot", lambda h: h["n"].contains(F.col("target"))), lambda h: h["n"])
+    return rows.join(F.broadcast(hot)).select("target", "path", "type", "purpose", "related", F.slice(held, 1, most).alias("hotpaths"))
+
+
 def explore(files: DataFrame, symbols: DataFrame, key_files: DataFrame) -> DataFrame:
     """One row: counts, the most frequent language, domains with their files, and key files."""
     counted = files.agg(F.count("*").alias("files"), F.sum("lines").alias("lines")).join(F.broadcast(symbols.agg(F.count("*").alias("symbols"))))

@@ -231,13 +231,13 @@ def heuristic(targets: DataFrame, history: DataFrame | None = None, summaries: b
     return out
 
 
-def assemble(converted: DataFrame, found: DataFrame, level: str = "standard", least: float = 0.0) -> DataFrame:
+def assemble(converted: DataFrame, found: DataFrame, level: str = "standard", least: float = 0.0, by: tuple[str, ...] = ("target",)) -> DataFrame:
     """One suggestion for each gap's kind: from its doc comment first, else from the heuristics.
 
     ``converted`` and ``found``: target, line, kind, value, confidence, source, ord.
     """
     columns = ["target", "line", "kind", "value", "confidence", "source", "ord"]
-    return priority(converted.select(*columns).unionByName(found.select(*columns)), level, least)
+    return priority(converted.select(*columns).unionByName(found.select(*columns)), level, least, by)
 
 
 def eligible(visibility: Column, kind: Column) -> Column:
@@ -246,13 +246,13 @@ def eligible(visibility: Column, kind: Column) -> Column:
     return F.when(visibility == "public", True).when(visibility.isin("protected", "internal", "crate"), types).otherwise(False)
 
 
-def priority(suggestions: DataFrame, level: str = "full", least: float = 0.0) -> DataFrame:
-    """The best suggestion for each (target, kind): explicit before converted before heuristic, then the first."""
+def priority(suggestions: DataFrame, level: str = "full", least: float = 0.0, by: tuple[str, ...] = ("target",)) -> DataFrame:
+    """The best suggestion for each kind of what ``by`` names: explicit before converted before heuristic, then the first."""
     rank = F.when(F.lit(False), 0)
     for name, value in SOURCES.items():
         rank = rank.when(F.col("source") == name, value)
     kept = suggestions.where(F.col("kind").isin(*LEVELS[level]) & (F.col("confidence") >= least))
-    best = Window.partitionBy("target", "kind").orderBy("rank", "ord", "value")
+    best = Window.partitionBy(*by, "kind").orderBy("rank", "ord", "value")
     return kept.withColumn("rank", rank).withColumn("at", F.row_number().over(best)).where("at = 1").drop("rank", "at")
 
 

@@ -16,15 +16,15 @@ _COLUMNS = [c.strip().split()[0] for c in SCHEMA.split(", ")]
 
 
 def extract(content: str, language: str) -> list[dict]:
-    """Rows of one file; a file that cannot be parsed has none."""
+    """Rows of one file; a file that cannot be parsed has one that says why."""
     try:
         return python.extract(content) if language == "python" else braces.extract(content, language)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return [{"what": "error", "name": f"{type(e).__name__}: {e}"}]
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """All rows (symbols, imports, calls) of path, language and content, in Arrow batches."""
+    """All rows (symbols, imports, calls, errors) of path, language and content, in Arrow batches."""
 
     def run(batches):
         for batch in batches:
@@ -44,3 +44,8 @@ def imports(rows: DataFrame) -> DataFrame:
 
 def calls(rows: DataFrame) -> DataFrame:
     return rows.where("what = 'call'").select("path", F.col("parent").alias("caller"), F.col("name").alias("callee"), F.col("qualified_name").alias("receiver"), F.col("line_start").alias("line_no"))
+
+
+def errors(rows: DataFrame) -> DataFrame:
+    """path and problem of files that could not be parsed."""
+    return rows.where("what = 'error'").select("path", F.col("name").alias("problem"))
