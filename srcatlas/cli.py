@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from . import config as configuration
 from .catalog import Catalog, index
 from .functions.conditions import confidence
-from .operators import annotations, constraints, contexts, conventions, documents_check, graph, lookups, rewrite, stats, variables, writers
+from .functions.paths import glob_regex
+from .operators import analysis, annotations, constraints, contexts, conventions, documents_check, graph, history, lookups, rewrite, stats, suggestions, variables, writers
 from .session import session
-from .sources import tree
+from .sources import git, tree
 from .sources.documents import read_document
+from .storage import written
 from .streaming import watch
 
 
@@ -56,6 +59,17 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("root", nargs="?", default=".")
     one.add_argument("--diff", action="store_true")
     one.add_argument("--apply", metavar="STAMP", help="rewrite the files; what they held is kept as path.STAMP.bak")
+    one = add("annotate", help="what files lack: coverage, suggestions, a diff, or files rewritten with backups")
+    one.add_argument("root", nargs="?", default=".")
+    one.add_argument("--level", default="standard", choices=list(suggestions.LEVELS))
+    one.add_argument("--least", type=float, default=0.0, metavar="CONFIDENCE")
+    one.add_argument("--filter", metavar="GLOB", help="only files whose path below the root fits")
+    one.add_argument("--git", action="store_true", help="suggestions from history too")
+    one.add_argument("--provenance", metavar="ID", help="state the source of each annotation, and this run's id")
+    one.add_argument("--coverage", action="store_true")
+    one.add_argument("--diff", action="store_true")
+    one.add_argument("--apply", metavar="STAMP", help="what the files held is kept as path.STAMP.bak")
+    one.add_argument("--check", type=float, metavar="PERCENT", help="fail below this coverage")
     one = add("validate", help="what is wrong with stored documents; fails if anything is")
     one.add_argument("path")
     add("bridge", help="documentation formats, and annotations by where they come from, of every file")
@@ -95,11 +109,47 @@ def context(held: Catalog, task: str, target: str) -> DataFrame:
     if task == "modify":
         return contexts.modify(held.files, reverse, held.constraints).where(F.col("path") == target)
     if task == "debug":
-        return contexts.debug(held.files, held.symbols, graph.hotpaths(held.calls)).where(F.col("path") == target)
+        hot = graph.hotpaths(held.calls)
+        if held.files.where(F.col("path") == target).isEmpty():
+            return contexts.debug_symbol(held.files, lookups.symbol(held.symbols, target), hot)
+        return contexts.debug(held.files, held.symbols, hot).where(F.col("path") == target)
     found = lookups.in_domain(held.files, target) if target else held.files
     return contexts.explore(found, held.symbols, graph.key_files(reverse))
 
 
+def annotate(spark, given: argparse.Namespace, config: configuration.Config) -> int:
+    """The analysis of a tree, and what is done about it."""
+    sources = tree.scan(spark, given.root, tuple(config.include), tuple(config.exclude), config.max_file_bytes)
+    if given.filter:
+        sources = sources.where(F.col("path").rlike(glob_regex(given.filter)))
+    found = analysis.analyze(sources, given.level)
+    if given.check is not None:
+        share = analysis.total(found.coverage).first()["coverage"]
+        print(f"{share:.1f}")
+        return int(share < given.check)
+    if given.coverage:
+        show(found.coverage.orderBy("path"))
+        return 0
+    past = None
+    if given.git:
+        now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+        past = history.summary(history.newest(git.read(spark, given.root))).withColumn("days", history.age_days(F.col("last_ts"), now))
+    made = analysis.suggest(found.gaps, sources, given.level, given.least, past)
+    if not (given.diff or given.apply):
+        show(made.select("path", "line", "target", "kind", "value", "confidence", "source").orderBy("path", "line", "target", "kind"))
+        return 0
+    changes = analysis.changes(made, given.level, given.provenance is not None, given.provenance)
+    edited = rewrite.script(sources, changes)
+    if given.diff:
+        for row in rewrite.hunks(edited).orderBy("path").toLocalIterator():
+            print(row["diff"])
+    else:
+        # a file keeps the line end that it had, and files are read before any is written
+        ends = sources.select("path", F.when(F.col("content").endswith("\n"), "\n").otherwise("").alias("end"))
+        writers.put(written(rewrite.contents(edited).join(ends, "path").select("path", F.concat("content", "end").alias("content"))), given.root, given.apply)
+    return 0
+
+
 def main(arguments: list[str] | None = None) -> int:
     given = parser().parse_args(arguments)
     spark = session()
@@ -118,6 +168,8 @@ def main(arguments: list[str] | None = None) -> int:
         else:
             show(annotations.legacy(annotations.lines(sources)))
         return 0
+    if given.command == "annotate":
+        return annotate(spark, given, config)
     if given.command == "validate":
         wrong = documents_check.check(read_document(spark, given.path).withColumnRenamed("file", "name")).persist()
         show(wrong.orderBy("name", "spot", "message"))
