@@ -31,6 +31,8 @@ class Catalog:
     constraints: DataFrame
     hacks: DataFrame
     conventions: DataFrame
+    #: path and problem of files that have no symbols, or are in no other table.
+    problems: DataFrame
 
     def save(self, path: str) -> None:
         """Writes every table as Parquet below ``path``."""
@@ -101,7 +103,7 @@ def build(sources: DataFrame, config: Config | None = None, commits: DataFrame |
 
     calls = files.call_edges(notes).select("caller", "callee", "path", "line_no").unionByName(parsers.calls(parsed).select("caller", "callee", "path", "line_no"))
     found = files.issues(notes)
-    return Catalog(table, symbols, notes, provenance, calls, resolved, stats.lock_row(table), files.hacks(found), conventions.naming(sources.select("path")))
+    return Catalog(table, symbols, notes, provenance, calls, resolved, stats.lock_row(table), files.hacks(found), conventions.naming(sources.select("path")), parsers.errors(parsed))
 
 
 def _bridged(symbols: DataFrame, sources: DataFrame, notes: DataFrame, config: Config) -> DataFrame:
@@ -123,9 +125,15 @@ def _bridged(symbols: DataFrame, sources: DataFrame, notes: DataFrame, config: C
 
 
 def index(spark: SparkSession, root: str, config: Config | None = None, with_git: bool = False) -> Catalog:
-    """Scans a tree and builds its tables; a mounted folder is read with its hidden files and without listing what is excluded."""
+    """Scans a tree and builds its tables; a mounted folder is read with its hidden files and without listing what is excluded.
+
+    Files above the configured size are not read; each has a row in ``problems``.
+    """
     config = config or Config()
     scan = tree.scan if os.path.isdir(root) else source_files.scan
     sources = scan(spark, root, tuple(config.include), tuple(config.exclude), config.max_file_bytes)
     commits = git.read(spark, root) if with_git else None
-    return build(sources, config, commits)
+    made = build(sources, config, commits)
+    large = scan(spark, root, tuple(config.include), tuple(config.exclude), content=False).where(F.col("length") > config.max_file_bytes)
+    made.problems = made.problems.unionByName(large.select("path", F.format_string("not read: %d bytes, at most %d are", "length", F.lit(config.max_file_bytes)).alias("problem")))
+    return made

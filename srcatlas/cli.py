@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--git", action="store_true")
     one.add_argument("--no-bridge", action="store_true")
     one = add("query", help="look something up")
-    one.add_argument("what", choices=["symbol", "file", "callers", "callees", "domains", "domain", "hotpaths", "stats", "provenance", "search"])
+    one.add_argument("what", choices=["symbol", "file", "callers", "callees", "domains", "domain", "hotpaths", "stats", "provenance", "search", "problems"])
     one.add_argument("name", nargs="?", default="")
     one = add("context", help="what to know before a task")
     one.add_argument("task", choices=["create", "modify", "debug", "explore"])
@@ -97,6 +97,8 @@ def query(held: Catalog, what: str, name: str) -> DataFrame:
         return lookups.in_domain(held.files, name).select("path").orderBy("path")
     if what == "hotpaths":
         return graph.hotpaths(held.calls)
+    if what == "problems":
+        return held.problems.orderBy("path")
     if what == "provenance":
         return stats.provenance_report(held.provenance)
     return stats.totals(held.files, held.symbols)

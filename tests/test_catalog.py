@@ -91,6 +91,16 @@ def test_gate(held, spark):
     assert cli.main(["--catalog", held[0], "gate", "--least", "101"]) == 1
 
 
+def test_problems(spark, tmp_path):
+    (tmp_path / "bad.py").write_text("def (:\n")
+    (tmp_path / "big.ts").write_text("x" * 2000)
+    (tmp_path / "good.ts").write_text("export function f() {}\n")
+    made = index(spark, str(tmp_path), config.Config(max_file_bytes=1000, bridge=False))
+    found = {r["path"]: r["problem"] for r in made.problems.collect()}
+    assert set(found) == {"bad.py", "big.ts"} and found["bad.py"].startswith("SyntaxError") and "2000 bytes" in found["big.ts"]
+    assert {r["path"] for r in made.files.collect()} == {"bad.py", "good.ts"}
+
+
 def test_configuration(tmp_path):
     path = str(tmp_path / "c.json")
     assert config.load(path).include == config.Config().include
