@@ -104,8 +104,8 @@ def analyze(files: DataFrame, level: str = "standard", parsed: DataFrame | None
     """The analysis of (path, language, content); ``parsed`` are rows of ``parsers.parse`` that the caller has already."""
     parsed = written(parsers.parse(files)) if parsed is None else parsed  # read for symbols, gaps and errors
     text_lines = annotations.lines(files)
-    noted = existing(text_lines, _symbols(parsed))
-    open_ = gaps(files, text_lines, parsed, noted, level)
+    noted = written(existing(text_lines, _symbols(parsed)))  # read for gaps of files and of symbols, and for coverage
+    open_ = written(gaps(files, text_lines, parsed, noted, level))  # read for each kind of suggestion
     return Analysis(noted, open_, covered(files, noted, open_))
 
 
