@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,26 +12,39 @@ SYMBOLS = "path string, name string, qualified_name string, kind string, line_st
 IMPORTS = "path string, source string, names array<string>, line_no long"
 CALLS = "path string, caller string, callee string, receiver string, line_no long"
 SCHEMA = "path string, what string, name string, qualified_name string, kind string, line_start long, line_end long, visibility string, exported boolean, doc string, signature string, async boolean, parent string, names array<string>"
-_COLUMNS = [c.strip().split()[0] for c in SCHEMA.split(", ")]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_COLUMNS = {name: _ARROW[kind] for name, kind in (c.strip().split() for c in SCHEMA.split(", "))}
+#: Files whose rows a task holds at once.
+FILES = 500
+EVERY = braces.EVERY
 
 
-def extract(content: str, language: str) -> list[dict]:
+def extract(content: str, language: str, wanted: frozenset[str] = EVERY) -> list[dict]:
     """Rows of one file; a file that cannot be parsed has one that says why."""
     try:
-        return python.extract(content) if language == "python" else braces.extract(content, language)
+        return python.extract(content, wanted) if language == "python" else braces.extract(content, language, wanted)
     except (SyntaxError, ValueError, RecursionError) as e:
         return [{"what": "error", "name": f"{type(e).__name__}: {e}"}]
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """All rows (symbols, imports, calls, errors) of path, language and content, in Arrow batches."""
+def parse(files: DataFrame, *wanted: str) -> DataFrame:
+    """Rows (symbols, imports, calls, errors) of path, language and content, in Arrow batches.
+
+    ``wanted``: ``symbol``, ``import``, ``call``; without any, all of them.
+    Errors always have rows.
+    """
+    kinds = frozenset(wanted) or EVERY
 
     def run(batches):
         for batch in batches:
-            rows = [{"path": p, **r} for p, g, c in zip(batch["path"], batch["language"], batch["content"], strict=True) for r in extract(c or "", g or "")]
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLUMNS})
-
-    return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
+            for start in range(0, batch.num_rows, FILES):
+                part = [c.to_pylist() for c in batch.slice(start, FILES).columns]
+                rows = [(p, r) for p, g, c in zip(*part, strict=True) for r in extract(c or "", g or "", kinds)]
+                made = [pa.array([p for p, _ in rows], pa.string())]
+                made += [pa.array([r.get(c) for _, r in rows], kind) for c, kind in list(_COLUMNS.items())[1:]]
+                yield pa.RecordBatch.from_arrays(made, list(_COLUMNS))
+
+    return files.select("path", "language", "content").mapInArrow(run, SCHEMA)
 
 
 def symbols(rows: DataFrame) -> DataFrame:

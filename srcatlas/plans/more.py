@@ -55,7 +55,7 @@ def _expected(source: str, *rows: tuple) -> str:
 
 
 def _symbols(spark, sf_dir, source: str):
-    return parsers.symbols(parsers.parse(sources(spark, sf_dir, source))).select(*_KEPT)
+    return parsers.symbols(parsers.parse(sources(spark, sf_dir, source), "symbol")).select(*_KEPT)
 
 
 _K = "o_orderkey"
@@ -86,14 +86,14 @@ select path, 'go' as caller, 'helper' as callee, null as receiver, 7::bigint as
 union all select path, 'Run' || {_K}, 'Sum', 'fmt', 7 from g union all select path, 'low', 'helper', null, 12 from g union all select path, 'go', 'of', 'List', 6 from j
 union all select path, 'f' || {_K}, 'a', null, 3 from x union all select path, 'go', 'run', 'b', 7 from x""")
 def x_calls(spark, sf_dir):
-    parsed = [parsers.calls(parsers.parse(sources(spark, sf_dir, s))) for s in (_RUST, _GO, _JAVA, _JS)]
+    parsed = [parsers.calls(parsers.parse(sources(spark, sf_dir, s), "call")) for s in (_RUST, _GO, _JAVA, _JS)]
     return parsed[0].unionByName(parsed[1]).unionByName(parsed[2]).unionByName(parsed[3])
 
 
 @query("x03_x05_x06_imports", f"""with r as ({_RUST}), g as ({_GO}), j as ({_JAVA}), x as ({_JS})
 select path, 'std::fmt::Display' as source, 'D' as names, 1::bigint as line_no from r union all select path, 'fmt', 'fmt', 3 from g union all select path, 'java.util.List', 'List', 2 from j union all select path, 'x', 'b', 1 from x""")
 def x_imports(spark, sf_dir):
-    parsed = [parsers.imports(parsers.parse(sources(spark, sf_dir, s))) for s in (_RUST, _GO, _JAVA, _JS)]
+    parsed = [parsers.imports(parsers.parse(sources(spark, sf_dir, s), "import")) for s in (_RUST, _GO, _JAVA, _JS)]
     return parsed[0].unionByName(parsed[1]).unionByName(parsed[2]).unionByName(parsed[3]).withColumn("names", F.array_join("names", ","))
 
 

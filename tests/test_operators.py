@@ -393,3 +393,28 @@ def test_watch_updates_changed_files_only(spark, tmp_path):
     watch.watch(spark, str(root), target, log).awaitTermination(60)
     spark.catalog.refreshByPath(target)
     assert read() == {("a.ts", "one"), ("b.ts", "two"), ("c.ts", "three"), ("c.ts", "x")}
+
+
+def test_parsed_rows_of_wanted_kinds_and_long_files(spark):
+    import time
+
+    from srcatlas import parsers
+
+    code = "".join(f"/** Does {i}. */\nexport function f{i}(x) {{\n  return g{i}(x);\n}}\n" for i in range(3000))
+    files = spark.createDataFrame([("a.ts", "typescript", code), ("b.py", "python", "import os\ndef f(a, b):\n    os.path.join(a)\n"), ("c.py", "python", "def (")], "path string, language string, content string")
+    calls = parsers.parse(files, "call")
+    assert {r.what for r in calls.select("what").distinct().collect()} == {"call", "error"}
+    whole = parsers.parse(files)
+    for one, kind in ((parsers.calls, "call"), (parsers.symbols, "symbol"), (parsers.imports, "import")):
+        assert sorted(map(str, one(parsers.parse(files, kind)).collect())) == sorted(map(str, one(whole).collect()))
+    assert parsers.symbols(whole).where("path = 'b.py'").first().signature == "f(a, b)"
+    begun = time.process_time()
+    rows = parsers.extract(code, "typescript")
+    assert len(rows) == 6000 and time.process_time() - begun < 3  # in proportion to the text
+
+
+def test_sources_are_spread_over_short_tasks(spark, monkeypatch):
+    from srcatlas.plans import derived
+
+    monkeypatch.setattr(derived, "TASK_ROWS", 100, raising=False)
+    assert derived.spread(spark.range(0, 20_000, 1, spark.sparkContext.defaultParallelism)).rdd.getNumPartitions() == 200
