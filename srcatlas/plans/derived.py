@@ -6,6 +6,8 @@ start from the same rows.  Counters are BIGINT in both.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import MARKER as M
@@ -95,10 +97,15 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         rows.createOrReplaceTempView(name)
 
 
+#: Rows of a task that makes and parses texts of them.
+TASK_ROWS = 50_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Small rows over all cores, where a table has fewer splits than those; larger tables stay as they are."""
+    """Rows over all cores, and over as many tasks as keep each short, where a table has fewer splits than those."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    wanted = max(cores, math.ceil(rows.count() / TASK_ROWS))
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -27,30 +27,30 @@ _TS = f"""select concat('m', {_S}, '.ts') as path, 'typescript' as language, con
 @query("x04_python_symbols", f"""with s as ({_PY}) select path, 'C' || o_orderkey as qualified_name, 'class' as kind, 2::bigint as line_start, 4::bigint as line_end, 'public' as visibility, null as doc from s
 union all select path, 'C' || o_orderkey || '.run', 'method', 3, 4, 'public', null from s union all select path, '_f' || o_orderkey, 'function', 5, 7, 'protected', 'Adds ' || o_orderstatus || '.' from s""")
 def x04(spark, sf_dir):
-    return parsers.symbols(parsers.parse(sources(spark, sf_dir, _PY))).select("path", "qualified_name", "kind", "line_start", "line_end", "visibility", "doc")
+    return parsers.symbols(parsers.parse(sources(spark, sf_dir, _PY), "symbol")).select("path", "qualified_name", "kind", "line_start", "line_end", "visibility", "doc")
 
 
 @query("x04_python_calls", f"""with s as ({_PY}) select path, 'run' as caller, 'helper' || (o_orderkey % 7) as callee, null as receiver, 4::bigint as line_no from s union all select path, '_f' || o_orderkey, 'join', 'os.path', 7 from s""")
 def x04_calls(spark, sf_dir):
-    return parsers.calls(parsers.parse(sources(spark, sf_dir, _PY)))
+    return parsers.calls(parsers.parse(sources(spark, sf_dir, _PY), "call"))
 
 
 @query("x01_typescript_symbols", f"""with s as ({_TS}) select path, 'K' || o_orderkey as qualified_name, 'class' as kind, 2::bigint as line_start, 6::bigint as line_end, 'public' as visibility from s
 union all select path, 'K' || o_orderkey || '.go', 'method', 3, 5, 'private' from s union all select path, 'top' || o_orderkey, 'function', 7, 9, 'public' from s""")
 def x01(spark, sf_dir):
-    return parsers.symbols(parsers.parse(sources(spark, sf_dir, _TS))).select("path", "qualified_name", "kind", "line_start", "line_end", "visibility")
+    return parsers.symbols(parsers.parse(sources(spark, sf_dir, _TS), "symbol")).select("path", "qualified_name", "kind", "line_start", "line_end", "visibility")
 
 
 @query("x01_typescript_imports", f"with s as ({_TS}) select path, './m' || (o_orderkey % 9) as source, 'a,c' as names, 1::bigint as line_no from s")
 def x01_imports(spark, sf_dir):
-    return parsers.imports(parsers.parse(sources(spark, sf_dir, _TS))).withColumn("names", F.array_join("names", ","))
+    return parsers.imports(parsers.parse(sources(spark, sf_dir, _TS), "import")).withColumn("names", F.array_join("names", ","))
 
 
 @query("x07_x08_applied_symbols", _BASE + f""", py as ({_PY}) select 'src/x/' || path as path, '_f' || o_orderkey as name, 'function' as type, coalesce('Adds ' || o_orderstatus || '.', '') as summary from py
 union all select 'src/x/' || path, 'C' || o_orderkey, 'class', null from py union all select 'src/x/' || path, 'run', 'method', null from py
 union all select path, symbol, case opener when 'class' then 'class' else 'function' end, max_by(trim(value, '"'), line_no) filter (where name = 'summary' and line_no > opener_line) from scoped where symbol is not null group by path, symbol, opener, opener_line""")
 def x08(spark, sf_dir):
-    parsed = files.ast_symbols(parsers.symbols(parsers.parse(sources(spark, sf_dir, _PY))).withColumn("path", F.concat(F.lit("src/x/"), "path")))
+    parsed = files.ast_symbols(parsers.symbols(parsers.parse(sources(spark, sf_dir, _PY), "symbol")).withColumn("path", F.concat(F.lit("src/x/"), "path")))
     noted = files.fold_symbols(_notes(spark, sf_dir))
     return files.apply_ast(noted, parsed).select("path", "name", "type", "summary")
 
