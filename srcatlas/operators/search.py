@@ -46,14 +46,17 @@ def write(postings: DataFrame, path: str) -> None:
 def search(postings: DataFrame, names: DataFrame, patterns: DataFrame) -> DataFrame:
     """q, id and name of every name (id, name) that holds a pattern (q, pattern)."""
     wanted = patterns.where("pattern is not null").select("q", "pattern", F.explode(asked(F.col("pattern"))).alias("gram"))
-    sizes = postings.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    used = postings.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    sizes = used.groupBy("gram").agg(F.count("*").alias("n"))
     rare = Window.partitionBy("q", "pattern").orderBy("n", "gram")
     # a piece without a list has no name, and with it the pattern
     sized = wanted.join(sizes, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = sized.withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= LISTS)
     lists = first.withColumn("lists", F.count("*").over(Window.partitionBy("q", "pattern"))).select("q", "pattern", "gram", "lists")
-    found = lists.join(postings, "gram").groupBy("q", "pattern", "lists", "id").agg(F.count("*").alias("n")).where("n = lists")
-    tested = found.select("q", "pattern", "id").join(names.select("id", "name"), "id").where(F.lower("name").contains(F.lower("pattern")))
+    # built from the patterns' lists: postings look as small as the names they are made of, and would be sent whole
+    found = lists.hint("shuffle_hash").join(used, "gram").groupBy("q", "pattern", "lists", "id").agg(F.count("*").alias("n")).where("n = lists")
+    # names are as many as the caller has, and few bytes on disk say little of their rows: they are never sent through the driver
+    tested = found.select("q", "pattern", "id").join(names.select("id", "name").hint("merge"), "id").where(F.lower("name").contains(F.lower("pattern")))
     return tested.select("q", "id", "name").distinct()
 
 

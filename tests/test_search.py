@@ -23,3 +23,14 @@ def test_equal_to_a_scan(spark, tmp_path):
         if pattern:
             assert "gram" in made._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
     assert search.search(search.index(rows.limit(0)), rows.limit(0), spark.createDataFrame(patterns, "q long, pattern string")).count() == 0
+
+
+def test_names_and_postings_are_not_broadcast(spark):
+    names = spark.range(0, 500).selectExpr("id", "concat('name ', id) as name")
+    patterns = spark.createDataFrame([(1, "name 49"), (2, "e 3"), (3, "")], "q long, pattern string").cache()
+    found = search.search(search.index(names), names, patterns)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    # wanted pieces, which follow the patterns alone, may be
+    assert all("LeftSemi" in line or "gram" in line for line in joins) and "SortMergeJoin [id" in plan and "ShuffledHashJoin [gram" in plan
+    assert found.where("q = 3").count() == 500 and found.where("q = 1").count() == 11
