@@ -150,12 +150,15 @@ def expander(table: dict[str, dict], mode: str = "summary") -> Callable[[str], t
 
 
 def expand_texts(texts: DataFrame, variables: DataFrame, mode: str = "summary", most: int = 200_000) -> DataFrame:
-    """(id, text) with references expanded; the dictionary, at most ``most`` names, goes to every executor."""
+    """(id, text) with references expanded.
+
+    A dictionary of at most ``most`` names goes to every executor; of a larger
+    one each text is joined with the entries that it can need.
+    """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
-    size = variables.count()
-    if size > most:
-        raise ValueError(f"{size} variables; expand_values() joins dictionaries of any size")
+    if variables.limit(most + 1).count() > most:
+        return _measured(_joined(texts, variables, mode))
     table = {r["name"]: {"value": r["value"], "type": r["type"], "description": r["description"]} for r in variables.select("name", "value", "type", "description").collect()}
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
@@ -164,7 +167,31 @@ def expand_texts(texts: DataFrame, variables: DataFrame, mode: str = "summary",
         expand = expander(shared.value, mode)
         return pd.DataFrame([expand(t or "") for t in column], columns=["expanded", "known", "unknown"])
 
-    found = texts.select("id", "text", run("text").alias("r"))
+    return _measured(texts.select("id", "text", run("text").alias("r")))
+
+
+def _joined(texts: DataFrame, variables: DataFrame, mode: str) -> DataFrame:
+    """id, text and expansion, by a join: names in a text, and for values within values those that they name in turn."""
+    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), 1))
+    by = ["id", "text", "copies"]
+    counted = texts.groupBy("id", "text").agg(F.count("*").alias("copies"))
+    wanted = level = counted.select(*by, F.explode_outer(names("text")).alias("name"))
+    inner = variables.select("name", F.explode(names("value")).alias("next"))
+    for _ in range(DEPTH if mode == "inline" else 0):
+        level = level.join(inner.hint("merge"), "name").select(*by, F.col("next").alias("name")).distinct()
+        wanted = wanted.unionByName(level)
+    entry = variables.select("name", F.struct("name", "value", "type", "description").alias("entry"))
+    held = wanted.distinct().join(entry.hint("merge"), "name", "left").groupBy(*by).agg(F.collect_list("entry").alias("entries"))
+
+    @F.pandas_udf("struct<expanded:string,known:array<string>,unknown:array<string>>")
+    def run(column: pd.Series, entries: pd.Series) -> pd.DataFrame:
+        made = [expander({e["name"]: e for e in es}, mode)(t or "") for t, es in zip(column, entries, strict=True)]
+        return pd.DataFrame(made, columns=["expanded", "known", "unknown"])
+
+    return held.select("id", "text", "copies", run("text", "entries").alias("r")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+
+
+def _measured(found: DataFrame) -> DataFrame:
     return found.select("id", "r.*", F.ceil(F.octet_length("text") / 4).cast("long").alias("tokens_before"), F.ceil(F.octet_length("r.expanded") / 4).cast("long").alias("tokens_after"))
 
 

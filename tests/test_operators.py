@@ -418,3 +418,14 @@ def test_sources_are_spread_over_short_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(derived, "TASK_ROWS", 100, raising=False)
     assert derived.spread(spark.range(0, 20_000, 1, spark.sparkContext.defaultParallelism)).rdd.getNumPartitions() == 200
+
+
+def test_texts_with_more_variables_than_may_be_sent(spark):
+    from srcatlas.operators import variables
+
+    rows = [("V1", "one $V2.value", "symbol", "first"), ("V2", "two $V3 $GONE", "file", None), ("V3", "three $V1", "file", "third"), ("V4", "k: v|l: w", "domain", "")]
+    table = spark.createDataFrame(rows, "name string, value string, type string, description string")
+    texts = spark.createDataFrame([(1, "a $V1 b $V2.type $NO $V1"), (1, "a $V1 b $V2.type $NO $V1"), (2, "plain"), (3, None), (None, "$V4 $V3.value"), (5, "")], "id long, text string")
+    for mode in variables.MODES:
+        few = sorted(map(str, variables.expand_texts(texts, table, mode).collect()))
+        assert few == sorted(map(str, variables.expand_texts(texts, table, mode, most=2).collect()))
