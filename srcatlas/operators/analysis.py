@@ -6,7 +6,9 @@ visibility and history, and ``changes`` makes them edits for ``rewrite``.
 
 Everything is keyed by path: a file's lines, symbols and gaps meet in joins,
 aggregates and windows by path, so no step holds more than a file's rows at
-once.  Equal targets in different files stay apart.
+once.  Equal targets in different files stay apart.  Joins are merged: written
+rows are many times smaller on disk than in memory, so their size would have
+Spark send whole tables through the driver.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def _above(text_lines: DataFrame, starts: DataFrame) -> DataFrame:
     plain = ~F.trim("text").rlike(r"^(@[A-Za-z_]|#!?\[)")  # within the window, so lines are shuffled once for this and for comments
     before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     last = text_lines.select("path", "line_no", (F.coalesce(F.max(F.when(plain, F.col("line_no"))).over(before), F.lit(0)) + 1).alias("insertion_line"))
-    return starts.join(last.withColumnRenamed("line_no", "line"), ["path", "line"], "left").withColumn("insertion_line", F.coalesce("insertion_line", "line"))
+    return starts.join(last.withColumnRenamed("line_no", "line").hint("merge"), ["path", "line"], "left").withColumn("insertion_line", F.coalesce("insertion_line", "line"))
 
 
 def _missing(level: str, said: Column, of_file: bool) -> Column:
@@ -74,19 +76,19 @@ def gaps(files: DataFrame, text_lines: DataFrame, parsed: DataFrame, noted: Data
     """
     said = noted.groupBy("path", "target").agg(F.collect_set("kind").alias("said"))  # kinds of a fixed list
     symbols = _symbols(parsed).where(suggestions.eligible(F.col("visibility"), F.col("kind")))
-    open_ = symbols.join(said, ["path", "target"], "left").withColumn("missing", _missing(level, F.col("said"), False)).where(F.size("missing") > 0)
+    open_ = symbols.join(said.hint("merge"), ["path", "target"], "left").withColumn("missing", _missing(level, F.col("said"), False)).where(F.size("missing") > 0)
     starts = open_.select("path", "target", F.col("line_start").alias("line"), F.col("kind").alias("symbol_kind"), "visibility", "exported", F.nullif("doc", F.lit("")).alias("doc"), "missing")
     with_doc = starts.where("doc is not null").select("path", F.col("target").alias("name"), F.col("line").alias("line_start")).distinct()
     ranges = annotations.doc_ranges(text_lines, with_doc).select("path", F.col("name").alias("target"), F.col("line_start").alias("line"), "doc_start", "doc_end")
-    placed = _above(text_lines, starts).join(ranges, ["path", "target", "line"], "left")
+    placed = _above(text_lines, starts).join(ranges.hint("merge"), ["path", "target", "line"], "left")
     height = annotations.line_count(F.col("doc"))
     guessed = F.col("doc_start").isNull() & (height > 0) & (F.col("line") > height)
     columns = ["path", "target", "line", "insertion_line", "symbol_kind", "visibility", "exported", "doc", "doc_start", "doc_end", "missing"]
     of_symbols = placed.withColumns(
         {"doc_start": F.when(guessed, F.col("line") - height).otherwise(F.col("doc_start")), "doc_end": F.when(guessed, F.col("line") - 1).otherwise(F.col("doc_end"))}
     ).select(*columns)
-    known = files.where(F.col("language").isin(*LANGUAGES)).select("path").join(parsers.errors(parsed), "path", "left_anti")
-    whole = known.join(said.where("path = target").select("path", "said"), "path", "left").withColumn("missing", _missing(level, F.col("said"), True)).where(F.size("missing") > 0)
+    known = files.where(F.col("language").isin(*LANGUAGES)).select("path").join(parsers.errors(parsed).hint("merge"), "path", "left_anti")
+    whole = known.join(said.where("path = target").select("path", "said").hint("merge"), "path", "left").withColumn("missing", _missing(level, F.col("said"), True)).where(F.size("missing") > 0)
     one = F.lit(1).cast("long")
     of_files = whole.select("path", F.col("path").alias("target"), one.alias("line"), one.alias("insertion_line"), F.lit(False).alias("exported"), "missing")
     return of_symbols.unionByName(of_files, allowMissingColumns=True)
@@ -96,7 +98,7 @@ def covered(files: DataFrame, noted: DataFrame, open_: DataFrame) -> DataFrame:
     """Coverage of every file: annotations found against annotations and gaps; nothing of either is 100."""
     n = noted.groupBy("path").agg(F.count("*").alias("existing"))
     g = open_.groupBy("path").agg(F.count("*").alias("missing"))
-    counts = files.select("path").join(n, "path", "left").join(g, "path", "left").fillna(0, ["existing", "missing"])
+    counts = files.select("path").join(n.hint("merge"), "path", "left").join(g.hint("merge"), "path", "left").fillna(0, ["existing", "missing"])
     return suggestions.coverage(counts)
 
 
@@ -117,13 +119,13 @@ def suggest(open_: DataFrame, languages: DataFrame, level: str = "standard", lea
     """
     place = F.struct("path", "line").alias("line")
     targets = open_.select("path", "target", place, F.col("symbol_kind").alias("kind"), "visibility", "exported")
-    said = open_.where("doc is not null").join(languages.select("path", "language"), "path")
+    said = open_.where("doc is not null").join(languages.select("path", "language").hint("merge"), "path")
     converted = bridge.suggestions(said.select("target", place, doc_comments.column(F.col("doc"), doc_comments.style_of(F.col("language"))).alias("doc")))
     best = suggestions.assemble(converted, suggestions.heuristic(targets, history), level, least, ("target", "line"))
     found = best.select(F.col("line.path").alias("path"), "target", F.col("line.line").alias("line"), "kind", "value", "confidence", "source", "ord")
     gap = open_.select("path", "target", "line", "insertion_line", F.col("symbol_kind").isNull().alias("is_file"), F.col("doc").isNotNull().alias("documented"), "doc_start", "doc_end", "missing")
     # a symbol defined twice at one line is one gap
-    joined = found.join(gap.dropDuplicates(["path", "target", "line"]), ["path", "target", "line"])
+    joined = found.join(gap.dropDuplicates(["path", "target", "line"]).hint("merge"), ["path", "target", "line"])
     return joined.where(F.array_contains("missing", F.col("kind"))).drop("missing")
 
 

@@ -185,7 +185,7 @@ def doc_ranges(text_lines: DataFrame, starts: DataFrame) -> DataFrame:
     marked = text_lines.select(
         "path", "line_no", last(text.startswith("/**")).alias("doc_start"), last(closing).alias("doc_end"), last(~plain & ~closing).alias("code")
     )
-    rows = starts.join(marked, (starts["path"] == marked["path"]) & (starts["line_start"] == marked["line_no"])).select(starts["path"], "name", "line_start", "doc_start", "doc_end", "code")
+    rows = starts.join(marked.hint("merge"), (starts["path"] == marked["path"]) & (starts["line_start"] == marked["line_no"])).select(starts["path"], "name", "line_start", "doc_start", "doc_end", "code")
     held = (F.col("doc_start") <= F.col("doc_end")) & (F.coalesce("code", F.lit(0)) < F.col("doc_end"))
     return rows.where(held).select("path", "name", "line_start", "doc_start", "doc_end")
 

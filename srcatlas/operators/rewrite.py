@@ -102,7 +102,7 @@ def script(files: DataFrame, changes: DataFrame) -> DataFrame:
     none = F.lit("").alias("target")
     stay = F.transform("lines", lambda t, i: F.struct((i + 1).alias("line_no"), F.lit(1).alias("rank"), F.lit(False).alias("later"), none, F.lit(0).alias("i"), F.lit(" ").alias("sign"), t.alias("text")))
     added = F.flatten(F.transform("changes", lambda c: _inserted(F.col("lines"), F.col("language"), c)))
-    rows = own.join(held, "path").select("path", F.explode(F.concat(stay, added)).alias("r"))
+    rows = own.join(held.hint("merge"), "path").select("path", F.explode(F.concat(stay, added)).alias("r"))
     return rows.select("path", F.struct("r.line_no", "r.rank", "r.later", "r.target", "r.i").alias("place"), "r.sign", "r.text")
 
 

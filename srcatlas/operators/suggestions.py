@@ -269,7 +269,7 @@ def gaps(targets: DataFrame, existing: DataFrame, level: str = "standard") -> Da
         F.array_distinct(F.concat(F.when(F.col("exported"), F.array(F.lit("summary"))).otherwise(F.array().cast("array<string>")), F.array(*map(F.lit, symbol_kinds))))
     )
     asked = targets.select("target", "line", F.explode(wanted).alias("kind"))
-    return asked.join(existing.select("target", "kind").distinct(), ["target", "kind"], "left_anti")
+    return asked.join(existing.select("target", "kind").distinct().hint("merge"), ["target", "kind"], "left_anti")
 
 
 def attach(notes: DataFrame, symbols: DataFrame, within: int = SYMBOL_WITHIN) -> DataFrame:

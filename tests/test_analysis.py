@@ -88,3 +88,11 @@ def test_command(spark, capsys, tmp_path):
     assert (tmp_path / "a.ts.s1.bak").read_text() == TS and not (tmp_path / "sub" / "b.py").read_text().endswith("\n")
     assert run("--coverage") == 0 and '"path":"a.ts","existing":4' in capsys.readouterr().out
     assert run("--check", "1") == 0
+
+
+def test_no_table_of_files_or_symbols_is_sent_through_the_driver(spark):
+    files = spark.createDataFrame([("a.ts", "typescript", "/** Does. */\nexport function f() {\n}\n")], "path string, language string, content string")
+    found = analysis.analyze(files)
+    text_lines, parsed = analysis.annotations.lines(files), analysis.parsers.parse(files)
+    for rows in (analysis.gaps(files, text_lines, parsed, found.existing), found.coverage, analysis.suggest(found.gaps, files)):
+        assert "Broadcast" not in rows._jdf.queryExecution().sparkPlan().toString()
