@@ -107,7 +107,8 @@ def shuffled(docs: DataFrame, record: Column, shards: int, seed: int, bucket_row
     done = materialise(gathered.select("shard", "bucket", F.size("rs").alias("n"), F.transform(order, lambda i: F.get("rs", i)).alias("rs")), "buckets")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = done.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("begin"))
-    return done.drop("n").join(begins, ["shard", "bucket"]).select("shard", "begin", F.posexplode("rs").alias("at", "r")).select(
+    # a row a bucket, so one for about every 8 MB of text or 2048 rows; joined otherwise, whole buckets would travel again
+    return done.drop("n").join(F.broadcast(begins), ["shard", "bucket"]).select("shard", "begin", F.posexplode("rs").alias("at", "r")).select(
         "shard", (F.col("begin") + F.col("at")).cast("long").alias("slot"), F.col("r.grown").alias("grown"), F.col("r.record").alias("record")
     )
 

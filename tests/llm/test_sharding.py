@@ -141,3 +141,13 @@ def test_a_hot_id_has_buckets_of_its_own(docs, monkeypatch):
     monkeypatch.setattr(sharding, "fisher_yates", lambda n, *seeds: plain(F.when(n > 400, F.raise_error(F.lit("a bucket above its bound"))).otherwise(n), *seeds))
     out = sharding.assign(docs([(None, f"text {i}") for i in range(5000)]), shards=10, bucket_rows=256).collect()
     assert sorted(r["slot"] for r in out) == list(range(5000))
+
+
+def test_buckets_travel_once(spark):
+    docs = spark.range(0, 3000).selectExpr("id as doc_id", "repeat(concat('w', id), 20) as text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sharding.assign(docs, bucket_rows=64)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
