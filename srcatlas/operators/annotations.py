@@ -23,11 +23,19 @@ REVIEWED = rf"{_M}source-reviewed\s+(true|false)(?:\s+-\s+(.+))?$"
 GENERATION = rf'{_M}source-id\s+"?([a-zA-Z0-9\-]+)"?(?:\s+-\s+(.+))?$'
 
 
+def by_path(files: DataFrame) -> DataFrame:
+    """path and content dealt out by path: one shuffle of whole texts serves every window and fold of their lines."""
+    return files.select("path", "content").repartition("path")
+
+
+def _split(content: str) -> Column:
+    body = F.regexp_replace(content, r"\r?\n\z", "")
+    return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line_no (from 1), text; a final line break opens no line."""
-    body = F.regexp_replace("content", r"\r?\n\z", "")
-    split = F.when(F.length("content") == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n"))
-    return files.select("path", F.posexplode(split).alias("at", "text")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "text")
+    return files.select("path", F.posexplode(_split("content")).alias("at", "text")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "text")
 
 
 def line_count(content: Column) -> Column:
@@ -190,22 +198,32 @@ def doc_ranges(text_lines: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.where(held).select("path", "name", "line_start", "doc_start", "doc_end")
 
 
+def _migrated_lines(files: DataFrame) -> DataFrame:
+    """The files with legacy annotations, each with its lines as (text, rewritten or null)."""
+    pattern = rf"{_M}([\w-]+)(?:\s+(.+))?"
+
+    def both(text: Column) -> Column:
+        part = lambda i: blank_to_null(F.regexp_extract(text, pattern, i))
+        found = F.array(F.struct(part(1).alias("name"), part(2).alias("value")))
+        told = F.get(F.transform(found, lambda f: F.when(f["name"].isNotNull(), default_directive(f["name"], f["value"]))), F.lit(0))
+        new = F.when(text.contains(MARKER) & ~text.contains(" - "), F.concat(text, F.lit(" - "), told))
+        return F.struct(text.alias("text"), new.alias("rewritten"))
+
+    # a list of none or one, so that a file's lines are made once and not again for the test of them
+    kept = F.filter(F.array(F.transform(_split("content"), both)), lambda l: F.exists(l, lambda x: x["rewritten"].isNotNull()))
+    return files.where(F.col("content").contains(MARKER)).select("path", "content", F.explode_outer(kept).alias("l")).where(F.col("l").isNotNull())
+
+
 def migrated(files: DataFrame) -> DataFrame:
-    """path, the text before and after legacy annotations got their directives, for changed files."""
-    numbered = lines(files)
-    changed = legacy(numbered).select("path", "line_no", "rewritten")
-    touched = numbered.join(changed.select("path").distinct(), "path", "left_semi").join(changed, ["path", "line_no"], "left")
-    whole = touched.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("rewritten", "text").alias("t")))).alias("l"))
-    after = whole.select("path", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("after"))
-    return files.join(after, "path").select("path", F.col("content").alias("before"), "after")
+    """path, the text before and after legacy annotations got their directives, for changed files; rows stay where they are."""
+    after = F.array_join(F.transform("l", lambda x: F.coalesce(x["rewritten"], x["text"])), "\n")
+    return _migrated_lines(files).select("path", F.col("content").alias("before"), after.alias("after"))
 
 
 def migration_script(files: DataFrame) -> DataFrame:
     """path, place, sign and text of every line of files with legacy annotations: those that stay, go and are added."""
-    numbered = lines(files)
-    changed = legacy(numbered).select("path", "line_no", "rewritten")
-    touched = numbered.join(changed.select("path").distinct(), "path", "left_semi").join(changed, ["path", "line_no"], "left")
     part = lambda sign, text: F.struct(F.lit(sign).alias("sign"), text.alias("text"))
-    text, new = F.col("text"), F.col("rewritten")
+    text, new = F.col("x.text"), F.col("x.rewritten")
+    touched = _migrated_lines(by_path(files)).select("path", F.posexplode("l").alias("at", "x")).withColumn("line_no", (F.col("at") + 1).cast("long"))
     rows = touched.select("path", "line_no", F.posexplode(F.when(new.isNull(), F.array(part(" ", text))).otherwise(F.array(part("-", text), part("+", new)))).alias("i", "r"))
     return rows.select("path", F.struct("line_no", "i").alias("place"), "r.sign", "r.text")

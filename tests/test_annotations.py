@@ -80,3 +80,20 @@ WORD = st.text(alphabet="abcXYZ09_", min_size=1, max_size=8)
 def test_what_is_written_is_read_back(parsed, notes):
     text = "\n".join(f"// {M}{n} {v}" + (f" - {d}" if d else "") for n, v, d in notes)
     assert [(r["name"], r["value"], r["directive"]) for r in parsed(text)] == notes
+
+
+def test_migration_joins_nothing(spark):
+    from srcatlas.operators import annotations
+    from srcatlas.schema import MARKER
+
+    held = f"// {MARKER}lock frozen\r\nx\n\n// {MARKER}lock odd - said\n"
+    rows = spark.createDataFrame([("a", held), ("b", "plain\n"), ("c", None), ("d", f"// {MARKER}no-such-kind\n")], "path string, content string")
+    made = annotations.migrated(rows)
+    told = made.collect()
+    assert [r.path for r in told] == ["a"] and told[0].before == held
+    lines = told[0].after.split("\n")
+    assert lines[0].startswith(f"// {MARKER}lock frozen - ") and lines[1:] == ["x", "", f"// {MARKER}lock odd - said"]
+    assert "Join" not in made._jdf.queryExecution().sparkPlan().toString()
+    script = annotations.migration_script(rows)
+    assert "Join" not in script._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.place[0], r.sign) for r in script.collect()) == [(1, "+"), (1, "-"), (2, " "), (3, " "), (4, " ")]
