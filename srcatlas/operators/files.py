@@ -46,10 +46,10 @@ def split_list(value: Column) -> Column:
 
 def fold_files(notes: DataFrame) -> DataFrame:
     """One row per path: last-wins scalars and lists in line order."""
-    value = unquote(F.col("value"))
+    value = F.col("plain")
     outside = F.col("symbol").isNull()
     hint = F.when(F.col("value").isNull(), F.col("name")).otherwise(F.concat_ws(": ", "name", value))
-    rows = scoped(notes)
+    rows = scoped(notes).withColumn("plain", unquote(F.col("value")))
     made = rows.groupBy("path").agg(
         _last("module", value),
         _last("summary", value, outside),
@@ -73,9 +73,9 @@ def fold_files(notes: DataFrame) -> DataFrame:
 
 def fold_symbols(notes: DataFrame) -> DataFrame:
     """One row per annotated symbol, with its behaviour, lifecycle, documentation and performance."""
-    value = unquote(F.col("value"))
+    value = F.col("plain")
     flag = lambda *names: F.coalesce(F.bool_or(F.col("name").isin(*names)), F.lit(False))
-    rows = scoped(notes).where(F.col("symbol").isNotNull())
+    rows = scoped(notes).where(F.col("symbol").isNotNull()).withColumn("plain", unquote(F.col("value")))
     inner = F.col("line_no") > F.col("symbol_line")
     doc = lambda name: listed(inner & (F.col("name") == name), F.coalesce(value, "directive"))
     made = rows.groupBy("path", "symbol_line", "symbol", "opener").agg(

@@ -8,7 +8,7 @@ from ..functions import paths
 from ..operators import analysis, contexts, conventions, files, graph, rewrite, suggestions
 from ..schema import MARKER as M
 from .analysis import _LANG, _PARENT, _SUFFIX
-from .code import _BASE, _T, _files, _notes
+from .code import _BASE, _T, _files, _kept_notes
 from .derived import derived, sources
 from .registry import query
 
@@ -86,7 +86,7 @@ i as (select path, list_sort(list(distinct trim(spec))) as related from (select
 @query("g16_debug_context", _BASE + f""", {_CALLED}, t as (select path, string_agg(name || ' ' || type || ' ' || coalesce(purpose, ''), ',' order by name) as symbols, array_to_string(list_sort(list(distinct name) filter (where name in (select callee from h))), ',') as hot from y group by path)
 select f.path, array_to_string(coalesce(i.related, []), ',') as related, t.symbols, coalesce(t.hot, '') as hotpaths from code_files f left join i using (path) left join t using (path)""")
 def g16_debug(spark, sf_dir):
-    found = _notes(spark, sf_dir)
+    found = _kept_notes(spark, sf_dir)
     rows = contexts.debug(files.fold_files(found), files.fold_symbols(found), graph.hotpaths(files.call_edges(found)))
     told = F.array_join(F.transform("symbols", lambda s: F.concat_ws(" ", s["name"], s["type"], F.coalesce(s["purpose"], F.lit("")))), ",")
     return rows.select("path", F.array_join(F.array_sort(F.array_distinct("related")), ",").alias("related"), told.alias("symbols"), F.array_join("hotpaths", ",").alias("hotpaths"))
@@ -95,6 +95,6 @@ def g16_debug(spark, sf_dir):
 @query("g16_debug_symbol_context", _BASE + f""", {_CALLED} select y.name as target, y.path, y.type, y.purpose, array_to_string(coalesce(i.related, []), ',') as related,
 array_to_string(coalesce((select list(callee order by n desc, callee) from h where contains(h.callee, y.name)), [])[1:3], ',') as hotpaths from y left join i using (path)""")
 def g16_debug_symbol(spark, sf_dir):
-    found = _notes(spark, sf_dir)
+    found = _kept_notes(spark, sf_dir)
     rows = contexts.debug_symbol(files.fold_files(found), files.fold_symbols(found), graph.hotpaths(files.call_edges(found)))
     return rows.select("target", "path", "type", "purpose", F.array_join(F.array_sort(F.array_distinct("related")), ",").alias("related"), F.array_join("hotpaths", ",").alias("hotpaths"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotations as notes
 from ..operators import attempts, contexts, files, graph, machines, primer, rewrite, stats, validation, variables
 from ..schema import DIRECTIVES, LOCK_DIRECTIVES, MARKER
-from .code import _BASE, _LEVEL, _LOCKS, _RESOLVED, _T, _case, _files, _notes, _resolved
+from .code import _BASE, _LEVEL, _LOCKS, _RESOLVED, _T, _case, _files, _kept_notes, _notes, _resolved
 from .derived import CALL_EDGES, VARIABLES, derived
 from .registry import query
 from .state import _REFS, _variables
@@ -17,8 +17,9 @@ from .state import _REFS, _variables
 d as (select path, min({_T}) as domain from notes where name = 'domain' group by path)
 select f.path, array_to_string(coalesce(i.importers, []), ',') as importers, coalesce(len(i.importers), 0) as importer_count, c.level, d.domain from code_files f left join i using (path) left join c using (path) left join d using (path)""")
 def g16_modify(spark, sf_dir):
-    made = files.fold_files(_notes(spark, sf_dir))
-    rows = contexts.modify(made, graph.imported_by(_resolved(spark, sf_dir)), stats.lock_row(made))
+    found = _kept_notes(spark, sf_dir)
+    made = files.fold_files(found)
+    rows = contexts.modify(made, graph.imported_by(_resolved(spark, sf_dir, found)), stats.lock_row(made))
     return rows.select("path", F.array_join("importers", ",").alias("importers"), "importer_count", "level", "domain")
 
 
@@ -29,9 +30,9 @@ def g16_explore(spark, sf_dir):
     from ..functions.paths import language
 
     code = _files(spark, sf_dir)
-    found = _notes(spark, sf_dir)
+    found = _kept_notes(spark, sf_dir)
     made = files.fold_files(found).join(code.select("path", language(F.col("path")).alias("language"), notes.line_count(F.col("content")).alias("lines")), "path")
-    whole = contexts.explore(made, files.fold_symbols(found), graph.most_imported(_resolved(spark, sf_dir)))
+    whole = contexts.explore(made, files.fold_symbols(found), graph.most_imported(_resolved(spark, sf_dir, found)))
     return whole.select("files", "symbols", F.size("domains").cast("long").alias("domains"), F.array_join("key_files", ",").alias("key_files"))
 
 

@@ -9,18 +9,25 @@ from ..functions import paths
 from ..operators import annotations as notes
 from ..operators import files, graph, stats
 from ..schema import DIRECTIVES, EXTENSIONS, IMPORT_EXTENSIONS, LOCK_DIRECTIVES, LOCK_LEVELS, MARKER, ORIGINS
-from .derived import CALL_EDGES, CODE_FILES, PROVENANCE, derived, sources
+from ..storage import bucketed
+from .derived import CALL_EDGES, CODE_FILES, PROVENANCE, code_files, derived, tasks
 from .registry import query
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources(spark, sf_dir, CODE_FILES)
+    return code_files(spark, sf_dir)
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.annotations(notes.lines(_files(spark, sf_dir)))
 
 
+def _kept_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotations written once by path, for queries that read them several times."""
+    found = _notes(spark, sf_dir)
+    return bucketed(found, "path", tasks(spark.table("orders")))
+
+
 def _case(table: dict[str, str], column: str) -> str:
     return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " end"
 
@@ -235,9 +242,9 @@ hits as (select t.importer, t.spec, f.path, e.rank from targets t cross join end
 resolved as (select importer, spec, min_by(path, rank) as imported from hits group by importer, spec)"""
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     code = _files(spark, sf_dir)
-    made = files.fold_files(notes.annotations(notes.lines(code)))
+    made = files.fold_files(notes.annotations(notes.lines(code)) if found is None else found)
     specs = made.select(F.col("path").alias("importer"), F.explode("imports").alias("spec"))
     return graph.resolve_imports(specs, code.select("path"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import MARKER as M
 
@@ -57,6 +58,8 @@ _LINES = (
 
 #: path, content: one annotated source file per order.
 CODE_FILES = f"select {_O}, {_C}, {_PATH} as path, concat({', chr(10), '.join(_LINES)}) as content from orders"
+#: The same from orders that have their path already.
+_PLACED_FILES = CODE_FILES.replace(f"{_PATH} as path", "path")
 
 #: caller, callee, path, line_no: a bag of calls.
 CALL_EDGES = "select concat('f', cast(l_orderkey as varchar(40))) as caller, concat('f', cast(l_partkey as varchar(40))) as callee, 'src' as path, cast(l_linenumber as bigint) as line_no from lineitem"
@@ -101,10 +104,14 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 TASK_ROWS = 50_000
 
 
+def tasks(rows: DataFrame) -> int:
+    """As many tasks as use all cores and keep each short."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / TASK_ROWS))
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores, and over as many tasks as keep each short, where a table has fewer splits than those."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    wanted = max(cores, math.ceil(rows.count() / TASK_ROWS))
+    """Rows over so many tasks, where a table has fewer splits than those."""
+    wanted = tasks(rows)
     return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
 
 
@@ -118,3 +125,11 @@ def sources(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     register(spark, sf_dir)
     spread(spark.table("orders")).createOrReplaceTempView("orders")
     return spark.sql(sql)
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``CODE_FILES``; orders are dealt out by path before the texts are made, so what is keyed by path stays in its task."""
+    register(spark, sf_dir)
+    orders = spark.table("orders").withColumn("path", F.expr(_PATH))
+    orders.repartition(tasks(orders), "path").createOrReplaceTempView("orders")
+    return spark.sql(_PLACED_FILES)

@@ -9,7 +9,7 @@ from ..operators import annotations as notes
 from ..operators import constraints, files, rewrite
 from ..schema import MARKER
 from ..sources import documents
-from .code import _BASE, _notes
+from .code import _BASE, _kept_notes, _notes
 from .derived import derived, sources
 from .registry import query
 
@@ -109,7 +109,7 @@ def g25(spark, sf_dir):
 def j07(spark, sf_dir):
     from ..operators.lookups import exported_symbols
 
-    found = _notes(spark, sf_dir)
+    found = _kept_notes(spark, sf_dir)
     return exported_symbols(files.fold_files(found), files.fold_symbols(found))
 
 
@@ -132,7 +132,7 @@ def g23(spark, sf_dir):
     from ..operators import stats
     from .state import _ATTEMPTS
 
-    found = _notes(spark, sf_dir)
+    found = _kept_notes(spark, sf_dir)
     made = files.fold_files(found)
     sessions = spark.sql(_ATTEMPTS).select("status")
     state = stats.project_state(stats.lock_row(made), files.hacks(files.issues(found)), sessions, made, "2024-05-01")

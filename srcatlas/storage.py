@@ -30,6 +30,7 @@ def delete(spark: SparkSession, path: str) -> bool:
 
 
 _rounds: set[str] = set()
+_tables: list[str] = []
 _RUN = uuid.uuid4().hex
 
 
@@ -50,8 +51,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """``df`` written once, as a table in the shared folder whose rows are read by ``column`` without a shuffle.
+
+    Rows that are dealt out by ``column`` to so many tasks are one file a bucket.
+    """
+    spark = df.sparkSession
+    path = fresh(spark)
+    name = f"srcatlas_{path.rsplit('/', 1)[1]}"
+    df.write.format("parquet").bucketBy(parts, column).option("path", path).saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def _forget(spark: SparkSession, folder: str) -> None:
     try:
+        while _tables:
+            spark.sql(f"drop table if exists {_tables.pop()}")
         delete(spark, folder)
     except Exception:  # the JVM has already ended; the shared folder's owner cleans up
         pass
