@@ -11,16 +11,17 @@ there, so a lost task leaves no half-written one and may be repeated.
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+#: The paths of a staged folder's files, in their order.
+LIST = "paths"
 WRITTEN = "path string, written boolean, backup string"
 
 
@@ -82,60 +83,78 @@ def text_at(path: str) -> str | None:
         return f.read()
 
 
-@dataclass
-class Staged(WriterCommitMessage):
-    """What one task staged: path and staged file."""
-
-    files: list[tuple[str, str]]
-
-
-class TreeWriter(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.root, self.stamp = options["path"], options.get("stamp")
-        self.stage = os.path.join(self.root, f".staged-{uuid.uuid4().hex}")
-
-    def write(self, iterator) -> Staged:
-        own = os.path.join(self.stage, uuid.uuid4().hex)
-        found = []
-        for row in iterator:
-            if row.content is not None and text_at(below(self.root, row.path)) != row.content:
-                staged = os.path.join(own, str(len(found)))
-                replace(staged, row.content)
-                found.append((row.path, staged))
-        return Staged(found)
-
-    def commit(self, messages) -> None:
-        """Backups first, then every file by one move; a second attempt moves what the first one left."""
-        files = [f for m in messages if m for f in m.files]
-        for path, staged in files:
-            full = below(self.root, path)
-            backup = f"{full}.{self.stamp}.bak"
-            if self.stamp and os.path.exists(staged) and os.path.exists(full) and not os.path.exists(backup):
-                replace(backup, text_at(full))
-        for path, staged in files:
-            full = below(self.root, path)
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            if os.path.exists(staged):
-                os.replace(staged, full)
-        shutil.rmtree(self.stage, ignore_errors=True)
+def _stage(contents: DataFrame, root: str, stage: str) -> list[str]:
+    """Writes what differs into folders of their own, one a task, each with a list of its paths; those folders."""
 
-    def abort(self, messages) -> None:
-        shutil.rmtree(self.stage, ignore_errors=True)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, n = os.path.join(stage, uuid.uuid4().hex), 0
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                if text_at(below(root, path)) != content:
+                    if not n:
+                        os.makedirs(own)
+                        listed = open(os.path.join(own, LIST), "w", encoding="utf-8")
+                    with open(os.path.join(own, str(n)), "w", encoding="utf-8", newline="") as f:
+                        f.write(content)
+                    listed.write(json.dumps(path) + "\n")
+                    n += 1
+        if n:
+            listed.close()
+            yield pd.DataFrame({"folder": [own]})
+
+    rows = contents.select("path", "content").where("content is not null").mapInPandas(run, "folder string")
+    return [r["folder"] for r in rows.collect()]  # a row a task
+
+
+def _staged(folder: str) -> Iterator[tuple[str, str]]:
+    """Path and staged file of everything in a folder."""
+    with open(os.path.join(folder, LIST), encoding="utf-8") as f:
+        for n, line in enumerate(f):
+            yield json.loads(line), os.path.join(folder, str(n))
+
+
+def _keep(root: str, folder: str, stamp: str) -> None:
+    for path, staged in _staged(folder):
+        full = below(root, path)
+        backup = f"{full}.{stamp}.bak"
+        if os.path.exists(staged) and os.path.exists(full) and not os.path.exists(backup):
+            replace(backup, text_at(full))
+
+
+def _move(root: str, folder: str) -> None:
+    """Every file by one move; a second attempt moves what the first one left."""
+    for path, staged in _staged(folder):
+        full = below(root, path)
+        if os.path.exists(staged):
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            os.replace(staged, full)
 
 
-class TreeSink(DataSource):
-    """``contents.write.format("tree").option("stamp", ...).mode("append").save(folder)`` for path and content."""
+def _each(folders: DataFrame, step: Callable[[str], None]) -> None:
+    """Runs a step on every folder, in a task for each."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "tree"
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                step(folder)
+            yield batch
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return TreeWriter(dict(self.options))
+    folders.mapInPandas(run, "folder string").write.format("noop").mode("overwrite").save()
 
 
 def put(contents: DataFrame, root: str, stamp: str | None = None) -> None:
-    """Writes all of (path, content) below ``root``, or nothing; with a ``stamp`` replaced files are kept as ``path.stamp.bak``."""
-    contents.sparkSession.dataSource.register(TreeSink)
-    kept = {"stamp": stamp} if stamp else {}
-    contents.select("path", "content").write.format("tree").options(**kept).mode("append").save(root)
+    """Writes all of (path, content) below ``root``, or nothing; with a ``stamp`` replaced files are kept as ``path.stamp.bak``.
+
+    Backups come first, then the moves; both are made by tasks, and the driver only hears of a folder from each.
+    """
+    spark = contents.sparkSession
+    stage = os.path.join(root, f".staged-{uuid.uuid4().hex}")
+    try:
+        found = _stage(contents, root, stage)
+        if found:
+            folders = spark.createDataFrame([(f,) for f in found], "folder string").repartition(len(found))
+            if stamp:
+                _each(folders, lambda folder: _keep(root, folder, stamp))
+            _each(folders, lambda folder: _move(root, folder))
+    finally:
+        shutil.rmtree(stage, ignore_errors=True)

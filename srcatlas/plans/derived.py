@@ -115,6 +115,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
 
 
+def dealt(rows: DataFrame, column: str) -> DataFrame:
+    """Rows dealt out by a column to so many tasks: what is keyed by it needs no other shuffle."""
+    return rows.repartition(tasks(rows), column)
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     register(spark, sf_dir)
     return spark.sql(sql)

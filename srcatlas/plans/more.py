@@ -17,7 +17,7 @@ from ..sources.files import to_annotate
 from ..storage import fresh
 from .analysis import _THIRD, _VIS, _name_rules, _path_case
 from .code import _BASE, _T, _notes
-from .derived import VARIABLES, derived, sources
+from .derived import VARIABLES, dealt, derived, sources
 from .registry import query
 from .state import _SECTIONS, r05
 
@@ -312,7 +312,7 @@ def _tree(spark, sf_dir):
     if re.match(r"(?!file:)\w+:", made):
         raise ValueError("a source tree lies in a mounted folder")
     root = re.sub("^file:/*", "/", made)
-    writers.put(derived(spark, sf_dir, _TREE), root)
+    writers.put(dealt(derived(spark, sf_dir, _TREE), "path"), root)
     return root
 
 
@@ -416,7 +416,7 @@ def k11_refs(spark, sf_dir):
 select 'm' || k as path, '--- a/m' || k || chr(10) || '+++ b/m' || k || chr(10) || case language when 'java' then '@@ -1,2 +1,5 @@' else '@@ -1,2 +1,3 @@' end || chr(10) || ' one' || chr(10) ||
 case language when 'python' then '+# {MARKER}lock normal' when 'go' then '+// {MARKER}lock normal' else '+/**' || chr(10) || '+ * {MARKER}lock normal' || chr(10) || '+ */' end || chr(10) || ' two' as diff from o""")
 def a13(spark, sf_dir):
-    rows = derived(spark, sf_dir, "select concat('m', cast(o_orderkey as varchar(40))) as path, case o_orderkey % 3 when 0 then 'python' when 1 then 'go' else 'java' end as language, concat('one', chr(10), 'two') as content from orders")
+    rows = dealt(derived(spark, sf_dir, "select concat('m', cast(o_orderkey as varchar(40))) as path, case o_orderkey % 3 when 0 then 'python' when 1 then 'go' else 'java' end as language, concat('one', chr(10), 'two') as content from orders"), "path")
     none = F.lit(None).cast("long")
     wanted = rows.select("path", F.lit("t").alias("target"), F.lit(2).cast("long").alias("line"), F.lit(f"{MARKER}lock normal").alias("text"), F.lit(False).alias("is_file"), none.alias("doc_start"), none.alias("doc_end"), F.lit(0).alias("ord"))
     return rewrite.preview(rows, rewrite.plan(wanted)).select("path", "diff")

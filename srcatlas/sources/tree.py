@@ -1,7 +1,7 @@
 """A source tree as a Spark data source: folders are dealt out to tasks, and excluded ones are never listed.
 
 The driver lists folders breadth first until there are ``SPLITS`` of them to
-deal out; the tasks list the rest.  A folder is passed over if an exclude glob
+deal out, and the files of a large one in shares; the tasks list the rest.  A folder is passed over if an exclude glob
 takes everything below it, or if neither an include glob's literal beginning
 nor a pushed filter on the path can match below it; files go by globs, path and
 length before they are read.
@@ -15,9 +15,11 @@ rows.  The tree must be at the same path wherever tasks run.
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import stat
+import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -32,6 +34,8 @@ from ..schema import EXCLUDE, INCLUDE
 
 #: Folders that the driver deals out at most, each to a task.
 SPLITS = 256
+#: Entries of a folder that one task reads.
+SHARE = 10_000
 FILES = "path string, modified_at timestamp, length long, content string"
 FOLDERS = "path string, files long, folders long"
 
@@ -89,59 +93,81 @@ class Choice:
 
 
 class _Part(InputPartition):
-    """A folder, the identities of those above it, and whether to go on below it."""
+    """A folder, the identities of those above it, whether to go on below it, and which of its files: all, or a share of them by name."""
 
-    def __init__(self, rel: str, above: frozenset, deep: bool):
+    def __init__(self, rel: str, above: frozenset, deep: bool, share: tuple[int, int] = (0, 1)):
         super().__init__(0)
-        self.rel, self.above, self.deep = rel, above, deep
+        self.rel, self.above, self.deep, self.share = rel, above, deep, share
 
 
-def _listed(choice: Choice, rel: str, above: frozenset) -> tuple[list[tuple[str, os.stat_result]], list[str], frozenset]:
-    """Files with their facts, folders to list, and the identities that these have above them."""
-    where = os.path.join(choice.root, rel)
-    files, folders = [], []
+def _entries(choice: Choice, rel: str) -> Iterator[tuple[str, os.DirEntry, bool]]:
+    """Path, entry and whether it is a folder of what lies in a folder, read as it is asked for."""
     try:
-        own = os.stat(where)
-        entries = list(os.scandir(where))
+        with os.scandir(os.path.join(choice.root, rel)) as found:
+            for entry in found:
+                yield f"{rel}/{entry.name}" if rel else entry.name, entry, entry.is_dir(follow_symlinks=choice.follow)
     except OSError:
-        return files, folders, above
-    above = above | {(own.st_dev, own.st_ino)}
-    for entry in entries:
-        path = f"{rel}/{entry.name}" if rel else entry.name
-        try:
-            facts = entry.stat(follow_symlinks=choice.follow)
-        except OSError:
-            continue
-        if stat.S_ISDIR(facts.st_mode):
-            if choice.folder(path) and not (entry.is_symlink() and (facts.st_dev, facts.st_ino) in above):
-                folders.append(path)
-        elif (choice.follow or stat.S_ISREG(facts.st_mode)) and choice.file(path):
-            if choice.max_bytes is None or facts.st_size <= choice.max_bytes:
-                files.append((path, facts))
-    return files, folders, above
-
-
-def walk(choice: Choice, rel: str = "", above: frozenset = frozenset(), deep: bool = True, told: Callable | None = None) -> Iterator[tuple[str, os.stat_result]]:
-    """Files below a folder, one folder's listing in memory at a time; ``told`` hears of every folder listed."""
+        return
+
+
+def _over(choice: Choice, rel: str, above: frozenset) -> frozenset:
+    try:
+        own = os.stat(os.path.join(choice.root, rel))
+    except OSError:
+        return above
+    return above | {(own.st_dev, own.st_ino)}
+
+
+def _facts(choice: Choice, entry: os.DirEntry) -> os.stat_result | None:
+    try:
+        return entry.stat(follow_symlinks=choice.follow)
+    except OSError:
+        return None
+
+
+def _goes_on(choice: Choice, path: str, entry: os.DirEntry, above: frozenset) -> bool:
+    if not choice.folder(path):
+        return False
+    facts = _facts(choice, entry)
+    return facts is not None and not (entry.is_symlink() and (facts.st_dev, facts.st_ino) in above)
+
+
+def walk(choice: Choice, rel: str = "", above: frozenset = frozenset(), deep: bool = True, told: Callable | None = None, share: tuple[int, int] = (0, 1)) -> Iterator[tuple[str, os.stat_result]]:
+    """Files below a folder, one entry in memory at a time; ``told`` hears of every folder listed."""
     ahead = [(rel, above)]
+    turn, shares = share
     while ahead:
         at, over = ahead.pop()
-        files, folders, over = _listed(choice, at, over)
+        over, files, folders = _over(choice, at, over), 0, 0
+        for path, entry, is_folder in _entries(choice, at):
+            if is_folder:
+                if _goes_on(choice, path, entry, over):
+                    folders += 1
+                    if deep:
+                        ahead.append((path, over))
+            elif shares == 1 or zlib.crc32(os.fsencode(entry.name)) % shares == turn:
+                facts = _facts(choice, entry)
+                if facts and (choice.follow or stat.S_ISREG(facts.st_mode)) and choice.file(path) and (choice.max_bytes is None or facts.st_size <= choice.max_bytes):
+                    files += 1
+                    yield path, facts
         if told:
-            told(at, len(files), len(folders))
-        yield from files
-        if deep:
-            ahead += [(f, over) for f in folders]
+            told(at, files, folders)
 
 
-def dealt(choice: Choice, splits: int) -> list[_Part]:
-    """The tree as parts: folders of the upper levels alone, and whole folders below them."""
+def dealt(choice: Choice, splits: int, most: int | None = None) -> list[_Part]:
+    """The tree as parts: folders of the upper levels alone, in shares of about ``most`` entries if given, and whole folders below them."""
     alone, ahead = [], deque([_Part("", frozenset(), True)])
-    while ahead and len(alone) + len(ahead) < splits:
+    listed = 0
+    while ahead and listed + len(ahead) < splits:
         part = ahead.popleft()
-        _, folders, over = _listed(choice, part.rel, part.above)
-        alone.append(_Part(part.rel, part.above, False))
-        ahead += [_Part(f, over, True) for f in folders]
+        over, entries, listed = _over(choice, part.rel, part.above), 0, listed + 1
+        for path, entry, is_folder in _entries(choice, part.rel):
+            if not is_folder:
+                entries += 1
+            elif _goes_on(choice, path, entry, over):
+                ahead.append(_Part(path, over, True))
+        shares = 1 if most is None else max(1, math.ceil(entries / most))
+        alone += [_Part(part.rel, part.above, False, (turn, shares)) for turn in range(shares)]
     return [*ahead, *alone]
 
 
@@ -168,7 +194,9 @@ class _Reader(DataSourceReader):
         return Choice(o["path"], json.loads(o.get("include", "[]")), json.loads(o.get("exclude", "[]")), o.get("wanted"), yes("follow"), yes("whole"), self.most, self.pushed)
 
     def partitions(self) -> list[InputPartition]:
-        return dealt(self.choice(), int(self.options.get("splits", SPLITS)))
+        # a folder's own row is made by one task
+        most = None if self.options.get("table") == "folders" else SHARE
+        return dealt(self.choice(), int(self.options.get("splits", SPLITS)), most)
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         choice = self.choice()
@@ -180,7 +208,7 @@ class _Reader(DataSourceReader):
             yield from found
             return
         contents = self.options.get("content", "true").lower() == "true"
-        for rel, facts in walk(choice, partition.rel, partition.above, partition.deep):
+        for rel, facts in walk(choice, partition.rel, partition.above, partition.deep, share=partition.share):
             text = _text(os.path.join(choice.root, rel), facts) if contents else None
             yield _shown(rel), datetime.fromtimestamp(facts.st_mtime, UTC), facts.st_size, text
 

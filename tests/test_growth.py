@@ -23,3 +23,21 @@ def test_notes_are_made_once(spark, sf_dir):
     for name in ("g16_debug_context", "g16_debug_symbol_context", "g23_project_state", "g16_modify_context"):
         plan = planned(QUERIES[name](spark, sf_dir))
         assert "posexplode" not in plan and "Bucketed: true" in plan, name
+
+
+def test_customers_files_are_written_by_several_tasks(spark, tmp_path):
+    """Tasks stage and move; the driver hears of a folder from each."""
+    from srcatlas.operators import writers
+
+    rows = spark.range(40).selectExpr("concat('a/f', id) as path", "concat('t', id) as content").repartition(4)
+    stage = str(tmp_path / ".staged")
+    folders = writers._stage(rows, str(tmp_path), stage)
+    assert len(folders) == 4
+    assert sorted(path for f in folders for path, _ in writers._staged(f)) == sorted(f"a/f{i}" for i in range(40))
+    writers.put(rows, str(tmp_path))
+    assert {p.name: p.read_text() for p in (tmp_path / "a").iterdir()} == {f"f{i}": f"t{i}" for i in range(40)}
+
+
+def test_diffs_are_made_where_the_texts_lie(spark, sf_dir):
+    plan = planned(QUERIES["a13_a15_rewritten_diffs"](spark, sf_dir))
+    assert "ENSURE_REQUIREMENTS" not in plan

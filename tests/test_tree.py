@@ -65,3 +65,15 @@ def test_links(spark, tmp_path):
     assert found == {"a.py", "one.py", "src/b.py", "src/.h.py", "docs/g.py", "src/linked/g.py"}
     assert {r["path"][len(root) + 1 :] for r in tree.to_annotate(spark, root, ("**/*.py",), (), "*/docs/*").collect()} == {"docs/g.py"}
     assert tree.to_annotate(spark, root, ()).count() == 0
+
+
+def test_a_large_folder_is_dealt_out_in_shares(tmp_path):
+    (tmp_path / "deep").mkdir()
+    wanted = {f"f{i}.py" for i in range(25)} | {"deep/g.py"}
+    for name in wanted:
+        (tmp_path / name).write_text("x")
+    choice = tree.Choice(str(tmp_path))
+    parts = tree.dealt(choice, 256, 10)
+    read = [[rel for rel, _ in tree.walk(choice, p.rel, p.above, p.deep, share=p.share)] for p in parts]
+    assert sorted(rel for part in read for rel in part) == sorted(wanted)
+    assert len(parts) == 4 and max(map(len, read)) < 25
