@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import multiprocessing
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ _ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "arr
 _COLUMNS = {name: _ARROW[kind] for name, kind in (c.strip().split() for c in SCHEMA.split(", "))}
 #: Files whose rows a task holds at once.
 FILES = 500
+#: So many times a child process parses ``FILES`` files before another takes its place.
+CHILD = 40
 EVERY = braces.EVERY
 
 
@@ -27,6 +31,35 @@ def extract(content: str, language: str, wanted: frozenset[str] = EVERY) -> list
         return [{"what": "error", "name": f"{type(e).__name__}: {e}"}]
 
 
+def _extracted(part: tuple[list, list, list, frozenset[str]]) -> list[tuple]:
+    """Path and row of everything in some files."""
+    names, languages, contents, kinds = part
+    return [(p, r) for p, g, c in zip(names, languages, contents, strict=True) for r in extract(c or "", g or "", kinds)]
+
+
+class _Parser:
+    """Parses some files at a time; those with Python sources in a child process that ends after ``CHILD`` times.
+
+    The language's parser keeps every name that it has met until its process
+    ends, so a worker that lives on would grow with the files of all its tasks.
+    """
+
+    def __init__(self):
+        self.pool = None
+
+    def rows(self, part: tuple[list, list, list, frozenset[str]]) -> list[tuple]:
+        if "python" not in part[1]:
+            return _extracted(part)
+        if self.pool is None:
+            self.pool = multiprocessing.get_context("fork").Pool(1, maxtasksperchild=CHILD)
+        return self.pool.apply(_extracted, (part,))
+
+    def close(self) -> None:
+        if self.pool is not None:
+            self.pool.terminate()
+            self.pool.join()
+
+
 def parse(files: DataFrame, *wanted: str) -> DataFrame:
     """Rows (symbols, imports, calls, errors) of path, language and content, in Arrow batches.
 
@@ -36,13 +69,17 @@ def parse(files: DataFrame, *wanted: str) -> DataFrame:
     kinds = frozenset(wanted) or EVERY
 
     def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, FILES):
-                part = [c.to_pylist() for c in batch.slice(start, FILES).columns]
-                rows = [(p, r) for p, g, c in zip(*part, strict=True) for r in extract(c or "", g or "", kinds)]
-                made = [pa.array([p for p, _ in rows], pa.string())]
-                made += [pa.array([r.get(c) for _, r in rows], kind) for c, kind in list(_COLUMNS.items())[1:]]
-                yield pa.RecordBatch.from_arrays(made, list(_COLUMNS))
+        parser = _Parser()
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, FILES):
+                    part = [c.to_pylist() for c in batch.slice(start, FILES).columns]
+                    rows = parser.rows((*part, kinds))
+                    made = [pa.array([p for p, _ in rows], pa.string())]
+                    made += [pa.array([r.get(c) for _, r in rows], kind) for c, kind in list(_COLUMNS.items())[1:]]
+                    yield pa.RecordBatch.from_arrays(made, list(_COLUMNS))
+        finally:
+            parser.close()
 
     return files.select("path", "language", "content").mapInArrow(run, SCHEMA)
 

@@ -9,6 +9,7 @@ from ..operators import annotations as notes
 from ..operators import constraints, files, rewrite
 from ..schema import MARKER
 from ..sources import documents
+from ..storage import written
 from .code import _BASE, _kept_notes, _notes
 from .derived import derived, sources
 from .registry import query
@@ -52,7 +53,8 @@ union all select path, symbol, case opener when 'class' then 'class' else 'funct
 def x08(spark, sf_dir):
     parsed = files.ast_symbols(parsers.symbols(parsers.parse(sources(spark, sf_dir, _PY), "symbol")).withColumn("path", F.concat(F.lit("src/x/"), "path")))
     noted = files.fold_symbols(_notes(spark, sf_dir))
-    return files.apply_ast(noted, parsed).select("path", "name", "type", "summary")
+    # written, as both the symbols and their paths are asked for: files are parsed once
+    return files.apply_ast(noted, written(parsed)).select("path", "name", "type", "summary")
 
 
 _GUARDED = f"""select concat('g', {_S}) as path, concat('// {MARKER}requires a', {_S}, ', b', chr(10), '// {MARKER}forbids eval', chr(10), '// {MARKER}style s', cast(o_orderkey % 3 as varchar(40)), ' http://u', chr(10),

@@ -41,3 +41,26 @@ def test_customers_files_are_written_by_several_tasks(spark, tmp_path):
 def test_diffs_are_made_where_the_texts_lie(spark, sf_dir):
     plan = planned(QUERIES["a13_a15_rewritten_diffs"](spark, sf_dir))
     assert "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_parsing_does_not_fill_the_worker(monkeypatch):
+    """Files are parsed in a child process that is replaced; names of parsed files do not stay in the worker."""
+    import os
+
+    from srcatlas import parsers
+
+    monkeypatch.setattr(parsers, "CHILD", 2)
+    met = []
+    monkeypatch.setattr(parsers, "extract", lambda content, *_: [{"what": "symbol", "name": str(os.getpid())}])
+    parser = parsers._Parser()
+    try:
+        for _ in range(6):
+            met += [r["name"] for _, r in parser.rows((["a"], ["python"], ["x = 1"], parsers.EVERY))]
+    finally:
+        parser.close()
+    assert len(met) == 6 and str(os.getpid()) not in met and len(set(met)) == 3
+    assert parsers._Parser().rows((["a"], ["go"], [""], parsers.EVERY))[0][1]["name"] == str(os.getpid())
+
+
+def test_python_files_are_parsed_once(spark, sf_dir):
+    assert "MapInArrow" not in planned(QUERIES["x07_x08_applied_symbols"](spark, sf_dir))
