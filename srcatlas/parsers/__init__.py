@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import multiprocessing
+from concurrent.futures import ProcessPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,19 +46,21 @@ class _Parser:
     """
 
     def __init__(self):
-        self.pool = None
+        self.pool, self.times = None, 0
 
     def rows(self, part: tuple[list, list, list, frozenset[str]]) -> list[tuple]:
         if "python" not in part[1]:
             return _extracted(part)
-        if self.pool is None:
-            self.pool = multiprocessing.get_context("fork").Pool(1, maxtasksperchild=CHILD)
-        return self.pool.apply(_extracted, (part,))
+        if self.times % CHILD == 0:
+            self.close()
+            self.pool = ProcessPoolExecutor(1, multiprocessing.get_context("fork"))
+        self.times += 1
+        # fails, and does not wait, if the child is gone
+        return self.pool.submit(_extracted, part).result()
 
     def close(self) -> None:
         if self.pool is not None:
-            self.pool.terminate()
-            self.pool.join()
+            self.pool.shutdown()
 
 
 def parse(files: DataFrame, *wanted: str) -> DataFrame:
