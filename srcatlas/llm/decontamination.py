@@ -8,16 +8,17 @@ then differ in few places, so sampling the embedding's places is a
 locality-sensitive hash for edit distance.  Several walks with several samples
 each are repeated until edited copies of the items, drawn at the threshold on
 the driver and searched as documents are, are found at ``RECALL`` and two
-standard errors more.  Groups that ``MOST_WALKS`` walks leave
-below it (long items, mostly) use an exact filter instead: cut into one piece
-more than the edits allowed, an item has a piece that no edit touched, so every
-match holds a piece unchanged.
+standard errors more.  The walk over a long window loses its place after a few
+edits, so items of ``LONG`` words and more are found by their parts: an item is
+cut into parts of ``PART`` words, walks read windows of that length, and some
+part of every match has no more than its share of the edits.
 
 Windows start at every word.  Items of similar length (``GROUP``) share
-windows as long as the shortest of them.  Words in no item share one symbol;
-a window with more of those than a match may have is skipped, and so is a
-match of hashes whose item has too many words that the stretch lacks.  Both
-lose nothing, as each such word costs an edit.
+windows as long as the shortest of them, or as a part.  Words in no item share
+one symbol; a window with more of those than a match (or the part of it with
+fewest edits) may have is skipped, and so is a match of hashes whose item has
+too many words that the stretch lacks.  Both lose nothing, as each such word
+costs an edit.
 Candidates are verified exactly: the item's edit distance, in words, to the
 best stretch of the document around the window must be at most
 ``floor((1 - SIMILARITY) * words of the item)``.
@@ -50,14 +51,16 @@ from .wordhash import mix, plain_words
 
 SIMILARITY = 0.8
 RECALL = 0.95
-#: Items of a block, and their words: with at most MOST_WALKS bits for each word and step, what is broadcast stays
-#: below WORDS * MOST_WALKS * 1.6 / 8 bytes for every word of the longest items that walks still find.
+#: Items of a block, and their words: a walk broadcasts a bit for each word and step, and has at most 1.6 * LONG + 1 steps.
 ITEMS = 20_000
 WORDS = 200_000
-#: Places sampled for one hash, and hashes for one walk.
+#: Words from which items are found by their parts, and words of a part.
+LONG = 64
+PART = 16
+#: Places sampled for one hash of a whole item's window, and of a part's, of which an item has several; hashes for one walk.
 SAMPLED = 3
+PART_SAMPLED = 5
 HASHES = 6
-MOST_WALKS = 6
 #: Longest to shortest item of a length group.
 GROUP = 1.25
 #: Windows hashed at once.
@@ -73,12 +76,14 @@ def allowed(words: int, similarity: float = SIMILARITY) -> int:
 
 @dataclass
 class Group:
-    """Items of similar length; their windows are as long as the shortest."""
+    """Items of similar length; their windows are as long as the shortest, or as a part."""
 
     items: np.ndarray  # rows of ``Index.items``
     least: int
-    reach: int  # words that any match has at least
-    spare: int  # unknown words that any match has at most
+    length: int  # words of a window
+    parts: dict[int, list[int]]  # where in each item its windows begin; some part of a match has at most ``spare`` edits
+    reach: int  # words that such a part has at least
+    spare: int  # unknown words that it has at most
     local: np.ndarray  # the block's symbols as numbers of this group's words, 0 for others
     words: int  # distinct words of the group
 
@@ -89,15 +94,15 @@ class Walk:
     Symbol 0 is any word in no item, -1 the padding after a window.
     """
 
-    def __init__(self, seed: int, symbols: int, length: int):
+    def __init__(self, seed: int, symbols: int, length: int, sampled: int = SAMPLED):
         rng = np.random.default_rng(seed)
         self.length = length
         steps = int(1.6 * length) + 1
         self.moves = rng.integers(0, 256, (symbols + 1, (steps + 7) // 8), np.uint8)  # a bit per symbol and step
-        samples = [np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)) for _ in range(HASHES)]
+        samples = [np.sort(rng.choice(steps, min(sampled, steps), replace=False)) for _ in range(HASHES)]
         self.keep = np.unique(np.concatenate(samples))
         self.rows = [np.searchsorted(self.keep, s) for s in samples]
-        self.tables: list[tuple[np.ndarray, np.ndarray, list[list[int]]]] = []
+        self.tables: list[tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]] = []
 
     def keys(self, grid: np.ndarray) -> list[np.ndarray]:
         """One key per sample for every row of ``grid`` (windows x length symbols)."""
@@ -119,65 +124,25 @@ class Walk:
             keys.append(mix(h))
         return keys
 
-    def learn(self, items: dict[int, np.ndarray]) -> None:
-        grid = np.stack([w[: self.length] for w in items.values()])
+    def learn(self, parts: list[tuple[int, int]], grid: np.ndarray) -> None:
+        """``parts``: an item and a place in it for every row of ``grid``."""
         for key in self.keys(grid):
-            table: dict[int, list[int]] = {}
-            for item, k in zip(items, key.tolist(), strict=True):
-                table.setdefault(k, []).append(item)
+            table: dict[int, list[tuple[int, int]]] = {}
+            for part, k in zip(parts, key.tolist(), strict=True):
+                table.setdefault(k, []).append(part)
             keys = np.array(sorted(table), np.uint64)
             bits = np.zeros(1 << 16, bool)
             bits[(keys >> np.uint64(48)).astype(np.int64)] = True
             self.tables.append((keys, bits, [table[k] for k in sorted(table)]))
 
     def lookup(self, grid: np.ndarray):
-        """(window, items with its key) of every match."""
-        for key, (keys, bits, items) in zip(self.keys(grid), self.tables, strict=True):
+        """(window, parts with its key) of every match."""
+        for key, (keys, bits, parts) in zip(self.keys(grid), self.tables, strict=True):
             maybe = np.flatnonzero(bits[(key >> np.uint64(48)).astype(np.int64)])
             if maybe.size:
                 k = np.minimum(np.searchsorted(keys, key[maybe]), keys.size - 1)
                 hit = keys[k] == key[maybe]
-                yield from zip(maybe[hit].tolist(), [items[j] for j in k[hit].tolist()], strict=True)
-
-
-class Pieces:
-    """The exact filter: a match within k edits holds one of its item's k + 1 pieces unchanged."""
-
-    def __init__(self, items: dict[int, np.ndarray], similarity: float):
-        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for item, words in items.items():
-            cuts = np.linspace(0, words.size, allowed(words.size, similarity) + 2).astype(int)
-            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                key = int(self.keys(words[low:high], high - low)[0])
-                found.setdefault(high - low, {}).setdefault(key, []).append((item, low))
-        self.tables = []
-        for length, table in sorted(found.items()):
-            keys = np.array(sorted(table), np.uint64)
-            bits = np.zeros(1 << 20, bool)
-            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((length, keys, bits, [table[k] for k in sorted(table)]))
-
-    @staticmethod
-    def keys(symbols: np.ndarray, length: int) -> np.ndarray:
-        """One key for every run of ``length`` symbols."""
-        n = symbols.size - length + 1
-        h = np.zeros(n, np.uint64)
-        for j in range(length):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + symbols[j : j + n].astype(np.uint64)
-        return mix(h)
-
-    def lookup(self, symbols: np.ndarray, unknown: np.ndarray, ends: np.ndarray):
-        """(position, [(item, the piece's place in it)]) of every piece."""
-        for length, keys, bits, items in self.tables:
-            n = symbols.size - length + 1
-            if n < 1:
-                continue
-            key = self.keys(symbols, length)
-            maybe = np.flatnonzero(bits[(key >> np.uint64(44)).astype(np.int64)])
-            maybe = maybe[(unknown[maybe + length] == unknown[maybe]) & (ends[maybe] - maybe >= length)]
-            k = np.minimum(np.searchsorted(keys, key[maybe]), keys.size - 1)
-            hit = keys[k] == key[maybe]
-            yield from zip(maybe[hit].tolist(), [items[j] for j in k[hit].tolist()], strict=True)
+                yield from zip(maybe[hit].tolist(), [parts[j] for j in k[hit].tolist()], strict=True)
 
 
 class Index:
@@ -205,12 +170,22 @@ class Index:
             own = np.unique(np.concatenate([self.items[i] for i in rows.tolist()]))
             local = np.zeros(self.vocabulary.size + 1, np.int32)
             local[own] = np.arange(1, own.size + 1)
-            groups.append(Group(rows, least, least - allowed(least, self.similarity), allowed(int(sizes[rows].max()), self.similarity), local, own.size))
+            groups.append(Group(rows, least, *self._windows(rows.tolist(), least), local, own.size))
             at = stop
         return groups
 
-    def _plan(self, group: Group, recall: float) -> list[Walk] | Pieces:
-        """As many walks as the recall asks for, measured on edited items, or else the exact filter."""
+    def _windows(self, rows: list[int], least: int) -> tuple[int, dict[int, list[int]], int, int]:
+        """Length, parts, reach and spare of a group's windows."""
+        if least < LONG:
+            spare = max(allowed(self.items[i].size, self.similarity) for i in rows)
+            return least, {i: [0] for i in rows}, least - allowed(least, self.similarity), spare
+        parts = {i: np.linspace(0, self.items[i].size - PART, self.items[i].size // PART).astype(int).tolist() for i in rows}
+        # parts do not overlap, so not all of them have more than their share
+        spare = max(allowed(self.items[i].size, self.similarity) // len(parts[i]) for i in rows)
+        return PART, parts, max(1, PART - spare), spare
+
+    def _plan(self, group: Group, recall: float) -> list[Walk]:
+        """As many walks as the recall asks for, measured on edited items."""
         rng = np.random.default_rng(group.least)
         drawn = [self._edited(group, rng) for _ in range(DRAWN)]
         symbols = np.concatenate([words for _, words in drawn])
@@ -218,16 +193,16 @@ class Index:
         # stopping at the first walk that reaches it favours lucky draws
         enough = recall + 2 * math.sqrt(recall * (1 - recall) / DRAWN)
         found = np.zeros(DRAWN, bool)
+        parts = [(i, place) for i, places in group.parts.items() for place in places]
+        grid = np.stack([group.local[self.items[i][place : place + group.length]] for i, place in parts])
         plan = []
-        for turn in range(MOST_WALKS):
-            walk = Walk(1000 * group.least + turn, group.words, group.least)
-            walk.learn({i: group.local[self.items[i]] for i in group.items.tolist()})
+        while found.mean() < enough and (group.spare or not plan):
+            walk = Walk(1000 * group.least + len(plan), group.words, group.length, SAMPLED if group.length == group.least else PART_SAMPLED)
+            walk.learn(parts, grid)
             plan.append(walk)
             for text, item, _ in self.candidates(symbols, first, [(group, [walk])]):
                 found[text] = found[text] or item == drawn[text][0]
-            if found.mean() >= enough or group.spare == 0:
-                return plan
-        return Pieces({i: self.items[i] for i in group.items.tolist()}, self.similarity)
+        return plan
 
     def _edited(self, group: Group, rng) -> tuple[int, np.ndarray]:
         """An item with as many random edits as are allowed, between unknown words."""
@@ -260,12 +235,6 @@ class Index:
         unknown = np.concatenate(([0], np.cumsum(symbols == 0))).astype(np.int32)
         ends = np.repeat(first[1:], np.diff(first))
         for group, plan in plans or zip(self.groups, self.plans, strict=True):
-            if isinstance(plan, Pieces):
-                for here, pieces in plan.lookup(symbols, unknown, ends):
-                    text = int(np.searchsorted(first, here, "right")) - 1
-                    # a match begins within the allowed edits of where its piece puts it
-                    found.update((text, item, max(int(first[text]), here - place)) for item, place in pieces)
-                continue
             # a word in no item of the group costs each of them an edit
             own = group.local.take(symbols)
             missing = np.concatenate(([0], np.cumsum(own == 0))).astype(np.int32)
@@ -276,18 +245,25 @@ class Index:
             for low in range(0, start.size, WINDOWS):
                 part = start[low : low + WINDOWS]
                 # words after the text's end are unknown
-                at = part[:, None] + np.arange(group.least)
+                at = part[:, None] + np.arange(group.length)
                 grid = np.where(at < ends[part][:, None], own[np.minimum(at, n - 1)], 0).astype(np.int32)
                 for walk in plan:
-                    for w, items in walk.lookup(grid):
+                    for w, parts in walk.lookup(grid):
                         here = int(part[w])
                         text = int(np.searchsorted(first, here, "right")) - 1
-                        for item in items:
+                        for item, place in parts:
                             size = self.items[item].size
                             slack = allowed(size, self.similarity)
-                            stop = here + size - slack
-                            if stop <= first[text + 1] and missing[stop] - missing[here] <= slack:
-                                found.add((text, item, here))
+                            if group.length == group.least:
+                                stop = here + size - slack
+                                if stop <= first[text + 1] and missing[stop] - missing[here] <= slack:
+                                    found.add((text, item, here))
+                                continue
+                            # a match begins within the allowed edits of where its part puts it
+                            begin = here - place
+                            low, high = max(int(first[text]), begin - slack), min(int(first[text + 1]), begin + size + 2 * slack)
+                            if high - low - (missing[high] - missing[low]) >= size - slack:
+                                found.add((text, item, max(int(first[text]), begin)))
         return found
 
     def matches(self, symbols: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:

@@ -141,6 +141,25 @@ def test_recall_in_every_length_band():
         assert found >= d.RECALL, (band, found)
 
 
+def test_walks_find_items_of_any_length():
+    """No group of items is left to another filter; a long item is found by a part, wherever it is."""
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(1, 1 << 63, 20_000).astype(np.uint64)
+    items = [rng.choice(hashes, n) for n in (5, 12, 40, 63, 64, 80, 100, 150, 300, 2000) for _ in range(5)]
+    index = d.Index(list(range(len(items))), items)
+    assert all(plan and all(isinstance(walk, d.Walk) for walk in plan) for plan in index.plans)
+    long = items[-1]
+    kept = long.copy()
+    kept[:400] = rng.integers(1, 1 << 63, 400)  # all edits at the beginning, and an item cut off
+    texts = [kept, np.concatenate((long[:1600], rng.integers(1, 1 << 63, 50).astype(np.uint64)))]
+    spoilt = kept.copy()
+    spoilt[400:402] = 1
+    texts.append(spoilt)
+    first = np.concatenate(([0], np.cumsum([t.size for t in texts])))
+    found = {(t, i): distance for t, i, _, _, distance in index.matches(index.symbols(np.concatenate(texts)), first)}
+    assert found == {(0, len(items) - 1): 400, (1, len(items) - 1): 400}
+
+
 def test_a_very_long_text_and_clashing_columns(spark, docs, case):
     items, _, _ = case
     rng = random.Random(4)
