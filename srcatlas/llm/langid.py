@@ -155,6 +155,13 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.weigh(text)[:2]
 
+    def recognises(self, text: str | None, least: float) -> bool:
+        """Whether the predicted language holds this share of the text's n-grams; without languages, whether there is a letter."""
+        if not self.languages:
+            return any(map(str.isalpha, text or ""))
+        lang, _, share = self.weigh(text)
+        return lang != UNKNOWN and share >= least
+
 
 def training_rows(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> DataFrame:
     """At most ``per_language`` different documents of each language, those with the smallest hashes of id and text.
@@ -224,22 +231,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows, with all their columns, of whose n-grams one language holds at least this share.
+    """The rows, with all their columns, of whose n-grams the predicted language holds at least this share.
 
-    Without a trained language nothing can be told apart and all rows stay.
+    Without a trained language nothing can be told apart, and all rows with a letter stay.
     """
-    if not model.languages:
-        return docs
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
 
-    @F.pandas_udf("double")
-    def covered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("boolean")
+    def recognised(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held = Model(*shared.value)
         for texts in batches:
-            yield texts.map(lambda t: held.weigh(t)[2])
+            yield pd.Series([held.recognises(t, least) for t in texts], dtype=bool)
 
-    return docs.where(covered("text") >= least)
+    return docs.where(recognised("text"))
 
 
 def held_out(column: Column, divisor: int = 4, remainder: int = 2) -> Column:

@@ -137,6 +137,12 @@ def test_without_labels_everything_is_unknown(docs):
     assert langid.keep_recognised(frame, model, 0.3).count() == 1
 
 
+def test_without_labels_texts_without_a_letter_go(docs):
+    frame = docs([(1, "abc def", None), (2, "123 !!", None), (3, "", None), (4, None, None)])
+    model = langid.train(frame, F.lit(True))
+    assert [r["doc_id"] for r in langid.keep_recognised(frame, model, 0.3).collect()] == [1]
+
+
 def test_a_language_under_one_id_and_equal_rows(docs):
     """The draw takes different texts, whatever their ids and repeats."""
     rows = [(8, f"wort nummer {i} im satz", "de") for i in range(3000)] + [(8, "mots et phrases", "fr")] * 3000 + [(i, f"words {i}", "en") for i in range(50)]
