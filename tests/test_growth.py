@@ -25,6 +25,12 @@ def test_notes_are_made_once(spark, sf_dir):
         assert "posexplode" not in plan and "Bucketed: true" in plan, name
 
 
+def test_an_exploration_makes_its_notes_once(spark, sf_dir):
+    """Lines are split and sorted by path once, then read in buckets; only imports are dealt out anew."""
+    plan = planned(QUERIES["g16_explore_context"](spark, sf_dir))
+    assert "posexplode" not in plan and "Bucketed: true" in plan, plan
+
+
 def test_customers_files_are_written_by_several_tasks(spark, tmp_path):
     """Tasks stage and move; the driver hears of a folder from each."""
     from srcatlas.operators import writers
