@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import parent
 from .conventions import convention_for, folder_language
-from .stats import languages
 
 
 def create(files: DataFrame, conventions: DataFrame, shown: int = 5) -> DataFrame:
@@ -49,12 +48,16 @@ def debug_symbol(files: DataFrame, symbols: DataFrame, hotpaths: DataFrame, most
 
 def explore(files: DataFrame, symbols: DataFrame, key_files: DataFrame) -> DataFrame:
     """One row: counts, the most frequent language, domains with their files, and key files."""
-    counted = files.agg(F.count("*").alias("files"), F.sum("lines").alias("lines")).join(F.broadcast(symbols.agg(F.count("*").alias("symbols"))))
-    first = languages(files).where(F.col("language").isNotNull()).agg(F.min_by("language", F.struct(-F.col("files"), "language")).alias("primary_language"))
+    # one pass over the files: the rest is a row for each language
+    spoken = files.groupBy("language").agg(F.count("*").alias("n"), F.sum("lines").alias("lines"))
+    first = F.min_by("language", F.when(F.col("language").isNotNull(), F.struct(-F.col("n"), "language"))).alias("primary_language")
+    counted = spoken.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.sum("lines").alias("lines"), first)
+    told = symbols.agg(F.count("*").alias("symbols"))
     domains = files.select("path", F.explode(F.array_distinct("domains")).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
     listed = domains.agg(F.array_sort(F.collect_list(F.struct(F.col("d").alias("name"), F.col("n").alias("files")))).alias("domains"))
     keys = key_files.agg(F.collect_list("path").alias("key_files"))
-    return counted.join(F.broadcast(first)).join(F.broadcast(listed)).join(F.broadcast(keys))
+    whole = counted.join(F.broadcast(told)).join(F.broadcast(listed)).join(F.broadcast(keys))
+    return whole.select("files", "lines", "symbols", "primary_language", "domains", "key_files")
 
 
 def symbol_report(symbols: DataFrame, callers: DataFrame, callees: DataFrame) -> DataFrame:

@@ -50,11 +50,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """importer, spec, imported: the first file that an import may mean.
 
     ``imports``: importer, spec; ``files``: path.  A file has at most three
-    meanings and an import one target, so one equi join finds them all.
+    meanings and an import one target, so one equi join finds them all.  It is
+    merged at every size: paths take few bytes on disk, and Spark would
+    broadcast those of a million files.
     """
     wanted = imports.select("importer", "spec").distinct().withColumn("key", target(F.col("importer"), F.col("spec"))).where(F.col("key").isNotNull())
     known = files.select("path", normalize(F.col("path")).alias("k")).distinct().select("path", F.explode(meanings(F.col("k"))).alias("m")).select("path", "m.key", "m.rank")
-    return wanted.join(known, "key").groupBy("importer", "spec").agg(F.min_by("path", F.struct("rank", "path")).alias("imported"))
+    return wanted.join(known.hint("merge"), "key").groupBy("importer", "spec").agg(F.min_by("path", F.struct("rank", "path")).alias("imported"))
 
 
 def imported_by(resolved: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def g16_explore(spark, sf_dir):
 
     code = _files(spark, sf_dir)
     found = _kept_notes(spark, sf_dir)
-    made = files.fold_files(found).join(code.select("path", language(F.col("path")).alias("language"), notes.line_count(F.col("content")).alias("lines")), "path")
+    counted = code.select("path", language(F.col("path")).alias("language"), notes.line_count(F.col("content")).alias("lines"))
+    made = files.fold_files(found).join(counted.hint("merge"), "path")
     whole = contexts.explore(made, files.fold_symbols(found), graph.most_imported(_resolved(spark, sf_dir, found)))
     return whole.select("files", "symbols", F.size("domains").cast("long").alias("domains"), F.array_join("key_files", ",").alias("key_files"))
 

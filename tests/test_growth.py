@@ -31,6 +31,19 @@ def test_an_exploration_makes_its_notes_once(spark, sf_dir):
     assert "posexplode" not in plan and "Bucketed: true" in plan, plan
 
 
+def test_an_exploration_reads_its_notes_four_times(spark, sf_dir):
+    """For counts by language, domains, symbols and imports; totals and the first language come of the counts."""
+    plan = planned(QUERIES["g16_explore_context"](spark, sf_dir))
+    assert plan.count("Bucketed: true") == 4, plan
+
+
+def test_imports_are_merged_at_every_size(spark, sf_dir):
+    """The files of a small table are not broadcast, so that shuffled bytes grow as the table does."""
+    for name in ("g17_key_files", "j05_import_resolution", "j06_imported_by", "g16_modify_context", "g16_explore_context"):
+        plan = planned(QUERIES[name](spark, sf_dir))
+        assert "BroadcastHashJoin [key#" not in plan and "SortMergeJoin [key#" in plan, plan
+
+
 def test_customers_files_are_written_by_several_tasks(spark, tmp_path):
     """Tasks stage and move; the driver hears of a folder from each."""
     from srcatlas.operators import writers

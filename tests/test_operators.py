@@ -106,6 +106,18 @@ def test_import_candidates(spark):
     assert {(r["spec"], r["imported"]) for r in found.collect()} == {("./a", "src/a.ts"), ("./lib", "src/lib/index.js"), ("../x", "src/x.py"), ("./top", "./top.go"), ("/src/a.ts", "src/a.ts")}
 
 
+def test_exploring_counts_files_of_unknown_languages(spark):
+    from srcatlas.operators import contexts
+
+    rows = [("a", None, 1, ["d", "d"]), ("b", None, 2, []), ("c", None, 3, ["e"]), ("x", "go", 4, ["d"]), ("y", "python", 5, None)]
+    files = spark.createDataFrame(rows, "path string, language string, lines long, domains array<string>")
+    symbols, keys = spark.createDataFrame([("s",)], "name string"), spark.createDataFrame([("a",)], "path string")
+    whole = contexts.explore(files, symbols, keys).first().asDict(recursive=True)
+    assert whole == {"files": 5, "lines": 15, "symbols": 1, "primary_language": "go", "domains": [{"name": "d", "files": 2}, {"name": "e", "files": 1}], "key_files": ["a"]}
+    none = contexts.explore(files.where("false"), symbols.where("false"), keys.where("false")).first()
+    assert (none["files"], none["lines"], none["symbols"], none["primary_language"], none["domains"], none["key_files"]) == (0, None, 0, None, [], [])
+
+
 # Suggestions and rewriting --------------------------------------------------------------------------------------------------------------------
 
 
