@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body) -> Column:
+    """What ``body`` makes of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unquote(value: Column) -> Column:
     """Without the double quotes around it."""
     return F.regexp_replace(value, r'^"+|"+$', "")
@@ -37,8 +42,7 @@ def capitalize(word: Column) -> Column:
 
 def humanize(name: Column) -> Column:
     """Words with a capital first one and the rest in lower case."""
-    parts = words(name)
-    return F.array_join(F.transform(parts, lambda w, i: F.when(i == 0, capitalize(w)).otherwise(F.lower(w))), " ")
+    return F.array_join(F.transform(words(name), lambda w, i: F.when(i == 0, capitalize(w)).otherwise(F.lower(w))), " ")
 
 
 def share(part: Column, whole: Column, empty: float = 0.0) -> Column:

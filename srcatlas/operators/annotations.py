@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, unquote
+from ..functions.text import blank_to_null, bound, unquote
 from ..schema import DIRECTIVES, LOCK_DIRECTIVES, MARKER, ORIGINS, REVIEW_BELOW
 
 _M = re.escape(MARKER).replace("\\@", "@")
@@ -33,6 +33,11 @@ def _split(content: str) -> Column:
     return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n"))
 
 
+def split(content: str) -> Column:
+    """The lines of a text; a missing text has none."""
+    return F.coalesce(_split(content), F.array().cast("array<string>"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line_no (from 1), text; a final line break opens no line."""
     return files.select("path", F.posexplode(_split("content")).alias("at", "text")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), "text")
@@ -168,15 +173,58 @@ def legacy(text_lines: DataFrame) -> DataFrame:
     return hits.where(F.col("directive").isNotNull()).withColumn("rewritten", F.concat("text", F.lit(" - "), "directive"))
 
 
+_EXISTING = rf"{_M}([a-z][a-z0-9-]*)(?:\s+(.+))?$"
+
+
+def _stated(text: Column) -> tuple[Column, Column]:
+    """Kind and value of a line's first annotation."""
+    return F.regexp_extract(text, _EXISTING, 1), unquote(F.trim(F.regexp_extract(text, _EXISTING, 2)))
+
+
 def existing(text_lines: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """The first annotation of a line, if it is of a known kind; quotes around values go."""
-    pattern = rf"{_M}([a-z][a-z0-9-]*)(?:\s+(.+))?$"
-    found = text_lines.where(F.col("text").contains(MARKER)).select(
-        "path", "line_no", F.regexp_extract("text", pattern, 1).alias("kind"), unquote(F.trim(F.regexp_extract("text", pattern, 2))).alias("value")
-    )
+    kind, value = _stated(F.col("text"))
+    found = text_lines.where(F.col("text").contains(MARKER)).select("path", "line_no", kind.alias("kind"), value.alias("value"))
     return found.where(F.col("kind").isin(*kinds))
 
 
+def stated(lines: Column, kinds: tuple[str, ...]) -> Column:
+    """The same of an array of lines: structs of line_no, kind and value."""
+    numbered = F.transform(lines, lambda t, i: F.struct((i + 1).cast("long").alias("line_no"), t.alias("text")))
+    told = lambda x: F.struct(x["line_no"].alias("line_no"), *[c.alias(n) for c, n in zip(_stated(x["text"]), ("kind", "value"), strict=True)])
+    return F.filter(F.transform(F.filter(numbered, lambda x: x["text"].contains(MARKER)), told), lambda x: x["kind"].isin(*kinds))
+
+
+def _plain(text: Column) -> Column:
+    """Whether a trimmed line may stand between a comment and its symbol."""
+    return (text == "") | text.startswith("//") | text.startswith("@") | text.startswith("*") | text.startswith("/**")
+
+
+#: Lines above a symbol that are looked through before all of them are.
+NEAR = 64
+
+
+def last_line(lines: Column, before: Column, test) -> Column:
+    """The last line above ``before`` that passes a test, or null; those nearby first."""
+
+    def within(low: Column) -> Column:
+        part = F.slice(lines, low, F.greatest(before.cast("int") - low, F.lit(0)))
+        return F.array_max(F.filter(F.transform(part, lambda t, i: F.when(test(t), (i + low).cast("long"))), lambda n: n.isNotNull()))
+
+    return F.coalesce(within(F.greatest(before.cast("int") - NEAR, F.lit(1))), F.when(before > NEAR + 1, within(F.lit(1))))
+
+
+def doc_range(lines: Column, start: Column) -> Column:
+    """``doc_ranges`` of a symbol in an array of lines: doc_start and doc_end of the block comment right above it, or null."""
+    opening, closing = (lambda t: F.trim(t).startswith("/**")), (lambda t: F.trim(t).endswith("*/"))
+    code = lambda t: ~_plain(F.trim(t)) & ~closing(t)
+    range_ = lambda begin, end: F.when((begin <= end) & (start <= F.size(lines)), F.struct(begin.alias("doc_start"), end.alias("doc_end")))
+    opened = lambda end: bound(F.when(end.isNotNull(), last_line(lines, start, opening)), lambda begin: range_(begin, end))
+    # the first line from below that is not plain closes the comment, or there is none
+    ended = last_line(lines, start, lambda t: code(t) | closing(t))
+    return bound(bound(ended, lambda at: F.when(closing(F.get(lines, at.cast("int") - 1)), at)), opened)
+
+
 def doc_ranges(text_lines: DataFrame, starts: DataFrame) -> DataFrame:
     """Where the block comment right above a symbol begins and ends.
 
@@ -186,7 +234,7 @@ def doc_ranges(text_lines: DataFrame, starts: DataFrame) -> DataFrame:
     answers for all symbols.
     """
     text = F.trim("text")
-    plain = (text == "") | text.startswith("//") | text.startswith("@") | text.startswith("*") | text.startswith("/**")
+    plain = _plain(text)
     closing = text.endswith("*/")
     up_to = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda test: F.max(F.when(test, F.col("line_no"))).over(up_to)

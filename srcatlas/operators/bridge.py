@@ -93,15 +93,15 @@ def in_order(entries: DataFrame) -> DataFrame:
     return held.select("key", F.transform("e", lambda e: F.struct(e["name"], e["type"], e["text"], e["directive"], e["source"])).alias("entries"))
 
 
-def suggestions(parsed: DataFrame) -> DataFrame:
-    """Suggested annotations from (target, line, doc): the converted kind."""
-    d = lambda f: F.col(f"doc.{f}")
+def found(doc: Column) -> Column:
+    """Suggested annotations of a doc comment, as structs of kind, value, confidence, source and ord; none of a missing one."""
+    d = lambda f: doc[f]
     one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     tag = lambda *names: F.get(F.filter(d("tags"), lambda t: t["name"].isin(*names)), F.lit(0))
     short = F.trim(d("summary"))
     cut = F.when(F.length(short) > 100, F.concat(F.regexp_replace(F.substring(short, 1, 100), r"\s\S*$", ""), F.lit("..."))).otherwise(short)
     lock = F.when(tag("private", "internal").isNotNull(), "restricted").when(tag("protected", "public").isNotNull(), "normal")
-    found = F.concat(
+    every = F.concat(
         F.array(one("summary", cut), one("deprecated", d("deprecated"))),
         F.transform(d("see"), lambda x: one("ref", x)),
         F.transform(d("todos"), lambda x: one("hack", F.concat(F.lit('reason="'), x, F.lit('"')))),
@@ -113,8 +113,13 @@ def suggestions(parsed: DataFrame) -> DataFrame:
         ),
         F.transform(d("notes"), lambda x: one("ai-hint", x)),
     )
-    rows = parsed.select("target", "line", F.posexplode(F.filter(found, lambda s: s["value"].isNotNull())).alias("ord", "s"))
-    return rows.select("target", "line", "s.kind", "s.value", F.lit(1.0).alias("confidence"), F.lit("converted").alias("source"), F.col("ord").cast("long").alias("ord"))
+    told = lambda s, i: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), F.lit(1.0).alias("confidence"), F.lit("converted").alias("source"), i.cast("long").alias("ord"))
+    return F.when(doc.isNotNull(), F.transform(F.filter(every, lambda s: s["value"].isNotNull()), told)).otherwise(F.array())
+
+
+def suggestions(parsed: DataFrame) -> DataFrame:
+    """Suggested annotations from (target, line, doc): the converted kind."""
+    return parsed.select("target", "line", F.explode(found(F.col("doc"))).alias("s")).select("target", "line", "s.*")
 
 
 def noted_in_docs(docs: DataFrame) -> DataFrame:

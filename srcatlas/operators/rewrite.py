@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..schema import MARKER
 
 PLAN = "path string, content string, language string, line long, doc_start long, doc_end long, is_file boolean, texts array<string>"
@@ -85,7 +86,7 @@ def _inserted(lines: Column, language: Column, change: Column) -> Column:
     commented = F.concat(F.array(F.concat(indent, F.lit("/**"))), F.transform(change["texts"], line), F.array(F.concat(indent, F.lit(" */"))))
     above = F.least(F.greatest(change["line"].cast("int"), F.lit(1)), F.size(lines) + 1)
     new = F.when(block, commented).otherwise(F.transform(change["texts"], line))
-    fresh = F.transform(F.filter(change["texts"], lambda t: ~F.array_contains(said, F.substring_index(t, " ", 1))), line)
+    fresh = bound(said, lambda known: F.transform(F.filter(change["texts"], lambda t: ~F.array_contains(known, F.substring_index(t, " ", 1))), line))
     return F.when((start > 0) & (block | rust), put(fresh, F.least(start, F.size(lines)) + 1)).when(F.size(change["texts"]) > 0, put(new, above)).otherwise(put(F.array().cast("array<string>"), above))
 
 
@@ -96,14 +97,24 @@ def script(files: DataFrame, changes: DataFrame) -> DataFrame:
     then others by target.  Without a target line there is no indentation;
     changes below the text go to its end.
     """
+    rows = _edited(files, changes).select("path", F.explode("edited").alias("r"))
+    return rows.select("path", F.struct("r.line_no", "r.rank", "r.later", "r.target", "r.i").alias("place"), "r.sign", "r.text")
+
+
+def _edited(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """path and the lines of each changed file as one array, each with its place."""
     held = changes.groupBy("path").agg(F.collect_list(F.struct("line", "is_file", "doc_start", "doc_end", "texts", "target")).alias("changes"))
     cut = F.split("content", "\n", -1)
     own = files.select("path", F.coalesce("language", F.lit("")).alias("language"), F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut).alias("lines"))
     none = F.lit("").alias("target")
     stay = F.transform("lines", lambda t, i: F.struct((i + 1).alias("line_no"), F.lit(1).alias("rank"), F.lit(False).alias("later"), none, F.lit(0).alias("i"), F.lit(" ").alias("sign"), t.alias("text")))
     added = F.flatten(F.transform("changes", lambda c: _inserted(F.col("lines"), F.col("language"), c)))
-    rows = own.join(held.hint("merge"), "path").select("path", F.explode(F.concat(stay, added)).alias("r"))
-    return rows.select("path", F.struct("r.line_no", "r.rank", "r.later", "r.target", "r.i").alias("place"), "r.sign", "r.text")
+    return own.join(held.hint("merge"), "path").select("path", F.concat(stay, added).alias("edited"))
+
+
+def rewritten(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """path and the text of each changed file with its changes, without a last line end; lines are put in order where the text lies."""
+    return _edited(files, changes).select("path", F.array_join(F.transform(F.sort_array("edited"), lambda x: x["text"]), "\n").alias("content"))
 
 
 def hunks(edited: DataFrame, context: int = 3) -> DataFrame:
@@ -144,7 +155,7 @@ def hunks(edited: DataFrame, context: int = 3) -> DataFrame:
 
 def contents(edited: DataFrame) -> DataFrame:
     """path and the text that a script leaves, without a last line end."""
-    kept = edited.groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("sign") != "-", F.struct("place", "text")))).alias("lines"))
+    kept = edited.groupBy("path").agg(F.sort_array(F.collect_list(F.when(F.col("sign") != "-", F.struct("place", "text")))).alias("lines"))
     return kept.select("path", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("content"))
 
 

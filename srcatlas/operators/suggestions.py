@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, parent, stem
-from ..functions.text import capitalize, humanize, share, words
+from ..functions.text import bound, capitalize, humanize, share, words
 from ..schema import MARKER, SYMBOL_WITHIN
 
 # Parts of names, and what they suggest as (kind, value, confidence).
@@ -81,9 +81,12 @@ def _one(kind: str, value, confidence: float) -> Column:
     return F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(confidence).alias("confidence"))
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<kind:string,value:string,confidence:double>>")
+
+
 def _when(test: Column, items) -> Column:
-    none = F.array().cast("array<struct<kind:string,value:string,confidence:double>>")
-    return F.when(test, F.array(*[_one(*i) for i in items])).otherwise(none)
+    return F.when(test, F.array(*[_one(*i) for i in items])).otherwise(_none())
 
 
 def _emit(rows: DataFrame, found: Column, source: str = "heuristic") -> DataFrame:
@@ -93,9 +96,13 @@ def _emit(rows: DataFrame, found: Column, source: str = "heuristic") -> DataFram
 
 def by_name(symbols: DataFrame, security: tuple[str, ...] = ()) -> DataFrame:
     """Suggestions from parts of symbol names (target, line)."""
-    low = F.lower("target")
+    return _emit(symbols, _of_name(F.col("target"), security))
+
+
+def _of_name(target: Column, security: tuple[str, ...] = ()) -> Column:
+    low = F.lower(target)
     rules = [((*NAMES[0][0], *(s.lower() for s in security)), NAMES[0][1]), *NAMES[1:]]
-    return _emit(symbols, F.concat(*[_when(low.rlike("|".join(parts)), made) for parts, made in rules]))
+    return F.concat(*[_when(low.rlike("|".join(parts)), made) for parts, made in rules])
 
 
 def _first_of(part: Column, table: dict[str, str]) -> Column:
@@ -107,8 +114,13 @@ def _first_of(part: Column, table: dict[str, str]) -> Column:
 
 def by_path(files: DataFrame, custom: dict[str, str] | None = None) -> DataFrame:
     """Domains and layers from the parts of a file's path (path, target, line); each value once."""
+    spread = _emit(files, _of_path(F.col("path"), custom))
+    return spread.groupBy("target", "line", "kind", "value", "source").agg(F.min_by("confidence", "ord").alias("confidence"), F.min("ord").alias("ord"))
+
+
+def _of_path(path: Column, custom: dict[str, str] | None = None) -> Column:
     part = lambda p: F.lower(p)
-    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
     own = F.create_map(*[F.lit(x) for pair in (custom or {"": ""}).items() for x in pair])
 
     def of(p: Column) -> Column:
@@ -119,39 +131,44 @@ def by_path(files: DataFrame, custom: dict[str, str] | None = None) -> DataFrame
             _one("layer", _first_of(part(p), LAYERS), 0.6),
         )
 
-    found = F.filter(F.flatten(F.transform(parts, of)), lambda s: s["value"].isNotNull())
-    spread = _emit(files, found)
-    return spread.groupBy("target", "line", "kind", "value", "source").agg(F.min_by("confidence", "ord").alias("confidence"), F.min("ord").alias("ord"))
+    return F.filter(F.flatten(F.transform(parts, of)), lambda s: s["value"].isNotNull())
 
 
 def by_visibility(symbols: DataFrame) -> DataFrame:
     """Locks and hints from (target, line, visibility, exported)."""
-    rules = [_when(F.col("visibility") == v, items) for v, items in VISIBILITY.items()]
-    public = _when((F.col("visibility") == "public") & F.col("exported"), (("lock", "normal", 0.5),))
-    return _emit(symbols, F.concat(*rules, public))
+    return _emit(symbols, _of_visibility(F.col("visibility"), F.col("exported")))
+
+
+def _of_visibility(visibility: Column, exported: Column) -> Column:
+    rules = [_when(visibility == v, items) for v, items in VISIBILITY.items()]
+    return F.concat(*rules, _when((visibility == "public") & exported, (("lock", "normal", 0.5),)))
 
 
 def by_history(history: DataFrame) -> DataFrame:
     """Hints from (target, line, commits, authors, days, added, removed)."""
-    churn = F.col("added") + F.col("removed")
+    return _emit(history, _of_history(F.col))
+
+
+def _of_history(past) -> Column:
+    """``past`` gives a column of the history by its name."""
+    churn = past("added") + past("removed")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    n, authors = F.col("commits"), F.size("authors")
-    found = F.concat(
+    n, authors = past("commits"), F.size(past("authors"))
+    return F.concat(
         _when(n >= CHURN_COMMITS, (("ai-hint", text("High-churn file: ", n, " commits by ", authors, " contributors"), 0.7),)),
         _when(
             (authors < 2) & (n > SINGLE_AUTHOR_COMMITS),
-            (("ai-hint", text("Single author: ", F.coalesce(F.get("authors", F.lit(0)), F.lit("unknown")), ". Consider code review for bus factor."), 0.6),),
+            (("ai-hint", text("Single author: ", F.coalesce(F.get(past("authors"), F.lit(0)), F.lit("unknown")), ". Consider code review for bus factor."), 0.6),),
         ),
         _when(
-            F.col("days") >= STABLE_DAYS,
-            (("stability", "stable", 0.7), ("ai-hint", text("Stable code: unchanged for ", F.col("days"), " days"), 0.7)),
+            past("days") >= STABLE_DAYS,
+            (("stability", "stable", 0.7), ("ai-hint", text("Stable code: unchanged for ", past("days"), " days"), 0.7)),
         ),
         _when(
             (churn > VOLATILE_LINES) & (n > VOLATILE_COMMITS),
             (("lock", "normal", 0.6), ("ai-hint", text("Volatile code: ", churn, " lines changed across ", n, " commits"), 0.6)),
         ),
     )
-    return _emit(history, found)
 
 
 def module_name(path: Column) -> Column:
@@ -171,38 +188,65 @@ VERBS = {
 
 def third_person(verb: Column) -> Column:
     """A verb as a summary begins: fixed phrases, else its third person by its ending."""
-    low = F.lower(verb)
     table = F.create_map(*[F.lit(x) for pair in VERBS.items() for x in pair])
-    ending = (
-        F.when(low.rlike("(x|ch|sh|ss|us|is)$"), F.concat(low, F.lit("es")))
-        .when(low.rlike("s$"), low)
-        .when(low.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(low, "y$", ""), F.lit("ies")))
-        .otherwise(F.concat(low, F.lit("s")))
-    )
-    return F.coalesce(F.try_element_at(table, low), capitalize(ending))
+
+    def told(low: Column) -> Column:
+        ending = (
+            F.when(low.rlike("(x|ch|sh|ss|us|is)$"), F.concat(low, F.lit("es")))
+            .when(low.rlike("s$"), low)
+            .when(low.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(low, "y$", ""), F.lit("ies")))
+            .otherwise(F.concat(low, F.lit("s")))
+        )
+        return F.coalesce(F.try_element_at(table, low), bound(ending, capitalize))
+
+    return bound(F.lower(verb), told)
 
 
 def summary(name: Column, kind: Column) -> Column:
     """A first summary from a symbol's name and kind, or null for short names and other kinds."""
-    parts = words(name)
-    low = F.transform(parts, F.lower)
-    head = third_person(F.get(parts, F.lit(0)))
-    verb = F.trim(F.concat_ws(" ", head, F.array_join(F.slice(low, 2, F.greatest(F.size(low) - 1, F.lit(0))), " ")))
-    noun = capitalize(F.array_join(low, " "))
-    made = (
-        F.when(kind.isin("function", "method"), verb)
-        .when(kind.isin("class", "struct"), noun)
-        .when(kind.isin("interface", "trait"), F.concat_ws(" ", F.array_join(parts, ""), kind))
-    )
-    poor = (F.length(made) < 5) | made.rlike(r"(eses|sses)(\s|$)|  ")
-    return F.when((F.length(name) < 3) | made.isNull(), F.lit(None)).when(poor, F.concat_ws(" ", capitalize(F.lower(name)), kind)).otherwise(made)
+
+    def of(parts: Column) -> Column:
+        low = F.transform(parts, F.lower)
+        head = third_person(F.get(parts, F.lit(0)))
+        verb = F.trim(F.concat_ws(" ", head, F.array_join(F.slice(low, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " ")))
+        return (
+            F.when(kind.isin("function", "method"), verb)
+            .when(kind.isin("class", "struct"), bound(F.array_join(low, " "), capitalize))
+            .when(kind.isin("interface", "trait"), F.concat_ws(" ", F.array_join(parts, ""), kind))
+        )
+
+    def checked(made: Column) -> Column:
+        poor = (F.length(made) < 5) | made.rlike(r"(eses|sses)(\s|$)|  ")
+        return F.when((F.length(name) < 3) | made.isNull(), F.lit(None)).when(poor, F.concat_ws(" ", capitalize(F.lower(name)), kind)).otherwise(made)
+
+    return bound(bound(words(name), of), checked)
 
 
 def by_file(files: DataFrame) -> DataFrame:
     """Module name and summary for whole files (path, target, line)."""
-    name = module_name(F.col("path"))
-    made = F.array(_one("module", name, 0.7), _one("summary", F.concat(name, F.lit(" module")), 0.5))
-    return _emit(files, F.when(name.isNotNull() & (name != ""), made).otherwise(F.slice(made, 1, 0)))
+    return _emit(files, _of_file(F.col("path")))
+
+
+def _of_file(path: Column) -> Column:
+    made = lambda name: F.when(name.isNotNull() & (name != ""), F.array(_one("module", name, 0.7), _one("summary", F.concat(name, F.lit(" module")), 0.5))).otherwise(_none())
+    return bound(module_name(path), made)
+
+
+def found(path: Column, target: Column, kind: Column, visibility: Column, exported: Column, past: Column | None = None) -> Column:
+    """What ``heuristic`` finds of one target, in its order: structs of kind, value, confidence, source and ord.
+
+    ``past``: the history of the target's file.
+    """
+    made = bound(summary(target, kind), lambda made: F.when(made.isNotNull(), F.array(_one("summary", made, 0.6))).otherwise(_none()))
+    parts = [_of_name(target), _of_path(path), _of_visibility(visibility, exported), made]
+    if past is not None:
+        parts.append(F.when(past.isNotNull(), _of_history(lambda c: past[c])).otherwise(_none()))
+
+    def numbered(part: Column, k: int) -> Column:
+        told = lambda s, i: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), s["confidence"].alias("confidence"), F.lit("heuristic").alias("source"), (i + 1000 * k).cast("long").alias("ord"))
+        return F.transform(part, told)
+
+    return F.when(kind.isNull(), numbered(_of_file(path), 1)).otherwise(F.concat(*[numbered(p, k + 2) for k, p in enumerate(parts)]))
 
 
 def heuristic(targets: DataFrame, history: DataFrame | None = None, summaries: bool = True) -> DataFrame:

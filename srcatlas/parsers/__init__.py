@@ -5,6 +5,7 @@ from __future__ import annotations
 import multiprocessing
 from concurrent.futures import ProcessPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ SYMBOLS = "path string, name string, qualified_name string, kind string, line_st
 IMPORTS = "path string, source string, names array<string>, line_no long"
 CALLS = "path string, caller string, callee string, receiver string, line_no long"
 SCHEMA = "path string, what string, name string, qualified_name string, kind string, line_start long, line_end long, visibility string, exported boolean, doc string, signature string, async boolean, parent string, names array<string>"
+#: What ``nested`` adds to a file: the rows without their path.
+ROWS = f"array<struct<{SCHEMA.removeprefix('path string, ').replace(' ', ':').replace(',:', ',')}>>"
 _ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _COLUMNS = {name: _ARROW[kind] for name, kind in (c.strip().split() for c in SCHEMA.split(", "))}
 #: Files whose rows a task holds at once.
@@ -87,6 +90,29 @@ def parse(files: DataFrame, *wanted: str) -> DataFrame:
     return files.select("path", "language", "content").mapInArrow(run, SCHEMA)
 
 
+def nested(files: DataFrame, *wanted: str) -> DataFrame:
+    """path, language and content of every file, and the rows of ``parse`` as one array ``parsed``: what is made of them needs no shuffle."""
+    kinds = frozenset(wanted) or EVERY
+    fields = list(_COLUMNS.items())[1:]
+
+    def run(batches):
+        parser = _Parser()
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, FILES):
+                    part = batch.slice(start, FILES)
+                    # the place in the batch tells files apart, whatever their paths
+                    rows = parser.rows((list(range(part.num_rows)), *[c.to_pylist() for c in part.columns[1:]], kinds))
+                    ends = np.cumsum(np.bincount([at for at, _ in rows], minlength=part.num_rows))
+                    values = pa.StructArray.from_arrays([pa.array([r.get(c) for _, r in rows], kind) for c, kind in fields], [c for c, _ in fields])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), values)
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], ["path", "language", "content", "parsed"])
+        finally:
+            parser.close()
+
+    return files.select("path", "language", "content").mapInArrow(run, f"path string, language string, content string, parsed {ROWS}")
+
+
 def symbols(rows: DataFrame) -> DataFrame:
     return rows.where("what = 'symbol'").drop("what", "names")
 

@@ -59,7 +59,7 @@ _CLASS = f"""'/**', chr(10), case when o_orderkey < 10 then '' else concat(' * {
 def j12(spark, sf_dir):
     code = sources(spark, sf_dir, _CODE).select("path", "language", "content")
     found = analysis.suggest(analysis.analyze(code).gaps, code)
-    return rewrite.contents(rewrite.script(code, analysis.changes(found)))
+    return rewrite.rewritten(code, analysis.changes(found))
 
 
 _DIRS = "case c_custkey % 6 when 0 then 'src/auth' when 1 then 'src/api/routes' when 2 then 'lib/db' when 3 then 'tests/unit' when 4 then 'src/auth/deep' else 'src/auth/deep/er' end"

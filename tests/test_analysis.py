@@ -96,3 +96,39 @@ def test_no_table_of_files_or_symbols_is_sent_through_the_driver(spark):
     text_lines, parsed = analysis.annotations.lines(files), analysis.parsers.parse(files)
     for rows in (analysis.gaps(files, text_lines, parsed, found.existing), found.coverage, analysis.suggest(found.gaps, files)):
         assert "Broadcast" not in rows._jdf.queryExecution().sparkPlan().toString()
+
+
+ODD = [
+    ("a.ts", "typescript", TS), ("b.ts", "typescript", f'/**\n * {M}summary "x"\n */\n\n@A\n@B({{}})\nexport class K {{\n}}\nexport function f() {{}}\n'), ("bad.py", "python", "def (:\n"),
+    ("n.go", "go", None), ("e.rs", "rust", ""), ("l.ts", None, f"{M}lock frozen"), ("r.rs", "rust", f"// {M}domain d\n#[x]\n/// Says.\npub struct S {{}}\r\n\r\npub fn g() {{}}\r\n"),
+    ("p.py", "python", f"# {M}module m\n@dec\ndef g():\n    '''Says.'''\nclass C:\n    def run(self): pass\n"), ("t.ts", "typescript", "export function a() {} export function a() {}\n"),
+    ("far.ts", "typescript", "/**\n" + " * far\n" * 90 + " */\n" + "@D\n" * 80 + "export class F {\n}\n// x\nexport function last() {}\n"),
+]
+
+
+@pytest.mark.parametrize("level", ["standard", "full"])
+def test_rows_of_files_give_what_tables_of_lines_give(spark, level):
+    files = spark.createDataFrame(ODD, FILES)
+    parsed, text_lines = analysis.parsers.parse(files), analysis.annotations.lines(files)
+    found = analysis.analyze(files, level)
+    noted = analysis.existing(text_lines, analysis._symbols(parsed))
+    told = lambda rows: sorted((repr(tuple(r)) for r in rows.collect()))
+    assert told(found.existing.select(*noted.columns)) == told(noted)
+    tabled = analysis.gaps(files, text_lines, parsed, noted, level)
+    assert told(found.gaps.select(*tabled.columns)) == told(tabled) != []
+    twice = [(r["target"], r["line"], r["kind"]) for r in analysis.suggest(found.gaps, files, level).where("path = 't.ts'").collect()]
+    assert len(set(twice)) == len(twice) > 0
+
+
+def test_files_are_analysed_where_they_lie(spark):
+    files = spark.createDataFrame(ODD, FILES)
+    found = analysis.analyze(files)
+    for rows in (analysis.facts(files), found.existing, found.gaps, found.coverage, analysis.suggest(found.gaps, files)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_put_in_order_in_their_row(spark):
+    code = spark.createDataFrame([r for r in ODD if r[2]], FILES)
+    changes = analysis.changes(analysis.suggest(analysis.analyze(code).gaps, code))
+    one, two = rewrite.contents(rewrite.script(code, changes)), rewrite.rewritten(code, changes)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) != []
