@@ -83,3 +83,24 @@ def test_parsing_does_not_fill_the_worker(monkeypatch):
 
 def test_python_files_are_parsed_once(spark, sf_dir):
     assert "MapInArrow" not in planned(QUERIES["x07_x08_applied_symbols"](spark, sf_dir))
+
+
+def test_notes_of_applied_symbols_are_made_once(spark, sf_dir):
+    assert "posexplode" not in planned(QUERIES["x07_x08_applied_symbols"](spark, sf_dir))
+
+
+def test_files_without_rows_stay_in_their_lists(spark):
+    from srcatlas import parsers
+
+    files = spark.createDataFrame([("a", "go", None), ("a", "python", "def f(): pass\nclass C:\n    if x:\n        def g(self): pass\n"), ("b", "zig", "x")], "path string, language string, content string")
+    found = parsers.nested(files, "symbol").collect()
+    assert [(r["path"], [(s["name"], s["line_start"]) for s in r["parsed"]]) for r in found if r["parsed"]] == [("a", [("f", 1), ("C", 2), ("g", 4)])] and len(found) == 3
+    assert parsers.nested(files.where("language = 'go'")).first()["parsed"] == []
+
+
+def test_bodies_are_not_searched_for_literals(monkeypatch):
+    from srcatlas.parsers import braces
+
+    monkeypatch.setattr(braces, "_LITERAL", None)
+    code = "pub struct S {\n  a: u8,\n}\nimpl S {\n  fn go(&self) { self.run(1) }\n}\n"
+    assert [(r["parent"], r["name"]) for r in braces.extract(code, "rust", frozenset({"call"}))] == [("go", "run")]
