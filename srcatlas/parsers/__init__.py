@@ -41,6 +41,24 @@ def _extracted(part: tuple[list, list, list, frozenset[str]]) -> list[tuple]:
     return [(p, r) for p, g, c in zip(names, languages, contents, strict=True) for r in extract(c or "", g or "", kinds)]
 
 
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r.get(c) for _, r in rows], kind) for c, kind in list(_COLUMNS.items())[1:]]
+
+
+def _batch(part: tuple[list, list, list, frozenset[str]]) -> pa.RecordBatch:
+    """The rows as a batch, which comes back from a child process in a few pieces."""
+    rows = _extracted(part)
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), *_columns(rows)], list(_COLUMNS))
+
+
+def _lists(part: tuple[list, list, list, frozenset[str]]) -> pa.Array:
+    """The rows of every file as one list; files are told apart by their places, whatever their paths."""
+    rows = _extracted((range(len(part[0])), *part[1:]))
+    ends = np.cumsum(np.bincount(np.array([at for at, _ in rows], np.int64), minlength=len(part[0])))
+    values = pa.StructArray.from_arrays(_columns(rows), list(_COLUMNS)[1:])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), values)
+
+
 class _Parser:
     """Parses some files at a time; those with Python sources in a child process that ends after ``CHILD`` times.
 
@@ -52,14 +70,18 @@ class _Parser:
         self.pool, self.times = None, 0
 
     def rows(self, part: tuple[list, list, list, frozenset[str]]) -> list[tuple]:
+        return self.run(_extracted, part)
+
+    def run(self, made, part: tuple[list, list, list, frozenset[str]]):
+        """What ``made`` makes of some files."""
         if "python" not in part[1]:
-            return _extracted(part)
+            return made(part)
         if self.times % CHILD == 0:
             self.close()
             self.pool = ProcessPoolExecutor(1, multiprocessing.get_context("fork"))
         self.times += 1
         # fails, and does not wait, if the child is gone
-        return self.pool.submit(_extracted, part).result()
+        return self.pool.submit(made, part).result()
 
     def close(self) -> None:
         if self.pool is not None:
@@ -80,10 +102,7 @@ def parse(files: DataFrame, *wanted: str) -> DataFrame:
             for batch in batches:
                 for start in range(0, batch.num_rows, FILES):
                     part = [c.to_pylist() for c in batch.slice(start, FILES).columns]
-                    rows = parser.rows((*part, kinds))
-                    made = [pa.array([p for p, _ in rows], pa.string())]
-                    made += [pa.array([r.get(c) for _, r in rows], kind) for c, kind in list(_COLUMNS.items())[1:]]
-                    yield pa.RecordBatch.from_arrays(made, list(_COLUMNS))
+                    yield parser.run(_batch, (*part, kinds))
         finally:
             parser.close()
 
@@ -93,7 +112,6 @@ def parse(files: DataFrame, *wanted: str) -> DataFrame:
 def nested(files: DataFrame, *wanted: str) -> DataFrame:
     """path, language and content of every file, and the rows of ``parse`` as one array ``parsed``: what is made of them needs no shuffle."""
     kinds = frozenset(wanted) or EVERY
-    fields = list(_COLUMNS.items())[1:]
 
     def run(batches):
         parser = _Parser()
@@ -101,11 +119,7 @@ def nested(files: DataFrame, *wanted: str) -> DataFrame:
             for batch in batches:
                 for start in range(0, batch.num_rows, FILES):
                     part = batch.slice(start, FILES)
-                    # the place in the batch tells files apart, whatever their paths
-                    rows = parser.rows((list(range(part.num_rows)), *[c.to_pylist() for c in part.columns[1:]], kinds))
-                    ends = np.cumsum(np.bincount([at for at, _ in rows], minlength=part.num_rows))
-                    values = pa.StructArray.from_arrays([pa.array([r.get(c) for _, r in rows], kind) for c, kind in fields], [c for c, _ in fields])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), values)
+                    lists = parser.run(_lists, (*[c.to_pylist() for c in part.columns], kinds))
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], ["path", "language", "content", "parsed"])
         finally:
             parser.close()

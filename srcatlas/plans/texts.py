@@ -52,9 +52,10 @@ union all select 'src/x/' || path, 'C' || o_orderkey, 'class', null from py unio
 union all select path, symbol, case opener when 'class' then 'class' else 'function' end, max_by(trim(value, '"'), line_no) filter (where name = 'summary' and line_no > opener_line) from scoped where symbol is not null group by path, symbol, opener, opener_line""")
 def x08(spark, sf_dir):
     parsed = files.ast_symbols(parsers.symbols(parsers.parse(sources(spark, sf_dir, _PY), "symbol")).withColumn("path", F.concat(F.lit("src/x/"), "path")))
-    noted = files.fold_symbols(_notes(spark, sf_dir))
-    # written, as both the symbols and their paths are asked for: files are parsed once
-    return files.apply_ast(noted, written(parsed)).select("path", "name", "type", "summary")
+    asked = ("path", "name", "type", "line_start", "summary")
+    noted = files.fold_symbols(_notes(spark, sf_dir)).select(*asked)
+    # written, as symbols are asked for twice on both sides: files are read and parsed once
+    return files.apply_ast(written(noted), written(parsed.select(*asked))).select("path", "name", "type", "summary")
 
 
 _GUARDED = f"""select concat('g', {_S}) as path, concat('// {MARKER}requires a', {_S}, ', b', chr(10), '// {MARKER}forbids eval', chr(10), '// {MARKER}style s', cast(o_orderkey % 3 as varchar(40)), ' http://u', chr(10),
