@@ -32,8 +32,9 @@ fewer than ``1 / (1 - SIMILARITY)`` words must occur unchanged; repeated rows
 give repeated results; an item found at several places of a document gives one
 row, the nearest, then the first; an empty table gives no rows; very long texts
 are searched whole, ``WINDOWS`` windows at a time; only doc_id and text, and
-item_id and text of the benchmark, are read, and ``clean`` returns the columns of
-its input whatever their names.
+item_id and text of the benchmark, are read.  ``clean`` judges each row by its
+own text, so rows that share an id or have none stay apart, and returns the
+columns of its input whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -366,7 +368,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    found = contaminated(docs, benchmark, similarity, recall).select(F.col("doc_id").alias("hit")).distinct()
-    # all of a row in one column, so that no name can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(found, rows["id"].eqNullSafe(found["hit"]), "left_anti").select("row.*")
+    spark = docs.sparkSession
+    small_batches(spark)
+    for ids, items in blocks(benchmark):
+        shared = spark.sparkContext.broadcast(Index(ids, items, similarity, recall))
+        docs = docs.where(~_holds(shared)(text_or_empty()))
+    return docs
+
+
+def _holds(shared):
+    """Whether a text holds an item of the index: each row is judged by its own text, whatever its id."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        words = plain_words(pa.array(texts, pa.string()))
+        found = np.zeros(len(texts), bool)
+        found[[t for t, *_ in shared.value.matches(shared.value.symbols(words.hashes()), words.first)]] = True
+        return pd.Series(found)
+
+    return holds

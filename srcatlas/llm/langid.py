@@ -10,7 +10,7 @@ for a language is the popcount of its bit over all n-grams of the text,
 corrected for that slice's false-positive rate; the largest one decides.
 
 Training takes at most ``TRAIN_DOCS`` labelled documents per language, those
-with the smallest hashes, and counts their whole texts on the executors; what
+with the smallest hashes, or all labelled rows if asked to, and counts their whole texts on the executors; what
 reaches the driver is the filter's non-empty slots, at most ``SLOTS`` words for
 every 64 languages, whatever the corpus.  Every document is scored on its whole
 text; long texts go through in parts that give the n-grams of the whole.
@@ -42,6 +42,8 @@ HASHES = 2
 SHARE = 0.3
 LEAST = 3
 TRAIN_DOCS = 1000
+#: N-grams that a task holds before it counts them.
+HELD = 1 << 23
 #: Code points scored at once.
 CHUNK = 1 << 20
 #: Languages in one machine word.
@@ -163,11 +165,13 @@ class Model:
         return lang != UNKNOWN and share >= least
 
 
-def training_rows(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> DataFrame:
-    """At most ``per_language`` different documents of each language, those with the smallest hashes of id and text.
+def training_rows(docs: DataFrame, usable: Column, per_language: int | None = TRAIN_DOCS) -> DataFrame:
+    """At most ``per_language`` different documents of each language, those with the smallest hashes of id and text; None: every row.
 
     Hashes alone are ranked, a few from each partition; whole texts are read only where they are chosen.
     """
+    if per_language is None:
+        return docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     turn = F.xxhash64("doc_id", "text", F.lit(5))
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", turn.alias("turn"))
     ranked = known.select("lang", "turn").distinct().withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn")))
@@ -181,14 +185,23 @@ def filter_bits(texts: DataFrame, languages: list[str]) -> DataFrame:
     """slot, word and bits of the filter that holds every language's n-grams, from lang and text."""
     number = {lang: i for i, lang in enumerate(languages)}
 
+    def counts(held):
+        for lang, found in held.items():
+            keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
     def count(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
-            held: dict[int, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(number[lang], []).extend(text_grams(text))
-            for lang, found in held.items():
-                keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                for found in text_grams(text):
+                    held.setdefault(number[lang], []).append(found)
+                    size += found.size
+                if size > HELD:
+                    yield from counts(held)
+                    held, size = {}, 0
+        yield from counts(held)
 
     counted = texts.select("lang", "text").mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -202,9 +215,12 @@ def filter_bits(texts: DataFrame, languages: list[str]) -> DataFrame:
     return set_bits.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def train(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Model:
+def train(docs: DataFrame, usable: Column, per_language: int | None = TRAIN_DOCS) -> Model:
+    """The filter learned from a draw of each language, or from all labelled rows (``per_language`` None)."""
     small_batches(docs.sparkSession)
-    picked = materialise(training_rows(docs, usable, per_language), "training")
+    picked = training_rows(docs, usable, per_language)
+    if per_language is not None:
+        picked = materialise(picked, "training")
     languages = sorted(r["lang"] for r in picked.select("lang").distinct().collect())
     if not languages:
         return Model(languages, np.zeros((1, 1), np.uint64))

@@ -191,3 +191,13 @@ def test_blocks_and_empty_tables(spark, docs, case, monkeypatch):
     assert len(whole ^ parts) <= 0.05 * len(whole)
     assert d.contaminated(docs(rows), benchmark.limit(0)).count() == 0
     assert d.contaminated(docs([]), benchmark).count() == 0
+
+
+def test_rows_are_judged_by_their_own_texts(spark, docs):
+    """Rows that share an id with a contaminated one, or have none as it does, stay."""
+    item = " ".join(f"w{i}" for i in range(30))
+    frame = docs([(None, f"before {item} after"), (None, "quite another text"), (7, item), (7, "a third text"), (8, None)])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = d.clean(frame, benchmark)
+    assert left.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(None, "quite another text"), (7, "a third text"), (8, None)], key=repr)

@@ -149,3 +149,15 @@ def test_a_language_under_one_id_and_equal_rows(docs):
     picked = langid.training_rows(docs(rows).repartition(5), F.lit(True), 100)
     assert {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()} == {"de": 100, "fr": 1, "en": 50}
     assert sorted(map(tuple, picked.collect())) == sorted(map(tuple, langid.training_rows(docs(rows).repartition(2), F.lit(True), 100).collect()))
+
+
+def test_all_labelled_rows_are_learned_from(docs, monkeypatch):
+    """A word of the last rows is known, though each language has more rows than a draw takes."""
+    monkeypatch.setattr(langid, "HELD", 1000)
+    rows = [(i, "wort im satz" if i % 2 else "words in text", "de" if i % 2 else "en") for i in range(5000)]
+    frame = docs(rows + [(9000 + i, "qqxqq zzxzz", "de") for i in range(8)])
+    grams = langid.grams(langid.points("qqxqq zzxzz"))
+    # rare beside the others' rates, but in no other language
+    model = langid.train(frame, F.lit(True), per_language=None)
+    assert model.languages == ["de", "en"] and all(model.masks(grams)[:, 0] & 1)
+    assert not all(langid.train(frame, F.lit(True), per_language=10).masks(grams)[:, 0] & 1)
